@@ -1,8 +1,8 @@
 """Error measures and the per-group error report.
 
-The original computed the report with a driver loop of about four jobs per group. Here it is
-one aggregate over the predictions (per group) and one over the training rows (counts per
-group), joined on the group key; the ``Overall`` row is derived from the small per-group table.
+The original computed the report with a driver loop of about four jobs per group. Here the
+training keys and the scored rows are unioned and aggregated once: ``ROLLUP`` over the group
+yields every group's row and the ``Overall`` row from the same pass.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def _keyed(df: DataFrame, group: str, groups: DataFrame, match: str) -> DataFram
     raise ValueError(f"match must be 'equal' or 'prefix', got {match!r}")
 
 
-def _error_aggs(grouped) -> DataFrame:
-    return grouped.agg(
+def _error_aggs(grouped, *extra) -> DataFrame:
+    return grouped.agg(*extra,
         F.min("Difference").alias("MinError"), F.avg("Difference").alias("AvgError"),
         F.max("Difference").alias("MaxError"), F.min("PercentDifference").alias("MinPercentError"),
         F.avg("PercentDifference").alias("AvgPercentError"), F.max("PercentDifference").alias("MaxPercentError"),
@@ -81,6 +81,12 @@ def error_report(predictions: DataFrame, train: DataFrame, group: str, label: st
         group, "Difference", "PercentDifference", F.lit(1).alias("_test"))
     trained = train.select(group, null.alias("Difference"), null.alias("PercentDifference"), F.lit(0).alias("_test"))
     both = trained.unionByName(scored)
+    if match == "equal" and overall:
+        # one pass: ROLLUP gives the per-group rows and the grand total together
+        agg = _error_aggs(both.withColumn("_g", F.col(group)).rollup("_g"), F.grouping_id().alias("_gid"))
+        total = agg.where(F.col("_gid") == 1).withColumn("_g", F.lit(OVERALL))
+        per_group = agg.where((F.col("_gid") == 0) & (F.col("TrainRows") > 0))
+        return total.unionByName(per_group).withColumnRenamed("_g", "DRG").select(*REPORT_COLUMNS)
     groups = train.select(group).distinct() if match == "prefix" else None
     per_group = (
         _error_aggs(_keyed(both, group, groups, match).groupBy("_g"))

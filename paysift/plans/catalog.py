@@ -32,10 +32,10 @@ def register(name: str, sql: str | None = None):
 
 
 def qcol(c, d: int) -> F.Column:
-    """Quantise a double to ``d`` decimals: floor(x * 10^d + 0.5) / 10^d."""
+    """Quantise a double to ``d`` decimals: floor(x * 10^d + c) / 10^d (``oracle.Q_OFFSET``)."""
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10 ** d)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    return (F.floor(c * F.lit(scale) + F.lit(O.Q_OFFSET)) / F.lit(scale)).cast("double")
 
 
 def quantise(df: DataFrame, spec: dict[str, int]) -> DataFrame:
@@ -320,3 +320,261 @@ def q_grouped_linear_coefficients(spark, sf):
     train, _ = flows.train_test(flows.analysis_table(spark, sf))
     coef = fit_ols(train, flows.GROUP_FEATURES, flows.LABEL, fx.GROUP)
     return quantise(coef, {"intercept": 4, "b_0": 6, "b_1": 6, "b_2": 6})
+
+
+# ---------------------------------------------------------------------------------------------
+# Step 6-9: classifiers, clustering, trees and ensembles
+
+def _model_input(spark, sf, ml: bool = False) -> DataFrame:
+    """The analysis table, materialised once in the checkpoint folder: the iterative fits below
+    read it many times, and a short lineage keeps driver planning cheap and recovery local."""
+    from ..session import cut_lineage
+    e = flows.analysis_table(spark, sf, indexed=not ml)
+    if ml:
+        from .models import ml_table
+        e = ml_table(e)
+    return cut_lineage(e)
+
+
+@register("best_split_per_group", O.best_split_sql(flows.TREE_GROUP_FEATURES))
+def q_best_split_per_group(spark, sf):
+    from .models import best_first_split
+    out = best_first_split(_model_input(spark, sf), flows.TREE_GROUP_FEATURES)
+    return quantise(out, {"left_mean": 4, "right_mean": 4})
+
+
+@register("tree_grouped")
+def q_tree_grouped(spark, sf):
+    from .models import grouped_report
+    return quantise(grouped_report(_model_input(spark, sf), "tree", flows.TREE_GROUP_FEATURES), REPORT_Q)
+
+
+@register("tree_grouped_predictions")
+def q_tree_grouped_predictions(spark, sf):
+    from .models import grouped_predictions
+    p = grouped_predictions(_model_input(spark, sf), "tree", flows.TREE_GROUP_FEATURES)
+    return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
+
+
+@register("tree_pooled")
+def q_tree_pooled(spark, sf):
+    from .models import pooled_report, tree_estimator
+    return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("tree"),
+                                  flows.TREE_POOLED_FEATURES), REPORT_Q)
+
+
+@register("rf_pooled")
+def q_rf_pooled(spark, sf):
+    from .models import pooled_report, tree_estimator
+    return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("forest"),
+                                  flows.POOLED_FEATURES), REPORT_Q)
+
+
+@register("rf_grouped")
+def q_rf_grouped(spark, sf):
+    from .models import grouped_report
+    return quantise(grouped_report(_model_input(spark, sf), "forest", flows.GROUP_FEATURES), REPORT_Q)
+
+
+@register("gbt_pooled")
+def q_gbt_pooled(spark, sf):
+    from .models import pooled_report, tree_estimator
+    return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("boosted"),
+                                  flows.POOLED_FEATURES), REPORT_Q)
+
+
+@register("gbt_grouped")
+def q_gbt_grouped(spark, sf):
+    from .models import grouped_report
+    return quantise(grouped_report(_model_input(spark, sf), "boosted", flows.GROUP_FEATURES), REPORT_Q)
+
+
+def _glm(spark, sf, family: str, link: str):
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    from .models import fit_pooled
+    est = GeneralizedLinearRegression(labelCol=flows.LABEL, family=family, link=link, maxIter=10, regParam=0.3)
+    model, train, test = fit_pooled(_model_input(spark, sf), est, flows.GLM_FEATURES)
+    pred = model.transform(test).select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction")
+    return quantise(pred, {"prediction": 4})
+
+
+@register("glm_gaussian")
+def q_glm_gaussian(spark, sf):
+    return _glm(spark, sf, "gaussian", "identity")
+
+
+@register("glm_gamma")
+def q_glm_gamma(spark, sf):
+    return _glm(spark, sf, "gamma", "log")
+
+
+@register("glm_r2")
+def q_glm_r2(spark, sf):
+    return quantise(errors.r2(_glm(spark, sf, "gaussian", "identity"), flows.LABEL, "prediction"), {"r2": 8})
+
+
+# classifier inputs: group, zip and month price indexed; label = index of the payment bucket
+CLASS_FEATURES = ["drg_index", "zip_index", "price_index"]
+
+
+def _class_table(spark, sf) -> DataFrame:
+    from ..session import cut_lineage
+    j = clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label")
+    j = features.with_split(j, [fx.GROUP, fx.PROVIDER], out=flows.SPLIT)
+    for col, out in [(fx.GROUP, "drg_index"), (fx.ZIP, "zip_index"), (M, "price_index"), ("payment_label", "label")]:
+        j = features.string_index(j, col, out)
+    return cut_lineage(j)
+
+
+CLASS_SQL_CTES = [
+    ("cl0", f"SELECT DRGDefinition, ProviderId, ProviderZipCode, \"{M}\" AS price, "
+            "CAST(CAST(trunc(AverageTotalPayments) AS INTEGER) - CAST(trunc(AverageTotalPayments) AS INTEGER) % 100 AS VARCHAR) "
+            f"AS payment_label, {O.split_sql()} AS is_train FROM joined"),
+    ("i_drg", O.index_cte("cl0", "DRGDefinition", "drg_index")),
+    ("i_zip", O.index_cte("cl0", "ProviderZipCode", "zip_index")),
+    ("i_price", O.index_cte("cl0", "price", "price_index")),
+    ("i_label", O.index_cte("cl0", "payment_label", "label")),
+    ("cl", "SELECT * FROM cl0 JOIN i_drg USING (DRGDefinition) JOIN i_zip USING (ProviderZipCode) "
+           "JOIN i_price USING (price) JOIN i_label USING (payment_label)"),
+    ("nb_cls", """
+    SELECT label, count(*) AS n_c, sum(drg_index) AS s0, sum(zip_index) AS s1, sum(price_index) AS s2
+    FROM cl WHERE is_train GROUP BY label"""),
+    ("nb_tot", "SELECT sum(n_c) AS n, count(*) AS k FROM nb_cls"),
+    ("nb_model", """
+    SELECT label, ln(n_c + 1.0) - ln((SELECT n FROM nb_tot) + (SELECT k FROM nb_tot) * 1.0) AS pi,
+           ln(s0 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t0, ln(s1 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t1,
+           ln(s2 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t2
+    FROM nb_cls"""),
+    ("nb_scores", """
+    SELECT t.DRGDefinition, t.ProviderId, t.label AS y, m.label AS c,
+           m.pi + m.t0 * t.drg_index + m.t1 * t.zip_index + m.t2 * t.price_index AS score
+    FROM cl t JOIN nb_model m ON TRUE WHERE NOT t.is_train"""),
+    ("nb_pred", """
+    SELECT DRGDefinition, ProviderId, y AS label, c AS prediction FROM (
+      SELECT *, row_number() OVER (PARTITION BY DRGDefinition, ProviderId ORDER BY score DESC, c) AS rn FROM nb_scores)
+    WHERE rn = 1"""),
+]
+
+
+def _nb_predictions(spark, sf) -> DataFrame:
+    from pyspark.ml.classification import NaiveBayes
+    data = features.assemble(_class_table(spark, sf), CLASS_FEATURES, "features")
+    train, test = data.where(F.col(flows.SPLIT)), data.where(~F.col(flows.SPLIT))
+    model = NaiveBayes(labelCol="label", featuresCol="features", smoothing=1.0, modelType="multinomial").fit(train)
+    # Spark ML predicts the position among the labels seen in training (ascending); map it back
+    # to the label value (the list is one entry per class, a bounded collect)
+    seen = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
+    label_of = F.element_at(F.array(*[F.lit(float(v)) for v in seen]), F.col("prediction").cast("int") + 1)
+    return model.transform(test).select(fx.GROUP, fx.PROVIDER, "label", label_of.alias("prediction"))
+
+
+@register("naive_bayes", O.with_ctes("SELECT DRGDefinition, ProviderId, label, prediction FROM nb_pred",
+                                     "joined", CLASS_SQL_CTES))
+def q_naive_bayes(spark, sf):
+    return _nb_predictions(spark, sf)
+
+
+@register("accuracy", O.with_ctes(
+    f"SELECT {O.q('avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)', 8)} AS accuracy, count(*) AS n FROM nb_pred",
+    "joined", CLASS_SQL_CTES))
+def q_accuracy(spark, sf):
+    return quantise(errors.accuracy(_nb_predictions(spark, sf), "label", "prediction"), {"accuracy": 8})
+
+
+@register("rf_classifier")
+def q_rf_classifier(spark, sf):
+    from pyspark.ml.classification import RandomForestClassifier
+    data = features.assemble(_class_table(spark, sf), CLASS_FEATURES, "features")
+    train, test = data.where(F.col(flows.SPLIT)), data.where(~F.col(flows.SPLIT))
+    model = RandomForestClassifier(labelCol="label", impurity="gini", maxDepth=5, numTrees=20,
+                                   featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML).fit(train.persist())
+    pred = model.transform(test)
+    return errors.accuracy(pred, "label", "prediction")
+
+
+SEED_ML = 5043
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    from .models import feature_importance
+    return quantise(feature_importance(_model_input(spark, sf, ml=True), flows.POOLED_FEATURES), {"importance": 8})
+
+
+KM_FEATURES = flows.GLM_FEATURES
+KM_K, KM_ITER = 2, 5
+
+
+def _km(spark, sf):
+    from ..operators import kmeans
+    data = _model_input(spark, sf)
+    train = data.where(F.col(flows.SPLIT))
+    centres = kmeans.lloyd(train, [fx.GROUP, fx.PROVIDER], KM_FEATURES, KM_K, KM_ITER, seed=1)
+    return data, train, centres
+
+
+_KM_CTES, _KM_FINAL = O.kmeans_ctes(KM_FEATURES, KM_K, KM_ITER)
+
+
+@register("kmeans_assign", O.with_ctes(
+    f"SELECT DRGDefinition, ProviderId, {O.assign_sql(_KM_FINAL, len(KM_FEATURES), KM_K, 'r')} AS cluster "
+    "FROM km_rows r WHERE NOT is_train", "feat", _KM_CTES))
+def q_kmeans_assign(spark, sf):
+    from ..operators import kmeans
+    data, _, centres = _km(spark, sf)
+    test = data.where(~F.col(flows.SPLIT))
+    return kmeans.assign(test, KM_FEATURES, centres, "cluster").select(fx.GROUP, fx.PROVIDER, "cluster")
+
+
+@register("kmeans_cost", O.with_ctes(
+    f"SELECT {O.q('sum(least(' + ', '.join('(' + O.dist_sql(_KM_FINAL, len(KM_FEATURES), j, 'r') + ')' for j in range(KM_K)) + ')) / count(*)', 2)} "
+    "AS cost_per_row, count(*) AS n FROM km_rows r WHERE is_train", "feat", _KM_CTES))
+def q_kmeans_cost(spark, sf):
+    from ..operators import kmeans
+    _, train, centres = _km(spark, sf)
+    c = kmeans.cost(train, KM_FEATURES, centres)
+    return c.select(qcol(F.col("cost") / F.col("n"), 2).alias("cost_per_row"), "n")
+
+
+@register("cluster_profile", O.with_ctes(
+    "SELECT cluster, count(*) AS n, min(AverageTotalPayments) AS min_AverageTotalPayments, "
+    f"{O.q('avg(AverageTotalPayments)', 4)} AS avg_AverageTotalPayments, max(AverageTotalPayments) AS max_AverageTotalPayments, "
+    "min(ProviderZipCodeDouble) AS min_ProviderZipCodeDouble, "
+    f"{O.q('avg(ProviderZipCodeDouble)', 6)} AS avg_ProviderZipCodeDouble, max(ProviderZipCodeDouble) AS max_ProviderZipCodeDouble "
+    f"FROM (SELECT r.*, {O.assign_sql(_KM_FINAL, len(KM_FEATURES), KM_K, 'r')} AS cluster FROM km_rows r WHERE NOT is_train) "
+    "GROUP BY ROLLUP (cluster)", "feat", _KM_CTES))
+def q_cluster_profile(spark, sf):
+    from ..operators import kmeans
+    data, _, centres = _km(spark, sf)
+    scored = kmeans.assign(data.where(~F.col(flows.SPLIT)), KM_FEATURES, centres, "cluster")
+    prof = kmeans.cluster_profile(scored, "cluster", [fx.PAYMENT, flows.ZIP_D])
+    return quantise(prof, {"avg_AverageTotalPayments": 4, "avg_ProviderZipCodeDouble": 6})
+
+
+@register("kmeans_centres", O.with_ctes(
+    "SELECT cluster, " + ", ".join(f"{O.q(f'x{i}', 4)} AS {f}" for i, f in enumerate(KM_FEATURES)) + f" FROM {_KM_FINAL}",
+    "feat", _KM_CTES))
+def q_kmeans_centres(spark, sf):
+    from ..operators import kmeans
+    _, _, centres = _km(spark, sf)
+    # one row per centre, built from the k x d matrix the fit returns (bounded by k)
+    rows = [(j, *c) for j, c in enumerate(centres)]
+    cols = ", ".join(f"`{f}` double" for f in KM_FEATURES)
+    df = spark.createDataFrame(rows, f"cluster int, {cols}")
+    return quantise(df, {f: 4 for f in KM_FEATURES})
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf):
+    """Spark ML k-means (k=2, seed 1, k-means|| init) on the training rows: centres and the
+    training cost per row."""
+    from ..operators import kmeans
+    data = features.assemble(_model_input(spark, sf), KM_FEATURES, "features")
+    train = data.where(F.col(flows.SPLIT)).persist()
+    model = kmeans.fit_kmeans_ml(train, "features", KM_K, 1)
+    centres = [list(map(float, c)) for c in model.clusterCenters()]
+    sizes = model.summary.clusterSizes
+    rows = [(j, int(sizes[j]), *c) for j, c in enumerate(centres)]
+    cols = ", ".join(f"`{f}` double" for f in KM_FEATURES)
+    train.unpersist()
+    return spark.createDataFrame(rows, f"cluster int, size long, {cols}")

@@ -2,7 +2,7 @@
 
 The stand-in tables are spelled out as CTEs over the base tables (the same definitions as
 ``sources/fixtures.py``), so every oracle query reads the same parquet tables as the Spark
-query. Floats are compared after ``q(x, d) = floor(x * 10^d + 0.5) / 10^d``: plain IEEE
+query. Floats are compared after ``q(x, d) = floor(x * 10^d + c) / 10^d``: plain IEEE
 arithmetic, bit-identical in both engines for identical input (unlike ``round``, which Spark
 performs in decimal).
 """
@@ -14,8 +14,13 @@ from ..operators.linear import TOLERANCE, solver_steps
 MONTH = '"2000-12"'
 
 
+# Rounding offset: not a short decimal, so values that are exact short decimals (averages of
+# cents) never sit on a rounding boundary.
+Q_OFFSET = 0.4618033988749895
+
+
 def q(expr: str, d: int) -> str:
-    return f"floor(({expr}) * 1e{d} + 0.5) / 1e{d}"
+    return f"floor(({expr}) * 1e{d} + CAST({Q_OFFSET!r} AS DOUBLE)) / 1e{d}"
 
 
 def split_sql(seed: int = 5043, pct: int = 70) -> str:
@@ -136,3 +141,76 @@ def report_select(both: str, overall: bool) -> str:
     if overall:
         groups = f"SELECT 'Overall' AS DRG, {REPORT_AGGS} FROM {both}\nUNION ALL\n" + groups
     return f"SELECT {cols} FROM (\n{groups}\n) rep"
+
+
+def best_split_sql(features: list[str]) -> str:
+    """Root split per group over the training rows (the first level of the grouped tree)."""
+    long = "\n    UNION ALL\n    ".join(
+        f"SELECT DRGDefinition AS g, {i} AS f, CAST({f} AS DOUBLE) AS v, label AS y FROM train"
+        for i, f in enumerate(features))
+    names = " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(features))
+    imp = lambda w, s, ss: f"(({ss}) - ({s}) * ({s}) / ({w})) / ({w})"
+    gain = (f"{imp('ct', 'st', 'sst')} - cl / ct * {imp('cl', 'sl', 'ssl')} "
+            f"- (ct - cl) / ct * {imp('ct - cl', 'st - sl', 'sst - ssl')}")
+    ctes = [
+        ("long_rows", long),
+        ("agg", "SELECT g, f, v, count(*) AS c, sum(y) AS s, sum(y * y) AS ss FROM long_rows "
+                "WHERE v IS NOT NULL GROUP BY g, f, v"),
+        ("cum", """
+    SELECT g, f, v,
+           CAST(sum(c) OVER w AS DOUBLE) AS cl, sum(s) OVER w AS sl, sum(ss) OVER w AS ssl,
+           CAST(sum(c) OVER p AS DOUBLE) AS ct, sum(s) OVER p AS st, sum(ss) OVER p AS sst,
+           lead(v) OVER (PARTITION BY g, f ORDER BY v) AS nv
+    FROM agg
+    WINDOW w AS (PARTITION BY g, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           p AS (PARTITION BY g, f)"""),
+        ("gains", f"SELECT *, {gain} AS gain FROM cum WHERE cl >= 1 AND ct - cl >= 1"),
+        ("best", f"SELECT *, row_number() OVER (PARTITION BY g ORDER BY "
+                 f"floor(gain / ({imp('ct', 'st', 'sst')}) * 1e9 + CAST({Q_OFFSET!r} AS DOUBLE)) DESC, f, v) AS rn "
+                 "FROM gains WHERE gain > 0"),
+    ]
+    body = (f"SELECT g AS DRGDefinition, CASE f {names} END AS feature, (v + nv) / 2.0 AS threshold, "
+            f"CAST(cl AS BIGINT) AS left_n, {q('sl / cl', 4)} AS left_mean, "
+            f"CAST(ct - cl AS BIGINT) AS right_n, {q('(st - sl) / (ct - cl)', 4)} AS right_mean "
+            "FROM best WHERE rn = 1")
+    return with_ctes(body, "test", ctes)
+
+
+def index_cte(source: str, column: str, out: str) -> str:
+    return (f"SELECT {column}, CAST(row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS DOUBLE) AS {out} "
+            f"FROM {source} GROUP BY {column}")
+
+
+def kmeans_ctes(features: list[str], k: int, iterations: int) -> tuple[list[tuple[str, str]], str]:
+    """Lloyd's iterations from the k training rows with the smallest md5 key; the same
+    arithmetic as ``operators.kmeans``. Returns the CTEs and the final centre CTE name."""
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    ctes = [("km_rows", f"SELECT DRGDefinition, ProviderId, AverageTotalPayments, ProviderZipCodeDouble, is_train, {xs} FROM feat"),
+            ("km_c0", f"""
+    SELECT CAST(row_number() OVER (ORDER BY md5(concat_ws('|', DRGDefinition, ProviderId, '1')), DRGDefinition, ProviderId) - 1 AS INTEGER) AS cluster,
+           {', '.join(f'x{i}' for i in range(len(features)))}
+    FROM km_rows WHERE is_train
+    ORDER BY md5(concat_ws('|', DRGDefinition, ProviderId, '1')), DRGDefinition, ProviderId LIMIT {k}""")]
+    for it in range(iterations):
+        ctes.append((f"km_a{it}", f"SELECT r.*, {assign_sql(f'km_c{it}', len(features), k)} AS cluster FROM km_rows r WHERE is_train"))
+        means = ", ".join(f"coalesce(n.x{i}, c.x{i}) AS x{i}" for i in range(len(features)))
+        avgs = ", ".join(f"avg(x{i}) AS x{i}" for i in range(len(features)))
+        ctes.append((f"km_c{it + 1}", f"SELECT c.cluster, {means} FROM km_c{it} c LEFT JOIN "
+                     f"(SELECT cluster, {avgs} FROM km_a{it} GROUP BY cluster) n USING (cluster)"))
+    return ctes, f"km_c{iterations}"
+
+
+def dist_sql(centres: str, d: int, j: int, alias: str = "") -> str:
+    p = f"{alias}." if alias else ""
+    return " + ".join(f"({p}x{i} - (SELECT x{i} FROM {centres} WHERE cluster = {j})) * "
+                      f"({p}x{i} - (SELECT x{i} FROM {centres} WHERE cluster = {j}))" for i in range(d))
+
+
+def assign_sql(centres: str, d: int, k: int, alias: str = "") -> str:
+    """Index of the nearest centre (lowest index on a tie)."""
+    dists = [f"({dist_sql(centres, d, j, alias)})" for j in range(k)]
+    expr = str(k - 1)
+    for j in reversed(range(k - 1)):
+        cond = " AND ".join(f"{dists[j]} <= {dists[m]}" for m in range(j + 1, k))
+        expr = f"CASE WHEN {cond} THEN {j} ELSE {expr} END"
+    return expr
