@@ -31,14 +31,21 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import unit_hash
 from ..session import cut_lineage
+from . import tree_local
+from .tree_local import POISSON_CDF as _POISSON_CDF
+from .tree_local import RANK_OFFSET
 
 TREE = "_tree"
-RANK_OFFSET = 0.4618033988749895
+# Groups with at most this many training rows grow inside one task (numpy, identical rules);
+# larger groups, e.g. a hot key holding a third of the data, grow with the distributed grower.
+LOCAL_MAX_ROWS = 200_000
 
 
 def _feature_count(strategy: str | int | None, k: int, num_trees: int) -> int:
@@ -59,10 +66,6 @@ def _feature_count(strategy: str | int | None, k: int, num_trees: int) -> int:
     raise ValueError(f"unknown feature subset strategy {strategy!r}")
 
 
-# Poisson(1) inverse CDF table for bootstrap weights: P(K <= j) = e^-1 * sum_{i<=j} 1/i!
-_POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j in range(12)]
-
-
 def _poisson_weight(u: Column) -> Column:
     expr = F.lit(len(_POISSON_CDF))
     for j in reversed(range(len(_POISSON_CDF))):
@@ -238,20 +241,94 @@ def _attach_thresholds(internal: DataFrame | None, cuts: DataFrame, key: list[st
     return internal.join(cuts, [*[c for c in key if c != TREE], "_f", "_bv"]).select(*key, "_node", "_f", "_thr")
 
 
-def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
-               num_trees: int = 20, max_depth: int = 12, max_bins: int = 1000, subset: str | int = "auto",
-               bootstrap: bool | None = None, seed: int = 5043, min_instances: int = 1,
-               checkpoint_interval: int = 1) -> TreeEnsemble:
-    """Random forest (or one tree with ``num_trees=1``) for every distinct ``key``.
+def _split_by_size(df: DataFrame, key: list[str], local_max_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups small enough for one task, and rows of the larger groups (or None).
+    One count per group; the key tables are semi-joined (AQE broadcasts them when small)."""
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).persist()
+    small = df.join(sizes.where(F.col("_rows") <= local_max_rows).select(*key), key, "left_semi")
+    large_keys = sizes.where(F.col("_rows") > local_max_rows).select(*key)
+    has_large = large_keys.limit(1).count() > 0
+    return small, (df.join(large_keys, key, "left_semi") if has_large else None)
 
-    ``id_cols`` identify a row (used for the bootstrap draw). Bootstrap defaults to on for more
-    than one tree, like Spark ML."""
+
+def _local_schema(df: DataFrame, key: list[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    keys = ", ".join(f"`{c}` {types[c]}" for c in key)
+    return f"_kind int, {keys}, {TREE} int, _node long, _f int, _thr double, _pred double, _n double"
+
+
+def _fit_local(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str, *,
+               mode: str, num_trees: int = 1, max_depth: int, max_bins: int, m_features: int, bootstrap: bool,
+               seed: int, min_instances: int, max_iter: int = 1, step_size: float = 0.1) -> DataFrame:
+    """Grow the trees of every (bounded) group in one ``applyInPandas`` pass; returns model rows
+    (``_kind`` 0 = split, 1 = leaf) in the layout of the distributed grower."""
+    import pandas as pd
+    from pyspark import cloudpickle
+
+    from .tree_local import bins_of, grow, poisson_weights
+
+    # ship the numpy grower by value: executors need numpy/pandas only, not this package
+    cloudpickle.register_pickle_by_value(tree_local)
+    k = len(features)
+    rows = df.select(
+        *key, F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols]).alias("_rid"),
+        *[F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
+        F.col(f"`{label}`").cast("double").alias("_y"))
+    out_cols = ["_kind", *key, TREE, "_node", "_f", "_thr", "_pred", "_n"]
+
+    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        keyvals = [pdf[c].iloc[0] for c in key]
+        X = pdf[[f"_x{i}" for i in range(k)]].to_numpy(dtype=np.float64)
+        y = pdf["_y"].to_numpy(dtype=np.float64)
+        binned = [bins_of(X[:, i], max_bins) for i in range(k)]
+        B = np.stack([b for b, _ in binned], axis=1)
+        thr = [t for _, t in binned]
+        out = []
+
+        def emit(tree, internal, leaves):
+            out.extend([0, *keyvals, tree, nd, f, t, None, None] for nd, f, t in internal)
+            out.extend([1, *keyvals, tree, nd, None, None, p, n] for nd, p, n in leaves)
+
+        if mode == "forest":
+            rids = pdf["_rid"].tolist()
+            for t in range(num_trees):
+                w = poisson_weights(rids, t, seed) if bootstrap else np.ones(len(y))
+                keep = w > 0
+                parts = [str(v) for v in keyvals] + [str(t)]
+                internal, leaves, _ = grow(B[keep], thr, y[keep], w[keep], max_depth, m_features,
+                                                      parts, seed, min_instances)
+                emit(t, internal, leaves)
+        else:
+            F_ = np.zeros(len(y))
+            ones = np.ones(len(y))
+            for m in range(max_iter):
+                target = y if m == 0 else 2.0 * (y - F_)
+                parts = [str(v) for v in keyvals] + [str(m)]
+                internal, leaves, node = grow(B, thr, target, ones, max_depth, k, parts, 0, min_instances)
+                emit(m, internal, leaves)
+                value = {nd: p for nd, p, _ in leaves}
+                weight = 1.0 if m == 0 else step_size
+                F_ = F_ + np.array([weight * value[nd] for nd in node])
+        return pd.DataFrame(out, columns=out_cols)
+
+    return rows.groupBy(*key).applyInPandas(fit_group, _local_schema(df, key))
+
+
+def _model_parts(local: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    local = cut_lineage(local)
+    internal = local.where(F.col("_kind") == 0).select(*key, TREE, "_node", "_f", "_thr")
+    leaves = local.where(F.col("_kind") == 1).select(*key, TREE, "_node", "_pred", "_n")
+    deepest = local.agg(F.max("_node")).collect()[0][0] or 1
+    return internal, leaves, int(deepest).bit_length() - 1
+
+
+def _forest_distributed(df, key, id_cols, features, label, num_trees, max_depth, max_bins, m_features,
+                        use_boot, seed, min_instances, checkpoint_interval):
     spark = df.sparkSession
     k = len(features)
     base = cut_lineage(_prepare(df, key, id_cols, features, label))
     cuts, needs = _candidates(base, key, max_bins)
     rows = _binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x"))
-    use_boot = (num_trees > 1) if bootstrap is None else bootstrap
     if num_trees > 1:
         rows = rows.withColumn(TREE, F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))))
     else:
@@ -260,42 +337,28 @@ def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list
     rows = rows.withColumn("_w", w).where(F.col("_w") > 0)
     mkey = [*key, TREE]
     internal, _, leaves, depth = _grow(
-        rows.select(*mkey, "_rid", "_y", "_w", "_b"), mkey, k, max_depth,
-        _feature_count(subset, k, num_trees), seed, min_instances, checkpoint_interval)
-    internal = _attach_thresholds(internal, cuts, mkey, spark)
-    return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
+        rows.select(*mkey, "_rid", "_y", "_w", "_b"), mkey, k, max_depth, m_features, seed, min_instances,
+        checkpoint_interval)
+    return _attach_thresholds(internal, cuts, mkey, spark), leaves, depth
 
 
-def fit_tree(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
-             max_depth: int = 3, max_bins: int = 100, min_instances: int = 1, checkpoint_interval: int = 1) -> TreeEnsemble:
-    """One regression tree per key (Spark ML ``DecisionTreeRegressor`` semantics)."""
-    return fit_forest(df, key, id_cols, features, label, num_trees=1, max_depth=max_depth, max_bins=max_bins,
-                      subset="all", bootstrap=False, min_instances=min_instances,
-                      checkpoint_interval=checkpoint_interval)
-
-
-def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
-                max_iter: int = 10, step_size: float = 0.1, max_depth: int = 12, max_bins: int = 100,
-                min_instances: int = 1, checkpoint_interval: int = 1) -> TreeEnsemble:
-    """Gradient-boosted regression trees with squared error, per key (Spark ML ``GBTRegressor``
-    semantics: the first tree fits ``y`` with weight 1, each later tree fits ``2 * (y - F)``
-    with weight ``step_size``). One grower run per round; rows keep their running score ``F``."""
+def _boosted_distributed(df, key, id_cols, features, label, max_iter, step_size, max_depth, max_bins,
+                         min_instances, checkpoint_interval):
     spark = df.sparkSession
     k = len(features)
     base = cut_lineage(_prepare(df, key, id_cols, features, label))
     cuts, needs = _candidates(base, key, max_bins)
     rows = (_binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x")))
     state = cut_lineage(rows.select(*key, "_rid", "_y", "_b", F.lit(0.0).alias("_F")))
-    internals, leaves_all, weights = [], [], []
+    internals, leaves_all = [], []
     depth_max = 0
+    mkey = [*key, TREE]
     for m in range(max_iter):
         target = F.col("_y") if m == 0 else F.lit(2.0) * (F.col("_y") - F.col("_F"))
         rows_m = state.select(*key, F.lit(m).alias(TREE), "_rid", target.alias("_y"), F.lit(1.0).alias("_w"), "_b")
-        mkey = [*key, TREE]
         internal, row_leaf, leaves, depth = _grow(rows_m, mkey, k, max_depth, k, 0, min_instances, checkpoint_interval)
         depth_max = max(depth_max, depth)
         weight = 1.0 if m == 0 else step_size
-        weights.append(weight)
         leaves = leaves.persist()
         if internal is not None:
             internals.append(_attach_thresholds(internal, cuts, mkey, spark))
@@ -304,13 +367,79 @@ def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: lis
             *key, "_rid", (F.lit(weight) * F.col("_pred")).alias("_d"))
         state = cut_lineage(
             state.join(step, [*key, "_rid"]).withColumn("_F", F.col("_F") + F.col("_d")).drop("_d"))
-    internal = internals[0] if internals else _attach_thresholds(None, cuts, [*key, TREE], spark)
+    internal = internals[0] if internals else _attach_thresholds(None, cuts, mkey, spark)
     for i in internals[1:]:
         internal = internal.unionByName(i)
     leaves = leaves_all[0]
     for lv in leaves_all[1:]:
         leaves = leaves.unionByName(lv)
-    return TreeEnsemble(key, features, internal, leaves, depth_max, max_iter, weights, average=False)
+    return internal, leaves, depth_max
+
+
+def _combine(parts: list[tuple[DataFrame, DataFrame, int]]) -> tuple[DataFrame, DataFrame, int]:
+    internal, leaves, depth = parts[0]
+    for i, lv, d in parts[1:]:
+        internal, leaves, depth = internal.unionByName(i), leaves.unionByName(lv), max(depth, d)
+    return internal, leaves, depth
+
+
+def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
+               num_trees: int = 20, max_depth: int = 12, max_bins: int = 1000, subset: str | int = "auto",
+               bootstrap: bool | None = None, seed: int = 5043, min_instances: int = 1,
+               checkpoint_interval: int = 1, local_max_rows: int = LOCAL_MAX_ROWS) -> TreeEnsemble:
+    """Random forest (or one tree with ``num_trees=1``) for every distinct ``key``.
+
+    ``id_cols`` identify a row (used for the bootstrap draw). Bootstrap defaults to on for more
+    than one tree, like Spark ML. Groups with at most ``local_max_rows`` rows grow in one task
+    each (``applyInPandas``); larger groups grow level-wise across the cluster
+    (``local_max_rows=0`` sends every group to the distributed grower)."""
+    k = len(features)
+    use_boot = (num_trees > 1) if bootstrap is None else bootstrap
+    m = _feature_count(subset, k, num_trees)
+    small, large = _split_by_size(df, key, local_max_rows) if local_max_rows else (None, df)
+    parts = []
+    if small is not None:
+        local = _fit_local(small, key, id_cols, features, label, mode="forest", num_trees=num_trees,
+                           max_depth=max_depth, max_bins=max_bins, m_features=m, bootstrap=use_boot, seed=seed,
+                           min_instances=min_instances)
+        parts.append(_model_parts(local, key))
+    if large is not None:
+        parts.append(_forest_distributed(large, key, id_cols, features, label, num_trees, max_depth, max_bins, m,
+                                         use_boot, seed, min_instances, checkpoint_interval))
+    internal, leaves, depth = _combine(parts)
+    return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
+
+
+def fit_tree(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
+             max_depth: int = 3, max_bins: int = 100, min_instances: int = 1, checkpoint_interval: int = 1,
+             local_max_rows: int = LOCAL_MAX_ROWS) -> TreeEnsemble:
+    """One regression tree per key (Spark ML ``DecisionTreeRegressor`` semantics)."""
+    return fit_forest(df, key, id_cols, features, label, num_trees=1, max_depth=max_depth, max_bins=max_bins,
+                      subset="all", bootstrap=False, min_instances=min_instances,
+                      checkpoint_interval=checkpoint_interval, local_max_rows=local_max_rows)
+
+
+def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
+                max_iter: int = 10, step_size: float = 0.1, max_depth: int = 12, max_bins: int = 100,
+                min_instances: int = 1, checkpoint_interval: int = 1,
+                local_max_rows: int = LOCAL_MAX_ROWS) -> TreeEnsemble:
+    """Gradient-boosted regression trees with squared error, per key (Spark ML ``GBTRegressor``
+    semantics: the first tree fits ``y`` with weight 1, each later tree fits ``2 * (y - F)``
+    with weight ``step_size``). Bounded groups boost inside one task; larger groups run one
+    distributed grower per round, rows keeping their running score ``F``."""
+    small, large = _split_by_size(df, key, local_max_rows) if local_max_rows else (None, df)
+    parts = []
+    if small is not None:
+        local = _fit_local(small, key, id_cols, features, label, mode="boost", max_depth=max_depth,
+                           max_bins=max_bins, m_features=len(features), bootstrap=False, seed=0,
+                           min_instances=min_instances, max_iter=max_iter, step_size=step_size)
+        parts.append(_model_parts(local, key))
+    if large is not None:
+        parts.append(_boosted_distributed(large, key, id_cols, features, label, max_iter, step_size, max_depth,
+                                          max_bins, min_instances, checkpoint_interval))
+    internal, leaves, depth = _combine(parts)
+    weights = [1.0] + [step_size] * (max_iter - 1)
+    return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
 
 
 def model_table(model: TreeEnsemble) -> DataFrame:

@@ -527,13 +527,14 @@ def q_kmeans_assign(spark, sf):
 
 
 @register("kmeans_cost", O.with_ctes(
-    f"SELECT {O.q('sum(least(' + ', '.join('(' + O.dist_sql(_KM_FINAL, len(KM_FEATURES), j, 'r') + ')' for j in range(KM_K)) + ')) / count(*)', 2)} "
-    "AS cost_per_row, count(*) AS n FROM km_rows r WHERE is_train", "feat", _KM_CTES))
+    f"SELECT {O.q('sqrt(sum(least(' + ', '.join('(' + O.dist_sql(_KM_FINAL, len(KM_FEATURES), j, 'r') + ')' for j in range(KM_K)) + ')) / count(*))', 2)} "
+    "AS rms_distance, count(*) AS n FROM km_rows r WHERE is_train", "feat", _KM_CTES))
 def q_kmeans_cost(spark, sf):
     from ..operators import kmeans
     _, train, centres = _km(spark, sf)
     c = kmeans.cost(train, KM_FEATURES, centres)
-    return c.select(qcol(F.col("cost") / F.col("n"), 2).alias("cost_per_row"), "n")
+    # root mean squared distance: the raw cost (~1e12 here) is too large to compare at a fixed decimal
+    return c.select(qcol(F.sqrt(F.col("cost") / F.col("n")), 2).alias("rms_distance"), "n")
 
 
 @register("cluster_profile", O.with_ctes(

@@ -56,17 +56,19 @@ def grouped_model(df: DataFrame, kind: str, features: list[str], **params) -> tr
     """One model per group, all groups in the same level-wise passes."""
     train, _ = flows.train_test(df)
     key, ids = [fx.GROUP], [fx.GROUP, fx.PROVIDER]
+    local = params.get("local_max_rows", trees.LOCAL_MAX_ROWS)
     if kind == "tree":
-        return trees.fit_tree(train, key, ids, features, flows.LABEL,
-                              max_depth=params.get("max_depth", 3), max_bins=params.get("max_bins", 100))
+        return trees.fit_tree(train, key, ids, features, flows.LABEL, max_depth=params.get("max_depth", 3),
+                              max_bins=params.get("max_bins", 100), local_max_rows=local)
     if kind == "forest":
         return trees.fit_forest(train, key, ids, features, flows.LABEL,
                                 num_trees=params.get("num_trees", 20), max_depth=params.get("max_depth", 12),
-                                max_bins=params.get("max_bins", 1000), subset="auto", seed=SEED)
+                                max_bins=params.get("max_bins", 1000), subset="auto", seed=SEED,
+                                local_max_rows=local)
     if kind == "boosted":
         return trees.fit_boosted(train, key, ids, features, flows.LABEL,
                                  max_iter=params.get("max_iter", 10), max_depth=params.get("max_depth", 12),
-                                 max_bins=params.get("max_bins", 100))
+                                 max_bins=params.get("max_bins", 100), local_max_rows=local)
     raise ValueError(kind)
 
 
