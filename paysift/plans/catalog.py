@@ -42,6 +42,19 @@ def quantise(df: DataFrame, spec: dict[str, int]) -> DataFrame:
     return df.withColumns({c: qcol(F.col(f"`{c}`"), d) for c, d in spec.items()})
 
 
+def _model_input(spark, sf, ml: bool = False) -> DataFrame:
+    """The analysis table, materialised once in the checkpoint folder: model fits and reports
+    read it several times (moments, centred sums, scoring, report), so computing the scan ->
+    join -> count pipeline once is cheaper than re-running it per reference, and the short
+    lineage keeps driver planning cheap and recovery local."""
+    from ..session import cut_lineage
+    e = flows.analysis_table(spark, sf, indexed=not ml)
+    if ml:
+        from .models import ml_table
+        e = ml_table(e)
+    return cut_lineage(e)
+
+
 M = fx.PRICE_MONTH
 JOINED_COLS = f'DRGDefinition, ProviderId, ProviderZipCode, TotalDischarges, "{M}", AverageTotalPayments'
 
@@ -180,7 +193,10 @@ def q_corr_pearson(spark, sf):
              + (count(*) OVER (PARTITION BY DRGDefinition, AverageTotalPayments) - 1) / 2.0 AS ry
     FROM eng WHERE MedianHousePrice IS NOT NULL AND AverageTotalPayments IS NOT NULL""")]))
 def q_corr_spearman(spark, sf):
-    e = flows.analysis_table(spark, sf, indexed=False)
+    from ..session import cut_lineage
+    # the rows are read three times (two rank tables and the join back): materialise the
+    # three needed columns once
+    e = cut_lineage(flows.analysis_table(spark, sf, indexed=False).select(fx.GROUP, flows.HOUSE_PRICE, fx.PAYMENT))
     return quantise(stats.correlation(e, flows.HOUSE_PRICE, fx.PAYMENT, "spearman", [fx.GROUP]), {"corr": 8})
 
 
@@ -287,13 +303,13 @@ REPORT_Q = {"MinError": 4, "AvgError": 4, "MaxError": 4,
 
 @register("linear_predictions", _linear_pred_sql(flows.POOLED_FEATURES, None))
 def q_linear_predictions(spark, sf):
-    pred = flows.linear_predictions(flows.analysis_table(spark, sf), flows.POOLED_FEATURES, None)
+    pred = flows.linear_predictions(_model_input(spark, sf), flows.POOLED_FEATURES, None)
     return quantise(pred.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
 
 
 @register("linear_report", _linear_report_sql(flows.POOLED_FEATURES, None))
 def q_linear_report(spark, sf):
-    rep = flows.linear_report(flows.analysis_table(spark, sf), flows.POOLED_FEATURES, None)
+    rep = flows.linear_report(_model_input(spark, sf), flows.POOLED_FEATURES, None)
     return quantise(rep, REPORT_Q)
 
 
@@ -301,13 +317,13 @@ def q_linear_report(spark, sf):
     f"SELECT {O.q('1.0 - sum((label - prediction) * (label - prediction)) / nullif(count(label) * var_pop(label), 0)', 8)}"
     " AS r2, count(*) AS n FROM o_pred", "test", O.ols_prediction_ctes(flows.POOLED_FEATURES, None)[0]))
 def q_r2(spark, sf):
-    pred = flows.linear_predictions(flows.analysis_table(spark, sf), flows.POOLED_FEATURES, None)
+    pred = flows.linear_predictions(_model_input(spark, sf), flows.POOLED_FEATURES, None)
     return quantise(errors.r2(pred, flows.LABEL, "prediction"), {"r2": 8})
 
 
 @register("grouped_linear_report", _linear_report_sql(flows.GROUP_FEATURES, "DRGDefinition"))
 def q_grouped_linear_report(spark, sf):
-    rep = flows.linear_report(flows.analysis_table(spark, sf), flows.GROUP_FEATURES, fx.GROUP)
+    rep = flows.linear_report(_model_input(spark, sf), flows.GROUP_FEATURES, fx.GROUP)
     return quantise(rep, REPORT_Q)
 
 
@@ -317,7 +333,7 @@ def q_grouped_linear_report(spark, sf):
     + " FROM o_coef", "test", O.ols_ctes(flows.GROUP_FEATURES, "DRGDefinition")[0]))
 def q_grouped_linear_coefficients(spark, sf):
     from ..operators.linear import fit_ols
-    train, _ = flows.train_test(flows.analysis_table(spark, sf))
+    train, _ = flows.train_test(_model_input(spark, sf))
     coef = fit_ols(train, flows.GROUP_FEATURES, flows.LABEL, fx.GROUP)
     return quantise(coef, {"intercept": 4, "b_0": 6, "b_1": 6, "b_2": 6})
 
@@ -325,17 +341,6 @@ def q_grouped_linear_coefficients(spark, sf):
 # ---------------------------------------------------------------------------------------------
 # Step 6-9: classifiers, clustering, trees and ensembles
 
-def _model_input(spark, sf, ml: bool = False) -> DataFrame:
-    """The analysis table, materialised once in the checkpoint folder: the iterative fits below
-    read it many times, and a short lineage keeps driver planning cheap and recovery local."""
-    from ..session import cut_lineage
-    e = flows.analysis_table(spark, sf, indexed=not ml)
-    if ml:
-        from .models import ml_table
-        e = ml_table(e)
-    return cut_lineage(e)
-
-
 @register("best_split_per_group", O.best_split_sql(flows.TREE_GROUP_FEATURES))
 def q_best_split_per_group(spark, sf):
     from .models import best_first_split
