@@ -1,9 +1,10 @@
 """The level-wise tree grower for one group inside a task (numpy), used through
 ``groupBy(...).applyInPandas`` for groups of bounded size.
 
-It follows exactly the rules of the distributed grower in ``trees.py`` (same bins and
-thresholds, same variance gain, same quantised ranking and tie order, same hash-drawn
-bootstrap weights and feature subsets), so a group gets the same model on either path.
+It follows exactly the rules of the distributed grower in ``trees.py``: the bins and
+thresholds come from the same cut table (computed once in Spark for all groups), and the
+variance gain, quantised ranking and tie order, hash-drawn bootstrap weights and feature
+subsets are the same, so a group gets the same model on either path.
 Groups above the row bound are never sent here; they grow with the distributed grower.
 """
 
@@ -29,26 +30,6 @@ def poisson_weights(rids: list[str], tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(np.array(POISSON_CDF), u, side="right").astype(np.float64)
 
 
-def bins_of(values: np.ndarray, max_bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin index of every value and the threshold after each bin (NaN after the last)."""
-    uniq, inv, counts = np.unique(values, return_inverse=True, return_counts=True)
-    nd = len(uniq)
-    if nd <= max_bins:
-        bin_of_uniq = np.arange(nd)
-    else:
-        cum = np.cumsum(counts)
-        raw = np.floor(((cum - counts) * max_bins) / float(cum[-1]))
-        _, bin_of_uniq = np.unique(raw, return_inverse=True)
-    nb = int(bin_of_uniq.max()) + 1
-    upper = np.full(nb, -np.inf)
-    lower = np.full(nb, np.inf)
-    np.maximum.at(upper, bin_of_uniq, uniq)
-    np.minimum.at(lower, bin_of_uniq, uniq)
-    thr = np.full(nb, np.nan)
-    thr[:-1] = (upper[:-1] + lower[1:]) / 2.0
-    return bin_of_uniq[inv].astype(np.int64), thr
-
-
 def _imp(w, s, ss):
     return (ss - s * s / w) / w
 

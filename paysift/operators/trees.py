@@ -99,35 +99,30 @@ class TreeEnsemble:
 def _candidates(rows: DataFrame, key: list[str], max_bins: int) -> tuple[DataFrame, bool]:
     """Per (key, feature) bins and thresholds: ``key.., _f, _bv (bin upper value), _thr``.
 
-    Returns the cut table and whether any feature needed binning (more than ``max_bins``
-    distinct values). The windows here run over distinct values of one (key, feature)."""
-    vals = (
-        rows.select(*key, F.posexplode("_x").alias("_f", "_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*key, "_f", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    One aggregate per (key, feature) gives the distinct-value count, approximate quantiles and
+    the maximum (partial aggregation: a hot key is combined on the map side). Features with at
+    most ``max_bins`` distinct values keep every value (thresholds at midpoints, Spark ML's
+    rule); the others are binned at ``max_bins`` quantiles of ``percentile_approx`` (x <= bound
+    goes left). No window ever spans more than ``max_bins`` rows. Returns the cut table and
+    whether any feature was binned."""
     kf = [*key, "_f"]
-    w_run = Window.partitionBy(*kf).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*kf)
-    d = vals.withColumns({
-        "_cum": F.sum("_c").over(w_run),
-        "_tot": F.sum("_c").over(w_all),
-        "_nd": F.count(F.lit(1)).over(w_all),
-    })
-    exact = F.col("_nd") <= F.lit(max_bins)
-    d = d.withColumn(
-        "_bin",
-        F.when(exact, F.col("_v")).otherwise(
-            F.floor((F.col("_cum") - F.col("_c")) * F.lit(max_bins) / F.col("_tot")).cast("double")),
-    )
-    bins = d.groupBy(*kf, "_bin").agg(F.max("_v").alias("_bv"), F.min("_v").alias("_bmin"),
-                                       F.max(F.when(exact, 0).otherwise(1)).alias("_binned"))
-    w_bins = Window.partitionBy(*kf).orderBy("_bv")
-    cuts = bins.withColumn("_thr", (F.col("_bv") + F.lead("_bmin").over(w_bins)) / 2.0)
-    cuts = cuts.select(*kf, "_bv", "_thr", "_binned").persist()
-    needs_binning = cuts.where(F.col("_binned") == 1).limit(1).count() > 0
-    return cuts.drop("_binned"), needs_binning
+    vals = rows.select(*key, F.posexplode("_x").alias("_f", "_v")).where(F.col("_v").isNotNull())
+    probs = [i / max_bins for i in range(1, max_bins)]
+    stats = vals.groupBy(*kf).agg(
+        F.count_distinct("_v").alias("_nd"),
+        F.percentile_approx("_v", probs, 10 * max_bins).alias("_q"),
+        F.max("_v").alias("_max"),
+    ).persist()
+    few = stats.where(F.col("_nd") <= max_bins).select(*kf)
+    exact = vals.join(few, kf, "left_semi").select(*kf, F.col("_v").alias("_bv")).distinct()
+    w = Window.partitionBy(*kf).orderBy("_bv")
+    exact = exact.withColumn("_thr", (F.col("_bv") + F.lead("_bv").over(w)) / 2.0)
+    bounds = stats.where(F.col("_nd") > max_bins).select(
+        *kf, F.explode(F.array_distinct(F.array_sort(F.concat("_q", F.array("_max"))))).alias("_bv"))
+    binned = bounds.withColumn("_thr", F.when(F.lead("_bv").over(w).isNotNull(), F.col("_bv")))
+    needs_binning = stats.where(F.col("_nd") > max_bins).limit(1).count() > 0
+    cuts = exact.unionByName(binned) if needs_binning else exact
+    return cut_lineage(cuts), needs_binning
 
 
 def _binned_rows(rows: DataFrame, cuts: DataFrame, key: list[str], k: int) -> DataFrame:
@@ -257,32 +252,34 @@ def _local_schema(df: DataFrame, key: list[str]) -> str:
     return f"_kind int, {keys}, {TREE} int, _node long, _f int, _thr double, _pred double, _n double"
 
 
-def _fit_local(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str, *,
-               mode: str, num_trees: int = 1, max_depth: int, max_bins: int, m_features: int, bootstrap: bool,
-               seed: int, min_instances: int, max_iter: int = 1, step_size: float = 0.1) -> DataFrame:
-    """Grow the trees of every (bounded) group in one ``applyInPandas`` pass; returns model rows
-    (``_kind`` 0 = split, 1 = leaf) in the layout of the distributed grower."""
+def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode: str, num_trees: int = 1,
+               max_depth: int, m_features: int, bootstrap: bool, seed: int, min_instances: int,
+               max_iter: int = 1, step_size: float = 0.1) -> DataFrame:
+    """Grow the trees of every (bounded) group in one pass: rows and the group's cut table are
+    cogrouped by key, each group grows in one task with numpy. Returns model rows (``_kind``
+    0 = split, 1 = leaf) in the layout of the distributed grower."""
     import pandas as pd
     from pyspark import cloudpickle
 
-    from .tree_local import bins_of, grow, poisson_weights
+    from .tree_local import grow, poisson_weights
 
     # ship the numpy grower by value: executors need numpy/pandas only, not this package
     cloudpickle.register_pickle_by_value(tree_local)
-    k = len(features)
-    rows = df.select(
-        *key, F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols]).alias("_rid"),
-        *[F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
-        F.col(f"`{label}`").cast("double").alias("_y"))
     out_cols = ["_kind", *key, TREE, "_node", "_f", "_thr", "_pred", "_n"]
 
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit_group(pdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame([], columns=out_cols)
         keyvals = [pdf[c].iloc[0] for c in key]
-        X = pdf[[f"_x{i}" for i in range(k)]].to_numpy(dtype=np.float64)
+        X = np.stack(pdf["_x"].to_numpy()).astype(np.float64).reshape(len(pdf), k)
         y = pdf["_y"].to_numpy(dtype=np.float64)
-        binned = [bins_of(X[:, i], max_bins) for i in range(k)]
-        B = np.stack([b for b, _ in binned], axis=1)
-        thr = [t for _, t in binned]
+        B = np.zeros((len(y), k), dtype=np.int64)
+        thr = []
+        for f in range(k):
+            c = cdf[cdf["_f"] == f].sort_values("_bv")
+            bv = c["_bv"].to_numpy(dtype=np.float64)
+            B[:, f] = np.searchsorted(bv, X[:, f], side="left")
+            thr.append(c["_thr"].to_numpy(dtype=np.float64))
         out = []
 
         def emit(tree, internal, leaves):
@@ -296,7 +293,7 @@ def _fit_local(df: DataFrame, key: list[str], id_cols: list[str], features: list
                 keep = w > 0
                 parts = [str(v) for v in keyvals] + [str(t)]
                 internal, leaves, _ = grow(B[keep], thr, y[keep], w[keep], max_depth, m_features,
-                                                      parts, seed, min_instances)
+                                           parts, seed, min_instances)
                 emit(t, internal, leaves)
         else:
             F_ = np.zeros(len(y))
@@ -311,7 +308,10 @@ def _fit_local(df: DataFrame, key: list[str], id_cols: list[str], features: list
                 F_ = F_ + np.array([weight * value[nd] for nd in node])
         return pd.DataFrame(out, columns=out_cols)
 
-    return rows.groupBy(*key).applyInPandas(fit_group, _local_schema(df, key))
+    rows = base.select(*key, "_rid", "_x", "_y")
+    # fresh attribute ids on the cut side: both sides descend from the same checkpointed rows
+    group_cuts = cuts.select(*[F.col(c).alias(c) for c in key], "_f", "_bv", "_thr")
+    return rows.groupBy(*key).cogroup(group_cuts.groupBy(*key)).applyInPandas(fit_group, _local_schema(base, key))
 
 
 def _model_parts(local: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, int]:
@@ -322,12 +322,9 @@ def _model_parts(local: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame
     return internal, leaves, int(deepest).bit_length() - 1
 
 
-def _forest_distributed(df, key, id_cols, features, label, num_trees, max_depth, max_bins, m_features,
-                        use_boot, seed, min_instances, checkpoint_interval):
-    spark = df.sparkSession
-    k = len(features)
-    base = cut_lineage(_prepare(df, key, id_cols, features, label))
-    cuts, needs = _candidates(base, key, max_bins)
+def _forest_distributed(base, cuts, needs, key, k, num_trees, max_depth, m_features, use_boot, seed,
+                        min_instances, checkpoint_interval):
+    spark = base.sparkSession
     rows = _binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x"))
     if num_trees > 1:
         rows = rows.withColumn(TREE, F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))))
@@ -342,12 +339,9 @@ def _forest_distributed(df, key, id_cols, features, label, num_trees, max_depth,
     return _attach_thresholds(internal, cuts, mkey, spark), leaves, depth
 
 
-def _boosted_distributed(df, key, id_cols, features, label, max_iter, step_size, max_depth, max_bins,
-                         min_instances, checkpoint_interval):
-    spark = df.sparkSession
-    k = len(features)
-    base = cut_lineage(_prepare(df, key, id_cols, features, label))
-    cuts, needs = _candidates(base, key, max_bins)
+def _boosted_distributed(base, cuts, needs, key, k, max_iter, step_size, max_depth, min_instances,
+                         checkpoint_interval):
+    spark = base.sparkSession
     rows = (_binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x")))
     state = cut_lineage(rows.select(*key, "_rid", "_y", "_b", F.lit(0.0).alias("_F")))
     internals, leaves_all = [], []
@@ -383,6 +377,16 @@ def _combine(parts: list[tuple[DataFrame, DataFrame, int]]) -> tuple[DataFrame,
     return internal, leaves, depth
 
 
+def _prepared(df, key, id_cols, features, label, max_bins):
+    base = cut_lineage(_prepare(df, key, id_cols, features, label))
+    cuts, needs = _candidates(base, key, max_bins)
+    return base, cuts, needs
+
+
+def _only(df: DataFrame | None, keys_of: DataFrame, key: list[str]) -> DataFrame:
+    return df.join(keys_of.select(*key).distinct(), key, "left_semi")
+
+
 def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
                num_trees: int = 20, max_depth: int = 12, max_bins: int = 1000, subset: str | int = "auto",
                bootstrap: bool | None = None, seed: int = 5043, min_instances: int = 1,
@@ -390,21 +394,21 @@ def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list
     """Random forest (or one tree with ``num_trees=1``) for every distinct ``key``.
 
     ``id_cols`` identify a row (used for the bootstrap draw). Bootstrap defaults to on for more
-    than one tree, like Spark ML. Groups with at most ``local_max_rows`` rows grow in one task
-    each (``applyInPandas``); larger groups grow level-wise across the cluster
-    (``local_max_rows=0`` sends every group to the distributed grower)."""
+    than one tree, like Spark ML. Candidate thresholds are computed once for all groups; groups
+    with at most ``local_max_rows`` rows then grow in one task each (``applyInPandas``), larger
+    groups grow level-wise across the cluster (``local_max_rows=0`` sends every group there)."""
     k = len(features)
     use_boot = (num_trees > 1) if bootstrap is None else bootstrap
     m = _feature_count(subset, k, num_trees)
-    small, large = _split_by_size(df, key, local_max_rows) if local_max_rows else (None, df)
+    base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins)
+    small, large = _split_by_size(base, key, local_max_rows) if local_max_rows else (None, base)
     parts = []
     if small is not None:
-        local = _fit_local(small, key, id_cols, features, label, mode="forest", num_trees=num_trees,
-                           max_depth=max_depth, max_bins=max_bins, m_features=m, bootstrap=use_boot, seed=seed,
-                           min_instances=min_instances)
+        local = _fit_local(small, cuts, key, k, mode="forest", num_trees=num_trees, max_depth=max_depth,
+                           m_features=m, bootstrap=use_boot, seed=seed, min_instances=min_instances)
         parts.append(_model_parts(local, key))
     if large is not None:
-        parts.append(_forest_distributed(large, key, id_cols, features, label, num_trees, max_depth, max_bins, m,
+        parts.append(_forest_distributed(large, _only(cuts, large, key), needs, key, k, num_trees, max_depth, m,
                                          use_boot, seed, min_instances, checkpoint_interval))
     internal, leaves, depth = _combine(parts)
     return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
@@ -427,16 +431,17 @@ def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: lis
     semantics: the first tree fits ``y`` with weight 1, each later tree fits ``2 * (y - F)``
     with weight ``step_size``). Bounded groups boost inside one task; larger groups run one
     distributed grower per round, rows keeping their running score ``F``."""
-    small, large = _split_by_size(df, key, local_max_rows) if local_max_rows else (None, df)
+    k = len(features)
+    base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins)
+    small, large = _split_by_size(base, key, local_max_rows) if local_max_rows else (None, base)
     parts = []
     if small is not None:
-        local = _fit_local(small, key, id_cols, features, label, mode="boost", max_depth=max_depth,
-                           max_bins=max_bins, m_features=len(features), bootstrap=False, seed=0,
-                           min_instances=min_instances, max_iter=max_iter, step_size=step_size)
+        local = _fit_local(small, cuts, key, k, mode="boost", max_depth=max_depth, m_features=k, bootstrap=False,
+                           seed=0, min_instances=min_instances, max_iter=max_iter, step_size=step_size)
         parts.append(_model_parts(local, key))
     if large is not None:
-        parts.append(_boosted_distributed(large, key, id_cols, features, label, max_iter, step_size, max_depth,
-                                          max_bins, min_instances, checkpoint_interval))
+        parts.append(_boosted_distributed(large, _only(cuts, large, key), needs, key, k, max_iter, step_size,
+                                          max_depth, min_instances, checkpoint_interval))
     internal, leaves, depth = _combine(parts)
     weights = [1.0] + [step_size] * (max_iter - 1)
     return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
