@@ -348,13 +348,23 @@ def q_best_split_per_group(spark, sf):
     return quantise(out, {"left_mean": 4, "right_mean": 4})
 
 
-@register("tree_grouped")
+_TREE_CTES, _TREE_PRED = O.grouped_tree_ctes(flows.TREE_GROUP_FEATURES, 3)
+
+
+def _tree_report_sql() -> str:
+    rctes, both = O.report_ctes(_TREE_PRED)
+    return O.with_ctes(O.report_select(both, overall=False), "test", _TREE_CTES + rctes)
+
+
+@register("tree_grouped", _tree_report_sql())
 def q_tree_grouped(spark, sf):
     from .models import grouped_report
     return quantise(grouped_report(_model_input(spark, sf), "tree", flows.TREE_GROUP_FEATURES), REPORT_Q)
 
 
-@register("tree_grouped_predictions")
+@register("tree_grouped_predictions", O.with_ctes(
+    f"SELECT DRGDefinition, ProviderId, label, {O.q('prediction', 4)} AS prediction FROM {_TREE_PRED}",
+    "test", _TREE_CTES))
 def q_tree_grouped_predictions(spark, sf):
     from .models import grouped_predictions
     p = grouped_predictions(_model_input(spark, sf), "tree", flows.TREE_GROUP_FEATURES)

@@ -214,3 +214,65 @@ def assign_sql(centres: str, d: int, k: int, alias: str = "") -> str:
         cond = " AND ".join(f"{dists[j]} <= {dists[m]}" for m in range(j + 1, k))
         expr = f"CASE WHEN {cond} THEN {j} ELSE {expr} END"
     return expr
+
+
+def grouped_tree_ctes(features: list[str], depth: int) -> tuple[list[tuple[str, str]], str]:
+    """A depth-``depth`` regression tree per group in SQL, level by level with the grower's
+    rules (midpoint thresholds of distinct values, variance gain, ranking on the gain quantised
+    to 1e-9 of the node impurity, then feature, then lower value; no split at zero gain).
+    Returns CTEs and the name of the test-row prediction CTE."""
+    k = len(features)
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    xf = "CASE f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(k)) + " END"
+    imp = lambda w, s, ss: f"(({ss}) - ({s}) * ({s}) / ({w})) / ({w})"
+    gain = (f"{imp('ct', 'st', 'sst')} - cl / ct * {imp('cl', 'sl', 'ssl')} "
+            f"- (ct - cl) / ct * {imp('ct - cl', 'st - sl', 'sst - ssl')}")
+    ctes = [
+        ("tr0", f"SELECT DRGDefinition AS g, ProviderId AS pid, {xs}, label AS y, CAST(1 AS BIGINT) AS node, "
+                "FALSE AS done FROM train"),
+        ("cuts", "SELECT g, f, v, (v + lead(v) OVER (PARTITION BY g, f ORDER BY v)) / 2.0 AS thr FROM ("
+                 + " UNION ".join(f"SELECT g, {i} AS f, x{i} AS v FROM tr0" for i in range(k)) + ")"),
+    ]
+    for lv in range(depth):
+        r = f"tr{lv}"
+        longs = " UNION ALL ".join(f"SELECT g, node, {i} AS f, x{i} AS v, y FROM {r} WHERE NOT done" for i in range(k))
+        ctes += [
+            (f"agg{lv}", f"SELECT g, node, f, v, count(*) AS c, sum(y) AS s, sum(y * y) AS ss FROM ({longs}) "
+                         "GROUP BY g, node, f, v"),
+            (f"cum{lv}", f"""
+    SELECT g, node, f, v,
+           CAST(sum(c) OVER w AS DOUBLE) AS cl, sum(s) OVER w AS sl, sum(ss) OVER w AS ssl,
+           CAST(sum(c) OVER p AS DOUBLE) AS ct, sum(s) OVER p AS st, sum(ss) OVER p AS sst
+    FROM agg{lv}
+    WINDOW w AS (PARTITION BY g, node, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           p AS (PARTITION BY g, node, f)"""),
+            (f"gain{lv}", f"SELECT *, {gain} AS gain, "
+                          f"floor(({gain}) / ({imp('ct', 'st', 'sst')}) * 1e9 + CAST({Q_OFFSET!r} AS DOUBLE)) AS gkey "
+                          f"FROM cum{lv} WHERE cl >= 1 AND ct - cl >= 1 AND {imp('ct', 'st', 'sst')} > 0"),
+            (f"best{lv}", f"""
+    SELECT b.g, b.node, b.f, b.v, c.thr FROM (
+      SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gkey DESC, f, v) AS rn FROM gain{lv}) b
+    JOIN cuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
+    WHERE b.rn = 1 AND b.gain > 0"""),
+            (f"tr{lv + 1}", f"""
+    SELECT r.g, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y,
+           CASE WHEN b.f IS NULL THEN r.node
+                ELSE r.node * 2 + CASE WHEN (CASE b.f {' '.join(f'WHEN {i} THEN r.x{i}' for i in range(k))} END) <= b.v
+                                       THEN 0 ELSE 1 END END AS node,
+           r.done OR b.f IS NULL AS done
+    FROM {r} r LEFT JOIN best{lv} b ON r.g = b.g AND r.node = b.node"""),
+        ]
+    ctes.append(("leaves", f"SELECT g, node, sum(y) / count(*) AS pred FROM tr{depth} GROUP BY g, node"))
+    ctes.append(("te0", f"SELECT t.DRGDefinition AS g, t.ProviderId AS pid, {xs.replace('CAST(', 'CAST(t.')}, "
+                        "t.label AS y, CAST(1 AS BIGINT) AS node FROM test t "
+                        "WHERE t.DRGDefinition IN (SELECT g FROM tr0)"))
+    for lv in range(depth):
+        ctes.append((f"te{lv + 1}", f"""
+    SELECT t.g, t.pid, {', '.join(f't.x{i}' for i in range(k))}, t.y,
+           CASE WHEN b.f IS NULL THEN t.node
+                ELSE t.node * 2 + CASE WHEN (CASE b.f {' '.join(f'WHEN {i} THEN t.x{i}' for i in range(k))} END) <= b.thr
+                                       THEN 0 ELSE 1 END END AS node
+    FROM te{lv} t LEFT JOIN best{lv} b ON t.g = b.g AND t.node = b.node"""))
+    ctes.append(("tree_pred", f"SELECT t.g AS DRGDefinition, t.pid AS ProviderId, t.y AS label, l.pred AS prediction "
+                              f"FROM te{depth} t JOIN leaves l ON t.g = l.g AND t.node = l.node"))
+    return ctes, "tree_pred"
