@@ -37,55 +37,69 @@ def _imp(w, s, ss):
 def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max_depth: int, m_features: int,
          key_parts: list[str], seed: int, min_instances: int = 1):
     """Grow one tree. ``B``: rows x features bin indices (rows with weight > 0 only).
-    Returns (internal [(node, f, thr)], leaves [(node, pred, n)], node of every row)."""
+    Returns (internal [(node, f, thr)], leaves [(node, pred, n)], node of every row).
+
+    Vectorised per level: for each feature one ``bincount`` over (node, bin) cells gives the
+    per-node histograms, cumulative sums along the bins give every candidate split, and the
+    best candidate per node is an argmax over a nodes x bins matrix (first maximum: lowest
+    bin), compared across features in order (strictly greater wins: lowest feature)."""
     n, k = B.shape
     node = np.ones(n, dtype=np.int64)
     active = np.ones(n, dtype=bool)
     internal = []
+    wy, wyy = w * y, w * y * y
     for _ in range(max_depth):
-        moved = False
-        new_node = node.copy()
-        for nd in np.unique(node[active]):
-            idx = np.nonzero(active & (node == nd))[0]
-            yy, ww = y[idx], w[idx]
-            ct, wt = len(idx), ww.sum()
-            st, sst = (ww * yy).sum(), (ww * yy * yy).sum()
-            imp_t = _imp(wt, st, sst)
-            feats = range(k)
-            if m_features < k:
+        rows = np.nonzero(active)[0]
+        if len(rows) == 0:
+            break
+        ids, inv = np.unique(node[rows], return_inverse=True)
+        m = len(ids)
+        best_key = np.full(m, -np.inf)
+        best_f = np.full(m, -1, dtype=np.int64)
+        best_bin = np.zeros(m, dtype=np.int64)
+        best_gain = np.zeros(m)
+        allowed = np.ones((m, k), dtype=bool)
+        if m_features < k:
+            for i, nd in enumerate(ids):
                 u = [unit_hash(key_parts + [str(int(nd)), f"{seed}:{j}"]) for j in range(k)]
-                feats = [f for f in range(k) if sum(uj < u[f] for uj in u) < m_features]
-            best = None  # (gkey, f, bin, gain)
-            for f in feats:
-                b = B[idx, f]
-                nb = len(thr[f])
-                cl = np.cumsum(np.bincount(b, minlength=nb))
-                wl = np.cumsum(np.bincount(b, weights=ww, minlength=nb))
-                sl = np.cumsum(np.bincount(b, weights=ww * yy, minlength=nb))
-                ssl = np.cumsum(np.bincount(b, weights=ww * yy * yy, minlength=nb))
-                cr, wr, sr, ssr = ct - cl, wt - wl, st - sl, sst - ssl
-                valid = (cl >= min_instances) & (cr >= min_instances) & (wl > 0) & (wr > 0)
-                if not valid.any() or not imp_t > 0:
-                    continue
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = imp_t - wl / wt * _imp(wl, sl, ssl) - wr / wt * _imp(wr, sr, ssr)
-                    gkey = np.floor(gain / imp_t * 1e9 + RANK_OFFSET)
-                cand = np.nonzero(valid)[0]
-                top = cand[np.argmax(gkey[cand])]  # first (lowest bin) among the maxima
-                if best is None or gkey[top] > best[0]:
-                    best = (gkey[top], f, int(top), gain[top])
-            if best is None or not best[3] > 0:
-                active[idx] = False
-                continue
-            _, f, bbin, _ = best
-            internal.append((int(nd), f, float(thr[f][bbin])))
-            new_node[idx] = nd * 2 + (B[idx, f] > bbin).astype(np.int64)
-            moved = True
-        node = new_node
-        if not moved:
+                allowed[i] = [sum(uj < u[f] for uj in u) < m_features for f in range(k)]
+        for f in range(k):
+            nb = len(thr[f])
+            cell = inv * nb + B[rows, f]
+            hist = [np.bincount(cell, weights=v, minlength=m * nb).reshape(m, nb)
+                    for v in (None, w[rows], wy[rows], wyy[rows])]
+            cl, wl, sl, ssl = (np.cumsum(h, axis=1) for h in hist)
+            ct, wt, st, sst = (c[:, -1:] for c in (cl, wl, sl, ssl))
+            cr, wr, sr, ssr = ct - cl, wt - wl, st - sl, sst - ssl
+            with np.errstate(divide="ignore", invalid="ignore"):
+                imp_t = _imp(wt, st, sst)
+                gain = imp_t - wl / wt * _imp(wl, sl, ssl) - wr / wt * _imp(wr, sr, ssr)
+                gkey = np.floor(gain / imp_t * 1e9 + RANK_OFFSET)
+            valid = ((cl >= min_instances) & (cr >= min_instances) & (wl > 0) & (wr > 0)
+                     & (imp_t > 0) & allowed[:, f:f + 1])
+            gkey = np.where(valid, gkey, -np.inf)
+            top = np.argmax(gkey, axis=1)
+            top_key = gkey[np.arange(m), top]
+            better = top_key > best_key
+            best_key = np.where(better, top_key, best_key)
+            best_f = np.where(better, f, best_f)
+            best_bin = np.where(better, top, best_bin)
+            best_gain = np.where(better, gain[np.arange(m), top], best_gain)
+        split = (best_f >= 0) & (best_gain > 0)
+        if not split.any():
             break
+        for i in np.nonzero(split)[0]:
+            internal.append((int(ids[i]), int(best_f[i]), float(thr[best_f[i]][best_bin[i]])))
+        row_split = split[inv]
+        moving = rows[row_split]
+        fr = best_f[inv][row_split]
+        go_right = B[moving, fr] > best_bin[inv][row_split]
+        node[moving] = node[moving] * 2 + go_right.astype(np.int64)
+        active[rows[~row_split]] = False
     leaves = []
-    for nd in np.unique(node):
-        m = node == nd
-        leaves.append((int(nd), float((w[m] * y[m]).sum() / w[m].sum()), float(w[m].sum())))
+    ids, inv = np.unique(node, return_inverse=True)
+    sw = np.bincount(inv, weights=w)
+    swy = np.bincount(inv, weights=wy)
+    for i, nd in enumerate(ids):
+        leaves.append((int(nd), float(swy[i] / sw[i]), float(sw[i])))
     return internal, leaves, node
