@@ -436,9 +436,11 @@ def _class_table(spark, sf) -> DataFrame:
     from ..session import cut_lineage
     j = clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label")
     j = features.with_split(j, [fx.GROUP, fx.PROVIDER], out=flows.SPLIT)
-    for col, out in [(fx.GROUP, "drg_index"), (fx.ZIP, "zip_index"), (M, "price_index"), ("payment_label", "label")]:
-        j = features.string_index(j, col, out)
-    return cut_lineage(j)
+    # the four indexes are fitted in one pass over the rows
+    from pyspark.ml.feature import StringIndexer
+    ins, outs = [fx.GROUP, fx.ZIP, M, "payment_label"], ["drg_index", "zip_index", "price_index", "label"]
+    model = StringIndexer(inputCols=ins, outputCols=outs, stringOrderType="frequencyDesc").fit(j)
+    return cut_lineage(model.transform(j))
 
 
 CLASS_SQL_CTES = [
@@ -502,7 +504,8 @@ def q_rf_classifier(spark, sf):
     data = features.assemble(_class_table(spark, sf), CLASS_FEATURES, "features")
     train, test = data.where(F.col(flows.SPLIT)), data.where(~F.col(flows.SPLIT))
     model = RandomForestClassifier(labelCol="label", impurity="gini", maxDepth=5, numTrees=20,
-                                   featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML).fit(train.persist())
+                                   featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML,
+                                   maxMemoryInMB=1024).fit(train.persist())
     pred = model.transform(test)
     return errors.accuracy(pred, "label", "prediction")
 
@@ -594,3 +597,45 @@ def q_kmeans_fit(spark, sf):
     cols = ", ".join(f"`{f}` double" for f in KM_FEATURES)
     train.unpersist()
     return spark.createDataFrame(rows, f"cluster int, size long, {cols}")
+
+
+# ---------------------------------------------------------------------------------------------
+# Further rows of the inventory: fraction sample (P13), correlation of one group prefix
+# (A11/A12), whole-table Spearman (A9), the SQL-string path with a DataFrame argument (S4/A1)
+
+SAMPLE_FRACTION = 0.1
+
+
+@register("fraction_sample", O.with_ctes(
+    f"SELECT {JOINED_COLS} FROM joined WHERE "
+    f"(('0x' || substr(md5(concat_ws('|', DRGDefinition, ProviderId, '7')), 1, 8))::BIGINT) / 4294967296.0 "
+    f"< {SAMPLE_FRACTION}", "joined"))
+def q_fraction_sample(spark, sf):
+    return clean.bernoulli_sample(fx.joined(spark, sf), [fx.GROUP, fx.PROVIDER], SAMPLE_FRACTION, seed=7)
+
+
+@register("corr_prefix_pearson", O.with_ctes(
+    f"SELECT count(*) AS n, {O.q('CASE WHEN var_pop(MedianHousePrice) > 0 AND var_pop(AverageTotalPayments) > 0 THEN corr(MedianHousePrice, AverageTotalPayments) END', 8)} AS corr "
+    f"FROM eng WHERE starts_with(DRGDefinition, '{PREFIX}')", "eng"))
+def q_corr_prefix_pearson(spark, sf):
+    e = clean.prefix_filter(flows.analysis_table(spark, sf, indexed=False), fx.GROUP, PREFIX)
+    return quantise(stats.correlation(e, flows.HOUSE_PRICE, fx.PAYMENT, "pearson"), {"corr": 8})
+
+
+@register("corr_spearman_global", O.with_ctes(
+    f"SELECT count(*) AS n, {O.q('corr(rx, ry)', 8)} AS corr FROM (SELECT "
+    "rank() OVER (ORDER BY MedianHousePrice) + (count(*) OVER (PARTITION BY MedianHousePrice) - 1) / 2.0 AS rx, "
+    "rank() OVER (ORDER BY AverageTotalPayments) + (count(*) OVER (PARTITION BY AverageTotalPayments) - 1) / 2.0 AS ry "
+    "FROM eng WHERE MedianHousePrice IS NOT NULL AND AverageTotalPayments IS NOT NULL)", "eng"))
+def q_corr_spearman_global(spark, sf):
+    e = flows.analysis_table(spark, sf, indexed=False)
+    return quantise(stats.correlation(e, flows.HOUSE_PRICE, fx.PAYMENT, "spearman"), {"corr": 8})
+
+
+@register("group_counts_sql", O.with_ctes(
+    "SELECT ProviderId, count(DISTINCT DRGDefinition) AS drg_count FROM joined GROUP BY ProviderId", "joined"))
+def q_group_counts_sql(spark, sf):
+    """The original's SQL-string route: no global temp view, the DataFrame is a parameter."""
+    return spark.sql(
+        "SELECT ProviderId, count(DISTINCT DRGDefinition) AS drg_count FROM {rows} GROUP BY ProviderId",
+        rows=fx.joined(spark, sf))

@@ -37,6 +37,11 @@ def pooled_report(df: DataFrame, estimator, features: list[str]) -> DataFrame:
     return error_report(pred, train, fx.GROUP, flows.LABEL, "prediction", overall=True)
 
 
+# Histogram memory per task for deep Spark ML trees: more nodes are split per pass over the
+# data at the deep levels (fewer passes, same model).
+TREE_MEMORY_MB = 1024
+
+
 def tree_estimator(kind: str):
     """The original's configurations."""
     from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
@@ -45,10 +50,11 @@ def tree_estimator(kind: str):
         return DecisionTreeRegressor(labelCol=flows.LABEL, impurity="variance", maxDepth=3, maxBins=100, seed=SEED)
     if kind == "forest":
         return RandomForestRegressor(labelCol=flows.LABEL, impurity="variance", maxDepth=12, numTrees=20,
-                                     maxBins=1000, featureSubsetStrategy="auto", seed=SEED)
+                                     maxBins=1000, featureSubsetStrategy="auto", seed=SEED,
+                                     maxMemoryInMB=TREE_MEMORY_MB)
     if kind == "boosted":
         return GBTRegressor(labelCol=flows.LABEL, impurity="variance", maxDepth=12, maxIter=10, maxBins=100,
-                            seed=SEED)
+                            seed=SEED, maxMemoryInMB=TREE_MEMORY_MB)
     raise ValueError(kind)
 
 
