@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_double
-from ..operators.errors import error_report
+from ..operators.errors import error_report, order_report
 from ..operators.features import SPLIT_SEED, TRAIN_PERCENT, index_table, with_split
 from ..operators.joins import provider_group_count
 from ..operators.linear import fit_ols, predict_ols
@@ -69,4 +69,5 @@ def linear_report(df: DataFrame, features: list[str] = POOLED_FEATURES, group: s
     """Error report of a pooled model (``Overall`` + per group) or of per-group models."""
     train, _ = train_test(df)
     pred = linear_predictions(df, features, group)
-    return error_report(pred, train, fx.GROUP, LABEL, "prediction", overall=group is None, match=match)
+    return order_report(
+        error_report(pred, train, fx.GROUP, LABEL, "prediction", overall=group is None, match=match))
