@@ -1,9 +1,9 @@
 """Aggregate statistics: profiles, totals, correlations.
 
 All of them are single aggregates with partial (map-side) aggregation, so skewed groups are
-combined before the shuffle. Spearman ranks are computed over *distinct values* (aggregated
-counts, then a cumulative sum per group) and joined back, instead of a rank window over raw
-rows, which would put a whole group into one task.
+combined before the shuffle. Spearman ranks are computed over *distinct values* with a
+range-bucketed prefix sum and joined back, instead of a rank window over raw rows, which
+would put a whole group into one task.
 """
 
 from __future__ import annotations
@@ -61,18 +61,34 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataF
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str], out: str) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, by: list[str], out: str, buckets: int = 256) -> DataFrame:
     """Average rank (ties share the mean of their positions, 1-based) of ``column`` within ``by``.
 
-    Works on the distinct values: counts per (group, value) are aggregated first, then a
-    cumulative count per group orders them, then the ranks are joined back on (group, value).
-    The window holds one row per distinct value, not per input row.
+    An exact prefix sum over each group's distinct values that never puts a whole group in one
+    task:
+
+    1. counts per (group, value) (partial aggregation);
+    2. per group ``buckets - 1`` approximate quantiles of the distinct values cut the value
+       range into buckets;
+    3. per (group, bucket) row totals, whose running sum over buckets gives each bucket's
+       offset (a window of at most ``buckets`` rows per group);
+    4. inside each (group, bucket) a running count over its distinct values.
+
+    The rank of a value is offset + running count within the bucket - (ties - 1) / 2. Ranks
+    are joined back on (group, value).
     """
+    v = F.col(column)
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn("_cum", F.sum("_cnt").over(w)).select(
-        *by, column, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out)
-    )
+    probs = [i / buckets for i in range(1, buckets)]
+    # quantiles of the distinct values: buckets hold about the same number of window rows
+    bounds = counts.groupBy(*by).agg(F.percentile_approx(v, probs, 10 * buckets).alias("_q"))
+    bucketed = counts.join(bounds, by).withColumn("_bk", F.size(F.filter("_q", lambda q: q < v))).drop("_q")
+    totals = bucketed.groupBy(*by, "_bk").agg(F.sum("_cnt").alias("_bt"))
+    before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0))).drop("_bt")
+    within = Window.partitionBy(*by, "_bk").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = bucketed.join(offsets, [*by, "_bk"]).withColumn("_cum", F.col("_off") + F.sum("_cnt").over(within))
+    ranks = ranks.select(*by, column, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return df.join(ranks, [*by, column], "inner")
 
 

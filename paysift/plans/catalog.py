@@ -462,14 +462,12 @@ CLASS_SQL_CTES = [
            ln(s0 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t0, ln(s1 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t1,
            ln(s2 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t2
     FROM nb_cls"""),
-    ("nb_scores", """
-    SELECT t.DRGDefinition, t.ProviderId, t.label AS y, m.label AS c,
-           m.pi + m.t0 * t.drg_index + m.t1 * t.zip_index + m.t2 * t.price_index AS score
-    FROM cl t JOIN nb_model m ON TRUE WHERE NOT t.is_train"""),
     ("nb_pred", """
-    SELECT DRGDefinition, ProviderId, y AS label, c AS prediction FROM (
-      SELECT *, row_number() OVER (PARTITION BY DRGDefinition, ProviderId ORDER BY score DESC, c) AS rn FROM nb_scores)
-    WHERE rn = 1"""),
+    SELECT t.DRGDefinition, t.ProviderId, t.label,
+           (SELECT m.label FROM nb_model m
+            ORDER BY m.pi + m.t0 * t.drg_index + m.t1 * t.zip_index + m.t2 * t.price_index DESC, m.label
+            LIMIT 1) AS prediction
+    FROM cl t WHERE NOT t.is_train"""),
 ]
 
 

@@ -76,3 +76,21 @@ def test_kmeans_two_clusters(spark):
     assert sizes == [2, 2]
     c = kmeans.cost(df, ["x", "y"], centres).collect()[0]
     assert abs(c["cost"] - 1.0) < 1e-12 and c["n"] == 4
+
+
+def test_average_ranks_match_pandas_with_ties_across_buckets(spark):
+    import random
+
+    import pandas as pd
+
+    from paysift.operators.stats import average_ranks
+
+    rnd = random.Random(3)
+    rows = [("hot", float(rnd.randint(0, 40))) for _ in range(600)] + [("cold", float(rnd.randint(0, 5))) for _ in range(30)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = average_ranks(df, "v", ["g"], "r", buckets=8).select("g", "v", "r").distinct().toPandas()
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    pdf["r"] = pdf.groupby("g")["v"].rank(method="average")
+    exp = pdf.drop_duplicates().sort_values(["g", "v"]).reset_index(drop=True)
+    got = got.sort_values(["g", "v"]).reset_index(drop=True)
+    assert (got["r"] - exp["r"]).abs().max() < 1e-9
