@@ -128,3 +128,16 @@ def test_in_task_and_distributed_paths_agree(spark, table):
     a = fit(trees.LOCAL_MAX_ROWS).predict(test).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
     b = fit(0).predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(a, b) < 1e-6
+
+
+def test_mixed_paths_match_single_path(spark, table):
+    """With a row bound inside the range of group sizes, part of the groups grow in one task
+    and the rest with the distributed grower; the union must equal the all-in-task model."""
+    train, test = flows.train_test(table)
+    sizes = [r[0] for r in train.groupBy(fx.GROUP).count().select("count").collect()]
+    bound = sorted(sizes)[len(sizes) // 2]
+    fit = lambda lm: trees.fit_boosted(train, [fx.GROUP], [fx.GROUP, fx.PROVIDER], flows.GROUP_FEATURES,
+                                       "label", max_iter=3, max_depth=4, local_max_rows=lm)
+    a = fit(trees.LOCAL_MAX_ROWS).predict(test).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
+    b = fit(bound).predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
+    assert _max_diff(a, b) < 1e-6
