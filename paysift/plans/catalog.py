@@ -637,3 +637,20 @@ def q_group_counts_sql(spark, sf):
     return spark.sql(
         "SELECT ProviderId, count(DISTINCT DRGDefinition) AS drg_count FROM {rows} GROUP BY ProviderId",
         rows=fx.joined(spark, sf))
+
+
+def _prefix_report_sql() -> str:
+    ctes, pred = O.ols_prediction_ctes(flows.POOLED_FEATURES, None)
+    rctes, both = O.report_ctes(pred)
+    kctes, keyed = O.prefix_keyed_ctes(both)
+    return O.with_ctes(O.report_select(keyed, overall=True, overall_from=both), "test", ctes + rctes + kctes,
+                       brand=True)
+
+
+@register("linear_report_prefix", _prefix_report_sql())
+def q_linear_report_prefix(spark, sf):
+    """The original's per-group lookup by prefix on the brand fixture, where
+    ``Brand#1`` also takes the rows of ``Brand#10`` .. ``Brand#19``."""
+    from ..session import cut_lineage
+    e = cut_lineage(flows.analysis_table(spark, sf, groups="brand"))
+    return quantise(flows.linear_report(e, flows.POOLED_FEATURES, None, match="prefix"), REPORT_Q)

@@ -48,8 +48,9 @@ def with_group_index(df: DataFrame, group: str = fx.GROUP, out: str = DRG_INDEX)
     return df.join(index_table(df, group, out), group)
 
 
-def analysis_table(spark: SparkSession, sf_dir: str, month: str = fx.PRICE_MONTH, indexed: bool = True) -> DataFrame:
-    e = engineer(fx.joined(spark, sf_dir, month), month)
+def analysis_table(spark: SparkSession, sf_dir: str, month: str = fx.PRICE_MONTH, indexed: bool = True,
+                   groups: str = "size") -> DataFrame:
+    e = engineer(fx.joined(spark, sf_dir, month, groups), month)
     return with_group_index(e) if indexed else e
 
 

@@ -77,10 +77,17 @@ BASE_CTES = {
 ORDER = list(BASE_CTES)
 
 
-def with_ctes(body: str, upto: str, extra: list[tuple[str, str]] | None = None) -> str:
-    """Prefix ``body`` with the base CTEs up to and including ``upto`` plus ``extra`` ones."""
+BRAND_PAYMENTS = (BASE_CTES["payments"]
+                  .replace("lpad(CAST(p_size AS VARCHAR), 3, '0') || ' - PROC' AS DRGDefinition", "p_brand AS DRGDefinition")
+                  .replace("WHERE year(l_shipdate) = 2000\n", ""))
+
+
+def with_ctes(body: str, upto: str, extra: list[tuple[str, str]] | None = None, brand: bool = False) -> str:
+    """Prefix ``body`` with the base CTEs up to and including ``upto`` plus ``extra`` ones
+    (``brand``: the prefix-collision payments instead of the part-size ones)."""
     names = ORDER[: ORDER.index(upto) + 1]
-    parts = [f"{n} AS ({BASE_CTES[n]}\n)" for n in names]
+    base = dict(BASE_CTES, payments=BRAND_PAYMENTS) if brand else BASE_CTES
+    parts = [f"{n} AS ({base[n]}\n)" for n in names]
     parts += [f"{n} AS (\n{sql}\n)" for n, sql in (extra or [])]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
@@ -133,13 +140,21 @@ def report_ctes(pred: str, train: str = "train", group: str = "DRGDefinition", p
     return [(f"{prefix}_both", both)], f"{prefix}_both"
 
 
-def report_select(both: str, overall: bool) -> str:
+def prefix_keyed_ctes(both: str, train: str = "train", prefix: str = "r") -> tuple[list[tuple[str, str]], str]:
+    """Rows of every training group whose text the row's group starts with (the original's
+    prefix lookup)."""
+    return [(f"{prefix}_groups", f"SELECT DISTINCT DRGDefinition AS tg FROM {train}"),
+            (f"{prefix}_keyed", f"SELECT t.tg AS g, b.Difference, b.PercentDifference, b._test FROM {both} b "
+                                f"JOIN {prefix}_groups t ON starts_with(b.g, t.tg)")], f"{prefix}_keyed"
+
+
+def report_select(both: str, overall: bool, overall_from: str | None = None) -> str:
     cols = (f"DRG, {q('MinError', 4)} AS MinError, {q('AvgError', 4)} AS AvgError, {q('MaxError', 4)} AS MaxError, "
             f"{q('MinPercentError', 8)} AS MinPercentError, {q('AvgPercentError', 8)} AS AvgPercentError, "
             f"{q('MaxPercentError', 8)} AS MaxPercentError, TrainRows, TestRows")
     groups = f"SELECT g AS DRG, {REPORT_AGGS} FROM {both} GROUP BY g HAVING sum(1 - _test) > 0"
     if overall:
-        groups = f"SELECT 'Overall' AS DRG, {REPORT_AGGS} FROM {both}\nUNION ALL\n" + groups
+        groups = f"SELECT 'Overall' AS DRG, {REPORT_AGGS} FROM {overall_from or both}\nUNION ALL\n" + groups
     return f"SELECT {cols} FROM (\n{groups}\n) rep"
 
 

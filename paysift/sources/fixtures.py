@@ -160,12 +160,15 @@ def prices(spark: SparkSession, sf_dir: str, month: str = PRICE_MONTH) -> DataFr
     )
 
 
-def joined(spark: SparkSession, sf_dir: str, month: str = PRICE_MONTH) -> DataFrame:
-    """The analysis table: payments joined to the regional price of ``month``."""
+def joined(spark: SparkSession, sf_dir: str, month: str = PRICE_MONTH, groups: str = "size") -> DataFrame:
+    """The analysis table: payments joined to the regional price of ``month``. ``groups``
+    chooses the payment stand-in: ``size`` (50 groups, one year) or ``brand`` (the
+    prefix-collision fixture)."""
     from ..operators.joins import join_on_region
     from ..operators.clean import not_null
 
     regions = not_null(prices(spark, sf_dir, month), [month])
-    return join_on_region(payments(spark, sf_dir), regions).select(
+    facts = payments(spark, sf_dir) if groups == "size" else brand_payments(spark, sf_dir)
+    return join_on_region(facts, regions).select(
         GROUP, PROVIDER, ZIP, DISCHARGES, month, PAYMENT
     )
