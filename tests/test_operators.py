@@ -94,3 +94,39 @@ def test_average_ranks_match_pandas_with_ties_across_buckets(spark):
     exp = pdf.drop_duplicates().sort_values(["g", "v"]).reset_index(drop=True)
     got = got.sort_values(["g", "v"]).reset_index(drop=True)
     assert (got["r"] - exp["r"]).abs().max() < 1e-9
+
+
+def test_aggregate_error_six_numbers_and_empty(spark):
+    df = spark.createDataFrame([(10.0, 8.0), (4.0, 5.0)], "label double, prediction double")
+    r = errors.aggregate_error(df).collect()[0]
+    assert (r["MinError"], r["AvgError"], r["MaxError"]) == (1.0, 1.5, 2.0)
+    assert abs(r["MinPercentError"] - 0.2) < 1e-12 and abs(r["MaxPercentError"] - 0.25) < 1e-12
+    empty = errors.aggregate_error(df.limit(0)).collect()[0]
+    assert empty["AvgError"] is None  # an empty part yields nulls instead of failing
+
+
+def test_random_split_parity_and_centres_frame(spark):
+    df = spark.range(200)
+    a, b = features.random_split(df, (0.7, 0.3), 5043)
+    assert a.count() + b.count() == 200 and a.intersect(b).count() == 0
+    frame = kmeans.centres_frame(spark, ["x", "y"], [[0.5, 1.0], [9.5, 1.0]])
+    assert sorted(tuple(r) for r in frame.collect())[0] == (0, "x", 0.5)
+
+
+def test_pooled_ols_matches_ml_wrapper(spark):
+    from paysift.operators import linear
+
+    rows = [(float(i), float(i % 7), 3.0 * i - 2.0 * (i % 7) + 5.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    coef = linear.fit_ols(df, ["a", "b"], "label").collect()[0]
+    ml = linear.fit_linear_ml(features.assemble(df, ["a", "b"]), "features", "label")
+    assert abs(coef["intercept"] - ml.intercept) < 1e-6
+    assert abs(coef["b_0"] - ml.coefficients[0]) < 1e-6 and abs(coef["b_1"] - ml.coefficients[1]) < 1e-6
+
+
+def test_constant_feature_gets_zero_coefficient(spark):
+    from paysift.operators import linear
+
+    rows = [(float(i), 1.0, 2.0 * i + 1.0) for i in range(10)]
+    coef = linear.fit_ols(spark.createDataFrame(rows, "a double, c double, label double"), ["a", "c"], "label").collect()[0]
+    assert abs(coef["b_0"] - 2.0) < 1e-9 and coef["b_1"] == 0.0 and abs(coef["intercept"] - 1.0) < 1e-9

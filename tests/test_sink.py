@@ -29,3 +29,11 @@ def test_header_csv_all_strings_with_given_schema(spark, scratch):
     assert df.collect()[0][1] == "$12.50"
     typed = read_header_csv(spark, path, ["DRG Definition", "Average Total Payments"])
     assert [f.dataType.simpleString() for f in typed.schema] == ["string", "string"]
+
+
+def test_read_table_formats(spark, scratch):
+    from paysift.sources.csv import read_table
+
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    df.write.parquet(os.path.join(scratch, "p"))
+    assert read_table(spark, os.path.join(scratch, "p"), columns=["v"]).columns == ["v"]
