@@ -114,3 +114,22 @@ def feature_importance(df: DataFrame, features: list[str]) -> DataFrame:
     imp = model.featureImportances.toArray().tolist()
     train.unpersist()
     return df.sparkSession.createDataFrame(list(zip(features, [float(v) for v in imp])), "feature string, importance double")
+
+
+def predict_prices(spark, sf_dir: str, out_dir: str, kind: str = "tree", mode: str = "errorifexists") -> dict:
+    """The original's entry flow: analysis table, then a pooled model report (``Overall`` +
+    groups) and a per-group model report, each written as one header CSV file.
+
+    ``kind`` is ``tree`` (depth 3), ``boosted`` (what the original's tree entries actually
+    ran) or ``forest``. Returns the written paths."""
+    from ..session import cut_lineage
+    from ..sources.csv import write_report
+    from ..operators.errors import order_report
+
+    engineered = cut_lineage(ml_table(flows.analysis_table(spark, sf_dir, indexed=False)))
+    pooled_features = flows.TREE_POOLED_FEATURES if kind == "tree" else flows.POOLED_FEATURES
+    group_features = flows.TREE_GROUP_FEATURES if kind == "tree" else flows.GROUP_FEATURES
+    paths = {"pooled": f"{out_dir.rstrip('/')}/pooled_{kind}", "grouped": f"{out_dir.rstrip('/')}/grouped_{kind}"}
+    write_report(order_report(pooled_report(engineered, tree_estimator(kind), pooled_features)), paths["pooled"], mode)
+    write_report(order_report(grouped_report(engineered, kind, group_features)), paths["grouped"], mode)
+    return paths

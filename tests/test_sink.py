@@ -37,3 +37,17 @@ def test_read_table_formats(spark, scratch):
     df = spark.createDataFrame([(1, "a")], "id int, v string")
     df.write.parquet(os.path.join(scratch, "p"))
     assert read_table(spark, os.path.join(scratch, "p"), columns=["v"]).columns == ["v"]
+
+
+def test_predict_prices_writes_both_reports(spark, scratch):
+    from paysift.plans.models import predict_prices
+    from .conftest import SF_SMOKE
+
+    paths = predict_prices(spark, SF_SMOKE, os.path.join(scratch, "out"), kind="tree")
+    pooled = read_header_csv(spark, paths["pooled"])
+    grouped = read_header_csv(spark, paths["grouped"])
+    assert pooled.columns[0] == "DRG" and pooled.where("DRG = 'Overall'").count() == 1
+    assert grouped.where("DRG = 'Overall'").count() == 0 and grouped.count() > 0
+    with pytest.raises(Exception):
+        predict_prices(spark, SF_SMOKE, os.path.join(scratch, "out"), kind="tree")
+    predict_prices(spark, SF_SMOKE, os.path.join(scratch, "out"), kind="tree", mode="overwrite")
