@@ -149,7 +149,8 @@ def _impurity(w: Column, s: Column, ss: Column) -> Column:
 def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: int, seed: int,
           min_instances: int, checkpoint_interval: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Grow one tree per model key. ``rows``: key.., ``_rid``, ``_y``, ``_w``, ``_b`` (binned
-    features). Returns (internal splits on bins, row -> leaf table, leaf stats, depth used)."""
+    features) and any columns to carry along. Returns (internal splits on bins, the rows with
+    their leaf ``_node``, leaf stats, depth used)."""
     rows = rows.withColumns({"_node": F.lit(1).cast("long"), "_done": F.lit(False)})
     kn = [*key, "_node"]
     splits = []
@@ -218,7 +219,7 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
     internal = splits[0] if splits else None
     for s in splits[1:]:
         internal = internal.unionByName(s)
-    return internal, rows.select(*key, "_rid", "_node"), leaves, depth_used
+    return internal, rows.drop("_done"), leaves, depth_used
 
 
 def _prepare(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str | None) -> DataFrame:
@@ -343,24 +344,25 @@ def _boosted_distributed(base, cuts, needs, key, k, max_iter, step_size, max_dep
                          checkpoint_interval):
     spark = base.sparkSession
     rows = (_binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x")))
-    state = cut_lineage(rows.select(*key, "_rid", "_y", "_b", F.lit(0.0).alias("_F")))
+    state = cut_lineage(rows.select(*key, "_rid", F.col("_y").alias("_y0"), "_b", F.lit(0.0).alias("_F")))
     internals, leaves_all = [], []
     depth_max = 0
     mkey = [*key, TREE]
     for m in range(max_iter):
-        target = F.col("_y") if m == 0 else F.lit(2.0) * (F.col("_y") - F.col("_F"))
-        rows_m = state.select(*key, F.lit(m).alias(TREE), "_rid", target.alias("_y"), F.lit(1.0).alias("_w"), "_b")
-        internal, row_leaf, leaves, depth = _grow(rows_m, mkey, k, max_depth, k, 0, min_instances, checkpoint_interval)
+        target = F.col("_y0") if m == 0 else F.lit(2.0) * (F.col("_y0") - F.col("_F"))
+        rows_m = state.select(*key, F.lit(m).alias(TREE), "_rid", target.alias("_y"), F.lit(1.0).alias("_w"),
+                              "_b", "_y0", "_F")
+        internal, grown, leaves, depth = _grow(rows_m, mkey, k, max_depth, k, 0, min_instances, checkpoint_interval)
         depth_max = max(depth_max, depth)
         weight = 1.0 if m == 0 else step_size
         leaves = leaves.persist()
         if internal is not None:
             internals.append(_attach_thresholds(internal, cuts, mkey, spark))
         leaves_all.append(leaves)
-        step = row_leaf.join(leaves.select(*mkey, "_node", "_pred"), [*mkey, "_node"]).select(
-            *key, "_rid", (F.lit(weight) * F.col("_pred")).alias("_d"))
+        # the rows carry their score: one join with the (small) leaf table, no row-to-row join
         state = cut_lineage(
-            state.join(step, [*key, "_rid"]).withColumn("_F", F.col("_F") + F.col("_d")).drop("_d"))
+            grown.join(leaves.select(*mkey, "_node", "_pred"), [*mkey, "_node"])
+            .select(*key, "_rid", "_y0", "_b", (F.col("_F") + F.lit(weight) * F.col("_pred")).alias("_F")))
     internal = internals[0] if internals else _attach_thresholds(None, cuts, mkey, spark)
     for i in internals[1:]:
         internal = internal.unionByName(i)
