@@ -654,3 +654,17 @@ def q_linear_report_prefix(spark, sf):
     from ..session import cut_lineage
     e = cut_lineage(flows.analysis_table(spark, sf, groups="brand"))
     return quantise(flows.linear_report(e, flows.POOLED_FEATURES, None, match="prefix"), REPORT_Q)
+
+
+_BOOST_CTES, _BOOST_PRED = O.grouped_boosting_ctes(flows.GROUP_FEATURES, 10, 3)
+
+
+@register("gbt_grouped_depth3", O.with_ctes(
+    f"SELECT DRGDefinition, ProviderId, label, {O.q('prediction', 4)} AS prediction FROM {_BOOST_PRED}",
+    "test", _BOOST_CTES))
+def q_gbt_grouped_depth3(spark, sf):
+    """Per-group boosting with shallow trees (10 rounds, depth 3): the boosting rules checked
+    value by value against SQL (the depth-12 configuration is ``gbt_grouped``)."""
+    from .models import grouped_predictions
+    p = grouped_predictions(_model_input(spark, sf), "boosted", flows.GROUP_FEATURES, max_iter=10, max_depth=3)
+    return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
