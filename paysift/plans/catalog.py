@@ -668,3 +668,18 @@ def q_gbt_grouped_depth3(spark, sf):
     from .models import grouped_predictions
     p = grouped_predictions(_model_input(spark, sf), "boosted", flows.GROUP_FEATURES, max_iter=10, max_depth=3)
     return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
+
+
+_FOREST_CTES, _FOREST_PRED = O.grouped_forest_ctes(flows.GROUP_FEATURES, 5, 4, 1)
+
+
+@register("rf_grouped_small", O.with_ctes(
+    f"SELECT DRGDefinition, ProviderId, label, {O.q('prediction', 4)} AS prediction FROM {_FOREST_PRED}",
+    "test", _FOREST_CTES))
+def q_rf_grouped_small(spark, sf):
+    """Per-group forests with the same rules as ``rf_grouped`` (bootstrap weights and per-node
+    feature choice from md5, one feature of three per node) but 5 trees of depth 4, so the
+    forest can be checked value by value against SQL."""
+    from .models import grouped_predictions
+    p = grouped_predictions(_model_input(spark, sf), "forest", flows.GROUP_FEATURES, num_trees=5, max_depth=4)
+    return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})

@@ -386,3 +386,90 @@ def grouped_boosting_ctes(features: list[str], rounds: int, depth: int, step: fl
                                   "ON t.g = l.g AND t.node = l.node"))
     ctes.append(("boost_pred", f"SELECT g AS DRGDefinition, pid AS ProviderId, y AS label, P AS prediction FROM p{rounds}"))
     return ctes, "boost_pred"
+
+
+def _unit_hash_sql(parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def grouped_forest_ctes(features: list[str], trees: int, depth: int, m_features: int, seed: int = 5043
+                        ) -> tuple[list[tuple[str, str]], str]:
+    """Random forest per group: trees grow in parallel keyed by (group, tree), rows weighted by
+    Poisson(1) draws from md5(row id, tree), each node choosing its ``m_features`` features by
+    md5(group, tree, node, feature); leaves hold weighted means, predictions average the trees."""
+    from ..operators.tree_local import POISSON_CDF
+
+    k = len(features)
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    xl = ", ".join(f"x{i}" for i in range(k))
+    u = _unit_hash_sql(f"rid, CAST(tree AS VARCHAR), 'boot{seed}'")
+    poisson = f"{len(POISSON_CDF)}"
+    for j in reversed(range(len(POISSON_CDF))):
+        poisson = f"CASE WHEN {u} < {POISSON_CDF[j]!r} THEN {j} ELSE {poisson} END"
+    imp = lambda w, s, ss: f"(({ss}) - ({s}) * ({s}) / ({w})) / ({w})"
+    gain = (f"{imp('wt', 'st', 'sst')} - wl / wt * {imp('wl', 'sl', 'ssl')} "
+            f"- (wt - wl) / wt * {imp('wt - wl', 'st - sl', 'sst - ssl')}")
+    uh = lambda j: _unit_hash_sql(f"g, CAST(tree AS VARCHAR), CAST(node AS VARCHAR), '{seed}:{j}'")
+    ctes = [
+        ("f_rows", f"SELECT DRGDefinition AS g, ProviderId AS pid, concat_ws('|', DRGDefinition, ProviderId) AS rid, "
+                   f"{xs}, label AS y FROM train"),
+        ("cuts", "SELECT g, f, v, (v + lead(v) OVER (PARTITION BY g, f ORDER BY v)) / 2.0 AS thr FROM ("
+                 + " UNION ".join(f"SELECT g, {i} AS f, x{i} AS v FROM f_rows" for i in range(k)) + ")"),
+        ("f_rep", f"SELECT *, CAST(unnest(range({trees})) AS INTEGER) AS tree FROM f_rows"),
+        ("fr0", f"SELECT * FROM (SELECT g, tree, pid, {xl}, y, CAST(({poisson}) AS DOUBLE) AS w, "
+                "CAST(1 AS BIGINT) AS node, FALSE AS done FROM f_rep) WHERE w > 0"),
+    ]
+    for lv in range(depth):
+        r = f"fr{lv}"
+        longs = " UNION ALL ".join(
+            f"SELECT g, tree, node, {i} AS f, x{i} AS v, y, w FROM {r} WHERE NOT done" for i in range(k))
+        keep = ""
+        if m_features < k:
+            below = " + ".join(f"CASE WHEN {uh(j)} < {uh('FEAT')} THEN 1 ELSE 0 END" for j in range(k))
+            keep = f"WHERE ({below.replace(chr(39) + str(seed) + ':FEAT' + chr(39), chr(39) + str(seed) + ':' + chr(39) + ' || CAST(f AS VARCHAR)')}) < {m_features}"
+        ctes += [
+            (f"fagg{lv}", f"SELECT g, tree, node, f, v, count(*) AS c, sum(w) AS sw, sum(w * y) AS s, "
+                          f"sum(w * y * y) AS ss FROM ({longs}) {keep} GROUP BY g, tree, node, f, v"),
+            (f"fcum{lv}", f"""
+    SELECT g, tree, node, f, v,
+           sum(c) OVER w AS cl, sum(sw) OVER w AS wl, sum(s) OVER w AS sl, sum(ss) OVER w AS ssl,
+           sum(c) OVER q AS ct, sum(sw) OVER q AS wt, sum(s) OVER q AS st, sum(ss) OVER q AS sst
+    FROM fagg{lv}
+    WINDOW w AS (PARTITION BY g, tree, node, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           q AS (PARTITION BY g, tree, node, f)"""),
+            (f"fgain{lv}", f"SELECT *, {gain} AS gain, "
+                           f"floor(({gain}) / ({imp('wt', 'st', 'sst')}) * 1e9 + CAST({Q_OFFSET!r} AS DOUBLE)) AS gkey "
+                           f"FROM fcum{lv} WHERE cl >= 1 AND ct - cl >= 1 AND wl > 0 AND wt - wl > 0 "
+                           f"AND {imp('wt', 'st', 'sst')} > 0"),
+            (f"fbest{lv}", f"""
+    SELECT b.g, b.tree, b.node, b.f, b.v, c.thr FROM (
+      SELECT *, row_number() OVER (PARTITION BY g, tree, node ORDER BY gkey DESC, f, v) AS rn FROM fgain{lv}) b
+    JOIN cuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
+    WHERE b.rn = 1 AND b.gain > 0"""),
+            (f"fr{lv + 1}", f"""
+    SELECT r.g, r.tree, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y, r.w,
+           CASE WHEN b.f IS NULL THEN r.node
+                ELSE r.node * 2 + CASE WHEN (CASE b.f {' '.join(f'WHEN {i} THEN r.x{i}' for i in range(k))} END) <= b.v
+                                       THEN 0 ELSE 1 END END AS node,
+           r.done OR b.f IS NULL AS done
+    FROM {r} r LEFT JOIN fbest{lv} b ON r.g = b.g AND r.tree = b.tree AND r.node = b.node"""),
+        ]
+    ctes.append(("fleaves", f"SELECT g, tree, node, sum(w * y) / sum(w) AS pred FROM fr{depth} GROUP BY g, tree, node"))
+    txs = ", ".join(f"CAST(t.{f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    ctes.append(("ft0", f"SELECT t.DRGDefinition AS g, k.tree, t.ProviderId AS pid, {txs}, "
+                        "t.label AS y, CAST(1 AS BIGINT) AS node FROM test t "
+                        "JOIN (SELECT DISTINCT g, tree FROM fleaves) k ON t.DRGDefinition = k.g"))
+    prev = "ft0"
+    for lv in range(depth):
+        cur = f"ft{lv + 1}"
+        ctes.append((cur, f"""
+    SELECT t.g, t.tree, t.pid, {', '.join(f't.x{i}' for i in range(k))}, t.y,
+           CASE WHEN b.f IS NULL THEN t.node
+                ELSE t.node * 2 + CASE WHEN (CASE b.f {' '.join(f'WHEN {i} THEN t.x{i}' for i in range(k))} END) <= b.thr
+                                       THEN 0 ELSE 1 END END AS node
+    FROM {prev} t LEFT JOIN fbest{lv} b ON t.g = b.g AND t.tree = b.tree AND t.node = b.node"""))
+        prev = cur
+    ctes.append(("forest_pred", f"SELECT t.g AS DRGDefinition, t.pid AS ProviderId, t.y AS label, avg(l.pred) AS prediction "
+                                f"FROM {prev} t JOIN fleaves l ON t.g = l.g AND t.tree = l.tree AND t.node = l.node "
+                                "GROUP BY t.g, t.pid, t.y"))
+    return ctes, "forest_pred"
