@@ -56,6 +56,7 @@ def _model_input(spark, sf, ml: bool = False) -> DataFrame:
 
 
 M = fx.PRICE_MONTH
+SEED_ML = 5043  # the original's model seed
 JOINED_COLS = f'DRGDefinition, ProviderId, ProviderZipCode, TotalDischarges, "{M}", AverageTotalPayments'
 
 # ---------------------------------------------------------------------------------------------
@@ -508,8 +509,6 @@ def q_rf_classifier(spark, sf):
     return errors.accuracy(pred, "label", "prediction")
 
 
-SEED_ML = 5043
-
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
