@@ -16,6 +16,9 @@ import math
 import numpy as np
 
 RANK_OFFSET = 0.4618033988749895
+# Largest (nodes x bins) histogram built at once per feature (bounds a task's memory at deep
+# levels of a large group: 4 statistics x 8 bytes x 1M cells, plus their running sums).
+CELL_BUDGET = 1_000_000
 # Poisson(1) inverse CDF table for bootstrap weights: P(K <= j) = e^-1 * sum_{i<=j} 1/i!
 POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j in range(12)]
 
@@ -65,26 +68,33 @@ def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max
                 allowed[i] = [sum(uj < u[f] for uj in u) < m_features for f in range(k)]
         for f in range(k):
             nb = len(thr[f])
-            cell = inv * nb + B[rows, f]
-            hist = [np.bincount(cell, weights=v, minlength=m * nb).reshape(m, nb)
-                    for v in (None, w[rows], wy[rows], wyy[rows])]
-            cl, wl, sl, ssl = (np.cumsum(h, axis=1) for h in hist)
-            ct, wt, st, sst = (c[:, -1:] for c in (cl, wl, sl, ssl))
-            cr, wr, sr, ssr = ct - cl, wt - wl, st - sl, sst - ssl
-            with np.errstate(divide="ignore", invalid="ignore"):
-                imp_t = _imp(wt, st, sst)
-                gain = imp_t - wl / wt * _imp(wl, sl, ssl) - wr / wt * _imp(wr, sr, ssr)
-                gkey = np.floor(gain / imp_t * 1e9 + RANK_OFFSET)
-            valid = ((cl >= min_instances) & (cr >= min_instances) & (wl > 0) & (wr > 0)
-                     & (imp_t > 0) & allowed[:, f:f + 1])
-            gkey = np.where(valid, gkey, -np.inf)
-            top = np.argmax(gkey, axis=1)
-            top_key = gkey[np.arange(m), top]
-            better = top_key > best_key
-            best_key = np.where(better, top_key, best_key)
-            best_f = np.where(better, f, best_f)
-            best_bin = np.where(better, top, best_bin)
-            best_gain = np.where(better, gain[np.arange(m), top], best_gain)
+            # nodes are processed in chunks so a histogram never exceeds CELL_BUDGET cells
+            per = max(1, CELL_BUDGET // max(nb, 1))
+            for lo in range(0, m, per):
+                hi = min(m, lo + per)
+                sel = (inv >= lo) & (inv < hi) if (lo > 0 or hi < m) else slice(None)
+                r_sel, i_sel = rows[sel], inv[sel] - lo
+                mc = hi - lo
+                cell = i_sel * nb + B[r_sel, f]
+                hist = [np.bincount(cell, weights=v, minlength=mc * nb).reshape(mc, nb)
+                        for v in (None, w[r_sel], wy[r_sel], wyy[r_sel])]
+                cl, wl, sl, ssl = (np.cumsum(h, axis=1) for h in hist)
+                ct, wt, st, sst = (c[:, -1:] for c in (cl, wl, sl, ssl))
+                cr, wr, sr, ssr = ct - cl, wt - wl, st - sl, sst - ssl
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    imp_t = _imp(wt, st, sst)
+                    gain = imp_t - wl / wt * _imp(wl, sl, ssl) - wr / wt * _imp(wr, sr, ssr)
+                    gkey = np.floor(gain / imp_t * 1e9 + RANK_OFFSET)
+                valid = ((cl >= min_instances) & (cr >= min_instances) & (wl > 0) & (wr > 0)
+                         & (imp_t > 0) & allowed[lo:hi, f:f + 1])
+                gkey = np.where(valid, gkey, -np.inf)
+                top = np.argmax(gkey, axis=1)
+                top_key = gkey[np.arange(mc), top]
+                better = top_key > best_key[lo:hi]
+                best_key[lo:hi] = np.where(better, top_key, best_key[lo:hi])
+                best_f[lo:hi] = np.where(better, f, best_f[lo:hi])
+                best_bin[lo:hi] = np.where(better, top, best_bin[lo:hi])
+                best_gain[lo:hi] = np.where(better, gain[np.arange(mc), top], best_gain[lo:hi])
         split = (best_f >= 0) & (best_gain > 0)
         if not split.any():
             break
