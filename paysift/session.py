@@ -32,14 +32,17 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, local runs)
-    create a private scratch folder for it."""
+    """Use the cluster's ``spark.checkpoint.dir`` (a shared folder every executor can reach).
+    Only a local-mode session without that setting (tests, laptop runs) gets a private scratch
+    folder; on a cluster a missing setting is an error, never a machine-local folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (iterative plans checkpoint there)")
         conf_dir = tempfile.mkdtemp(prefix="paysift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
