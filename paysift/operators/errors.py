@@ -101,8 +101,10 @@ def error_report(predictions: DataFrame, train: DataFrame, group: str, label: st
 
 
 def order_report(report: DataFrame) -> DataFrame:
-    """``Overall`` first, then groups ascending."""
-    return report.orderBy((F.col("DRG") != F.lit(OVERALL)).cast("int"), "DRG")
+    """``Overall`` first, then groups ascending. A report has one row per group, so it is
+    gathered into one partition and sorted there (no range-sampling job as ``orderBy`` needs);
+    the report sink writes that partition as one file in this order."""
+    return report.repartition(1).sortWithinPartitions((F.col("DRG") != F.lit(OVERALL)).cast("int"), "DRG")
 
 
 def r2(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
