@@ -421,7 +421,8 @@ def q_glm_gaussian(spark, sf):
 
 @register("glm_gamma")
 def q_glm_gamma(spark, sf):
-    return _glm(spark, sf, "gamma", "log")
+    """The gamma family honoured (the original ignored it), with its canonical inverse link."""
+    return _glm(spark, sf, "gamma", "inverse")
 
 
 @register("glm_r2")
