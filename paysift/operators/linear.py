@@ -69,11 +69,22 @@ def group_moments(train: DataFrame, group: str | None, features: list[str], labe
     )
 
 
+def ridge_steps(k: int, reg: float) -> list[tuple[str, str]]:
+    """Scale the diagonal of the centred normal equations by ``1 + reg / sd(y)``: the L2
+    penalty of Spark ML's gaussian/identity ``GeneralizedLinearRegression`` (and of
+    ``LinearRegression`` with ``elasticNetParam=0``), which penalises standardized coefficients
+    by ``regParam / sd(label)`` with population standard deviations."""
+    scale = f"(1.0 + CASE WHEN c_y_y > 0 THEN {reg!r} / sqrt(c_y_y / n) ELSE 0.0 END)"
+    return [(f"c_{i}_{i}", f"c_{i}_{i} * {scale}") for i in range(k)]
+
+
 def fit_ols(train: DataFrame, features: list[str], label: str = "label", group: str | None = None,
-            tol: float = TOLERANCE) -> DataFrame:
+            tol: float = TOLERANCE, ridge: float = 0.0) -> DataFrame:
     """Coefficients per group: ``group, n, intercept, b_0 .. b_{k-1}`` (one row per group).
 
     Without ``group`` a single pooled model is returned under the key column ``_all``.
+    ``ridge > 0`` adds Spark ML's L2 penalty (``ridge_steps``); per group it gives the
+    gaussian GLM of every group in the same two aggregates.
     """
     k = len(features)
     g = group or ALL
@@ -90,8 +101,10 @@ def fit_ols(train: DataFrame, features: list[str], label: str = "label", group:
     )
     sums = [F.sum(F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"c_{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(F.col(f"d_{i}") * F.col("d_y")).alias(f"c_{i}_y") for i in range(k)]
+    sums += [F.sum(F.col("d_y") * F.col("d_y")).alias("c_y_y")]
     stats = centred.groupBy(g, "n", *[f"m_{i}" for i in range(k)], "m_y").agg(*sums)
-    for name, sql in solver_steps(k, tol):
+    steps = (ridge_steps(k, ridge) if ridge else []) + solver_steps(k, tol)
+    for name, sql in steps:
         stats = stats.withColumn(name, F.expr(sql))
     intercept = " ".join(f"- b_{i} * m_{i}" for i in range(k))
     return stats.select(

@@ -9,7 +9,7 @@ performs in decimal).
 
 from __future__ import annotations
 
-from ..operators.linear import TOLERANCE, solver_steps
+from ..operators.linear import TOLERANCE, ridge_steps, solver_steps
 
 MONTH = '"2000-12"'
 
@@ -92,7 +92,8 @@ def with_ctes(body: str, upto: str, extra: list[tuple[str, str]] | None = None,
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
-def ols_ctes(features: list[str], group: str | None, train: str = "train", prefix: str = "o") -> tuple[list[tuple[str, str]], str]:
+def ols_ctes(features: list[str], group: str | None, train: str = "train", prefix: str = "o",
+             ridge: float = 0.0) -> tuple[list[tuple[str, str]], str]:
     """CTEs fitting OLS per group (or pooled) with the same arithmetic as ``fit_ols``.
     Returns the CTE list and the name of the coefficient CTE (columns ``g, n, intercept, b_i``)."""
     k = len(features)
@@ -103,12 +104,16 @@ def ols_ctes(features: list[str], group: str | None, train: str = "train", prefi
     ctes.append((f"{prefix}_m", f"SELECT g, count(*) AS n, {means}, avg(y) AS m_y FROM {prefix}_rows GROUP BY g"))
     sums = [f"sum((x_{i} - m_{i}) * (x_{j} - m_{j})) AS c_{i}_{j}" for i in range(k) for j in range(i, k)]
     sums += [f"sum((x_{i} - m_{i}) * (y - m_y)) AS c_{i}_y" for i in range(k)]
+    sums += ["sum((y - m_y) * (y - m_y)) AS c_y_y"]
     keys = ", ".join(["g", "n"] + [f"m_{i}" for i in range(k)] + ["m_y"])
     ctes.append((f"{prefix}_s0", f"SELECT {keys}, {', '.join(sums)} FROM {prefix}_rows JOIN {prefix}_m USING (g) GROUP BY {keys}"))
     prev = f"{prefix}_s0"
-    for idx, (name, sql) in enumerate(solver_steps(k, TOLERANCE), start=1):
+    for idx, (name, sql) in enumerate((ridge_steps(k, ridge) if ridge else []) + solver_steps(k, TOLERANCE), start=1):
         cur = f"{prefix}_s{idx}"
-        ctes.append((cur, f"SELECT *, {sql} AS {name} FROM {prev}"))
+        # REPLACE keeps the column order when a step rewrites an existing column
+        body = (f"SELECT * REPLACE ({sql} AS {name}) FROM {prev}" if name.startswith("c_")
+                else f"SELECT *, {sql} AS {name} FROM {prev}")
+        ctes.append((cur, body))
         prev = cur
     intercept = " ".join(f"- b_{i} * m_{i}" for i in range(k))
     bs = ", ".join(f"b_{i}" for i in range(k))
@@ -116,8 +121,9 @@ def ols_ctes(features: list[str], group: str | None, train: str = "train", prefi
     return ctes, f"{prefix}_coef"
 
 
-def ols_prediction_ctes(features: list[str], group: str | None, test: str = "test", prefix: str = "o") -> tuple[list[tuple[str, str]], str]:
-    ctes, coef = ols_ctes(features, group, prefix=prefix)
+def ols_prediction_ctes(features: list[str], group: str | None, test: str = "test", prefix: str = "o",
+                        ridge: float = 0.0) -> tuple[list[tuple[str, str]], str]:
+    ctes, coef = ols_ctes(features, group, prefix=prefix, ridge=ridge)
     pred = "c.intercept" + "".join(f" + c.b_{i} * CAST(t.{f} AS DOUBLE)" for i, f in enumerate(features))
     ctes.append((f"{prefix}_pred", f"SELECT t.*, {pred} AS prediction FROM {test} t JOIN {coef} c ON {('t.' + group) if group else '0'} = c.g"))
     return ctes, f"{prefix}_pred"

@@ -141,3 +141,16 @@ def test_mixed_paths_match_single_path(spark, table):
     a = fit(trees.LOCAL_MAX_ROWS).predict(test).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
     b = fit(bound).predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(a, b) < 1e-6
+
+
+def test_ridge_closed_form_equals_spark_ml_glr(spark, table):
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    train, test = flows.train_test(table)
+    coef = linear.fit_ols(train, flows.GLM_FEATURES, "label", ridge=0.3)
+    mine = linear.predict_ols(test, coef, flows.GLM_FEATURES).select(fx.GROUP, fx.PROVIDER, "prediction")
+    va = VectorAssembler(inputCols=flows.GLM_FEATURES, outputCol="features")
+    glr = GeneralizedLinearRegression(labelCol="label", family="gaussian", link="identity", maxIter=10,
+                                      regParam=0.3).fit(va.transform(train))
+    ml = glr.transform(va.transform(test)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
+    assert _max_diff(ml, mine) < 1e-5
