@@ -1,7 +1,7 @@
 """Scalar column expressions.
 
 All of these are native Catalyst expressions, so they stay inside whole-stage codegen and do not
-block predicate pushdown or constant folding (the reference used opaque UDFs for each of them).
+block predicate pushdown or constant folding (the original application used opaque UDFs for each of them).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def _col(c) -> Column:
 def strip_currency(c, strict: bool = True) -> Column:
     """Remove every ``$`` and parse the rest as a double.
 
-    ``strict`` raises on unparsable text (``1,234.5``, empty string) like the reference; the
+    ``strict`` raises on unparsable text (``1,234.5``, empty string) like the original; the
     lenient form returns null instead. Null stays null; blanks around the number are accepted.
     """
     text = F.regexp_replace(_col(c), r"\$", "")
