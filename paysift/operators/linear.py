@@ -4,9 +4,9 @@ Instead of fitting one distributed model per group in a driver loop, every group
 the same two aggregates:
 
 1. per group: row count and feature / label means (partial aggregation, tiny output);
-2. the means are joined back (one row per group, AQE broadcasts it when small) and the
-   centred cross products ``sum((x_i - m_i)(x_j - m_j))`` and ``sum((x_i - m_i)(y - m_y))``
-   are aggregated per group.
+2. the means are joined back (one row per group, AQE broadcasts it when small; a pooled fit
+   fetches its single row and uses literals instead) and the centred cross products
+   ``sum((x_i - m_i)(x_j - m_j))`` and ``sum((x_i - m_i)(y - m_y))`` are aggregated per group.
 
 The k x k normal equations of each group are then solved with column arithmetic on the
 one-row-per-group table (symmetric Gaussian elimination, i.e. Gram-Schmidt on the centred
@@ -93,16 +93,24 @@ def fit_ols(train: DataFrame, features: list[str], label: str = "label", group:
         F.col(_q(label)).cast("double").alias("y"),
     )
     moments = group_moments(rows, g, [f"x_{i}" for i in range(k)], "y")
-    # one row per group: broadcast outright when pooled, AQE decides for many groups
-    centred = rows.join(F.broadcast(moments) if group is None else moments, g).select(
-        g, "n", *[f"m_{i}" for i in range(k)], "m_y",
+    mcols = ["n", *[f"m_{i}" for i in range(k)], "m_y"]
+    if group is None:
+        # pooled: the moments are one row of k + 2 numbers; like a Spark ML fit, they come to
+        # the driver and enter as literals (no join on a constant key, codegen kept)
+        one = moments.select(*mcols).first()
+        centred = rows.select(g, *[F.lit(one[c]).alias(c) for c in mcols], *[F.col(f"x_{i}") for i in range(k)], "y")
+    else:
+        # one row per group: AQE broadcasts the moments when small, else a shuffle join
+        centred = rows.join(moments, g)
+    centred = centred.select(
+        g, *mcols,
         *[(F.col(f"x_{i}") - F.col(f"m_{i}")).alias(f"d_{i}") for i in range(k)],
         (F.col("y") - F.col("m_y")).alias("d_y"),
     )
     sums = [F.sum(F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"c_{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(F.col(f"d_{i}") * F.col("d_y")).alias(f"c_{i}_y") for i in range(k)]
     sums += [F.sum(F.col("d_y") * F.col("d_y")).alias("c_y_y")]
-    stats = centred.groupBy(g, "n", *[f"m_{i}" for i in range(k)], "m_y").agg(*sums)
+    stats = centred.groupBy(g, *mcols).agg(*sums)
     steps = (ridge_steps(k, ridge) if ridge else []) + solver_steps(k, tol)
     for name, sql in steps:
         stats = stats.withColumn(name, F.expr(sql))
@@ -114,16 +122,24 @@ def fit_ols(train: DataFrame, features: list[str], label: str = "label", group:
 
 def predict_ols(df: DataFrame, coefficients: DataFrame, features: list[str], group: str | None = None,
                 out: str = "prediction") -> DataFrame:
-    """Score rows with their group's coefficients (inner join on the group key: rows of groups
-    without a model drop). The coefficient table has one row per group."""
-    g = group or ALL
-    rows = df if group else df.withColumn(ALL, F.lit(0))
-    coef = coefficients.select(g, "intercept", *[f"b_{i}" for i in range(len(features))])
-    pred = F.col("intercept")
+    """Score rows with their group's coefficients. Per group: inner join on the group key (rows
+    of groups without a model drop; one coefficient row per group). Pooled: the k + 1
+    coefficients are fetched (one row, like a fitted Spark ML model) and enter as literals,
+    so the rows are not joined at all."""
+    k = len(features)
+    names = ["intercept", *[f"b_{i}" for i in range(k)]]
+    if group is None:
+        one = coefficients.select(*names).first()
+        coef = {c: F.lit(float(one[c])) for c in names}
+        rows = df
+    else:
+        rows = df.join(coefficients.select(group, *names), group)
+        coef = {c: F.col(c) for c in names}
+    pred = coef["intercept"]
     for i, f in enumerate(features):
-        pred = pred + F.col(f"b_{i}") * F.col(_q(f)).cast("double")
-    scored = rows.join(F.broadcast(coef) if group is None else coef, g).withColumn(out, pred).drop("intercept", *[f"b_{i}" for i in range(len(features))])
-    return scored if group else scored.drop(ALL)
+        pred = pred + coef[f"b_{i}"] * F.col(_q(f)).cast("double")
+    scored = rows.withColumn(out, pred)
+    return scored if group is None else scored.drop(*names)
 
 
 def fit_linear_ml(train: DataFrame, features_col: str = "features", label: str = "label"):
