@@ -38,9 +38,12 @@ def _imp(w, s, ss):
 
 
 def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max_depth: int, m_features: int,
-         key_parts: list[str], seed: int, min_instances: int = 1):
+         key_parts: list[str], seed: int, min_instances: int = 1, categorical: tuple[int, ...] = (),
+         vals: list[np.ndarray] | None = None):
     """Grow one tree. ``B``: rows x features bin indices (rows with weight > 0 only).
-    Returns (internal [(node, f, thr)], leaves [(node, pred, n)], node of every row).
+    Returns (internal [(node, f, thr, left categories or None)], leaves [(node, pred, n)],
+    node of every row). For a categorical feature (bins = categories, values in ``vals``) the
+    categories of a node are ordered by mean label, ties by value, and splits are prefixes.
 
     Vectorised per level: for each feature one ``bincount`` over (node, bin) cells gives the
     per-node histograms, cumulative sums along the bins give every candidate split, and the
@@ -61,6 +64,7 @@ def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max
         best_f = np.full(m, -1, dtype=np.int64)
         best_bin = np.zeros(m, dtype=np.int64)
         best_gain = np.zeros(m)
+        best_order = {}  # (feature, node index) -> category order, for categorical candidates
         allowed = np.ones((m, k), dtype=bool)
         if m_features < k:
             for i, nd in enumerate(ids):
@@ -78,6 +82,12 @@ def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max
                 cell = i_sel * nb + B[r_sel, f]
                 hist = [np.bincount(cell, weights=v, minlength=mc * nb).reshape(mc, nb)
                         for v in (None, w[r_sel], wy[r_sel], wyy[r_sel])]
+                order = None
+                if f in categorical:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        centroid = np.where(hist[1] > 0, hist[2] / hist[1], np.inf)
+                    order = np.argsort(centroid, axis=1, kind="stable")
+                    hist = [np.take_along_axis(h, order, axis=1) for h in hist]
                 cl, wl, sl, ssl = (np.cumsum(h, axis=1) for h in hist)
                 ct, wt, st, sst = (c[:, -1:] for c in (cl, wl, sl, ssl))
                 cr, wr, sr, ssr = ct - cl, wt - wl, st - sl, sst - ssl
@@ -95,15 +105,30 @@ def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max
                 best_f[lo:hi] = np.where(better, f, best_f[lo:hi])
                 best_bin[lo:hi] = np.where(better, top, best_bin[lo:hi])
                 best_gain[lo:hi] = np.where(better, gain[np.arange(mc), top], best_gain[lo:hi])
+                if order is not None:
+                    for i in np.nonzero(better)[0]:
+                        best_order[(f, lo + i)] = order[i]
         split = (best_f >= 0) & (best_gain > 0)
         if not split.any():
             break
+        left_sets = {}
         for i in np.nonzero(split)[0]:
-            internal.append((int(ids[i]), int(best_f[i]), float(thr[best_f[i]][best_bin[i]])))
+            f = int(best_f[i])
+            if f in categorical:
+                left = np.sort(best_order[(f, i)][: best_bin[i] + 1])
+                left_sets[i] = left
+                internal.append((int(ids[i]), f, None, [float(v) for v in vals[f][left]]))
+            else:
+                internal.append((int(ids[i]), f, float(thr[f][best_bin[i]]), None))
         row_split = split[inv]
         moving = rows[row_split]
         fr = best_f[inv][row_split]
         go_right = B[moving, fr] > best_bin[inv][row_split]
+        if left_sets:
+            node_of = inv[row_split]
+            for i, left in left_sets.items():
+                sel = node_of == i
+                go_right[sel] = ~np.isin(B[moving[sel], best_f[i]], left)
         node[moving] = node[moving] * 2 + go_right.astype(np.int64)
         active[rows[~row_split]] = False
     leaves = []

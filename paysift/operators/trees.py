@@ -96,7 +96,8 @@ class TreeEnsemble:
         return predict_ensemble(self, df, out)
 
 
-def _candidates(rows: DataFrame, key: list[str], max_bins: int) -> tuple[DataFrame, bool]:
+def _candidates(rows: DataFrame, key: list[str], max_bins: int,
+                categorical: tuple[int, ...] = ()) -> tuple[DataFrame, bool]:
     """Per (key, feature) bins and thresholds: ``key.., _f, _bv (bin upper value), _thr``.
 
     One aggregate per (key, feature) gives the distinct-value count, approximate quantiles and
@@ -113,6 +114,8 @@ def _candidates(rows: DataFrame, key: list[str], max_bins: int) -> tuple[DataFra
         F.percentile_approx("_v", probs, 10 * max_bins).alias("_q"),
         F.max("_v").alias("_max"),
     ).persist()
+    if categorical and stats.where(F.col("_f").isin(list(categorical)) & (F.col("_nd") > max_bins)).limit(1).count():
+        raise ValueError(f"a categorical feature has more than max_bins={max_bins} categories")
     few = stats.where(F.col("_nd") <= max_bins).select(*kf)
     exact = vals.join(few, kf, "left_semi").select(*kf, F.col("_v").alias("_bv")).distinct()
     w = Window.partitionBy(*kf).orderBy("_bv")
@@ -147,10 +150,16 @@ def _impurity(w: Column, s: Column, ss: Column) -> Column:
 
 
 def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: int, seed: int,
-          min_instances: int, checkpoint_interval: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+          min_instances: int, checkpoint_interval: int,
+          categorical: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Grow one tree per model key. ``rows``: key.., ``_rid``, ``_y``, ``_w``, ``_b`` (binned
     features) and any columns to carry along. Returns (internal splits on bins, the rows with
-    their leaf ``_node``, leaf stats, depth used)."""
+    their leaf ``_node``, leaf stats, depth used).
+
+    Features listed in ``categorical`` split on category sets as Spark ML does for regression:
+    within each node the categories are ordered by their mean label (ties by value) and the
+    candidate splits are the prefixes of that order."""
+    is_cat = F.col("_f").isin(list(categorical)) if categorical else F.lit(False)
     rows = rows.withColumns({"_node": F.lit(1).cast("long"), "_done": F.lit(False)})
     kn = [*key, "_node"]
     splits = []
@@ -168,12 +177,17 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
             F.count(F.lit(1)).alias("c"), F.sum("_w").alias("w"),
             F.sum(F.col("_w") * F.col("_y")).alias("s"), F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("ss"),
         )
-        w_run = Window.partitionBy(*kn, "_f").orderBy("_bv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # candidate order inside (key, node, feature): values ascending, or for a categorical
+        # feature the categories by mean label, then value
+        agg = agg.withColumn("_ord", F.when(is_cat, F.col("s") / F.col("w")).otherwise(F.col("_bv")))
+        w_run = (Window.partitionBy(*kn, "_f").orderBy("_ord", "_bv")
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         w_all = Window.partitionBy(*kn, "_f")
         c = agg.select(
-            *kn, "_f", "_bv",
+            *kn, "_f", "_bv", "_ord",
             *[F.sum(x).over(w_run).alias(f"{x}l") for x in ("c", "w", "s", "ss")],
             *[F.sum(x).over(w_all).alias(f"{x}t") for x in ("c", "w", "s", "ss")],
+            F.when(is_cat, F.collect_list("_bv").over(w_run)).alias("_cats"),
         )
         cr, wr = F.col("ct") - F.col("cl"), F.col("wt") - F.col("wl")
         sr, ssr = F.col("st") - F.col("sl"), F.col("sst") - F.col("ssl")
@@ -189,11 +203,11 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
             "_gain": F.when(valid, gain),
             "_gkey": F.when(valid & (imp_t > 0), F.floor(gain / imp_t * F.lit(1e9) + F.lit(RANK_OFFSET))),
         })
-        rank = Window.partitionBy(*kn).orderBy(F.col("_gkey").desc_nulls_last(), "_f", "_bv")
+        rank = Window.partitionBy(*kn).orderBy(F.col("_gkey").desc_nulls_last(), "_f", "_ord", "_bv")
         best = (
             scored.withColumn("_rn", F.row_number().over(rank))
             .where((F.col("_rn") == 1) & (F.col("_gain") > 0))
-            .select(*kn, "_f", "_bv")
+            .select(*kn, "_f", "_bv", F.array_sort("_cats").alias("_cats"))
             .persist()
         )
         if best.limit(1).count() == 0:
@@ -201,14 +215,17 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
             break
         depth_used = depth + 1
         splits.append(best)
-        go = F.when(F.element_at("_b", F.col("_sf") + 1) <= F.col("_sbv"), 0).otherwise(1)
+        xf = F.element_at("_b", F.col("_sf") + 1)
+        go = F.when(
+            F.col("_scats").isNotNull(), F.when(F.array_contains("_scats", xf), 0).otherwise(1)
+        ).otherwise(F.when(xf <= F.col("_sbv"), 0).otherwise(1))
         rows = (
-            rows.join(best.withColumnsRenamed({"_f": "_sf", "_bv": "_sbv"}), kn, "left")
+            rows.join(best.withColumnsRenamed({"_f": "_sf", "_bv": "_sbv", "_cats": "_scats"}), kn, "left")
             .withColumns({
                 "_node": F.when(F.col("_sf").isNotNull(), F.col("_node") * 2 + go).otherwise(F.col("_node")),
                 "_done": F.col("_done") | F.col("_sf").isNull(),
             })
-            .drop("_sf", "_sbv")
+            .drop("_sf", "_sbv", "_scats")
         )
         if checkpoint_interval and (depth + 1) % checkpoint_interval == 0:
             rows = cut_lineage(rows)
@@ -231,10 +248,13 @@ def _prepare(df: DataFrame, key: list[str], id_cols: list[str], features: list[s
 
 
 def _attach_thresholds(internal: DataFrame | None, cuts: DataFrame, key: list[str], spark) -> DataFrame:
+    """Split table: ``_thr`` for a value split (x <= thr goes left), ``_cats`` (the left
+    categories) for a category split."""
     if internal is None:
         schema = ", ".join(f"`{c}` string" for c in key)
-        return spark.createDataFrame([], f"{schema}, {TREE} int, _node long, _f int, _thr double")
-    return internal.join(cuts, [*[c for c in key if c != TREE], "_f", "_bv"]).select(*key, "_node", "_f", "_thr")
+        return spark.createDataFrame([], f"{schema}, {TREE} int, _node long, _f int, _thr double, _cats array<double>")
+    return internal.join(cuts, [*[c for c in key if c != TREE], "_f", "_bv"]).select(
+        *key, "_node", "_f", F.when(F.col("_cats").isNull(), F.col("_thr")).alias("_thr"), "_cats")
 
 
 def _split_by_size(df: DataFrame, key: list[str], local_max_rows: int) -> tuple[DataFrame, DataFrame | None]:
@@ -250,12 +270,12 @@ def _split_by_size(df: DataFrame, key: list[str], local_max_rows: int) -> tuple[
 def _local_schema(df: DataFrame, key: list[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keys = ", ".join(f"`{c}` {types[c]}" for c in key)
-    return f"_kind int, {keys}, {TREE} int, _node long, _f int, _thr double, _pred double, _n double"
+    return f"_kind int, {keys}, {TREE} int, _node long, _f int, _thr double, _cats array<double>, _pred double, _n double"
 
 
 def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode: str, num_trees: int = 1,
                max_depth: int, m_features: int, bootstrap: bool, seed: int, min_instances: int,
-               max_iter: int = 1, step_size: float = 0.1) -> DataFrame:
+               max_iter: int = 1, step_size: float = 0.1, categorical: tuple[int, ...] = ()) -> DataFrame:
     """Grow the trees of every (bounded) group in one pass: rows and the group's cut table are
     cogrouped by key, each group grows in one task with numpy. Returns model rows (``_kind``
     0 = split, 1 = leaf) in the layout of the distributed grower."""
@@ -266,7 +286,7 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
 
     # ship the numpy grower by value: executors need numpy/pandas only, not this package
     cloudpickle.register_pickle_by_value(tree_local)
-    out_cols = ["_kind", *key, TREE, "_node", "_f", "_thr", "_pred", "_n"]
+    out_cols = ["_kind", *key, TREE, "_node", "_f", "_thr", "_cats", "_pred", "_n"]
 
     def fit_group(pdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
@@ -275,17 +295,18 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
         X = np.stack(pdf["_x"].to_numpy()).astype(np.float64).reshape(len(pdf), k)
         y = pdf["_y"].to_numpy(dtype=np.float64)
         B = np.zeros((len(y), k), dtype=np.int64)
-        thr = []
+        thr, vals = [], []
         for f in range(k):
             c = cdf[cdf["_f"] == f].sort_values("_bv")
             bv = c["_bv"].to_numpy(dtype=np.float64)
             B[:, f] = np.searchsorted(bv, X[:, f], side="left")
             thr.append(c["_thr"].to_numpy(dtype=np.float64))
+            vals.append(bv)
         out = []
 
         def emit(tree, internal, leaves):
-            out.extend([0, *keyvals, tree, nd, f, t, None, None] for nd, f, t in internal)
-            out.extend([1, *keyvals, tree, nd, None, None, p, n] for nd, p, n in leaves)
+            out.extend([0, *keyvals, tree, nd, f, t, cats, None, None] for nd, f, t, cats in internal)
+            out.extend([1, *keyvals, tree, nd, None, None, None, p, n] for nd, p, n in leaves)
 
         if mode == "forest":
             rids = pdf["_rid"].tolist()
@@ -294,7 +315,7 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
                 keep = w > 0
                 parts = [str(v) for v in keyvals] + [str(t)]
                 internal, leaves, _ = grow(B[keep], thr, y[keep], w[keep], max_depth, m_features,
-                                           parts, seed, min_instances)
+                                           parts, seed, min_instances, categorical, vals)
                 emit(t, internal, leaves)
         else:
             F_ = np.zeros(len(y))
@@ -302,7 +323,8 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
             for m in range(max_iter):
                 target = y if m == 0 else 2.0 * (y - F_)
                 parts = [str(v) for v in keyvals] + [str(m)]
-                internal, leaves, node = grow(B, thr, target, ones, max_depth, k, parts, 0, min_instances)
+                internal, leaves, node = grow(B, thr, target, ones, max_depth, k, parts, 0, min_instances,
+                                              categorical, vals)
                 emit(m, internal, leaves)
                 value = {nd: p for nd, p, _ in leaves}
                 weight = 1.0 if m == 0 else step_size
@@ -317,14 +339,14 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
 
 def _model_parts(local: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, int]:
     local = cut_lineage(local)
-    internal = local.where(F.col("_kind") == 0).select(*key, TREE, "_node", "_f", "_thr")
+    internal = local.where(F.col("_kind") == 0).select(*key, TREE, "_node", "_f", "_thr", "_cats")
     leaves = local.where(F.col("_kind") == 1).select(*key, TREE, "_node", "_pred", "_n")
     deepest = local.agg(F.max("_node")).collect()[0][0] or 1
     return internal, leaves, int(deepest).bit_length() - 1
 
 
 def _forest_distributed(base, cuts, needs, key, k, num_trees, max_depth, m_features, use_boot, seed,
-                        min_instances, checkpoint_interval):
+                        min_instances, checkpoint_interval, categorical=()):
     spark = base.sparkSession
     rows = _binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x"))
     if num_trees > 1:
@@ -336,12 +358,12 @@ def _forest_distributed(base, cuts, needs, key, k, num_trees, max_depth, m_featu
     mkey = [*key, TREE]
     internal, _, leaves, depth = _grow(
         rows.select(*mkey, "_rid", "_y", "_w", "_b"), mkey, k, max_depth, m_features, seed, min_instances,
-        checkpoint_interval)
+        checkpoint_interval, categorical)
     return _attach_thresholds(internal, cuts, mkey, spark), leaves, depth
 
 
 def _boosted_distributed(base, cuts, needs, key, k, max_iter, step_size, max_depth, min_instances,
-                         checkpoint_interval):
+                         checkpoint_interval, categorical=()):
     spark = base.sparkSession
     rows = (_binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x")))
     state = cut_lineage(rows.select(*key, "_rid", F.col("_y").alias("_y0"), "_b", F.lit(0.0).alias("_F")))
@@ -352,7 +374,8 @@ def _boosted_distributed(base, cuts, needs, key, k, max_iter, step_size, max_dep
         target = F.col("_y0") if m == 0 else F.lit(2.0) * (F.col("_y0") - F.col("_F"))
         rows_m = state.select(*key, F.lit(m).alias(TREE), "_rid", target.alias("_y"), F.lit(1.0).alias("_w"),
                               "_b", "_y0", "_F")
-        internal, grown, leaves, depth = _grow(rows_m, mkey, k, max_depth, k, 0, min_instances, checkpoint_interval)
+        internal, grown, leaves, depth = _grow(rows_m, mkey, k, max_depth, k, 0, min_instances, checkpoint_interval,
+                                               categorical)
         depth_max = max(depth_max, depth)
         weight = 1.0 if m == 0 else step_size
         leaves = leaves.persist()
@@ -379,9 +402,9 @@ def _combine(parts: list[tuple[DataFrame, DataFrame, int]]) -> tuple[DataFrame,
     return internal, leaves, depth
 
 
-def _prepared(df, key, id_cols, features, label, max_bins):
+def _prepared(df, key, id_cols, features, label, max_bins, categorical=()):
     base = cut_lineage(_prepare(df, key, id_cols, features, label))
-    cuts, needs = _candidates(base, key, max_bins)
+    cuts, needs = _candidates(base, key, max_bins, categorical)
     return base, cuts, needs
 
 
@@ -392,58 +415,64 @@ def _only(df: DataFrame | None, keys_of: DataFrame, key: list[str]) -> DataFrame
 def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
                num_trees: int = 20, max_depth: int = 12, max_bins: int = 1000, subset: str | int = "auto",
                bootstrap: bool | None = None, seed: int = 5043, min_instances: int = 1,
-               checkpoint_interval: int = 1, local_max_rows: int = LOCAL_MAX_ROWS) -> TreeEnsemble:
+               checkpoint_interval: int = 1, local_max_rows: int = LOCAL_MAX_ROWS,
+               categorical: tuple[int, ...] = ()) -> TreeEnsemble:
     """Random forest (or one tree with ``num_trees=1``) for every distinct ``key``.
 
     ``id_cols`` identify a row (used for the bootstrap draw). Bootstrap defaults to on for more
     than one tree, like Spark ML. Candidate thresholds are computed once for all groups; groups
     with at most ``local_max_rows`` rows then grow in one task each (``applyInPandas``), larger
-    groups grow level-wise across the cluster (``local_max_rows=0`` sends every group there)."""
+    groups grow level-wise across the cluster (``local_max_rows=0`` sends every group there).
+    ``categorical`` lists the positions of category-coded features (at most ``max_bins``
+    categories; split on category sets ordered by mean label, as Spark ML does)."""
     k = len(features)
     use_boot = (num_trees > 1) if bootstrap is None else bootstrap
     m = _feature_count(subset, k, num_trees)
-    base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins)
+    base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins, categorical)
     small, large = _split_by_size(base, key, local_max_rows) if local_max_rows else (None, base)
     parts = []
     if small is not None:
         local = _fit_local(small, cuts, key, k, mode="forest", num_trees=num_trees, max_depth=max_depth,
-                           m_features=m, bootstrap=use_boot, seed=seed, min_instances=min_instances)
+                           m_features=m, bootstrap=use_boot, seed=seed, min_instances=min_instances,
+                           categorical=categorical)
         parts.append(_model_parts(local, key))
     if large is not None:
         parts.append(_forest_distributed(large, _only(cuts, large, key), needs, key, k, num_trees, max_depth, m,
-                                         use_boot, seed, min_instances, checkpoint_interval))
+                                         use_boot, seed, min_instances, checkpoint_interval, categorical))
     internal, leaves, depth = _combine(parts)
     return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
 
 
 def fit_tree(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
              max_depth: int = 3, max_bins: int = 100, min_instances: int = 1, checkpoint_interval: int = 1,
-             local_max_rows: int = LOCAL_MAX_ROWS) -> TreeEnsemble:
+             local_max_rows: int = LOCAL_MAX_ROWS, categorical: tuple[int, ...] = ()) -> TreeEnsemble:
     """One regression tree per key (Spark ML ``DecisionTreeRegressor`` semantics)."""
     return fit_forest(df, key, id_cols, features, label, num_trees=1, max_depth=max_depth, max_bins=max_bins,
                       subset="all", bootstrap=False, min_instances=min_instances,
-                      checkpoint_interval=checkpoint_interval, local_max_rows=local_max_rows)
+                      checkpoint_interval=checkpoint_interval, local_max_rows=local_max_rows,
+                      categorical=categorical)
 
 
 def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
                 max_iter: int = 10, step_size: float = 0.1, max_depth: int = 12, max_bins: int = 100,
                 min_instances: int = 1, checkpoint_interval: int = 1,
-                local_max_rows: int = LOCAL_MAX_ROWS) -> TreeEnsemble:
+                local_max_rows: int = LOCAL_MAX_ROWS, categorical: tuple[int, ...] = ()) -> TreeEnsemble:
     """Gradient-boosted regression trees with squared error, per key (Spark ML ``GBTRegressor``
     semantics: the first tree fits ``y`` with weight 1, each later tree fits ``2 * (y - F)``
     with weight ``step_size``). Bounded groups boost inside one task; larger groups run one
     distributed grower per round, rows keeping their running score ``F``."""
     k = len(features)
-    base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins)
+    base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins, categorical)
     small, large = _split_by_size(base, key, local_max_rows) if local_max_rows else (None, base)
     parts = []
     if small is not None:
         local = _fit_local(small, cuts, key, k, mode="boost", max_depth=max_depth, m_features=k, bootstrap=False,
-                           seed=0, min_instances=min_instances, max_iter=max_iter, step_size=step_size)
+                           seed=0, min_instances=min_instances, max_iter=max_iter, step_size=step_size,
+                           categorical=categorical)
         parts.append(_model_parts(local, key))
     if large is not None:
         parts.append(_boosted_distributed(large, _only(cuts, large, key), needs, key, k, max_iter, step_size,
-                                          max_depth, min_instances, checkpoint_interval))
+                                          max_depth, min_instances, checkpoint_interval, categorical))
     internal, leaves, depth = _combine(parts)
     weights = [1.0] + [step_size] * (max_iter - 1)
     return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
@@ -455,7 +484,7 @@ def model_table(model: TreeEnsemble) -> DataFrame:
     (trees x nodes per key), not by the data."""
     mkey = [*model.key, TREE]
     splits = model.internal.groupBy(*mkey).agg(
-        F.map_from_entries(F.collect_list(F.struct("_node", F.struct("_f", "_thr")))).alias("_splits"))
+        F.map_from_entries(F.collect_list(F.struct("_node", F.struct("_f", "_thr", "_cats")))).alias("_splits"))
     leaves = model.leaves.groupBy(*mkey).agg(
         F.map_from_entries(F.collect_list(F.struct("_node", "_pred"))).alias("_leaves"))
     weights = F.element_at(F.array(*[F.lit(float(w)) for w in model.tree_weights]), F.col(TREE) + 1)
@@ -474,7 +503,9 @@ def predict_ensemble(model: TreeEnsemble, df: DataFrame, out: str = "prediction"
     def walk(t):
         def step(n, _):
             sp = F.try_element_at(t["_splits"], n)
-            go = F.when(F.element_at(x, sp["_f"] + 1) <= sp["_thr"], 0).otherwise(1)
+            xf = F.element_at(x, sp["_f"] + 1)
+            go = F.when(sp["_cats"].isNotNull(), F.when(F.array_contains(sp["_cats"], xf), 0).otherwise(1)) \
+                .otherwise(F.when(xf <= sp["_thr"], 0).otherwise(1))
             return F.when(sp.isNotNull(), n * 2 + go).otherwise(n)
         depth = F.sequence(F.lit(1), F.lit(max(model.depth, 1)))
         leaf = F.aggregate(depth, F.lit(1).cast("long"), step)

@@ -704,3 +704,25 @@ def q_rf_grouped_small(spark, sf):
     from .models import grouped_predictions
     p = grouped_predictions(_model_input(spark, sf), "forest", flows.GROUP_FEATURES, num_trees=5, max_depth=4)
     return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
+
+
+_POOLED_TREE_CTES, _POOLED_TREE_PRED = O.pooled_tree_ctes(flows.TREE_POOLED_FEATURES, (0,), 3)
+
+
+def _pooled_tree_report_sql() -> str:
+    rctes, both = O.report_ctes(_POOLED_TREE_PRED)
+    return O.with_ctes(O.report_select(both, overall=True), "test", _POOLED_TREE_CTES + rctes)
+
+
+@register("tree_pooled_levelwise", _pooled_tree_report_sql())
+def q_tree_pooled_levelwise(spark, sf):
+    """The original's pooled tree report (depth 3, 100 bins, the group index categorical) from
+    the level-wise grower, which reproduces Spark ML's ``DecisionTreeRegressor`` here (tests) and
+    can be checked against SQL; ``tree_pooled`` is the same report through Spark ML."""
+    from ..operators import trees
+    e = _model_input(spark, sf).withColumn("_pool", F.lit("all"))
+    train, test = flows.train_test(e)
+    model = trees.fit_tree(train, ["_pool"], [fx.GROUP, fx.PROVIDER], flows.TREE_POOLED_FEATURES, flows.LABEL,
+                           max_depth=3, max_bins=100, categorical=(0,))
+    report = errors.error_report(model.predict(test), train, fx.GROUP, flows.LABEL, "prediction", overall=True)
+    return quantise(report, REPORT_Q)

@@ -479,3 +479,69 @@ def grouped_forest_ctes(features: list[str], trees: int, depth: int, m_features:
                                 f"FROM {prev} t JOIN fleaves l ON t.g = l.g AND t.tree = l.tree AND t.node = l.node "
                                 "GROUP BY t.g, t.pid, t.y"))
     return ctes, "forest_pred"
+
+
+def pooled_tree_ctes(features: list[str], categorical: tuple[int, ...], depth: int) -> tuple[list[tuple[str, str]], str]:
+    """One pooled regression tree in SQL with categorical features, following the grower: a
+    categorical feature's candidates are the prefixes of its categories ordered by mean label
+    in the node (ties by value); a row goes left when its category is in the left set.
+    Returns CTEs and the name of the test-row prediction CTE (with each row's group)."""
+    k = len(features)
+    cats = ", ".join(str(i) for i in categorical) or "-1"
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    imp = lambda w, s, ss: f"(({ss}) - ({s}) * ({s}) / ({w})) / ({w})"
+    gain = (f"{imp('ct', 'st', 'sst')} - cl / ct * {imp('cl', 'sl', 'ssl')} "
+            f"- (ct - cl) / ct * {imp('ct - cl', 'st - sl', 'sst - ssl')}")
+
+    def goes(alias: str, bound: str) -> str:
+        xv = f"(CASE b.f {' '.join(f'WHEN {i} THEN {alias}.x{i}' for i in range(k))} END)"
+        return (f"CASE WHEN b.cats IS NOT NULL THEN (CASE WHEN list_contains(b.cats, {xv}) THEN 0 ELSE 1 END) "
+                f"ELSE (CASE WHEN {xv} <= b.{bound} THEN 0 ELSE 1 END) END")
+
+    ctes = [
+        ("pt0", f"SELECT 'all' AS g, DRGDefinition AS d, ProviderId AS pid, {xs}, label AS y, "
+                "CAST(1 AS BIGINT) AS node, FALSE AS done FROM train"),
+        ("pcuts", "SELECT g, f, v, (v + lead(v) OVER (PARTITION BY g, f ORDER BY v)) / 2.0 AS thr FROM ("
+                  + " UNION ".join(f"SELECT g, {i} AS f, x{i} AS v FROM pt0" for i in range(k)) + ")"),
+    ]
+    for lv in range(depth):
+        r = f"pt{lv}"
+        longs = " UNION ALL ".join(f"SELECT g, node, {i} AS f, x{i} AS v, y FROM {r} WHERE NOT done" for i in range(k))
+        ctes += [
+            (f"pagg{lv}", f"SELECT *, CASE WHEN f IN ({cats}) THEN s / c ELSE v END AS ord FROM ("
+                          f"SELECT g, node, f, v, count(*) AS c, sum(y) AS s, sum(y * y) AS ss FROM ({longs}) "
+                          "GROUP BY g, node, f, v)"),
+            (f"pcum{lv}", f"""
+    SELECT g, node, f, v, ord,
+           CAST(sum(c) OVER w AS DOUBLE) AS cl, sum(s) OVER w AS sl, sum(ss) OVER w AS ssl,
+           CAST(sum(c) OVER p AS DOUBLE) AS ct, sum(s) OVER p AS st, sum(ss) OVER p AS sst,
+           CASE WHEN f IN ({cats}) THEN list(v) OVER w END AS cats
+    FROM pagg{lv}
+    WINDOW w AS (PARTITION BY g, node, f ORDER BY ord, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           p AS (PARTITION BY g, node, f)"""),
+            (f"pgain{lv}", f"SELECT *, {gain} AS gain, "
+                           f"floor(({gain}) / ({imp('ct', 'st', 'sst')}) * 1e9 + CAST({Q_OFFSET!r} AS DOUBLE)) AS gkey "
+                           f"FROM pcum{lv} WHERE cl >= 1 AND ct - cl >= 1 AND {imp('ct', 'st', 'sst')} > 0"),
+            (f"pbest{lv}", f"""
+    SELECT b.g, b.node, b.f, b.v, b.cats, c.thr FROM (
+      SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gkey DESC, f, ord, v) AS rn FROM pgain{lv}) b
+    JOIN pcuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
+    WHERE b.rn = 1 AND b.gain > 0"""),
+            (f"pt{lv + 1}", f"""
+    SELECT r.g, r.d, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y,
+           CASE WHEN b.f IS NULL THEN r.node ELSE r.node * 2 + {goes('r', 'v')} END AS node,
+           r.done OR b.f IS NULL AS done
+    FROM {r} r LEFT JOIN pbest{lv} b ON r.g = b.g AND r.node = b.node"""),
+        ]
+    ctes.append(("pleaves", f"SELECT g, node, sum(y) / count(*) AS pred FROM pt{depth} GROUP BY g, node"))
+    ctes.append(("pe0", f"SELECT 'all' AS g, t.DRGDefinition AS d, t.ProviderId AS pid, "
+                        f"{xs.replace('CAST(', 'CAST(t.')}, t.label AS y, CAST(1 AS BIGINT) AS node FROM test t"))
+    for lv in range(depth):
+        b_thr = "thr"
+        ctes.append((f"pe{lv + 1}", f"""
+    SELECT t.g, t.d, t.pid, {', '.join(f't.x{i}' for i in range(k))}, t.y,
+           CASE WHEN b.f IS NULL THEN t.node ELSE t.node * 2 + {goes('t', b_thr)} END AS node
+    FROM pe{lv} t LEFT JOIN pbest{lv} b ON t.g = b.g AND t.node = b.node"""))
+    ctes.append(("pooled_pred", f"SELECT t.d AS DRGDefinition, t.pid AS ProviderId, t.y AS label, l.pred AS prediction "
+                                f"FROM pe{depth} t JOIN pleaves l ON t.g = l.g AND t.node = l.node"))
+    return ctes, "pooled_pred"

@@ -154,3 +154,22 @@ def test_ridge_closed_form_equals_spark_ml_glr(spark, table):
                                       regParam=0.3).fit(va.transform(train))
     ml = glr.transform(va.transform(test)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
     assert _max_diff(ml, mine) < 1e-5
+
+
+@pytest.mark.parametrize("local_max_rows", [trees.LOCAL_MAX_ROWS, 0], ids=["in-task", "distributed"])
+def test_pooled_categorical_tree_equals_spark_ml(spark, local_max_rows):
+    """The group index as a categorical feature: categories ordered by mean label per node,
+    splits on category sets, exactly as Spark ML's DecisionTreeRegressor does."""
+    from paysift.plans import models as M
+
+    df = cut_lineage(M.ml_table(flows.analysis_table(spark, SF_SMALL, indexed=False))).withColumn("_pool", F.lit("all"))
+    train, test = flows.train_test(df)
+    feats = flows.TREE_POOLED_FEATURES
+    va = VectorAssembler(inputCols=feats, outputCol="features")
+    ml = DecisionTreeRegressor(labelCol="label", maxDepth=3, maxBins=100, seed=5043).fit(va.transform(train))
+    ref = ml.transform(va.transform(test)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
+    model = trees.fit_tree(train, ["_pool"], [fx.GROUP, fx.PROVIDER], feats, "label", max_depth=3, max_bins=100,
+                           local_max_rows=local_max_rows, categorical=(0,))
+    assert model.internal.where(F.col("_cats").isNotNull()).count() > 0
+    mine = model.predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
+    assert _max_diff(ref, mine) < 1e-6
