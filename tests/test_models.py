@@ -173,3 +173,18 @@ def test_pooled_categorical_tree_equals_spark_ml(spark, local_max_rows):
     assert model.internal.where(F.col("_cats").isNotNull()).count() > 0
     mine = model.predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(ref, mine) < 1e-6
+
+
+def test_pooled_categorical_gbt_equals_spark_ml_on_training_rows(spark):
+    from paysift.plans import models as M
+
+    df = cut_lineage(M.ml_table(flows.analysis_table(spark, SF_SMALL, indexed=False))).withColumn("_pool", F.lit("all"))
+    train, _ = flows.train_test(df)
+    feats = flows.POOLED_FEATURES
+    va = VectorAssembler(inputCols=feats, outputCol="features")
+    ml = GBTRegressor(labelCol="label", maxDepth=4, maxIter=10, maxBins=100, seed=5043).fit(va.transform(train))
+    ref = ml.transform(va.transform(train)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
+    model = trees.fit_boosted(train, ["_pool"], [fx.GROUP, fx.PROVIDER], feats, "label", max_iter=10, max_depth=4,
+                              max_bins=100, categorical=(0,))
+    mine = model.predict(train).select(fx.GROUP, fx.PROVIDER, "prediction")
+    assert _max_diff(ref, mine) < 1e-4
