@@ -4,22 +4,28 @@ The original fitted one distributed Spark ML model per group in a driver loop (a
 group per level). Here all groups (and, for forests, all trees) grow together, following the
 level-wise scheme of PLANET (Panda et al., VLDB 2009):
 
-1. Candidate thresholds per (model key, feature): midpoints of neighbouring distinct values
-   when there are at most ``max_bins`` of them (Spark ML's rule), else values are merged into
-   at most ``max_bins`` equal-count bins and thresholds lie between neighbouring bins.
+1. Candidate thresholds per (model key, feature), from one aggregate: midpoints of
+   neighbouring distinct values when there are at most ``max_bins`` of them (Spark ML's
+   rule), else ``percentile_approx`` bin bounds. Categorical features keep every category.
 2. Per level, one aggregate over the active rows by (key, node, feature, bin) with weighted
    count, sum and sum of squares (partial aggregation first, so a hot group is combined on the
-   map side), a cumulative window over bins per (key, node, feature) (at most ``max_bins``
-   rows each), variance gain, and the best split per node by ``row_number`` (gain desc, then
-   feature, then lower threshold: Spark ML's tie order).
-3. Rows move to child ``2n`` (``x <= threshold``) or ``2n + 1`` by a join with the per-level
-   split table (one row per node). Rows in nodes that did not split are finished.
+   map side), a cumulative window over the bins of each (key, node, feature) (at most
+   ``max_bins`` rows; categories ordered by mean label, as Spark ML does for regression),
+   variance gain, and the best split per node by ``row_number`` (gain desc, then feature,
+   then lower threshold: Spark ML's tie order).
+3. Rows move to child ``2n`` (``x <= threshold`` or category in the left set) or ``2n + 1``
+   by a join with the per-level split table (one row per node). Rows in nodes that did not
+   split are finished.
 
 The number of passes is the tree depth, independent of the number of groups. Row state is
 checkpointed to the shared checkpoint folder after every level (``checkpoint_interval``): a
 lost executor only recomputes the last level, and the driver plans a short lineage instead
 of a plan that deepens with every level. Leaves predict the weighted mean label.
 
+Groups with at most ``LOCAL_MAX_ROWS`` rows skip the per-level jobs: each grows in one task
+(``cogroup(...).applyInPandas`` with the numpy grower of ``tree_local``, same cut table and
+rules). Larger groups use the distributed grower above, so no group is capped.
+
 Forests use the same grower with (group, tree) as the model key, Poisson(1) bootstrap
 weights drawn from a hash of (row id, tree, seed), and per-node feature subsets chosen by a
 hash of (key, node, feature, seed). Boosting runs the grower once per round on the
@@ -77,7 +83,8 @@ def _poisson_weight(u: Column) -> Column:
 class TreeEnsemble:
     """Fitted trees of every model key.
 
-    ``internal``: key cols, ``_tree``, ``_node``, ``_f`` (feature position), ``_thr``.
+    ``internal``: key cols, ``_tree``, ``_node``, ``_f`` (feature position), ``_thr`` (value
+    split) or ``_cats`` (left categories of a category split).
     ``leaves``: key cols, ``_tree``, ``_node``, ``_pred``, ``_n`` (training weight).
     ``tree_weights``: weight of each tree in the sum; ``average`` divides by the tree count.
     """
