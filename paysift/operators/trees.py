@@ -486,37 +486,51 @@ def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: lis
 
 
 def model_table(model: TreeEnsemble) -> DataFrame:
-    """One row per model key with all its trees: ``_trees`` = array of (weight, split map
-    node -> (feature, threshold), leaf map node -> value). Its size is bounded by the model
-    (trees x nodes per key), not by the data."""
+    """One row per model key with all its trees: ``_trees`` = array of (tree, weight, nodes),
+    where ``nodes`` is the tree in a compact array (nodes renumbered 0.. in node order, each
+    with its split or leaf value and the array positions of its two children). Its size is
+    bounded by the model (trees x nodes per key), not by the data."""
     mkey = [*model.key, TREE]
-    splits = model.internal.groupBy(*mkey).agg(
-        F.map_from_entries(F.collect_list(F.struct("_node", F.struct("_f", "_thr", "_cats")))).alias("_splits"))
-    leaves = model.leaves.groupBy(*mkey).agg(
-        F.map_from_entries(F.collect_list(F.struct("_node", "_pred"))).alias("_leaves"))
+    null_d = F.lit(None).cast("double")
+    nodes = model.internal.select(*mkey, "_node", "_f", "_thr", "_cats", null_d.alias("_pred")).unionByName(
+        model.leaves.select(*mkey, "_node", F.lit(None).cast("int").alias("_f"), null_d.alias("_thr"),
+                            F.lit(None).cast("array<double>").alias("_cats"), "_pred"))
+    # position of each node in its tree's array (a window per tree: bounded by the tree size)
+    nodes = nodes.withColumn("_idx", F.row_number().over(Window.partitionBy(*mkey).orderBy("_node")) - 1)
+    children = (
+        nodes.where(F.col("_node") > 1)
+        .groupBy(*mkey, (F.col("_node") / 2).cast("long").alias("_node"))
+        .agg(F.max(F.when(F.col("_node") % 2 == 0, F.col("_idx"))).alias("_l"),
+             F.max(F.when(F.col("_node") % 2 == 1, F.col("_idx"))).alias("_r"))
+    )
+    linked = nodes.join(children, [*mkey, "_node"], "left")
+    by_idx = lambda a, b: F.when(a["_idx"] < b["_idx"], -1).when(a["_idx"] > b["_idx"], 1).otherwise(0)
+    per_tree = linked.groupBy(*mkey).agg(F.array_sort(
+        F.collect_list(F.struct("_idx", "_f", "_thr", "_cats", "_pred", "_l", "_r")), by_idx).alias("_nodes"))
     weights = F.element_at(F.array(*[F.lit(float(w)) for w in model.tree_weights]), F.col(TREE) + 1)
-    trees = leaves.join(splits, mkey, "left").select(
-        *model.key, F.struct(F.col(TREE), weights.alias("_wt"), "_splits", "_leaves").alias("_t"))
+    trees = per_tree.select(*model.key, F.struct(F.col(TREE), weights.alias("_wt"), "_nodes").alias("_t"))
     by_tree = lambda a, b: F.when(a[TREE] < b[TREE], -1).when(a[TREE] > b[TREE], 1).otherwise(0)
     return trees.groupBy(*model.key).agg(F.array_sort(F.collect_list("_t"), by_tree).alias("_trees"))
 
 
 def predict_ensemble(model: TreeEnsemble, df: DataFrame, out: str = "prediction") -> DataFrame:
     """Score rows with one join on the model key; each row walks its key's trees inside the
-    JVM (``aggregate`` over the depth, map lookups per node), then leaf values are combined:
-    mean for forests, weighted sum for boosting. Rows are never replicated or regrouped."""
+    JVM (``aggregate`` over the depth, one array access per level), then leaf values are
+    combined: mean for forests, weighted sum for boosting. Rows are never replicated or
+    regrouped."""
     x = F.array(*[F.col(f"`{f}`").cast("double") for f in model.features])
 
     def walk(t):
-        def step(n, _):
-            sp = F.try_element_at(t["_splits"], n)
-            xf = F.element_at(x, sp["_f"] + 1)
-            go = F.when(sp["_cats"].isNotNull(), F.when(F.array_contains(sp["_cats"], xf), 0).otherwise(1)) \
-                .otherwise(F.when(xf <= sp["_thr"], 0).otherwise(1))
-            return F.when(sp.isNotNull(), n * 2 + go).otherwise(n)
+        arr = t["_nodes"]
+
+        def step(i, _):
+            nd = F.element_at(arr, i + 1)
+            xf = F.element_at(x, nd["_f"] + 1)
+            left = F.when(nd["_cats"].isNotNull(), F.array_contains(nd["_cats"], xf)).otherwise(xf <= nd["_thr"])
+            return F.when(nd["_pred"].isNotNull(), i).otherwise(F.when(left, nd["_l"]).otherwise(nd["_r"]))
         depth = F.sequence(F.lit(1), F.lit(max(model.depth, 1)))
-        leaf = F.aggregate(depth, F.lit(1).cast("long"), step)
-        return t["_wt"] * F.try_element_at(t["_leaves"], leaf)
+        leaf = F.aggregate(depth, F.lit(0), step)
+        return t["_wt"] * F.element_at(arr, leaf + 1)["_pred"]
 
     total = F.aggregate(F.transform("_trees", walk), F.lit(0.0), lambda acc, v: acc + v)
     if model.average:
