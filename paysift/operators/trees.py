@@ -338,9 +338,13 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
                 F_ = F_ + np.array([weight * value[nd] for nd in node])
         return pd.DataFrame(out, columns=out_cols)
 
-    rows = base.select(*key, "_rid", "_x", "_y")
+    # The work here is compute, not bytes: AQE would coalesce the small shuffle into a few
+    # partitions and train the groups serially, so both sides are hash-partitioned on the key
+    # into the session's shuffle partition count (an explicit repartition is not coalesced).
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = base.select(*key, "_rid", "_x", "_y").repartition(n, *key)
     # fresh attribute ids on the cut side: both sides descend from the same checkpointed rows
-    group_cuts = cuts.select(*[F.col(c).alias(c) for c in key], "_f", "_bv", "_thr")
+    group_cuts = cuts.select(*[F.col(c).alias(c) for c in key], "_f", "_bv", "_thr").repartition(n, *key)
     return rows.groupBy(*key).cogroup(group_cuts.groupBy(*key)).applyInPandas(fit_group, _local_schema(base, key))
 
 
