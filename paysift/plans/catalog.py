@@ -52,7 +52,15 @@ def _model_input(spark, sf, ml: bool = False) -> DataFrame:
     if ml:
         from .models import ml_table
         e = ml_table(e)
-    return cut_lineage(e)
+    return _spread(cut_lineage(e))
+
+
+def _spread(e: DataFrame) -> DataFrame:
+    """AQE coalesces a small table into very few partitions; the model fits that read it are
+    compute-bound, so a materialised input is spread back over the shuffle partition count
+    (a no-op at scale, where the table already has more partitions)."""
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return e.repartition(n) if e.rdd.getNumPartitions() < n else e
 
 
 M = fx.PRICE_MONTH
@@ -463,7 +471,7 @@ def _class_table(spark, sf) -> DataFrame:
     from pyspark.ml.feature import StringIndexer
     ins, outs = [fx.GROUP, fx.ZIP, M, "payment_label"], ["drg_index", "zip_index", "price_index", "label"]
     model = StringIndexer(inputCols=ins, outputCols=outs, stringOrderType="frequencyDesc").fit(j)
-    return cut_lineage(model.transform(j))
+    return _spread(cut_lineage(model.transform(j)))
 
 
 CLASS_SQL_CTES = [
