@@ -52,13 +52,15 @@ def _model_input(spark, sf, ml: bool = False) -> DataFrame:
     if ml:
         from .models import ml_table
         e = ml_table(e)
-    return _spread(cut_lineage(e))
+    # the pooled Spark ML fits (ml=True) are compute-bound: give them every core
+    return _spread(cut_lineage(e)) if ml else cut_lineage(e)
 
 
 def _spread(e: DataFrame) -> DataFrame:
-    """AQE coalesces a small table into very few partitions; the model fits that read it are
-    compute-bound, so a materialised input is spread back over the shuffle partition count
-    (a no-op at scale, where the table already has more partitions)."""
+    """AQE coalesces a small table into very few partitions. For a compute-bound fit (Spark ML
+    trees and forests) a materialised input is spread back over the shuffle partition count;
+    a no-op at scale, where the table already has more partitions. Aggregate-only queries
+    skip this: for them the extra shuffle costs more than it saves."""
     n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return e.repartition(n) if e.rdd.getNumPartitions() < n else e
 
@@ -463,7 +465,7 @@ def q_glm_r2(spark, sf):
 CLASS_FEATURES = ["drg_index", "zip_index", "price_index"]
 
 
-def _class_table(spark, sf) -> DataFrame:
+def _class_table(spark, sf, spread: bool = False) -> DataFrame:
     from ..session import cut_lineage
     j = clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label")
     j = features.with_split(j, [fx.GROUP, fx.PROVIDER], out=flows.SPLIT)
@@ -471,7 +473,8 @@ def _class_table(spark, sf) -> DataFrame:
     from pyspark.ml.feature import StringIndexer
     ins, outs = [fx.GROUP, fx.ZIP, M, "payment_label"], ["drg_index", "zip_index", "price_index", "label"]
     model = StringIndexer(inputCols=ins, outputCols=outs, stringOrderType="frequencyDesc").fit(j)
-    return _spread(cut_lineage(model.transform(j)))
+    table = cut_lineage(model.transform(j))
+    return _spread(table) if spread else table
 
 
 CLASS_SQL_CTES = [
@@ -530,7 +533,7 @@ def q_accuracy(spark, sf):
 @register("rf_classifier")
 def q_rf_classifier(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
-    data = features.assemble(_class_table(spark, sf), CLASS_FEATURES, "features")
+    data = features.assemble(_class_table(spark, sf, spread=True), CLASS_FEATURES, "features")
     train, test = data.where(F.col(flows.SPLIT)), data.where(~F.col(flows.SPLIT))
     model = RandomForestClassifier(labelCol="label", impurity="gini", maxDepth=5, numTrees=20,
                                    featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML,
