@@ -731,7 +731,10 @@ def q_tree_pooled_levelwise(spark, sf):
     the level-wise grower, which reproduces Spark ML's ``DecisionTreeRegressor`` here (tests) and
     can be checked against SQL; ``tree_pooled`` is the same report through Spark ML."""
     from ..operators import trees
-    e = _model_input(spark, sf).withColumn("_pool", F.lit("all"))
+    from ..session import cut_lineage
+    # the pool key is materialised with the table: a literal key column would let Catalyst
+    # fold the model join into a cross join
+    e = cut_lineage(flows.analysis_table(spark, sf).withColumn("_pool", F.lit("all")))
     train, test = flows.train_test(e)
     model = trees.fit_tree(train, ["_pool"], [fx.GROUP, fx.PROVIDER], flows.TREE_POOLED_FEATURES, flows.LABEL,
                            max_depth=3, max_bins=100, categorical=(0,))

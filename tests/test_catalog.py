@@ -40,9 +40,19 @@ def test_entry_runs(spark):
     assert df.columns[0] == "DRG"
 
 
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+
+
+def _plan_ok(df) -> None:
+    """No cross / nested-loop join and no row-at-a-time Python UDF anywhere in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in FORBIDDEN if k in plan]
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF_SMOKE)
+    _plan_ok(sdf)
     rows = sdf.collect()
     rel = duck.execute(E.oracle_sql()[name])
     cols = [d[0] for d in rel.description]
@@ -57,4 +67,14 @@ def test_query_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
 def test_query_without_oracle_runs(spark, name):
     df = E.queries()[name](spark, SF_SMOKE)
+    _plan_ok(df)
     assert df.count() >= 0
+
+
+def test_scan_pushdown_and_pruning(spark):
+    """The payment stand-in reads only the lineitem columns it needs and pushes the ship-date
+    range into the parquet scan."""
+    plan = E.queries()["join_on_region"](spark, SF_SMOKE)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
+    line = [ln for ln in plan.splitlines() if "l_shipdate" in ln and "ReadSchema" in ln]
+    assert line and "l_comment" not in line[0] and "l_quantity" not in line[0]
