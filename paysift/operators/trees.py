@@ -435,7 +435,11 @@ def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list
     with at most ``local_max_rows`` rows then grow in one task each (``applyInPandas``), larger
     groups grow level-wise across the cluster (``local_max_rows=0`` sends every group there).
     ``categorical`` lists the positions of category-coded features (at most ``max_bins``
-    categories; split on category sets ordered by mean label, as Spark ML does)."""
+    categories; split on category sets ordered by mean label, as Spark ML does).
+
+    For one pooled model, key the rows by a constant column that is materialised with the
+    table (written or checkpointed); a literal key lets Catalyst fold the scoring join into a
+    cross join."""
     k = len(features)
     use_boot = (num_trees > 1) if bootstrap is None else bootstrap
     m = _feature_count(subset, k, num_trees)
