@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import unit_hash
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
 from . import tree_local
 from .tree_local import POISSON_CDF as _POISSON_CDF
 from .tree_local import RANK_OFFSET
@@ -341,7 +341,7 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
     # The work here is compute, not bytes: AQE would coalesce the small shuffle into a few
     # partitions and train the groups serially, so both sides are hash-partitioned on the key
     # into the session's shuffle partition count (an explicit repartition is not coalesced).
-    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(base.sparkSession)
     rows = base.select(*key, "_rid", "_x", "_y").repartition(n, *key)
     # fresh attribute ids on the cut side: both sides descend from the same checkpointed rows
     group_cuts = cuts.select(*[F.col(c).alias(c) for c in key], "_f", "_bv", "_thr").repartition(n, *key)

@@ -61,7 +61,8 @@ def _spread(e: DataFrame) -> DataFrame:
     trees and forests) a materialised input is spread back over the shuffle partition count;
     a no-op at scale, where the table already has more partitions. Aggregate-only queries
     skip this: for them the extra shuffle costs more than it saves."""
-    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from ..session import shuffle_partitions
+    n = shuffle_partitions(e.sparkSession)
     return e.repartition(n) if e.rdd.getNumPartitions() < n else e
 
 

@@ -53,3 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     boosting rounds) restart from here when an executor is lost, and the plan stays short."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partition count (falls back to the default parallelism when the
+    setting is not a number, e.g. ``auto``)."""
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        return spark.sparkContext.defaultParallelism
