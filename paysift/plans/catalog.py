@@ -397,7 +397,14 @@ def q_rf_pooled(spark, sf):
                                   flows.POOLED_FEATURES), REPORT_Q)
 
 
-@register("rf_grouped")
+def _rf_grouped_sql() -> str:
+    """The per-group forest (20 trees, depth 12) grown tree-parallel in SQL."""
+    ctes, pred = O.grouped_forest_ctes(flows.GROUP_FEATURES, 20, 12, 1)
+    rctes, both = O.report_ctes(pred)
+    return O.with_ctes(O.report_select(both, overall=False), "test", ctes + rctes)
+
+
+@register("rf_grouped", _rf_grouped_sql())
 def q_rf_grouped(spark, sf):
     from .models import grouped_report
     return quantise(grouped_report(_model_input(spark, sf), "forest", flows.GROUP_FEATURES), REPORT_Q)
