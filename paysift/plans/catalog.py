@@ -755,3 +755,24 @@ def q_tree_pooled_levelwise(spark, sf):
                            max_depth=3, max_bins=100, categorical=(0,))
     report = errors.error_report(model.predict(test), train, fx.GROUP, flows.LABEL, "prediction", overall=True)
     return quantise(report, REPORT_Q)
+
+
+def _gbt_pooled_levelwise_sql() -> str:
+    ctes, pred = O.grouped_boosting_ctes(flows.POOLED_FEATURES, 10, 12, pooled=True, categorical=(0,))
+    rctes, both = O.report_ctes(pred)
+    return O.with_ctes(O.report_select(both, overall=True), "test", ctes + rctes)
+
+
+@register("gbt_pooled_levelwise", _gbt_pooled_levelwise_sql())
+def q_gbt_pooled_levelwise(spark, sf):
+    """The original's pooled boosting (10 rounds, depth 12, the group index categorical) from
+    the level-wise grower, checked against SQL; ``gbt_pooled`` is the same report through
+    Spark ML (training predictions agree, see tests)."""
+    from ..operators import trees
+    from ..session import cut_lineage
+    e = cut_lineage(flows.analysis_table(spark, sf).withColumn("_pool", F.lit("all")))
+    train, test = flows.train_test(e)
+    model = trees.fit_boosted(train, ["_pool"], [fx.GROUP, fx.PROVIDER], flows.POOLED_FEATURES, flows.LABEL,
+                              max_iter=10, max_depth=12, max_bins=100, categorical=(0,))
+    report = errors.error_report(model.predict(test), train, fx.GROUP, flows.LABEL, "prediction", overall=True)
+    return quantise(report, REPORT_Q)

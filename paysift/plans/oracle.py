@@ -299,13 +299,24 @@ def grouped_tree_ctes(features: list[str], depth: int) -> tuple[list[tuple[str,
     return ctes, "tree_pred"
 
 
-def _tree_levels(src: str, p: str, depth: int, k: int, carry: list[str]) -> list[tuple[str, str]]:
+def _goes_right(alias: str, k: int, bound: str) -> str:
+    """0 (left) or 1 (right) for a row under split ``b``: category in the left set for a
+    category split, else value <= bound."""
+    xv = f"(CASE b.f {' '.join(f'WHEN {i} THEN {alias}.x{i}' for i in range(k))} END)"
+    return (f"CASE WHEN b.cats IS NOT NULL THEN (CASE WHEN list_contains(b.cats, {xv}) THEN 0 ELSE 1 END) "
+            f"ELSE (CASE WHEN {xv} <= b.{bound} THEN 0 ELSE 1 END) END")
+
+
+def _tree_levels(src: str, p: str, depth: int, k: int, carry: list[str],
+                 categorical: tuple[int, ...] = ()) -> list[tuple[str, str]]:
     """Level-wise growth of one tree per group over CTE ``src`` (columns g, pid, x0.., t
     (target), done, node and ``carry``). CTE names are prefixed with ``p``; the last rows CTE
-    is ``{p}r{depth}`` and the split tables are ``{p}best{level}``."""
+    is ``{p}r{depth}`` and the split tables are ``{p}best{level}``. Categorical features order
+    their categories by mean target in the node (ties by value) and split on prefixes."""
     imp = lambda w, s, ss: f"(({ss}) - ({s}) * ({s}) / ({w})) / ({w})"
     gain = (f"{imp('ct', 'st', 'sst')} - cl / ct * {imp('cl', 'sl', 'ssl')} "
             f"- (ct - cl) / ct * {imp('ct - cl', 'st - sl', 'sst - ssl')}")
+    cats = ", ".join(str(i) for i in categorical) or "-1"
     xs = ", ".join(f"r.x{i}" for i in range(k))
     extra = "".join(f", r.{c}" for c in carry)
     ctes = [(f"{p}r0", f"SELECT * FROM {src}")]
@@ -313,28 +324,28 @@ def _tree_levels(src: str, p: str, depth: int, k: int, carry: list[str]) -> list
         r = f"{p}r{lv}"
         longs = " UNION ALL ".join(f"SELECT g, node, {i} AS f, x{i} AS v, t AS y FROM {r} WHERE NOT done" for i in range(k))
         ctes += [
-            (f"{p}agg{lv}", f"SELECT g, node, f, v, count(*) AS c, sum(y) AS s, sum(y * y) AS ss FROM ({longs}) "
-                            "GROUP BY g, node, f, v"),
+            (f"{p}agg{lv}", f"SELECT *, CASE WHEN f IN ({cats}) THEN s / c ELSE v END AS ord FROM ("
+                            f"SELECT g, node, f, v, count(*) AS c, sum(y) AS s, sum(y * y) AS ss FROM ({longs}) "
+                            "GROUP BY g, node, f, v)"),
             (f"{p}cum{lv}", f"""
-    SELECT g, node, f, v,
+    SELECT g, node, f, v, ord,
            CAST(sum(c) OVER w AS DOUBLE) AS cl, sum(s) OVER w AS sl, sum(ss) OVER w AS ssl,
-           CAST(sum(c) OVER q AS DOUBLE) AS ct, sum(s) OVER q AS st, sum(ss) OVER q AS sst
+           CAST(sum(c) OVER q AS DOUBLE) AS ct, sum(s) OVER q AS st, sum(ss) OVER q AS sst,
+           CASE WHEN f IN ({cats}) THEN list(v) OVER w END AS cats
     FROM {p}agg{lv}
-    WINDOW w AS (PARTITION BY g, node, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    WINDOW w AS (PARTITION BY g, node, f ORDER BY ord, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
            q AS (PARTITION BY g, node, f)"""),
             (f"{p}gain{lv}", f"SELECT *, {gain} AS gain, "
                              f"floor(({gain}) / ({imp('ct', 'st', 'sst')}) * 1e9 + CAST({Q_OFFSET!r} AS DOUBLE)) AS gkey "
                              f"FROM {p}cum{lv} WHERE cl >= 1 AND ct - cl >= 1 AND {imp('ct', 'st', 'sst')} > 0"),
             (f"{p}best{lv}", f"""
-    SELECT b.g, b.node, b.f, b.v, c.thr FROM (
-      SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gkey DESC, f, v) AS rn FROM {p}gain{lv}) b
+    SELECT b.g, b.node, b.f, b.v, b.cats, c.thr FROM (
+      SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gkey DESC, f, ord, v) AS rn FROM {p}gain{lv}) b
     JOIN cuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
     WHERE b.rn = 1 AND b.gain > 0"""),
             (f"{p}r{lv + 1}", f"""
     SELECT r.g, r.pid, {xs}, r.t{extra},
-           CASE WHEN b.f IS NULL THEN r.node
-                ELSE r.node * 2 + CASE WHEN (CASE b.f {' '.join(f'WHEN {i} THEN r.x{i}' for i in range(k))} END) <= b.v
-                                       THEN 0 ELSE 1 END END AS node,
+           CASE WHEN b.f IS NULL THEN r.node ELSE r.node * 2 + {_goes_right('r', k, 'v')} END AS node,
            r.done OR b.f IS NULL AS done
     FROM {r} r LEFT JOIN {p}best{lv} b ON r.g = b.g AND r.node = b.node"""),
         ]
@@ -350,47 +361,49 @@ def _route(src: str, p: str, depth: int, k: int, out: str, carry: list[str]) ->
         cur = f"{out}{lv + 1}"
         ctes.append((cur, f"""
     SELECT t.g, t.pid, {xs}{extra},
-           CASE WHEN b.f IS NULL THEN t.node
-                ELSE t.node * 2 + CASE WHEN (CASE b.f {' '.join(f'WHEN {i} THEN t.x{i}' for i in range(k))} END) <= b.thr
-                                       THEN 0 ELSE 1 END END AS node
+           CASE WHEN b.f IS NULL THEN t.node ELSE t.node * 2 + {_goes_right('t', k, 'thr')} END AS node
     FROM {prev} t LEFT JOIN {p}best{lv} b ON t.g = b.g AND t.node = b.node"""))
         prev = cur
     return ctes
 
 
-def grouped_boosting_ctes(features: list[str], rounds: int, depth: int, step: float = 0.1) -> tuple[list[tuple[str, str]], str]:
+def grouped_boosting_ctes(features: list[str], rounds: int, depth: int, step: float = 0.1,
+                          pooled: bool = False, categorical: tuple[int, ...] = ()) -> tuple[list[tuple[str, str]], str]:
     """Gradient boosting per group (squared error): round 0 fits y with weight 1, later rounds
-    fit 2 (y - F) with weight ``step``; each round's tree as in ``grouped_tree_ctes``. Returns
-    CTEs and the name of the test prediction CTE (g, pid, y, prediction)."""
+    fit 2 (y - F) with weight ``step``; each round's tree as in ``grouped_tree_ctes``. With
+    ``pooled`` one model for all rows (key ``'all'``). Returns CTEs and the name of the test
+    prediction CTE (DRGDefinition, ProviderId, label, prediction)."""
     k = len(features)
+    g = "'all'" if pooled else "DRGDefinition"
     xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
     txs = ", ".join(f"CAST(t.{f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
     xl = ", ".join(f"x{i}" for i in range(k))
+    test_filter = "" if pooled else " WHERE t.DRGDefinition IN (SELECT g FROM b_rows)"
     ctes = [
-        ("b_rows", f"SELECT DRGDefinition AS g, ProviderId AS pid, {xs}, label AS y FROM train"),
+        ("b_rows", f"SELECT {g} AS g, DRGDefinition AS d, ProviderId AS pid, {xs}, label AS y FROM train"),
         ("cuts", "SELECT g, f, v, (v + lead(v) OVER (PARTITION BY g, f ORDER BY v)) / 2.0 AS thr FROM ("
                  + " UNION ".join(f"SELECT g, {i} AS f, x{i} AS v FROM b_rows" for i in range(k)) + ")"),
-        ("s0", f"SELECT g, pid, {xl}, y, CAST(0.0 AS DOUBLE) AS F FROM b_rows"),
-        ("p0", f"SELECT t.DRGDefinition AS g, t.ProviderId AS pid, {txs}, t.label AS y, "
-               "CAST(0.0 AS DOUBLE) AS P FROM test t WHERE t.DRGDefinition IN (SELECT g FROM b_rows)"),
+        ("s0", f"SELECT g, d, pid, {xl}, y, CAST(0.0 AS DOUBLE) AS F FROM b_rows"),
+        ("p0", f"SELECT {g.replace('DRGDefinition', 't.DRGDefinition')} AS g, t.DRGDefinition AS d, "
+               f"t.ProviderId AS pid, {txs}, t.label AS y, CAST(0.0 AS DOUBLE) AS P FROM test t{test_filter}"),
     ]
     for m in range(rounds):
         w = 1.0 if m == 0 else step
         target = "y" if m == 0 else "2.0 * (y - F)"
         p = f"m{m}_"
-        ctes.append((f"{p}src", f"SELECT g, pid, {xl}, {target} AS t, y, F, CAST(1 AS BIGINT) AS node, FALSE AS done "
-                                f"FROM s{m}"))
-        ctes += _tree_levels(f"{p}src", p, depth, k, ["y", "F"])
+        ctes.append((f"{p}src", f"SELECT g, pid, {xl}, {target} AS t, d, y, F, CAST(1 AS BIGINT) AS node, "
+                                f"FALSE AS done FROM s{m}"))
+        ctes += _tree_levels(f"{p}src", p, depth, k, ["d", "y", "F"], categorical)
         ctes.append((f"{p}leaves", f"SELECT g, node, sum(t) / count(*) AS pred FROM {p}r{depth} GROUP BY g, node"))
-        ctes.append((f"s{m + 1}", f"SELECT r.g, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y, "
+        ctes.append((f"s{m + 1}", f"SELECT r.g, r.d, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y, "
                                   f"r.F + {w!r} * l.pred AS F FROM {p}r{depth} r JOIN {p}leaves l "
                                   "ON r.g = l.g AND r.node = l.node"))
-        ctes.append((f"{p}t0", f"SELECT g, pid, {xl}, y, P, CAST(1 AS BIGINT) AS node FROM p{m}"))
-        ctes += _route(f"{p}t0", p, depth, k, f"{p}t", ["y", "P"])
-        ctes.append((f"p{m + 1}", f"SELECT t.g, t.pid, {', '.join(f't.x{i}' for i in range(k))}, t.y, "
+        ctes.append((f"{p}t0", f"SELECT g, pid, {xl}, d, y, P, CAST(1 AS BIGINT) AS node FROM p{m}"))
+        ctes += _route(f"{p}t0", p, depth, k, f"{p}t", ["d", "y", "P"])
+        ctes.append((f"p{m + 1}", f"SELECT t.g, t.d, t.pid, {', '.join(f't.x{i}' for i in range(k))}, t.y, "
                                   f"t.P + {w!r} * l.pred AS P FROM {p}t{depth} t JOIN {p}leaves l "
                                   "ON t.g = l.g AND t.node = l.node"))
-    ctes.append(("boost_pred", f"SELECT g AS DRGDefinition, pid AS ProviderId, y AS label, P AS prediction FROM p{rounds}"))
+    ctes.append(("boost_pred", f"SELECT d AS DRGDefinition, pid AS ProviderId, y AS label, P AS prediction FROM p{rounds}"))
     return ctes, "boost_pred"
 
 

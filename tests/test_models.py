@@ -156,8 +156,9 @@ def test_ridge_closed_form_equals_spark_ml_glr(spark, table):
     assert _max_diff(ml, mine) < 1e-5
 
 
-@pytest.mark.parametrize("local_max_rows", [trees.LOCAL_MAX_ROWS, 0], ids=["in-task", "distributed"])
-def test_pooled_categorical_tree_equals_spark_ml(spark, local_max_rows):
+@pytest.mark.parametrize("local_max_rows,depth", [(trees.LOCAL_MAX_ROWS, 3), (0, 3), (trees.LOCAL_MAX_ROWS, 12)],
+                         ids=["in-task", "distributed", "in-task-depth12"])
+def test_pooled_categorical_tree_equals_spark_ml(spark, local_max_rows, depth):
     """The group index as a categorical feature: categories ordered by mean label per node,
     splits on category sets, exactly as Spark ML's DecisionTreeRegressor does."""
     from paysift.plans import models as M
@@ -166,25 +167,32 @@ def test_pooled_categorical_tree_equals_spark_ml(spark, local_max_rows):
     train, test = flows.train_test(df)
     feats = flows.TREE_POOLED_FEATURES
     va = VectorAssembler(inputCols=feats, outputCol="features")
-    ml = DecisionTreeRegressor(labelCol="label", maxDepth=3, maxBins=100, seed=5043).fit(va.transform(train))
-    ref = ml.transform(va.transform(test)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
-    model = trees.fit_tree(train, ["_pool"], [fx.GROUP, fx.PROVIDER], feats, "label", max_depth=3, max_bins=100,
+    # deep trees have tied thresholds that split the training rows identically but not the
+    # unseen rows between them: compare deep trees on the training rows
+    rows = test if depth <= 3 else train
+    ml = DecisionTreeRegressor(labelCol="label", maxDepth=depth, maxBins=100, seed=5043).fit(va.transform(train))
+    ref = ml.transform(va.transform(rows)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
+    model = trees.fit_tree(train, ["_pool"], [fx.GROUP, fx.PROVIDER], feats, "label", max_depth=depth, max_bins=100,
                            local_max_rows=local_max_rows, categorical=(0,))
     assert model.internal.where(F.col("_cats").isNotNull()).count() > 0
-    mine = model.predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
+    mine = model.predict(rows).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(ref, mine) < 1e-6
 
 
-def test_pooled_categorical_gbt_equals_spark_ml_on_training_rows(spark):
+@pytest.mark.parametrize("depth", [4])
+def test_pooled_categorical_gbt_equals_spark_ml_on_training_rows(spark, depth):
+    """At depth 12 the residual trees reach nodes whose every split has a mathematically zero
+    gain; Spark ML splits them when rounding makes the gain positive, the grower does not, so
+    deep boosted trees can differ (single trees match at depth 12, see below)."""
     from paysift.plans import models as M
 
     df = cut_lineage(M.ml_table(flows.analysis_table(spark, SF_SMALL, indexed=False))).withColumn("_pool", F.lit("all"))
     train, _ = flows.train_test(df)
     feats = flows.POOLED_FEATURES
     va = VectorAssembler(inputCols=feats, outputCol="features")
-    ml = GBTRegressor(labelCol="label", maxDepth=4, maxIter=10, maxBins=100, seed=5043).fit(va.transform(train))
+    ml = GBTRegressor(labelCol="label", maxDepth=depth, maxIter=10, maxBins=100, seed=5043).fit(va.transform(train))
     ref = ml.transform(va.transform(train)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
-    model = trees.fit_boosted(train, ["_pool"], [fx.GROUP, fx.PROVIDER], feats, "label", max_iter=10, max_depth=4,
-                              max_bins=100, categorical=(0,))
+    model = trees.fit_boosted(train, ["_pool"], [fx.GROUP, fx.PROVIDER], feats, "label", max_iter=10,
+                              max_depth=depth, max_bins=100, categorical=(0,))
     mine = model.predict(train).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(ref, mine) < 1e-4
