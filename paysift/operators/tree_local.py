@@ -108,7 +108,7 @@ def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max
                 if order is not None:
                     for i in np.nonzero(better)[0]:
                         best_order[(f, lo + i)] = order[i]
-        split = (best_f >= 0) & (best_gain > 0)
+        split = (best_f >= 0) & (best_key >= 1)  # zero gain (up to rounding) never splits
         if not split.any():
             break
         left_sets = {}

@@ -204,7 +204,9 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
                 - wr / F.col("wt") * _impurity(wr, sr, ssr))
         # Rank on the gain as a fraction of the node impurity, quantised to 1e-9: splits whose
         # gains differ only by rounding noise (e.g. two features giving the same partition)
-        # tie, and the tie goes to the first feature, then the lower threshold.
+        # tie, and the tie goes to the first feature, then the lower threshold. A node splits
+        # only when that key is at least 1: a mathematically zero gain never splits, whatever
+        # the sign of its rounding noise (the same rule in the in-task grower and in SQL).
         imp_t = _impurity(F.col("wt"), F.col("st"), F.col("sst"))
         scored = c.withColumns({
             "_gain": F.when(valid, gain),
@@ -213,7 +215,7 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
         rank = Window.partitionBy(*kn).orderBy(F.col("_gkey").desc_nulls_last(), "_f", "_ord", "_bv")
         best = (
             scored.withColumn("_rn", F.row_number().over(rank))
-            .where((F.col("_rn") == 1) & (F.col("_gain") > 0))
+            .where((F.col("_rn") == 1) & (F.col("_gkey") >= 1))
             .select(*kn, "_f", "_bv", F.array_sort("_cats").alias("_cats"))
             .persist()
         )

@@ -185,10 +185,11 @@ def best_split_sql(features: list[str]) -> str:
     FROM agg
     WINDOW w AS (PARTITION BY g, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
            p AS (PARTITION BY g, f)"""),
-        ("gains", f"SELECT *, {gain} AS gain FROM cum WHERE cl >= 1 AND ct - cl >= 1"),
-        ("best", f"SELECT *, row_number() OVER (PARTITION BY g ORDER BY "
-                 f"floor(gain / ({imp('ct', 'st', 'sst')}) * 1e9 + CAST({Q_OFFSET!r} AS DOUBLE)) DESC, f, v) AS rn "
-                 "FROM gains WHERE gain > 0"),
+        ("gains", f"SELECT *, {gain} AS gain, "
+                  f"floor(({gain}) / ({imp('ct', 'st', 'sst')}) * 1e9 + CAST({Q_OFFSET!r} AS DOUBLE)) AS gkey "
+                  f"FROM cum WHERE cl >= 1 AND ct - cl >= 1 AND {imp('ct', 'st', 'sst')} > 0"),
+        ("best", "SELECT *, row_number() OVER (PARTITION BY g ORDER BY gkey DESC, f, v) AS rn "
+                 "FROM gains WHERE gkey >= 1"),
     ]
     body = (f"SELECT g AS DRGDefinition, CASE f {names} END AS feature, (v + nv) / 2.0 AS threshold, "
             f"CAST(cl AS BIGINT) AS left_n, {q('sl / cl', 4)} AS left_mean, "
@@ -274,7 +275,7 @@ def grouped_tree_ctes(features: list[str], depth: int) -> tuple[list[tuple[str,
     SELECT b.g, b.node, b.f, b.v, c.thr FROM (
       SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gkey DESC, f, v) AS rn FROM gain{lv}) b
     JOIN cuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
-    WHERE b.rn = 1 AND b.gain > 0"""),
+    WHERE b.rn = 1 AND b.gkey >= 1"""),
             (f"tr{lv + 1}", f"""
     SELECT r.g, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y,
            CASE WHEN b.f IS NULL THEN r.node
@@ -342,7 +343,7 @@ def _tree_levels(src: str, p: str, depth: int, k: int, carry: list[str],
     SELECT b.g, b.node, b.f, b.v, b.cats, c.thr FROM (
       SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gkey DESC, f, ord, v) AS rn FROM {p}gain{lv}) b
     JOIN cuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
-    WHERE b.rn = 1 AND b.gain > 0"""),
+    WHERE b.rn = 1 AND b.gkey >= 1"""),
             (f"{p}r{lv + 1}", f"""
     SELECT r.g, r.pid, {xs}, r.t{extra},
            CASE WHEN b.f IS NULL THEN r.node ELSE r.node * 2 + {_goes_right('r', k, 'v')} END AS node,
@@ -464,7 +465,7 @@ def grouped_forest_ctes(features: list[str], trees: int, depth: int, m_features:
     SELECT b.g, b.tree, b.node, b.f, b.v, c.thr FROM (
       SELECT *, row_number() OVER (PARTITION BY g, tree, node ORDER BY gkey DESC, f, v) AS rn FROM fgain{lv}) b
     JOIN cuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
-    WHERE b.rn = 1 AND b.gain > 0"""),
+    WHERE b.rn = 1 AND b.gkey >= 1"""),
             (f"fr{lv + 1}", f"""
     SELECT r.g, r.tree, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y, r.w,
            CASE WHEN b.f IS NULL THEN r.node
@@ -539,7 +540,7 @@ def pooled_tree_ctes(features: list[str], categorical: tuple[int, ...], depth: i
     SELECT b.g, b.node, b.f, b.v, b.cats, c.thr FROM (
       SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gkey DESC, f, ord, v) AS rn FROM pgain{lv}) b
     JOIN pcuts c ON b.g = c.g AND b.f = c.f AND b.v = c.v
-    WHERE b.rn = 1 AND b.gain > 0"""),
+    WHERE b.rn = 1 AND b.gkey >= 1"""),
             (f"pt{lv + 1}", f"""
     SELECT r.g, r.d, r.pid, {', '.join(f'r.x{i}' for i in range(k))}, r.y,
            CASE WHEN b.f IS NULL THEN r.node ELSE r.node * 2 + {goes('r', 'v')} END AS node,
