@@ -383,7 +383,6 @@ def q_tree_grouped_predictions(spark, sf):
     return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
 
 
-@register("tree_pooled")
 def q_tree_pooled(spark, sf):
     from .models import pooled_report, tree_estimator
     return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("tree"),
@@ -776,3 +775,8 @@ def q_gbt_pooled_levelwise(spark, sf):
                               max_iter=10, max_depth=12, max_bins=100, categorical=(0,))
     report = errors.error_report(model.predict(test), train, fx.GROUP, flows.LABEL, "prediction", overall=True)
     return quantise(report, REPORT_Q)
+
+
+# Spark ML's DecisionTreeRegressor (no randomness) grows the same pooled tree as the level-wise
+# grower, so the Spark ML report is checked against the same SQL.
+register("tree_pooled", _pooled_tree_report_sql())(q_tree_pooled)
