@@ -547,11 +547,12 @@ def q_accuracy(spark, sf):
 @register("rf_classifier")
 def q_rf_classifier(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
+    from .models import FOREST_MEMORY_MB
     data = features.assemble(_class_table(spark, sf, spread=True), CLASS_FEATURES, "features")
     train, test = data.where(F.col(flows.SPLIT)), data.where(~F.col(flows.SPLIT))
     model = RandomForestClassifier(labelCol="label", impurity="gini", maxDepth=5, numTrees=20,
                                    featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML,
-                                   maxMemoryInMB=1024).fit(train.persist())
+                                   maxMemoryInMB=FOREST_MEMORY_MB).fit(train.persist())
     pred = model.transform(test)
     return errors.accuracy(pred, "label", "prediction")
 

@@ -37,9 +37,13 @@ def pooled_report(df: DataFrame, estimator, features: list[str]) -> DataFrame:
     return error_report(pred, train, fx.GROUP, flows.LABEL, "prediction", overall=True)
 
 
-# Histogram memory per task for deep Spark ML trees: more nodes are split per pass over the
-# data at the deep levels (fewer passes, same model).
+# Histogram memory per task for the deep boosted trees (100 bins): more nodes are split per
+# pass over the data at the deep levels (fewer passes, same model).
 TREE_MEMORY_MB = 1024
+# Forests use 1000 bins (and the classifier one statistic per class per bin): a small
+# per-task bound keeps every concurrent task's histograms within a small heap (the model is
+# the same; only the number of passes per level grows).
+FOREST_MEMORY_MB = 32
 
 
 def tree_estimator(kind: str):
@@ -51,7 +55,7 @@ def tree_estimator(kind: str):
     if kind == "forest":
         return RandomForestRegressor(labelCol=flows.LABEL, impurity="variance", maxDepth=12, numTrees=20,
                                      maxBins=1000, featureSubsetStrategy="auto", seed=SEED,
-                                     maxMemoryInMB=TREE_MEMORY_MB)
+                                     maxMemoryInMB=FOREST_MEMORY_MB)
     if kind == "boosted":
         return GBTRegressor(labelCol=flows.LABEL, impurity="variance", maxDepth=12, maxIter=10, maxBins=100,
                             seed=SEED, maxMemoryInMB=TREE_MEMORY_MB)
