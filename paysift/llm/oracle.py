@@ -8,7 +8,7 @@ QUALITY_RULES = r"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 grams AS (
   SELECT doc_id, i, list_aggregate(words[i:i+4], 'string_agg', ' ') AS g
