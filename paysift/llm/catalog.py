@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
+from .sentencepiece_codec import encode_documents
+from .token_counts import count_tokens
 from .chat_format import digests, format_conversations
 
 
@@ -38,10 +40,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.unionByName(planted), vocabulary("byte_bpe_50k.json")))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), full=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
     "op3_chat_format": op3_chat_format,
+    "op5_token_counts": op5_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
