@@ -169,8 +169,8 @@ def thresholds(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         groups.join(level(0, ["lang", "source"]), F.col("lang").eqNullSafe(F.col("lang_0")) & F.col("source").eqNullSafe(F.col("source_0")), "left")
         .join(level(1, ["lang"]), F.col("lang").eqNullSafe(F.col("lang_1")), "left")
     )
-    corpus = level(2, []).withColumn("one", F.lit(1))
-    held = held.withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one", "left").drop("one")  # one row
+    corpus = cuts.where("level = 2").first()  # one row, or none for an empty table
+    held = held.withColumns({f"{c}_2": F.lit(corpus[c] if corpus else None).cast("long") for c in names})
     take = lambda c: F.when(F.col("rows_0") >= min_rows, F.col(f"{c}_0")).when(
         F.col("rows_1") >= min_rows, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
     return held.select("lang", "source", *(take(c).alias(c) for c in names))
