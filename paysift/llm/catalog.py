@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
+from .language_id import identify_language
 from .sentencepiece_codec import encode_documents
 from .token_counts import count_tokens
 from .chat_format import digests, format_conversations
@@ -48,12 +49,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), full=False)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
     "op3_chat_format": op3_chat_format,
     "op5_token_counts": op5_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
+    "op4_language_id": op4_language_id,
 }
 
 ORACLE: dict[str, str] = {
