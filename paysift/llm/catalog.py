@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
+from .quality_classifier import classify_quality
 from .language_id import identify_language
 from .sentencepiece_codec import encode_documents
 from .token_counts import count_tokens
@@ -53,6 +54,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
     "op4_language_id": op4_language_id,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {

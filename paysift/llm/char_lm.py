@@ -168,6 +168,17 @@ def _frequent(table: DataFrame, rows: int) -> DataFrame:
     return bucketed.join(F.broadcast(cut), ["label", "k"]).where("bucket >= least").drop("bucket", "least")  # a row per label and order
 
 
+def quantiles(table: DataFrame, label: str, value: str, percents: list[int], step: float = 0.001) -> DataFrame:
+    """(label, q25, q50, ...): quantiles of ``value`` in buckets of ``step``, so that any
+    partitioning gives the same; a label's buckets are bounded by the range of the values."""
+    sizes = table.groupBy(label, F.floor(F.col(value) / step).alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
+    group = Window.partitionBy(label)
+    ranked = sizes.select("*", F.sum("size").over(group).alias("all"),
+                          F.sum("size").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("below"))
+    return ranked.groupBy(label).agg(*(
+        (F.min(F.when(F.col("below") * 100 >= F.col("all") * p, F.col("bucket"))) * step).alias(f"q{p}") for p in percents))
+
+
 @dataclass
 class Model:
     """Sorted codes, and log-probabilities (rows) of each label (columns), of every order."""
@@ -208,6 +219,20 @@ class Model:
             out[hit] += self.loggamma[k - 1][at[hit]]
         return out
 
+    def own_sums(self, texts: list[str], who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, log-probability under its own label) of each text; ``who``: the label's
+        place in ``labels``."""
+        n = np.zeros(len(texts), np.int64)
+        total = np.zeros(len(texts))
+        for rows, sizes, codes in ngram_codes(texts, self.order, self.fold):
+            full = np.flatnonzero(sizes)
+            if len(full):
+                begin = np.cumsum(sizes)[full] - sizes[full]
+                value = self.look_up(codes)[np.arange(len(codes)), np.repeat(who[rows], sizes)]
+                np.add.at(n, rows[full], sizes[full])
+                np.add.at(total, rows[full], np.add.reduceat(value, begin, dtype=np.float64))
+        return n, total
+
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(characters, log-probability by label) of each text."""
         n = np.zeros(len(texts), np.int64)

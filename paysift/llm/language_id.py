@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .char_lm import Model, count_ngrams, gather
+from .char_lm import Model, count_ngrams, gather, quantiles
 
 ORDER = 4
 FOLDS = 5
@@ -75,9 +75,8 @@ def identify_language(docs: DataFrame, order: int = ORDER) -> DataFrame:
     counts = count_ngrams(rows.where("learnt").select(F.col("lang").alias("label"), "text"), order, fold=True)
     shared = docs.sparkSession.sparkContext.broadcast(gather(counts, order, fold=True, modified=False))
     scored = cut_lineage(rows.select("doc_id", "text", "held_out", "letters", "learnt").mapInArrow(_predict(shared), _SCHEMA))
-    cuts = scored.where("learnt").groupBy("lang_pred").agg(
-        F.percentile_approx("cross_entropy", [0.5, 0.75], 10000).alias("q")
-    ).select("lang_pred", F.col("q")[0].alias("middle"), F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01)).alias("spread"))
+    cuts = quantiles(scored.where("learnt"), "lang_pred", "cross_entropy", [50, 75]).select(
+        "lang_pred", F.col("q50").alias("middle"), F.greatest(F.col("q75") - F.col("q50"), F.lit(0.01)).alias("spread"))
     # One row per language: bounded by MAX_LABELS.
     limit = F.col("middle") + WIDTH * F.col("spread") + 4.0 / F.sqrt(F.greatest("n_chars", F.lit(1)))
     return scored.join(F.broadcast(cuts), "lang_pred", "left").select(
