@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
+from . import pii
 from .decontamination import find_leaks
 from .quality_classifier import classify_quality
 from .language_id import identify_language
@@ -63,6 +64,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_private(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op6_decontamination": op6_decontamination,
+    "op2_pii": op2_pii,
 }
 
 ORACLE: dict[str, str] = {
