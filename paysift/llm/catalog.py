@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
+from .toxicity import score_toxicity
 from . import pii
 from .decontamination import find_leaks
 from .quality_classifier import classify_quality
@@ -68,6 +69,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_private(_table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op2_pii": op2_pii,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE: dict[str, str] = {

@@ -36,6 +36,18 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 
 
+def fold(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``raw`` in lower case (ASCII and Latin-1), and where a capital begins."""
+    upper = (raw >= 65) & (raw <= 90)
+    latin = np.zeros(len(raw), dtype=bool)
+    latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    low = raw.copy()
+    low[upper | latin] += 32
+    capital = upper.copy()
+    capital[:-1] |= latin[1:]
+    return low, capital
+
+
 def _hash(low: np.ndarray, take: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of the bytes in ``take`` of every word."""
     rank = np.zeros(len(low) + 1, dtype=np.int64)
@@ -50,13 +62,7 @@ def _hash(low: np.ndarray, take: np.ndarray, begin: np.ndarray, end: np.ndarray)
 def _chunk(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hash, slot value or 0, place) of the words of ``raw``; ``edges``: where texts begin."""
     n = len(raw)
-    upper = (raw >= 65) & (raw <= 90)
-    latin = np.zeros(n, dtype=bool)
-    latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-    low = raw.copy()
-    low[upper | latin] += 32
-    capital = upper.copy()
-    capital[:-1] |= latin[1:]
+    low, capital = fold(raw)
     space, kept = _SPACE[raw], _KEPT[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[edges] = True
