@@ -44,10 +44,10 @@ from .words import _BASE, _INVERSE, _SPACE, _TABLE, CHUNK, _cut, _power, mix, ut
 FEATURES = 4096
 TRAIN_ROWS = 20_000
 LEAST_DOCUMENTS = 5
-LEAST_RATIO = 30.0  # log-likelihood ratio of a feature
+LEAST_RATIO = 20.0  # log-likelihood ratio of a feature
 PREFIXES = (4, 5, 6)
 COVERS = 6
-LEAST_COVER = 4  # toxic rows that a feature has to add to its lexicon
+LEAST_COVER = 2  # toxic rows that a feature has to add to its lexicon
 LEAST_PRECISION = 0.9
 EM_ROUNDS = 30
 _HELD = 1 << 21
