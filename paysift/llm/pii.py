@@ -170,15 +170,23 @@ def digests(private: DataFrame) -> DataFrame:
         F.size(F.filter("spans", lambda s: s["kind"] >= len(PATTERNS))).cast("long").alias("n_terms"))
 
 
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def sanitise(docs: DataFrame, private: DataFrame) -> DataFrame:
     """``docs`` with the spans in ``text`` replaced: patterns by their kind in brackets, terms
     by ``[TERM]`` or by nothing. Overlapping spans go to the one that starts first, then the
     longest. All columns stay."""
-    spans = private.where("size(spans) > 0").dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    taken = {c.lower() for c in docs.columns}
+    own, key, found = (_free(name, taken) for name in ("own_key", "span_key", "found_spans"))
+    spans = private.where("size(spans) > 0").dropDuplicates(["key"]).select(F.col("key").alias(key), F.col("spans").alias(found))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), text)).join(spans, F.col("_k") == F.col("_key"), "left")
+    joined = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), text)).join(spans, F.col(own) == F.col(key), "left")
     sign = F.array(*(F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")))
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind"))))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -188,5 +196,5 @@ def sanitise(docs: DataFrame, private: DataFrame) -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["at"] + 1, F.char_length("text")))
 
-    clean = F.when(F.col("_spans").isNotNull(), F.aggregate(ordered, first, step, finish)).otherwise(F.col("text"))
+    clean = F.when(F.col(found).isNotNull(), F.aggregate(ordered, first, step, finish)).otherwise(F.col("text"))
     return joined.withColumn("text", clean).select(*docs.columns)

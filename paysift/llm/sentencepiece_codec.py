@@ -127,7 +127,7 @@ def _batches(texts: list[str], size: int = BATCH_CHARS) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def _run(path: str, threads: int, full: bool):
+def _run(path: str, threads: int, full: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, threads)
         for batch in batches:
@@ -148,16 +148,24 @@ def _run(path: str, threads: int, full: bool):
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())]
                     labels += ["input_ids", "decoded"]
+                columns += [batch.column(f"carried_{c}")[part.start:part.stop] for c in carry]
+                labels += [f"carried_{c}" for c in carry]
                 yield pa.RecordBatch.from_arrays(columns, names=labels)
 
     return run
 
 
-def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, full: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, full: bool = True, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (hex digest of the ids as little-endian 32-bit integers),
-    round_trip, parity and, unless ``full`` is false, input_ids and the decoded text."""
+    round_trip, parity and, unless ``full`` is false, input_ids and the decoded text; then the
+    columns of ``docs`` named in ``carry``."""
+    carry = carry or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       *(F.col(c).alias(f"carried_{c}") for c in carry))
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean"
     if full:
         schema += ", input_ids array<int>, decoded string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _run(model_path, threads, full), schema)
+    kinds = dict(rows.dtypes)
+    schema += "".join(f", `carried_{c}` {kinds[f'carried_{c}']}" for c in carry)
+    out = rows.mapInArrow(_run(model_path, threads, full, carry), schema)
+    return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
