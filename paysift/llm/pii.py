@@ -45,7 +45,7 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"(?:[0-9][\x20-]?){12}[0-9]"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-_BYTE = r"^0*+(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
+_BYTE = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 _TERM = r"\p{L}{3,}"
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 

@@ -36,7 +36,7 @@ def brute(text):
 TEXTS = [
     None, "", "no data", "a@b.c", "a@b.c_d@e.f x@y", "é😀 me.x+1@ex-a.co.uk, 漢@b.de", "1.2.3.4.5.6.7.8 999.1.1.1 0255.01.1.1 1.2.3",
     "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111", "+1 (555) 555-5555 +49 30 1234 +123456789012345678", "+1", "@@@.@a.b",
-    "1" * 5000, "9 " * 4000, "a." * 4000 + "@", "x@" + "y." * 3000 + "z", "4111111111111111" * 3, "12.34.56.78.\n4242 4242 4242 4242\n+44 20 7946 0958",
+    "1" * 5000, "9 " * 4000, "a." * 4000 + "@", "x@" + "y." * 3000 + "z", "4111111111111111" * 3, "10.0.0.0 and 000.0.00.255 0.0.0.256", "12.34.56.78.\n4242 4242 4242 4242\n+44 20 7946 0958",
 ]
 
 
