@@ -84,7 +84,7 @@ def _chunk(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     name = capital[first] & ~fresh & ~number & (capitals[end] - capitals[begin] < _characters(raw, begin, end))
     unit = ~number & np.r_[False, number[:-1]]
     unit[unit] = np.isin(bare[unit], unit_hashes())
-    template = np.where(number, mix(bare + NUMBER), np.where(name, NAME, np.where(unit, UNIT, mix(whole))))
+    template = np.where(number, mix(bare + NUMBER), np.where(unit, UNIT, np.where(name, NAME, mix(whole))))
     slot = np.where(number | name | unit, mix(whole) | np.uint64(1), np.uint64(0))
     some = size > 0
     return template[some], slot[some], begin[some]
