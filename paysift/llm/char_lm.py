@@ -125,9 +125,9 @@ def count_ngrams(texts: DataFrame, order: int, fold: bool) -> DataFrame:
     level = cut_lineage(texts.mapInArrow(_count(order, fold), "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n")))
     out = level.select("label", F.lit(order).alias("k"), "code", "n")
     for k in range(order - 1, 0, -1):
-        level = level.groupBy("label", F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        level = cut_lineage(level.groupBy("label", F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n")))
         out = out.unionAll(level.select("label", F.lit(k).alias("k"), "code", "n"))
-    return cut_lineage(out)
+    return out
 
 
 def probabilities(counts: DataFrame, order: int, modified: bool) -> tuple[DataFrame, DataFrame]:
@@ -145,15 +145,15 @@ def probabilities(counts: DataFrame, order: int, modified: bool) -> tuple[DataFr
     spent = counts.join(F.broadcast(tally), ["label", "k"]).withColumn(
         "d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
     spent = spent.withColumn("d", F.least("d", F.col("n") * 0.999)).withColumn("context", F.shiftrightunsigned("code", bits))
-    contexts = spent.groupBy("label", "k", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
+    contexts = cut_lineage(spent.groupBy("label", "k", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")))
     own = cut_lineage(spent.join(contexts, ["label", "k", "context"]).select(
         "label", "k", "code", "n", "types", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha"), "gamma"))
-    lower = own.where("k = 1").select("label", "code", "n", (F.col("alpha") + F.col("gamma") / (F.col("types") + 1)).alias("p"))
+    lower = cut_lineage(own.where("k = 1").select("label", "code", "n", (F.col("alpha") + F.col("gamma") / (F.col("types") + 1)).alias("p")))
     every = lower.select("label", F.lit(1).alias("k"), "code", "n", "p")
     for k in range(2, order + 1):
-        lower = own.where(F.col("k") == k).withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << bits * (k - 1)) - 1))).join(
+        lower = cut_lineage(own.where(F.col("k") == k).withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << bits * (k - 1)) - 1))).join(
             lower.select("label", F.col("code").alias("suffix"), F.col("p").alias("q")), ["label", "suffix"]
-        ).select("label", "code", "n", (F.col("alpha") + F.col("gamma") * F.col("q")).alias("p"))
+        ).select("label", "code", "n", (F.col("alpha") + F.col("gamma") * F.col("q")).alias("p")))
         every = every.unionAll(lower.select("label", F.lit(k).alias("k"), "code", "n", "p"))
     return every, contexts.select("label", "k", F.col("context").alias("code"), F.col("total").alias("n"), "gamma")
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .char_lm import Model, count_ngrams, gather, quantiles
+from .marks import marked
 
 ORDER = 5
 WIDTH = 8.0
@@ -62,8 +63,8 @@ def _trusted(labels: DataFrame) -> DataFrame:
 def classify_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_chars, perplexity, threshold (a perplexity), kept of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(_NO_LANGUAGE)).alias("label"), "text")
-    # The labels are the small side of each partition, so no text is sorted.
-    trusted = rows.join(_trusted(labels).hint("shuffle_hash"), "doc_id", "left_semi").select("label", "text")
+    # Only texts that may be trusted are shuffled, and the labels are the hashed side: no text is sorted.
+    trusted = marked(rows, "doc_id", _trusted(labels)).join(_trusted(labels).hint("shuffle_hash"), "doc_id", "left_semi").select("label", "text")
     model = gather(count_ngrams(trusted, order, fold=False), order, fold=False, modified=True)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = cut_lineage(rows.select("doc_id", "label", "text").mapInArrow(
