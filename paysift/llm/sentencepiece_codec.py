@@ -4,14 +4,17 @@ The model's protobuf is parsed and rebuilt as a ``tokenizers`` pipeline: normali
 map, extra white space, dummy prefix, space marker), a cut before every run of space markers
 (exact, as no piece crosses it), the piece scores as a Unigram model or, for a BPE file, as
 merges in the order in which the scores allow them, byte fallback, and the inverse as decoder.
-Texts are encoded in small batches on several threads, and every row's ids are held against
-the sentencepiece library (``parity``).
+A text is taken as runs (spaces and the word behind them; line feeds, which no longer piece
+holds, stand alone), which is exact for the same reason. The distinct runs of a batch that the
+worker has not met yet are encoded on several threads, joined by line feeds, decoded, and held
+against the sentencepiece library (``parity``); a table of at most ``REMEMBER`` runs keeps the
+results. Models whose normaliser looks across words (a character map, extra white space) or
+that have no byte fallback take the whole text as one run.
 
 Ties between merges of one score go to the leftmost pair; since merging proceeds from the left
 there, the pair with the longer left side is the leftmost one.
 
-Defined cases: null and empty text have no ids and decode to the empty text; texts of any
-length are cut at runs of spaces into segments of about ``SEGMENT`` characters; a text whose
+Defined cases: null and empty text have no ids and decode to the empty text; a text whose
 decoding differs from it (a literal space marker) has ``round_trip`` false; repeated rows and
 null doc_id are encoded as they come; an empty table gives an empty result; columns beyond
 doc_id and text are ignored.
@@ -23,17 +26,19 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepiece_model import BPE, NORMAL, SPACE, UNIGRAM, Model, read_model
+from .sentencepiece_model import BPE, BYTE, NORMAL, SPACE, UNIGRAM, Model, read_model
 
-SEGMENT = 200_000
-BATCH_CHARS = 400_000
-_SPACES = re.compile(r"(?<=[^ ▁])[ ▁]")
+REMEMBER = 500_000
+LONG_RUN = 256  # longer runs aren't remembered
+BATCH_CHARS = 2_000_000
+JOINED = 200  # runs that are encoded in one string
 
 
 def _merges(model: Model) -> list[tuple[str, str]]:
@@ -72,18 +77,6 @@ def build(model: Model, first: bool = True):
     return tok
 
 
-def segments(text: str, size: int = SEGMENT) -> list[str]:
-    """``text`` cut before runs of spaces, every ``size`` characters or at the next run."""
-    out, at = [], 0
-    while len(text) - at > size:
-        hit = _SPACES.search(text, at + size)
-        if not hit:
-            break
-        out.append(text[at:hit.start()])
-        at = hit.start()
-    return [*out, text[at:]]
-
-
 class Codec:
     """Encoder and decoder of one model file; made once in each Python worker."""
 
@@ -93,29 +86,87 @@ class Codec:
         import sentencepiece
 
         model = read_model(path)
-        self.head, self.rest, self.cut = build(model), build(model, first=False), model.splits_at_space()
-        self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        line = [k for k, (piece, _, kind) in enumerate(model.pieces) if kind == BYTE and piece == "<0x0A>"]
+        self.by_run = bool(line) and model.byte_fallback and model.splits_at_space() and not (
+            model.charsmap or model.remove_extra_whitespaces or any("\n" in p for p, _, kind in model.pieces if kind == NORMAL))
         self.threads = threads
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        heads, rest, owner = [], [], []
-        for k, text in enumerate(texts):
-            first, *more = segments(text) if self.cut else [text]
-            heads.append(first)
-            rest += more
-            owner += [k] * len(more)
-        ids = [[np.array(e.ids, dtype=np.int32)] for e in self.head.encode_batch_fast(heads, add_special_tokens=False)]
-        for k, e in zip(owner, self.rest.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            ids[k].append(np.array(e.ids, dtype=np.int32))
-        return [np.concatenate(x) for x in ids]
-
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.head.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.tokenizer = build(model, first=not self.by_run)
+        self.runs = re.compile(f"[ {SPACE}]*[^ {SPACE}\n]+|[ {SPACE}]+|\n" if self.by_run else r"(?s).+")
+        # Before a text stands the dummy prefix.
+        self.lead = " " if self.by_run and model.add_dummy_prefix else ""
+        self.line = line[0] if line else -1
+        self.ids: dict[str, bytes] = {}  # little-endian 32-bit integers
+        self.odd: dict[str, str] = {}  # what a run decodes to, where it isn't the run
+        self.wrong: set[str] = set()  # runs whose ids the library doesn't give
+
+    def _learn_texts(self, texts: list[str]) -> None:
+        """Whole texts as runs."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        for text, own, other, decoded in zip(texts, ids, self.reference.encode(texts, num_threads=self.threads), back, strict=True):
+            self._keep(text, np.array(own, dtype="<i4").tobytes(), own == other, decoded)
+
+    def _learn(self, runs: list[str]) -> None:
+        """Each string holds ``JOINED`` runs behind a line feed each, so that a run's ids lie
+        between two ids of the line feed."""
+        parts = [runs[k:k + JOINED] for k in range(0, len(runs), JOINED)]
+        joined = ["\n" + "\n".join(part) for part in parts]
+        ids = [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        back = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        for part, own, other, text in zip(parts, ids, self.reference.encode(joined, num_threads=self.threads), back, strict=True):
+            other = np.array(other, dtype="<i4")[len(self.lead):]  # the dummy prefix stands alone before the line feed
+            good = np.array_equal(own, other)
+            mine, theirs = self._between(own), self._between(other)
+            for k, (run, decoded) in enumerate(zip(part, text.split("\n")[1:], strict=True)):
+                self._keep(run, mine[k], good or (k < len(theirs) and mine[k] == theirs[k]), decoded)
+
+    def _between(self, ids: np.ndarray) -> list[bytes]:
+        cut, raw = [*np.flatnonzero(ids == self.line).tolist(), len(ids)], ids.tobytes()
+        return [raw[4 * a + 4:4 * b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _keep(self, run: str, ids: bytes, good: bool, decoded: str) -> None:
+        self.ids[run] = ids
+        if not good:
+            self.wrong.add(run)
+        if decoded != run:
+            self.odd[run] = decoded
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
+        """(ids, decoded text, parity) of each text."""
+        if len(self.ids) > REMEMBER:
+            self.ids, self.odd, self.wrong = {}, {}, set()
+        if self.by_run and not self.ids:
+            self.ids = {"\n": np.array([self.line], dtype="<i4").tobytes()}
+            self.odd, self.wrong = {}, set()
+        split = [self.runs.findall(self.lead + t) if t else [] for t in texts]
+        new = list(set().union(*split).difference(self.ids))
+        if new:
+            (self._learn if self.by_run else self._learn_texts)(new)
+        out = []
+        for text, runs in zip(texts, split, strict=True):
+            decoded = text
+            if self.odd and not self.odd.keys().isdisjoint(runs):
+                decoded = "".join([self.odd.get(r, r) for r in runs])[len(self.lead):]
+            out.append((b"".join(map(self.ids.__getitem__, runs)), decoded, not self.wrong or self.wrong.isdisjoint(runs)))
+        for run in new:
+            if len(run) > LONG_RUN:
+                del self.ids[run]
+                self.odd.pop(run, None)
+                self.wrong.discard(run)
+        return out
 
     def expected(self, texts: list[str]) -> list[np.ndarray]:
+        """What the sentencepiece library gives for whole texts."""
         return [np.array(x, dtype=np.int32) for x in self.reference.encode(texts, num_threads=self.threads)]
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str, threads: int) -> Codec:
+    """One codec for all tasks of a worker, with the runs that it has met."""
+    return Codec(path, threads)
+
+
 def _batches(texts: list[str], size: int = BATCH_CHARS) -> Iterator[slice]:
     begin = total = 0
     for k, text in enumerate(texts):
@@ -129,24 +180,24 @@ def _batches(texts: list[str], size: int = BATCH_CHARS) -> Iterator[slice]:
 
 def _run(path: str, threads: int, full: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, threads)
+        codec = codec_of(path, threads)
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text")
             for part in _batches([x.as_py() or "" for x in texts]):
                 own = [x.as_py() or "" for x in texts[part.start:part.stop]]
-                ids = codec.encode(own)
-                decoded = codec.decode(ids)
-                parity = [np.array_equal(a, b) for a, b in zip(ids, codec.expected(own), strict=True)]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
+                made = codec.encode(own)
+                n = np.array([len(ids) // 4 for ids, _, _ in made], dtype=np.int64)
                 columns = [
                     names[part.start:part.stop], pa.array(n),
-                    pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]),
-                    pa.array([a == b for a, b in zip(own, decoded, strict=True)], pa.bool_()), pa.array(parity, pa.bool_()),
+                    pa.array([hashlib.sha256(ids).hexdigest() for ids, _, _ in made]),
+                    pa.array([text == back for text, (_, back, _) in zip(own, made, strict=True)], pa.bool_()),
+                    pa.array([good for _, _, good in made], pa.bool_()),
                 ]
                 labels = ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"]
                 if full:
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())]
+                    columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids for ids, _, _ in made), dtype="<i4"))),
+                                pa.array([back for _, back, _ in made], pa.string())]
                     labels += ["input_ids", "decoded"]
                 columns += [batch.column(f"carried_{c}")[part.start:part.stop] for c in carry]
                 labels += [f"carried_{c}" for c in carry]

@@ -1,10 +1,8 @@
 import random
 
 import numpy as np
-import pytest
-
 from paysift.llm.catalog import vocabulary
-from paysift.llm.sentencepiece_codec import Codec, build, encode_documents, segments
+from paysift.llm.sentencepiece_codec import Codec, build, encode_documents
 from paysift.llm.sentencepiece_model import UNIGRAM, read_model
 from paysift.llm.token_counts import Counter, count_tokens
 
@@ -19,25 +17,39 @@ def texts(n=3000):
 
 def test_codec_equals_the_library():
     codec = Codec(MODEL, threads=1)
-    own = texts()
-    assert all(np.array_equal(a, b) for a, b in zip(codec.encode(own), codec.expected(own), strict=True))
-    plain = [t for t in own if "▁" not in t]
-    assert codec.decode(codec.encode(plain)) == plain
+    own = texts() + ["x" * 300 + " " + "y" * 300, " ", "  ", "▁", " ▁ "]
+    made = codec.encode(own) + codec.encode(own)
+    assert all(np.array_equal(np.frombuffer(ids, "<i4"), want) for (ids, _, _), want in zip(made, 2 * codec.expected(own), strict=True))
+    assert all(good for _, _, good in made)
+    whole = codec.reference.decode([x.tolist() for x in codec.expected(own)])
+    for text, (ids, back, _), other in zip(own, made, whole, strict=False):
+        assert back == text.replace("▁", " ")
+        assert back == other or "\0" in text or text.strip(" ▁") == ""
 
 
-def test_segments_change_nothing():
-    codec = Codec(MODEL, threads=1)
-    text = " ".join(texts(200)).replace("▁", "")
+def test_cache_is_bounded(monkeypatch):
     import paysift.llm.sentencepiece_codec as module
 
-    whole = codec.expected([text])[0]
-    module.SEGMENT, old = 100, module.SEGMENT
-    try:
-        assert len(segments(text, 100)) > 5 and "".join(segments(text, 100)) == text
-        segments.__defaults__ = (100,)
-        assert np.array_equal(codec.encode([text])[0], whole)
-    finally:
-        module.SEGMENT, segments.__defaults__ = old, (old,)
+    monkeypatch.setattr(module, "REMEMBER", 50)
+    codec, own = Codec(MODEL, threads=1), texts(300)
+    for k in range(0, 300, 10):
+        made = codec.encode(own[k:k + 10])
+        assert [np.frombuffer(ids, "<i4").tolist() for ids, _, _ in made] == [x.tolist() for x in codec.expected(own[k:k + 10])]
+        assert len(codec.ids) < 50 + 300
+
+
+def test_a_wrong_run_is_seen():
+    codec = Codec(MODEL, threads=1)
+    library = codec.reference
+
+    class Other:
+        def encode(self, joined, num_threads):
+            return [[7 if k == 3 else x for k, x in enumerate(ids)] for ids in library.encode(joined, num_threads=num_threads)]
+
+    codec.reference = Other()
+    assert [good for _, _, good in codec.encode(["the cat sat"])] == [False]
+    codec.reference = library
+    assert [good for _, _, good in codec.encode(["some dog", ""])] == [True, True]
 
 
 def test_unigram_model_is_rebuilt_too():
@@ -92,8 +104,3 @@ def test_count_rows(spark):
     assert (got[1]["n_tokens"], got[2]["n_tokens"], got[3]["n_chars"]) == (0, 0, 400_000)
     assert got[None]["n_tokens"] == viterbi("hello world", read_model(MODEL))
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
-
-
-@pytest.mark.parametrize("text", ["", "x", "x y", "no" * 50])
-def test_segments_of_short_texts(text):
-    assert segments(text, 100) == [text]
