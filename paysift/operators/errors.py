@@ -38,32 +38,35 @@ def aggregate_error(df: DataFrame, label: str = "label", prediction: str = "pred
     )
 
 
-def _prefix_keys(df: DataFrame, group: str, out: str) -> DataFrame:
-    """One row per prefix of the group text, so a prefix match becomes an equi-join."""
-    g = F.col(group)
-    prefixes = F.transform(F.sequence(F.lit(1), F.length(g)), lambda i: F.substring(g, F.lit(1), i))
-    return df.withColumn(out, F.explode(prefixes))
+_MEASURES = ("Error", "Difference"), ("PercentError", "PercentDifference")
 
 
-def _keyed(df: DataFrame, group: str, groups: DataFrame, match: str) -> DataFrame:
-    """Rows tagged with the report group ``_g`` they belong to."""
-    if match == "equal":
-        return df.withColumn("_g", F.col(group))
-    if match == "prefix":
-        # a row belongs to every training group its text starts with (the original's behaviour)
-        return _prefix_keys(df, group, "_g").join(groups.select(F.col(group).alias("_g")), "_g", "left_semi")
-    raise ValueError(f"match must be 'equal' or 'prefix', got {match!r}")
-
-
-def _error_aggs(grouped, *extra) -> DataFrame:
-    return grouped.agg(*extra,
-        F.min("Difference").alias("MinError"), F.avg("Difference").alias("AvgError"),
-        F.max("Difference").alias("MaxError"), F.min("PercentDifference").alias("MinPercentError"),
-        F.avg("PercentDifference").alias("AvgPercentError"), F.max("PercentDifference").alias("MaxPercentError"),
+def _parts(grouped, *extra) -> DataFrame:
+    """Mergeable parts of the report's aggregates."""
+    return grouped.agg(
+        *extra,
+        *(f(d).alias(f"{k}{n}") for n, d in _MEASURES for k, f in (("min", F.min), ("max", F.max), ("sum", F.sum), ("count", F.count))),
         F.sum(1 - F.col("_test")).cast("long").alias("TrainRows"), F.sum("_test").cast("long").alias("TestRows"),
     )
 
 
+def _finished(parts: DataFrame) -> DataFrame:
+    columns = []
+    for n, _ in _MEASURES:
+        columns += [F.col(f"min{n}").alias(f"Min{n}"), F.try_divide(F.col(f"sum{n}"), F.col(f"count{n}")).alias(f"Avg{n}"), F.col(f"max{n}").alias(f"Max{n}")]
+    return parts.select("DRG", *columns, "TrainRows", "TestRows")
+
+
+def _by_prefix(parts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Parts of every group in ``groups`` (DRG), merged from those of the groups whose text
+    begins with it. One row per group and prefix of its text is expanded, never data rows."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("DRG")), lambda i: F.substring("DRG", F.lit(1), i))
+    spread = parts.withColumn("_p", F.explode(prefixes)).drop("DRG").join(groups.withColumnRenamed("DRG", "_p"), "_p", "left_semi")
+    return spread.groupBy(F.col("_p").alias("DRG")).agg(
+        *(f(f"{k}{n}").alias(f"{k}{n}") for n, _ in _MEASURES for k, f in (("min", F.min), ("max", F.max), ("sum", F.sum), ("count", F.sum))),
+        F.sum("TrainRows").alias("TrainRows"), F.sum("TestRows").alias("TestRows"))
+
+
 def error_report(predictions: DataFrame, train: DataFrame, group: str, label: str = "label",
                  prediction: str = "prediction", overall: bool = True, match: str = "equal") -> DataFrame:
     """Report rows ``DRG, Min/Avg/MaxError, Min/Avg/MaxPercentError, TrainRows, TestRows``.
@@ -81,23 +84,17 @@ def error_report(predictions: DataFrame, train: DataFrame, group: str, label: st
         group, "Difference", "PercentDifference", F.lit(1).alias("_test"))
     trained = train.select(group, null.alias("Difference"), null.alias("PercentDifference"), F.lit(0).alias("_test"))
     both = trained.unionByName(scored)
-    if match == "equal" and overall:
-        # one pass: ROLLUP gives the per-group rows and the grand total together
-        agg = _error_aggs(both.withColumn("_g", F.col(group)).rollup("_g"), F.grouping_id().alias("_gid"))
-        total = agg.where(F.col("_gid") == 1).withColumn("_g", F.lit(OVERALL))
-        per_group = agg.where((F.col("_gid") == 0) & (F.col("TrainRows") > 0))
-        return total.unionByName(per_group).withColumnRenamed("_g", "DRG").select(*REPORT_COLUMNS)
-    groups = train.select(group).distinct() if match == "prefix" else None
-    per_group = (
-        _error_aggs(_keyed(both, group, groups, match).groupBy("_g"))
-        .where(F.col("TrainRows") > 0)
-        .withColumnRenamed("_g", "DRG")
-        .select(*REPORT_COLUMNS)
-    )
-    if not overall:
-        return per_group
-    total = _error_aggs(both.groupBy()).select(F.lit(OVERALL).alias("DRG"), *REPORT_COLUMNS[1:])
-    return total.unionByName(per_group)
+    if match not in ("equal", "prefix"):
+        raise ValueError(f"match must be 'equal' or 'prefix', got {match!r}")
+    # one pass: ROLLUP gives the per-group rows and the grand total together
+    parts = _parts(both.withColumn("DRG", F.col(group)).rollup("DRG"), F.grouping_id().alias("_gid"))
+    groups = parts.where("_gid = 0").drop("_gid")
+    if match == "prefix":
+        groups = _by_prefix(groups, groups.where("TrainRows > 0").select("DRG"))
+    report = groups.where("TrainRows > 0")
+    if overall:
+        report = parts.where("_gid = 1").drop("_gid").withColumn("DRG", F.lit(OVERALL)).unionByName(report)
+    return _finished(report).select(*REPORT_COLUMNS)
 
 
 def order_report(report: DataFrame) -> DataFrame:

@@ -2,46 +2,26 @@
 
 Join strategy policy (applies to the whole package):
 
-- A side is broadcast explicitly only after its row count has been checked against a bound
-  (``broadcast_if_small``); the check reads at most ``max_rows + 1`` rows of the persisted side.
-- Every other join is left to Catalyst with AQE on: a side produced by an aggregate is
-  materialised as a shuffle stage first, and AQE turns the sort-merge join into a broadcast
-  join only when the measured stage is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
-  Large sides stay sort-merge, and ``skewJoin`` splits a hot key's partition.
+- No side is broadcast by hand. Joins are left to Catalyst with AQE on: a side produced by an
+  aggregate is materialised as a shuffle stage first, and AQE turns the sort-merge join into a
+  broadcast join only when the measured bytes of the stage are below
+  ``spark.sql.adaptive.autoBroadcastJoinThreshold``. Large sides stay sort-merge, and
+  ``skewJoin`` splits a hot key's partition.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import GROUP, PROVIDER, REGION, ZIP
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when ``df`` provably has at most ``max_rows`` rows.
-
-    The side is persisted so the check and the join read it once; larger sides are returned
-    unchanged and joined by shuffle.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = kept.limit(max_rows + 1).count()
-    return F.broadcast(kept) if n <= max_rows else kept
-
-
-def join_on_region(facts: DataFrame, regions: DataFrame, fact_key: str = ZIP, region_key: str = REGION,
-                   broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def join_on_region(facts: DataFrame, regions: DataFrame, fact_key: str = ZIP, region_key: str = REGION) -> DataFrame:
     """Inner equi-join of facts to the region dimension on string keys.
 
     Keys are compared as text: leading zeros matter, nulls never match, unmatched rows drop,
-    both key columns are kept. The dimension (one row per region) is broadcast after a size
-    check, so the fact side is never shuffled for this join.
-    """
-    dim = broadcast_if_small(regions, broadcast_rows) if broadcast_rows else regions
-    return facts.join(dim, facts[fact_key] == dim[region_key], "inner")
+    both key columns are kept."""
+    return facts.join(regions, facts[fact_key] == regions[region_key], "inner")
 
 
 def group_counts(df: DataFrame, key: str = PROVIDER, group: str = GROUP, out: str = "drg_count") -> DataFrame:
@@ -58,11 +38,12 @@ def provider_group_count(df: DataFrame, key: str = PROVIDER, group: str = GROUP,
 
 
 def multi_provider_regions(df: DataFrame, region: str = ZIP, key: str = PROVIDER) -> DataFrame:
-    """Rows whose region has more than one distinct provider (``IN (… HAVING …)`` as a semi-join)."""
+    """Rows whose region has more than one distinct provider (``IN (… HAVING …)`` as a semi-join),
+    ordered by region."""
     shared = (
         df.groupBy(region)
         .agg(F.count_distinct(key).alias("_n"))
         .where(F.col("_n") > 1)
         .select(region)
     )
-    return df.join(shared, region, "left_semi")
+    return df.join(shared, region, "left_semi").orderBy(region)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_double
+from ..session import cut_lineage
 
 
 def _c(name: str):
@@ -27,7 +28,8 @@ def min_avg_max(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
 
 
 def group_profile(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: count, min, avg, max, population stddev and coefficient of variation (%)."""
+    """Per group: count, min, avg, max, population stddev and coefficient of variation (%),
+    ordered by the count (then group)."""
     v = _c(value)
     return (
         df.groupBy(group)
@@ -39,6 +41,7 @@ def group_profile(df: DataFrame, group: str, value: str) -> DataFrame:
             F.stddev_pop(v).alias("stddev_value"),
         )
         .withColumn("cv_percent", F.try_divide(F.col("stddev_value") * 100, F.col("avg_value")))
+        .orderBy("n", group)
     )
 
 
@@ -74,11 +77,11 @@ def average_ranks(df: DataFrame, column: str, by: list[str], out: str, buckets:
        offset (a window of at most ``buckets`` rows per group);
     4. inside each (group, bucket) a running count over its distinct values.
 
-    The rank of a value is offset + running count within the bucket - (ties - 1) / 2. Ranks
-    are joined back on (group, value).
+    The rank of a value is offset + running count within the bucket - (ties - 1) / 2. Returns
+    one row per (by, value): ``by``, ``column``, ``out``.
     """
     v = F.col(column)
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = cut_lineage(df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_cnt")))
     probs = [i / buckets for i in range(1, buckets)]
     # quantiles of the distinct values: buckets hold about the same number of window rows
     bounds = counts.groupBy(*by).agg(F.percentile_approx(v, probs, 10 * buckets).alias("_q"))
@@ -88,8 +91,7 @@ def average_ranks(df: DataFrame, column: str, by: list[str], out: str, buckets:
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0))).drop("_bt")
     within = Window.partitionBy(*by, "_bk").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = bucketed.join(offsets, [*by, "_bk"]).withColumn("_cum", F.col("_off") + F.sum("_cnt").over(within))
-    ranks = ranks.select(*by, column, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*by, column], "inner")
+    return ranks.select(*by, column, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -99,7 +101,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     distinct values needs a total order, which Spark ML computes with a distributed sort.
     """
     rows = df.where(_c(x).isNotNull() & _c(y).isNotNull()).select(*by, x, y)
-    ranked = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
+    ranked = rows.join(average_ranks(rows, x, by, "_rx"), [*by, x]).join(average_ranks(rows, y, by, "_ry"), [*by, y])
     return pearson(ranked, "_rx", "_ry", by)
 
 

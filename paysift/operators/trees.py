@@ -4,9 +4,10 @@ The original fitted one distributed Spark ML model per group in a driver loop (a
 group per level). Here all groups (and, for forests, all trees) grow together, following the
 level-wise scheme of PLANET (Panda et al., VLDB 2009):
 
-1. Candidate thresholds per (model key, feature), from one aggregate: midpoints of
-   neighbouring distinct values when there are at most ``max_bins`` of them (Spark ML's
-   rule), else ``percentile_approx`` bin bounds. Categorical features keep every category.
+1. Candidate thresholds per (model key, feature): midpoints of neighbouring distinct values
+   when there are at most ``max_bins`` of them (Spark ML's rule), else equal-frequency bounds
+   from a histogram whose buckets keep the leading bits of the value (exact counts, so every
+   partitioning gives the same bounds). Categorical features keep every category.
 2. Per level, one aggregate over the active rows by (key, node, feature, bin) with weighted
    count, sum and sum of squares (partial aggregation first, so a hot group is combined on the
    map side), a cumulative window over the bins of each (key, node, feature) (at most
@@ -17,14 +18,16 @@ level-wise scheme of PLANET (Panda et al., VLDB 2009):
    by a join with the per-level split table (one row per node). Rows in nodes that did not
    split are finished.
 
-The number of passes is the tree depth, independent of the number of groups. Row state is
-checkpointed to the shared checkpoint folder after every level (``checkpoint_interval``): a
-lost executor only recomputes the last level, and the driver plans a short lineage instead
-of a plan that deepens with every level. Leaves predict the weighted mean label.
+The number of passes is the tree depth, independent of the number of groups and of their
+sizes: a group of a few rows and one that holds a third of the table grow in the same jobs. Each level's split table (a row per node) is checkpointed to the shared
+folder; the rows follow every ``checkpoint_interval`` levels, so a lost executor recomputes a
+few joins at most and plans stay short. Leaves predict the weighted mean label.
 
-Groups with at most ``LOCAL_MAX_ROWS`` rows skip the per-level jobs: each grows in one task
-(``cogroup(...).applyInPandas`` with the numpy grower of ``tree_local``, same cut table and
-rules). Larger groups use the distributed grower above, so no group is capped.
+A caller who knows that every group fits one task (say, a row per provider) may pass
+``in_task=True``: each group then grows in one task by the same rules, with the numpy grower
+of ``tree_local`` and the same cut table. The choice is the caller's; no size decides it.
+
+A null feature raises, as Spark ML's assembler does.
 
 Forests use the same grower with (group, tree) as the model key, Poisson(1) bootstrap
 weights drawn from a hash of (row id, tree, seed), and per-node feature subsets chosen by a
@@ -49,9 +52,8 @@ from .tree_local import POISSON_CDF as _POISSON_CDF
 from .tree_local import RANK_OFFSET
 
 TREE = "_tree"
-# Groups with at most this many training rows grow inside one task (numpy, identical rules);
-# larger groups, e.g. a hot key holding a third of the data, grow with the distributed grower.
-LOCAL_MAX_ROWS = 200_000
+# Levels between two checkpoints of the rows.
+CHECKPOINT_LEVELS = 2
 
 
 def _feature_count(strategy: str | int | None, k: int, num_trees: int) -> int:
@@ -79,6 +81,10 @@ def _poisson_weight(u: Column) -> Column:
     return expr.cast("double")
 
 
+# Leading bits (after the first) of a value that its histogram bucket keeps.
+HISTOGRAM_BITS = 9
+
+
 @dataclass
 class TreeEnsemble:
     """Fitted trees of every model key.
@@ -107,32 +113,30 @@ def _candidates(rows: DataFrame, key: list[str], max_bins: int,
                 categorical: tuple[int, ...] = ()) -> tuple[DataFrame, bool]:
     """Per (key, feature) bins and thresholds: ``key.., _f, _bv (bin upper value), _thr``.
 
-    One aggregate per (key, feature) gives the distinct-value count, approximate quantiles and
-    the maximum (partial aggregation: a hot key is combined on the map side). Features with at
-    most ``max_bins`` distinct values keep every value (thresholds at midpoints, Spark ML's
-    rule); the others are binned at ``max_bins`` quantiles of ``percentile_approx`` (x <= bound
-    goes left). No window ever spans more than ``max_bins`` rows. Returns the cut table and
-    whether any feature was binned."""
+    Values are counted once per (key, feature, value). Features with at most ``max_bins``
+    distinct values keep every value (thresholds at midpoints, Spark ML's rule). The others are
+    cut at ``max_bins`` equal shares of the rows, at the bounds of buckets that keep the
+    sign, exponent and ``HISTOGRAM_BITS`` leading bits of the value, so no window spans more
+    than the buckets of one feature (x <= bound goes left). Returns the cut table and whether
+    any feature was binned."""
     kf = [*key, "_f"]
-    vals = rows.select(*key, F.posexplode("_x").alias("_f", "_v")).where(F.col("_v").isNotNull())
-    probs = [i / max_bins for i in range(1, max_bins)]
-    stats = vals.groupBy(*kf).agg(
-        F.count_distinct("_v").alias("_nd"),
-        F.percentile_approx("_v", probs, 10 * max_bins).alias("_q"),
-        F.max("_v").alias("_max"),
-    ).persist()
-    if categorical and stats.where(F.col("_f").isin(list(categorical)) & (F.col("_nd") > max_bins)).limit(1).count():
+    vals = rows.select(*key, F.posexplode("_x").alias("_f", "_v"))
+    counts = cut_lineage(vals.groupBy(*kf, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    size = F.pow(F.lit(2.0), F.floor(F.log2(F.abs("_v"))) - HISTOGRAM_BITS)
+    bucket = F.when(F.col("_v") == 0, 0.0).otherwise(F.ceil(F.col("_v") / size) * size)
+    stats = counts.groupBy(*kf).agg(F.count(F.lit(1)).alias("_nd"), F.sum("_c").alias("_all"))
+    if categorical and not stats.where(F.col("_f").isin(list(categorical)) & (F.col("_nd") > max_bins)).isEmpty():
         raise ValueError(f"a categorical feature has more than max_bins={max_bins} categories")
     few = stats.where(F.col("_nd") <= max_bins).select(*kf)
-    exact = vals.join(few, kf, "left_semi").select(*kf, F.col("_v").alias("_bv")).distinct()
     w = Window.partitionBy(*kf).orderBy("_bv")
+    exact = counts.join(few, kf, "left_semi").select(*kf, F.col("_v").alias("_bv"))
     exact = exact.withColumn("_thr", (F.col("_bv") + F.lead("_bv").over(w)) / 2.0)
-    bounds = stats.where(F.col("_nd") > max_bins).select(
-        *kf, F.explode(F.array_distinct(F.array_sort(F.concat("_q", F.array("_max"))))).alias("_bv"))
+    buckets = counts.join(stats.where(F.col("_nd") > max_bins), kf).groupBy(*kf, "_all", bucket.alias("_bucket")).agg(
+        F.sum("_c").alias("_c"), F.max("_v").alias("_bv"))
+    share = F.floor((F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1) * max_bins / F.col("_all"))
+    bounds = buckets.withColumn("_share", share).groupBy(*kf, "_share").agg(F.max("_bv").alias("_bv")).drop("_share")
     binned = bounds.withColumn("_thr", F.when(F.lead("_bv").over(w).isNotNull(), F.col("_bv")))
-    needs_binning = stats.where(F.col("_nd") > max_bins).limit(1).count() > 0
-    cuts = exact.unionByName(binned) if needs_binning else exact
-    return cut_lineage(cuts), needs_binning
+    return cut_lineage(exact.unionByName(binned)), not stats.where(F.col("_nd") > max_bins).isEmpty()
 
 
 def _binned_rows(rows: DataFrame, cuts: DataFrame, key: list[str], k: int) -> DataFrame:
@@ -173,7 +177,7 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
     depth_used = 0
     for depth in range(max_depth):
         active = rows.where(~F.col("_done"))
-        ex = active.select(*kn, "_y", "_w", F.posexplode("_b").alias("_f", "_bv")).where(F.col("_bv").isNotNull())
+        ex = active.select(*kn, "_y", "_w", F.posexplode("_b").alias("_f", "_bv"))
         if m_features < k:
             # keep feature f when fewer than m features of this node hash below it
             u = [unit_hash([*key, "_node"], F.concat_ws(":", F.lit(str(seed)), F.lit(str(j)))) for j in range(k)]
@@ -184,6 +188,8 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
             F.count(F.lit(1)).alias("c"), F.sum("_w").alias("w"),
             F.sum(F.col("_w") * F.col("_y")).alias("s"), F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("ss"),
         )
+        # the windows below need the bins of a node together: one exchange serves all of them
+        agg = agg.repartition(*kn)
         # candidate order inside (key, node, feature): values ascending, or for a categorical
         # feature the categories by mean label, then value
         agg = agg.withColumn("_ord", F.when(is_cat, F.col("s") / F.col("w")).otherwise(F.col("_bv")))
@@ -213,14 +219,12 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
             "_gkey": F.when(valid & (imp_t > 0), F.floor(gain / imp_t * F.lit(1e9) + F.lit(RANK_OFFSET))),
         })
         rank = Window.partitionBy(*kn).orderBy(F.col("_gkey").desc_nulls_last(), "_f", "_ord", "_bv")
-        best = (
+        best = cut_lineage(
             scored.withColumn("_rn", F.row_number().over(rank))
             .where((F.col("_rn") == 1) & (F.col("_gkey") >= 1))
             .select(*kn, "_f", "_bv", F.array_sort("_cats").alias("_cats"))
-            .persist()
         )
-        if best.limit(1).count() == 0:
-            best.unpersist()
+        if best.isEmpty():
             break
         depth_used = depth + 1
         splits.append(best)
@@ -236,10 +240,8 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
             })
             .drop("_sf", "_sbv", "_scats")
         )
-        if checkpoint_interval and (depth + 1) % checkpoint_interval == 0:
+        if (depth + 1) % checkpoint_interval == 0:
             rows = cut_lineage(rows)
-        else:
-            rows = rows.persist()
     leaves = rows.groupBy(*kn).agg(
         (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_pred"), F.sum("_w").alias("_n"))
     internal = splits[0] if splits else None
@@ -250,32 +252,23 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
 
 def _prepare(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str | None) -> DataFrame:
     cols = [*key, F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols]).alias("_rid"),
-            F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x")]
+            F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.raise_error(F.lit(f"null feature {f}")).cast("double"))
+                      for f in features]).alias("_x")]
     if label is not None:
         cols.append(F.col(f"`{label}`").cast("double").alias("_y"))
     return df.select(*cols)
 
 
-def _attach_thresholds(internal: DataFrame | None, cuts: DataFrame, key: list[str], spark) -> DataFrame:
+def _attach_thresholds(internal: DataFrame | None, cuts: DataFrame, leaves: DataFrame, key: list[str]) -> DataFrame:
     """Split table: ``_thr`` for a value split (x <= thr goes left), ``_cats`` (the left
-    categories) for a category split."""
+    categories) for a category split. Without any split: an empty table of the same types."""
     if internal is None:
-        schema = ", ".join(f"`{c}` string" for c in key)
-        return spark.createDataFrame([], f"{schema}, {TREE} int, _node long, _f int, _thr double, _cats array<double>")
+        return leaves.where(F.lit(False)).select(
+            *key, "_node", F.lit(0).alias("_f"), F.lit(None).cast("double").alias("_thr"), F.lit(None).cast("array<double>").alias("_cats"))
     return internal.join(cuts, [*[c for c in key if c != TREE], "_f", "_bv"]).select(
         *key, "_node", "_f", F.when(F.col("_cats").isNull(), F.col("_thr")).alias("_thr"), "_cats")
 
 
-def _split_by_size(df: DataFrame, key: list[str], local_max_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups small enough for one task, and rows of the larger groups (or None).
-    One count per group; the key tables are semi-joined (AQE broadcasts them when small)."""
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).persist()
-    small = df.join(sizes.where(F.col("_rows") <= local_max_rows).select(*key), key, "left_semi")
-    large_keys = sizes.where(F.col("_rows") > local_max_rows).select(*key)
-    has_large = large_keys.limit(1).count() > 0
-    return small, (df.join(large_keys, key, "left_semi") if has_large else None)
-
-
 def _local_schema(df: DataFrame, key: list[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keys = ", ".join(f"`{c}` {types[c]}" for c in key)
@@ -285,7 +278,7 @@ def _local_schema(df: DataFrame, key: list[str]) -> str:
 def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode: str, num_trees: int = 1,
                max_depth: int, m_features: int, bootstrap: bool, seed: int, min_instances: int,
                max_iter: int = 1, step_size: float = 0.1, categorical: tuple[int, ...] = ()) -> DataFrame:
-    """Grow the trees of every (bounded) group in one pass: rows and the group's cut table are
+    """Grow the trees of every group, each in one task (the caller says that groups are bounded): rows and the group's cut table are
     cogrouped by key, each group grows in one task with numpy. Returns model rows (``_kind``
     0 = split, 1 = leaf) in the layout of the distributed grower."""
     import pandas as pd
@@ -358,9 +351,8 @@ def _model_parts(local: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame
     return internal, leaves, int(deepest).bit_length() - 1
 
 
-def _forest_distributed(base, cuts, needs, key, k, num_trees, max_depth, m_features, use_boot, seed,
+def _grow_forest(base, cuts, needs, key, k, num_trees, max_depth, m_features, use_boot, seed,
                         min_instances, checkpoint_interval, categorical=()):
-    spark = base.sparkSession
     rows = _binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x"))
     if num_trees > 1:
         rows = rows.withColumn(TREE, F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))))
@@ -372,12 +364,12 @@ def _forest_distributed(base, cuts, needs, key, k, num_trees, max_depth, m_featu
     internal, _, leaves, depth = _grow(
         rows.select(*mkey, "_rid", "_y", "_w", "_b"), mkey, k, max_depth, m_features, seed, min_instances,
         checkpoint_interval, categorical)
-    return _attach_thresholds(internal, cuts, mkey, spark), leaves, depth
+    leaves = cut_lineage(leaves)
+    return _attach_thresholds(internal, cuts, leaves, mkey), leaves, depth
 
 
-def _boosted_distributed(base, cuts, needs, key, k, max_iter, step_size, max_depth, min_instances,
+def _grow_boosted(base, cuts, needs, key, k, max_iter, step_size, max_depth, min_instances,
                          checkpoint_interval, categorical=()):
-    spark = base.sparkSession
     rows = (_binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x")))
     state = cut_lineage(rows.select(*key, "_rid", F.col("_y").alias("_y0"), "_b", F.lit(0.0).alias("_F")))
     internals, leaves_all = [], []
@@ -391,15 +383,14 @@ def _boosted_distributed(base, cuts, needs, key, k, max_iter, step_size, max_dep
                                                categorical)
         depth_max = max(depth_max, depth)
         weight = 1.0 if m == 0 else step_size
-        leaves = leaves.persist()
-        if internal is not None:
-            internals.append(_attach_thresholds(internal, cuts, mkey, spark))
+        leaves = cut_lineage(leaves)
+        internals.append(_attach_thresholds(internal, cuts, leaves, mkey))
         leaves_all.append(leaves)
         # the rows carry their score: one join with the (small) leaf table, no row-to-row join
         state = cut_lineage(
             grown.join(leaves.select(*mkey, "_node", "_pred"), [*mkey, "_node"])
             .select(*key, "_rid", "_y0", "_b", (F.col("_F") + F.lit(weight) * F.col("_pred")).alias("_F")))
-    internal = internals[0] if internals else _attach_thresholds(None, cuts, mkey, spark)
+    internal = internals[0]
     for i in internals[1:]:
         internal = internal.unionByName(i)
     leaves = leaves_all[0]
@@ -408,34 +399,21 @@ def _boosted_distributed(base, cuts, needs, key, k, max_iter, step_size, max_dep
     return internal, leaves, depth_max
 
 
-def _combine(parts: list[tuple[DataFrame, DataFrame, int]]) -> tuple[DataFrame, DataFrame, int]:
-    internal, leaves, depth = parts[0]
-    for i, lv, d in parts[1:]:
-        internal, leaves, depth = internal.unionByName(i), leaves.unionByName(lv), max(depth, d)
-    return internal, leaves, depth
-
-
 def _prepared(df, key, id_cols, features, label, max_bins, categorical=()):
     base = cut_lineage(_prepare(df, key, id_cols, features, label))
     cuts, needs = _candidates(base, key, max_bins, categorical)
     return base, cuts, needs
 
 
-def _only(df: DataFrame | None, keys_of: DataFrame, key: list[str]) -> DataFrame:
-    return df.join(keys_of.select(*key).distinct(), key, "left_semi")
-
-
 def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
                num_trees: int = 20, max_depth: int = 12, max_bins: int = 1000, subset: str | int = "auto",
                bootstrap: bool | None = None, seed: int = 5043, min_instances: int = 1,
-               checkpoint_interval: int = 1, local_max_rows: int = LOCAL_MAX_ROWS,
-               categorical: tuple[int, ...] = ()) -> TreeEnsemble:
+               checkpoint_interval: int = CHECKPOINT_LEVELS, categorical: tuple[int, ...] = (),
+               in_task: bool = False) -> TreeEnsemble:
     """Random forest (or one tree with ``num_trees=1``) for every distinct ``key``.
 
     ``id_cols`` identify a row (used for the bootstrap draw). Bootstrap defaults to on for more
-    than one tree, like Spark ML. Candidate thresholds are computed once for all groups; groups
-    with at most ``local_max_rows`` rows then grow in one task each (``applyInPandas``), larger
-    groups grow level-wise across the cluster (``local_max_rows=0`` sends every group there).
+    than one tree, like Spark ML. Candidate thresholds are computed once for all groups.
     ``categorical`` lists the positions of category-coded features (at most ``max_bins``
     categories; split on category sets ordered by mean label, as Spark ML does).
 
@@ -446,52 +424,44 @@ def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list
     use_boot = (num_trees > 1) if bootstrap is None else bootstrap
     m = _feature_count(subset, k, num_trees)
     base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins, categorical)
-    small, large = _split_by_size(base, key, local_max_rows) if local_max_rows else (None, base)
-    parts = []
-    if small is not None:
-        local = _fit_local(small, cuts, key, k, mode="forest", num_trees=num_trees, max_depth=max_depth,
-                           m_features=m, bootstrap=use_boot, seed=seed, min_instances=min_instances,
-                           categorical=categorical)
-        parts.append(_model_parts(local, key))
-    if large is not None:
-        parts.append(_forest_distributed(large, _only(cuts, large, key), needs, key, k, num_trees, max_depth, m,
-                                         use_boot, seed, min_instances, checkpoint_interval, categorical))
-    internal, leaves, depth = _combine(parts)
+    if in_task:
+        internal, leaves, depth = _model_parts(_fit_local(
+            base, cuts, key, k, mode="forest", num_trees=num_trees, max_depth=max_depth, m_features=m, bootstrap=use_boot,
+            seed=seed, min_instances=min_instances, categorical=categorical), key)
+        return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
+    internal, leaves, depth = _grow_forest(base, cuts, needs, key, k, num_trees, max_depth, m, use_boot, seed,
+                                           min_instances, checkpoint_interval, categorical)
     return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
 
 
 def fit_tree(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
-             max_depth: int = 3, max_bins: int = 100, min_instances: int = 1, checkpoint_interval: int = 1,
-             local_max_rows: int = LOCAL_MAX_ROWS, categorical: tuple[int, ...] = ()) -> TreeEnsemble:
+             max_depth: int = 3, max_bins: int = 100, min_instances: int = 1,
+             checkpoint_interval: int = CHECKPOINT_LEVELS, categorical: tuple[int, ...] = (),
+             in_task: bool = False) -> TreeEnsemble:
     """One regression tree per key (Spark ML ``DecisionTreeRegressor`` semantics)."""
     return fit_forest(df, key, id_cols, features, label, num_trees=1, max_depth=max_depth, max_bins=max_bins,
                       subset="all", bootstrap=False, min_instances=min_instances,
-                      checkpoint_interval=checkpoint_interval, local_max_rows=local_max_rows,
-                      categorical=categorical)
+                      checkpoint_interval=checkpoint_interval, categorical=categorical, in_task=in_task)
 
 
 def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: list[str], label: str,
                 max_iter: int = 10, step_size: float = 0.1, max_depth: int = 12, max_bins: int = 100,
-                min_instances: int = 1, checkpoint_interval: int = 1,
-                local_max_rows: int = LOCAL_MAX_ROWS, categorical: tuple[int, ...] = ()) -> TreeEnsemble:
+                min_instances: int = 1, checkpoint_interval: int = CHECKPOINT_LEVELS,
+                categorical: tuple[int, ...] = (), in_task: bool = False) -> TreeEnsemble:
     """Gradient-boosted regression trees with squared error, per key (Spark ML ``GBTRegressor``
     semantics: the first tree fits ``y`` with weight 1, each later tree fits ``2 * (y - F)``
-    with weight ``step_size``). Bounded groups boost inside one task; larger groups run one
-    distributed grower per round, rows keeping their running score ``F``."""
+    with weight ``step_size``). One run of the grower per round, rows keeping their running
+    score ``F``."""
     k = len(features)
     base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins, categorical)
-    small, large = _split_by_size(base, key, local_max_rows) if local_max_rows else (None, base)
-    parts = []
-    if small is not None:
-        local = _fit_local(small, cuts, key, k, mode="boost", max_depth=max_depth, m_features=k, bootstrap=False,
-                           seed=0, min_instances=min_instances, max_iter=max_iter, step_size=step_size,
-                           categorical=categorical)
-        parts.append(_model_parts(local, key))
-    if large is not None:
-        parts.append(_boosted_distributed(large, _only(cuts, large, key), needs, key, k, max_iter, step_size,
-                                          max_depth, min_instances, checkpoint_interval, categorical))
-    internal, leaves, depth = _combine(parts)
     weights = [1.0] + [step_size] * (max_iter - 1)
+    if in_task:
+        internal, leaves, depth = _model_parts(_fit_local(
+            base, cuts, key, k, mode="boost", max_depth=max_depth, m_features=k, bootstrap=False, seed=0,
+            min_instances=min_instances, max_iter=max_iter, step_size=step_size, categorical=categorical), key)
+        return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
+    internal, leaves, depth = _grow_boosted(base, cuts, needs, key, k, max_iter, step_size, max_depth, min_instances,
+                                            checkpoint_interval, categorical)
     return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
 
 

@@ -52,18 +52,23 @@ def _model_input(spark, sf, ml: bool = False) -> DataFrame:
     if ml:
         from .models import ml_table
         e = ml_table(e)
-    # the pooled Spark ML fits (ml=True) are compute-bound: give them every core
-    return _spread(cut_lineage(e)) if ml else cut_lineage(e)
+    return _dealt(cut_lineage(e)) if ml else cut_lineage(e)
 
 
-def _spread(e: DataFrame) -> DataFrame:
-    """AQE coalesces a small table into very few partitions. For a compute-bound fit (Spark ML
-    trees and forests) a materialised input is spread back over the shuffle partition count;
-    a no-op at scale, where the table already has more partitions. Aggregate-only queries
-    skip this: for them the extra shuffle costs more than it saves."""
-    from ..session import shuffle_partitions
-    n = shuffle_partitions(e.sparkSession)
-    return e.repartition(n) if e.rdd.getNumPartitions() < n else e
+# Partitions of the rows that a pooled Spark ML model is fitted on. Its bootstrap draws follow
+# partitions and row order, so both are fixed by the keys and this number.
+FIT_PARTITIONS = 16
+
+
+def _dealt(e: DataFrame) -> DataFrame:
+    return e.repartition(FIT_PARTITIONS, fx.GROUP, fx.PROVIDER).sortWithinPartitions(fx.GROUP, fx.PROVIDER)
+
+
+def _joined_once(spark, sf) -> DataFrame:
+    """The joined rows, materialised: what joins a count of the rows back to them reads the base
+    tables once."""
+    from ..session import cut_lineage
+    return cut_lineage(fx.joined(spark, sf))
 
 
 M = fx.PRICE_MONTH
@@ -82,6 +87,29 @@ def q_normalize_headers(spark, sf):
     return clean.strip_currency_columns(clean.normalize_headers(raw), fx.MONEY_COLUMNS)
 
 
+@register("csv_round_trip", O.with_ctes(
+    "SELECT DRGDefinition, ProviderId, ProviderZipCode, TotalDischarges, AverageCoveredCharges, "
+    "AverageTotalPayments, AverageMedicarePayments FROM payments", "payments"))
+def q_csv_round_trip(spark, sf):
+    """The payments written as a header CSV with ``$`` money, and read back from it. The files go
+    to the folder that all executors share."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.csv import read_header_csv
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    fx.payments_raw(spark, sf).write.option("header", True).csv(path)
+    return clean.strip_currency_columns(clean.normalize_headers(read_header_csv(spark, path)), fx.MONEY_COLUMNS)
+
+
+PRICE_MONTHS = ("1998-06", "1999-11", M)
+
+
+@register("prices_wide", O.PRICES_WIDE(PRICE_MONTHS))
+def q_prices_wide(spark, sf):
+    """The wide price table, a text column per month."""
+    return fx.prices(spark, sf, PRICE_MONTHS)
+
+
 @register("strip_currency",
           "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def q_strip_currency(spark, sf):
@@ -126,7 +154,7 @@ def q_prefix_filter(spark, sf):
 @register("not_null_filter", O.with_ctes(
     f'SELECT RegionName, "{M}" FROM prices WHERE "{M}" IS NOT NULL', "prices"))
 def q_not_null_filter(spark, sf):
-    return clean.not_null(fx.prices(spark, sf), [M]).select(fx.REGION, M)
+    return clean.not_null(fx.prices(spark, sf, (M,)), [M]).select(fx.REGION, M)
 
 
 @register("hash_sample", O.with_ctes(
@@ -155,12 +183,13 @@ def q_join_on_region(spark, sf):
 @register("provider_group_count", O.with_ctes(
     f"SELECT {JOINED_COLS}, drg_count FROM counted", "counted"))
 def q_provider_group_count(spark, sf):
-    return joins.provider_group_count(fx.joined(spark, sf), fx.PROVIDER, fx.GROUP, "drg_count")
+    return joins.provider_group_count(_joined_once(spark, sf), fx.PROVIDER, fx.GROUP, "drg_count")
 
 
 @register("multi_provider_regions", O.with_ctes(
     f"SELECT {JOINED_COLS} FROM joined WHERE ProviderZipCode IN "
-    "(SELECT ProviderZipCode FROM joined GROUP BY ProviderZipCode HAVING count(DISTINCT ProviderId) > 1)",
+    "(SELECT ProviderZipCode FROM joined GROUP BY ProviderZipCode HAVING count(DISTINCT ProviderId) > 1) "
+    "ORDER BY ProviderZipCode",
     "joined"))
 def q_multi_provider_regions(spark, sf):
     return joins.multi_provider_regions(fx.joined(spark, sf), fx.ZIP, fx.PROVIDER)
@@ -171,7 +200,7 @@ def q_multi_provider_regions(spark, sf):
     f"{O.q('avg(AverageTotalPayments)', 4)} AS avg_value, max(AverageTotalPayments) AS max_value, "
     f"{O.q('stddev_pop(AverageTotalPayments)', 4)} AS stddev_value, "
     f"{O.q('stddev_pop(AverageTotalPayments) * 100 / nullif(avg(AverageTotalPayments), 0)', 6)} AS cv_percent "
-    "FROM joined GROUP BY DRGDefinition", "joined"))
+    "FROM joined GROUP BY DRGDefinition ORDER BY n, DRGDefinition", "joined"))
 def q_group_profile(spark, sf):
     p = stats.group_profile(fx.joined(spark, sf), fx.GROUP, fx.PAYMENT)
     return quantise(p, {"avg_value": 4, "stddev_value": 4, "cv_percent": 6})
@@ -231,7 +260,7 @@ def q_price_series(spark, sf):
     f"SELECT DRGDefinition, drg_count, AverageTotalPayments FROM counted "
     f"WHERE starts_with(DRGDefinition, '{PREFIX}') ORDER BY drg_count, ProviderId", "counted"))
 def q_count_series(spark, sf):
-    c = joins.provider_group_count(fx.joined(spark, sf), fx.PROVIDER, fx.GROUP, "drg_count")
+    c = joins.provider_group_count(_joined_once(spark, sf), fx.PROVIDER, fx.GROUP, "drg_count")
     c = clean.prefix_filter(c, fx.GROUP, PREFIX)
     return c.orderBy("drg_count", fx.PROVIDER).select(fx.GROUP, "drg_count", fx.PAYMENT)
 
@@ -406,7 +435,8 @@ def _rf_grouped_sql() -> str:
 @register("rf_grouped", _rf_grouped_sql())
 def q_rf_grouped(spark, sf):
     from .models import grouped_report
-    return quantise(grouped_report(_model_input(spark, sf), "forest", flows.GROUP_FEATURES), REPORT_Q)
+    # a group holds one row per provider and year: the caller knows that it fits one task
+    return quantise(grouped_report(_model_input(spark, sf), "forest", flows.GROUP_FEATURES, in_task=True), REPORT_Q)
 
 
 @register("gbt_pooled")
@@ -426,7 +456,29 @@ def _gbt_grouped_sql() -> str:
 @register("gbt_grouped", _gbt_grouped_sql())
 def q_gbt_grouped(spark, sf):
     from .models import grouped_report
-    return quantise(grouped_report(_model_input(spark, sf), "boosted", flows.GROUP_FEATURES), REPORT_Q)
+    return quantise(grouped_report(_model_input(spark, sf), "boosted", flows.GROUP_FEATURES, in_task=True), REPORT_Q)
+
+
+def _gbt_live_sql() -> str:
+    ctes, pred = O.grouped_boosting_ctes(flows.TREE_GROUP_FEATURES, 10, 12)
+    rctes, both = O.report_ctes(pred)
+    return O.with_ctes(O.report_select(both, overall=False), "test", ctes + rctes)
+
+
+@register("gbt_live_grouped", _gbt_live_sql())
+def q_gbt_live_grouped(spark, sf):
+    """What the original's live entry computes per group: boosting (10 rounds of depth 12) on
+    the tree's features, with the house price."""
+    from .models import grouped_report
+    return quantise(grouped_report(_model_input(spark, sf), "boosted", flows.TREE_GROUP_FEATURES, in_task=True), REPORT_Q)
+
+
+@register("gbt_live_pooled")
+def q_gbt_live_pooled(spark, sf):
+    """The pooled half of the live entry, through Spark ML."""
+    from .models import pooled_report, tree_estimator
+    return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("boosted"),
+                                  flows.TREE_POOLED_FEATURES), REPORT_Q)
 
 
 GLM_REG = 0.3  # the original's L2 parameter
@@ -477,23 +529,24 @@ def q_glm_r2(spark, sf):
 
 # classifier inputs: group, zip and month price indexed; label = index of the payment bucket
 CLASS_FEATURES = ["drg_index", "zip_index", "price_index"]
+# Width of a payment class: tens of classes.
+CLASS_WIDTH = 10_000
 
 
-def _class_table(spark, sf, spread: bool = False) -> DataFrame:
+def _class_table(spark, sf) -> DataFrame:
     from ..session import cut_lineage
-    j = clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label")
+    j = clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label", CLASS_WIDTH)
     j = features.with_split(j, [fx.GROUP, fx.PROVIDER], out=flows.SPLIT)
     # the four indexes are fitted in one pass over the rows
     from pyspark.ml.feature import StringIndexer
     ins, outs = [fx.GROUP, fx.ZIP, M, "payment_label"], ["drg_index", "zip_index", "price_index", "label"]
     model = StringIndexer(inputCols=ins, outputCols=outs, stringOrderType="frequencyDesc").fit(j)
-    table = cut_lineage(model.transform(j))
-    return _spread(table) if spread else table
+    return _dealt(cut_lineage(model.transform(j)))
 
 
 CLASS_SQL_CTES = [
     ("cl0", f"SELECT DRGDefinition, ProviderId, ProviderZipCode, \"{M}\" AS price, "
-            "CAST(CAST(trunc(AverageTotalPayments) AS INTEGER) - CAST(trunc(AverageTotalPayments) AS INTEGER) % 100 AS VARCHAR) "
+            f"CAST(CAST(trunc(AverageTotalPayments) AS INTEGER) - CAST(trunc(AverageTotalPayments) AS INTEGER) % {CLASS_WIDTH} AS VARCHAR) "
             f"AS payment_label, {O.split_sql()} AS is_train FROM joined"),
     ("i_drg", O.index_cte("cl0", "DRGDefinition", "drg_index")),
     ("i_zip", O.index_cte("cl0", "ProviderZipCode", "zip_index")),
@@ -524,15 +577,27 @@ def _nb_predictions(spark, sf) -> DataFrame:
     data = features.assemble(_class_table(spark, sf), CLASS_FEATURES, "features")
     train, test = data.where(F.col(flows.SPLIT)), data.where(~F.col(flows.SPLIT))
     model = NaiveBayes(labelCol="label", featuresCol="features", smoothing=1.0, modelType="multinomial").fit(train)
-    # Spark ML predicts the position among the labels seen in training (ascending); map it back
-    # to the label value (the list is one entry per class, a bounded collect)
-    seen = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
-    label_of = F.element_at(F.array(*[F.lit(float(v)) for v in seen]), F.col("prediction").cast("int") + 1)
-    return model.transform(test).select(fx.GROUP, fx.PROVIDER, "label", label_of.alias("prediction"))
-
-
-@register("naive_bayes", O.with_ctes("SELECT DRGDefinition, ProviderId, label, prediction FROM nb_pred",
-                                     "joined", CLASS_SQL_CTES))
+    return _named(model.transform(test), data, seen=train)
+
+
+def _named(pred: DataFrame, data: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Predictions with the bucket text of the predicted label. ``seen``: Spark ML's naive Bayes
+    predicts the position among the labels of its training rows (ascending). The tables of
+    labels hold a row per class."""
+    from pyspark.sql import Window
+    text = data.select(F.col("label").alias("value"), F.col("payment_label").alias("original_value")).distinct()
+    if seen is not None:
+        place = (F.row_number().over(Window.orderBy("value")) - 1).cast("double")
+        text = text.join(seen.select(F.col("label").alias("value")).distinct(), "value", "left_semi").withColumn("position", place)
+    else:
+        text = text.withColumn("position", F.col("value"))
+    rows = pred.select(fx.GROUP, fx.PROVIDER, "label", F.col("prediction").alias("position"))
+    return rows.join(text, "position").select(fx.GROUP, fx.PROVIDER, "label", F.col("value").alias("prediction"), "original_value")
+
+
+@register("naive_bayes", O.with_ctes(
+    "SELECT p.DRGDefinition, p.ProviderId, p.label, p.prediction, i.payment_label AS original_value "
+    "FROM nb_pred p JOIN i_label i ON i.label = p.prediction", "joined", CLASS_SQL_CTES))
 def q_naive_bayes(spark, sf):
     return _nb_predictions(spark, sf)
 
@@ -544,18 +609,28 @@ def q_accuracy(spark, sf):
     return quantise(errors.accuracy(_nb_predictions(spark, sf), "label", "prediction"), {"accuracy": 8})
 
 
-@register("rf_classifier")
-def q_rf_classifier(spark, sf):
+def _rf_predictions(spark, sf) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
     from .models import FOREST_MEMORY_MB
-    data = features.assemble(_class_table(spark, sf, spread=True), CLASS_FEATURES, "features")
-    train, test = data.where(F.col(flows.SPLIT)), data.where(~F.col(flows.SPLIT))
-    model = RandomForestClassifier(labelCol="label", impurity="gini", maxDepth=5, numTrees=20,
-                                   featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML,
-                                   maxMemoryInMB=FOREST_MEMORY_MB).fit(train.persist())
-    pred = model.transform(test)
-    return errors.accuracy(pred, "label", "prediction")
+    data = features.assemble(_class_table(spark, sf), CLASS_FEATURES, "features")
+    train, test = data.where(F.col(flows.SPLIT)).persist(), data.where(~F.col(flows.SPLIT))
+    try:
+        model = RandomForestClassifier(labelCol="label", impurity="gini", maxDepth=5, numTrees=20,
+                                       featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML,
+                                       maxMemoryInMB=FOREST_MEMORY_MB).fit(train)
+    finally:
+        train.unpersist()
+    return _named(model.transform(test), data)
+
+
+@register("rf_classifier_predictions")
+def q_rf_classifier_predictions(spark, sf):
+    return _rf_predictions(spark, sf)
+
 
+@register("rf_classifier")
+def q_rf_classifier(spark, sf):
+    return errors.accuracy(_rf_predictions(spark, sf), "label", "prediction")
 
 
 @register("feature_importance")
@@ -628,20 +703,42 @@ def q_kmeans_centres(spark, sf):
     return quantise(df, {f: 4 for f in KM_FEATURES})
 
 
-@register("kmeans_fit")
-def q_kmeans_fit(spark, sf):
-    """Spark ML k-means (k=2, seed 1, k-means|| init) on the training rows: centres and the
-    training cost per row."""
+def _km_model(spark, sf):
+    """Spark ML k-means (k=2, seed 1, k-means|| start, to tolerance) fitted on the training
+    rows: (model, assembled rows)."""
     from ..operators import kmeans
-    data = features.assemble(_model_input(spark, sf), KM_FEATURES, "features")
+    data = features.assemble(_dealt(_model_input(spark, sf)), KM_FEATURES, "features")
     train = data.where(F.col(flows.SPLIT)).persist()
-    model = kmeans.fit_kmeans_ml(train, "features", KM_K, 1)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    sizes = model.summary.clusterSizes
-    rows = [(j, int(sizes[j]), *c) for j, c in enumerate(centres)]
+    try:
+        return kmeans.fit_kmeans_ml(train, "features", KM_K, 1), data
+    finally:
+        train.unpersist()
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf):
+    """Centres, sizes and (on every row) the training cost of the fitted model."""
+    model, _ = _km_model(spark, sf)
+    sizes, cost = model.summary.clusterSizes, float(model.summary.trainingCost)
+    rows = [(j, int(sizes[j]), cost, *map(float, c)) for j, c in enumerate(model.clusterCenters())]
     cols = ", ".join(f"`{f}` double" for f in KM_FEATURES)
-    train.unpersist()
-    return spark.createDataFrame(rows, f"cluster int, size long, {cols}")
+    return spark.createDataFrame(rows, f"cluster int, size long, training_cost double, {cols}")
+
+
+@register("kmeans_fit_assign")
+def q_kmeans_fit_assign(spark, sf):
+    model, data = _km_model(spark, sf)
+    scored = model.transform(data.where(~F.col(flows.SPLIT)))
+    return scored.select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("cluster"), *KM_FEATURES)
+
+
+@register("kmeans_fit_profile")
+def q_kmeans_fit_profile(spark, sf):
+    """Profile of the test rows by the fitted model's clusters."""
+    from ..operators import kmeans
+    model, data = _km_model(spark, sf)
+    scored = model.transform(data.where(~F.col(flows.SPLIT))).withColumn("cluster", F.col("prediction"))
+    return kmeans.cluster_profile(scored, "cluster", [fx.PAYMENT, flows.ZIP_D])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -713,7 +810,8 @@ def q_gbt_grouped_depth3(spark, sf):
     """Per-group boosting with shallow trees (10 rounds, depth 3): the boosting rules checked
     value by value against SQL (the depth-12 configuration is ``gbt_grouped``)."""
     from .models import grouped_predictions
-    p = grouped_predictions(_model_input(spark, sf), "boosted", flows.GROUP_FEATURES, max_iter=10, max_depth=3)
+    p = grouped_predictions(_model_input(spark, sf), "boosted", flows.GROUP_FEATURES, max_iter=10, max_depth=3,
+                            in_task=True)
     return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
 
 
@@ -740,44 +838,5 @@ def _pooled_tree_report_sql() -> str:
     return O.with_ctes(O.report_select(both, overall=True), "test", _POOLED_TREE_CTES + rctes)
 
 
-@register("tree_pooled_levelwise", _pooled_tree_report_sql())
-def q_tree_pooled_levelwise(spark, sf):
-    """The original's pooled tree report (depth 3, 100 bins, the group index categorical) from
-    the level-wise grower, which reproduces Spark ML's ``DecisionTreeRegressor`` here (tests) and
-    can be checked against SQL; ``tree_pooled`` is the same report through Spark ML."""
-    from ..operators import trees
-    from ..session import cut_lineage
-    # the pool key is materialised with the table: a literal key column would let Catalyst
-    # fold the model join into a cross join
-    e = cut_lineage(flows.analysis_table(spark, sf).withColumn("_pool", F.lit("all")))
-    train, test = flows.train_test(e)
-    model = trees.fit_tree(train, ["_pool"], [fx.GROUP, fx.PROVIDER], flows.TREE_POOLED_FEATURES, flows.LABEL,
-                           max_depth=3, max_bins=100, categorical=(0,))
-    report = errors.error_report(model.predict(test), train, fx.GROUP, flows.LABEL, "prediction", overall=True)
-    return quantise(report, REPORT_Q)
-
-
-def _gbt_pooled_levelwise_sql() -> str:
-    ctes, pred = O.grouped_boosting_ctes(flows.POOLED_FEATURES, 10, 12, pooled=True, categorical=(0,))
-    rctes, both = O.report_ctes(pred)
-    return O.with_ctes(O.report_select(both, overall=True), "test", ctes + rctes)
-
-
-@register("gbt_pooled_levelwise", _gbt_pooled_levelwise_sql())
-def q_gbt_pooled_levelwise(spark, sf):
-    """The original's pooled boosting (10 rounds, depth 12, the group index categorical) from
-    the level-wise grower, checked against SQL; ``gbt_pooled`` is the same report through
-    Spark ML (training predictions agree, see tests)."""
-    from ..operators import trees
-    from ..session import cut_lineage
-    e = cut_lineage(flows.analysis_table(spark, sf).withColumn("_pool", F.lit("all")))
-    train, test = flows.train_test(e)
-    model = trees.fit_boosted(train, ["_pool"], [fx.GROUP, fx.PROVIDER], flows.POOLED_FEATURES, flows.LABEL,
-                              max_iter=10, max_depth=12, max_bins=100, categorical=(0,))
-    report = errors.error_report(model.predict(test), train, fx.GROUP, flows.LABEL, "prediction", overall=True)
-    return quantise(report, REPORT_Q)
-
-
-# Spark ML's DecisionTreeRegressor (no randomness) grows the same pooled tree as the level-wise
-# grower, so the Spark ML report is checked against the same SQL.
+# Spark ML's DecisionTreeRegressor draws nothing at random, so SQL can grow the same tree.
 register("tree_pooled", _pooled_tree_report_sql())(q_tree_pooled)

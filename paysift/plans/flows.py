@@ -10,6 +10,7 @@ from ..operators.errors import error_report, order_report
 from ..operators.features import SPLIT_SEED, TRAIN_PERCENT, index_table, with_split
 from ..operators.joins import provider_group_count
 from ..operators.linear import fit_ols, predict_ols
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 
 # Engineered column names
@@ -50,7 +51,9 @@ def with_group_index(df: DataFrame, group: str = fx.GROUP, out: str = DRG_INDEX)
 
 def analysis_table(spark: SparkSession, sf_dir: str, month: str = fx.PRICE_MONTH, indexed: bool = True,
                    groups: str = "size") -> DataFrame:
-    e = engineer(fx.joined(spark, sf_dir, month, groups), month)
+    # the provider counts are joined back to the rows they come from: materialised once, so the
+    # base tables are read once
+    e = engineer(cut_lineage(fx.joined(spark, sf_dir, month, groups)), month)
     return with_group_index(e) if indexed else e
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import trees
-from ..operators.errors import error_report
+from ..operators.errors import error_report, order_report
 from ..operators.features import assemble, fit_string_index
 from ..sources import fixtures as fx
 from . import flows
@@ -22,19 +22,22 @@ def ml_table(engineered: DataFrame) -> DataFrame:
 
 
 def fit_pooled(df: DataFrame, estimator, features: list[str]):
-    """Assemble, split, fit on the training rows. Returns (model, train, test) with the
-    training part persisted for the iterative fit."""
+    """Assemble, split, fit on the training rows, which are cached during the fit. Returns
+    (model, train, test)."""
     data = assemble(df, features, "features")
     train, test = flows.train_test(data)
     train = train.persist()
-    return estimator.fit(train), train, test
+    try:
+        return estimator.fit(train), train, test
+    finally:
+        train.unpersist()
 
 
 def pooled_report(df: DataFrame, estimator, features: list[str]) -> DataFrame:
     """Pooled model: ``Overall`` plus per-group errors on the test rows."""
     model, train, test = fit_pooled(df, estimator, features)
     pred = model.transform(test)
-    return error_report(pred, train, fx.GROUP, flows.LABEL, "prediction", overall=True)
+    return order_report(error_report(pred, train, fx.GROUP, flows.LABEL, "prediction", overall=True))
 
 
 # Histogram memory per task for the deep boosted trees (100 bins): more nodes are split per
@@ -63,22 +66,22 @@ def tree_estimator(kind: str):
 
 
 def grouped_model(df: DataFrame, kind: str, features: list[str], **params) -> trees.TreeEnsemble:
-    """One model per group, all groups in the same level-wise passes."""
+    """One model per group, all groups in the same level-wise passes, or with ``in_task=True``
+    each group in one task (groups are known to be bounded)."""
     train, _ = flows.train_test(df)
     key, ids = [fx.GROUP], [fx.GROUP, fx.PROVIDER]
-    local = params.get("local_max_rows", trees.LOCAL_MAX_ROWS)
+    in_task = params.get("in_task", False)
     if kind == "tree":
         return trees.fit_tree(train, key, ids, features, flows.LABEL, max_depth=params.get("max_depth", 3),
-                              max_bins=params.get("max_bins", 100), local_max_rows=local)
+                              max_bins=params.get("max_bins", 100), in_task=in_task)
     if kind == "forest":
         return trees.fit_forest(train, key, ids, features, flows.LABEL,
                                 num_trees=params.get("num_trees", 20), max_depth=params.get("max_depth", 12),
-                                max_bins=params.get("max_bins", 1000), subset="auto", seed=SEED,
-                                local_max_rows=local)
+                                max_bins=params.get("max_bins", 1000), subset="auto", seed=SEED, in_task=in_task)
     if kind == "boosted":
         return trees.fit_boosted(train, key, ids, features, flows.LABEL,
                                  max_iter=params.get("max_iter", 10), max_depth=params.get("max_depth", 12),
-                                 max_bins=params.get("max_bins", 100), local_max_rows=local)
+                                 max_bins=params.get("max_bins", 100), in_task=in_task)
     raise ValueError(kind)
 
 
@@ -89,10 +92,10 @@ def grouped_predictions(df: DataFrame, kind: str, features: list[str], **params)
 
 
 def grouped_report(df: DataFrame, kind: str, features: list[str], **params) -> DataFrame:
-    """Per-group models: one report row per training group (no ``Overall``)."""
+    """Per-group models: one report row per training group (no ``Overall``), ordered by group."""
     train, _ = flows.train_test(df)
     pred = grouped_predictions(df, kind, features, **params)
-    return error_report(pred, train, fx.GROUP, flows.LABEL, "prediction", overall=False)
+    return order_report(error_report(pred, train, fx.GROUP, flows.LABEL, "prediction", overall=False))
 
 
 def best_first_split(df: DataFrame, features: list[str]) -> DataFrame:
@@ -116,7 +119,6 @@ def feature_importance(df: DataFrame, features: list[str]) -> DataFrame:
     """Pooled random forest importances as rows (feature, importance)."""
     model, train, _ = fit_pooled(df, tree_estimator("forest"), features)
     imp = model.featureImportances.toArray().tolist()
-    train.unpersist()
     return df.sparkSession.createDataFrame(list(zip(features, [float(v) for v in imp])), "feature string, importance double")
 
 
@@ -124,16 +126,16 @@ def predict_prices(spark, sf_dir: str, out_dir: str, kind: str = "tree", mode: s
     """The original's entry flow: analysis table, then a pooled model report (``Overall`` +
     groups) and a per-group model report, each written as one header CSV file.
 
-    ``kind`` is ``tree`` (depth 3), ``boosted`` (what the original's tree entries actually
-    ran) or ``forest``. Returns the written paths."""
+    ``kind`` is ``tree`` (depth 3), ``boosted`` (10 rounds of depth 12: what the original's tree
+    entries actually ran, on the tree's features with the house price) or ``forest``. Returns
+    the written paths."""
     from ..session import cut_lineage
     from ..sources.csv import write_report
-    from ..operators.errors import order_report
 
     engineered = cut_lineage(ml_table(flows.analysis_table(spark, sf_dir, indexed=False)))
-    pooled_features = flows.TREE_POOLED_FEATURES if kind == "tree" else flows.POOLED_FEATURES
-    group_features = flows.TREE_GROUP_FEATURES if kind == "tree" else flows.GROUP_FEATURES
+    pooled_features = flows.TREE_POOLED_FEATURES if kind != "forest" else flows.POOLED_FEATURES
+    group_features = flows.TREE_GROUP_FEATURES if kind != "forest" else flows.GROUP_FEATURES
     paths = {"pooled": f"{out_dir.rstrip('/')}/pooled_{kind}", "grouped": f"{out_dir.rstrip('/')}/grouped_{kind}"}
-    write_report(order_report(pooled_report(engineered, tree_estimator(kind), pooled_features)), paths["pooled"], mode)
-    write_report(order_report(grouped_report(engineered, kind, group_features)), paths["grouped"], mode)
+    write_report(pooled_report(engineered, tree_estimator(kind), pooled_features), paths["pooled"], mode)
+    write_report(grouped_report(engineered, kind, group_features, in_task=kind != "tree"), paths["grouped"], mode)
     return paths

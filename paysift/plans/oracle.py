@@ -31,24 +31,21 @@ def split_sql(seed: int = 5043, pct: int = 70) -> str:
 BASE_CTES = {
     "payments": """
     SELECT lpad(CAST(p_size AS VARCHAR), 3, '0') || ' - PROC' AS DRGDefinition,
-           CAST(l_suppkey AS VARCHAR) AS ProviderId,
+           CAST(l_suppkey AS VARCHAR) || '-' || CAST(year(l_shipdate) AS VARCHAR) AS ProviderId,
            lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS ProviderZipCode,
            CAST(count(*) AS VARCHAR) AS TotalDischarges,
            sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) / count(*) AS AverageTotalPayments,
            sum(CAST(round((l_extendedprice * (1 + l_tax)) * 100) AS BIGINT)) / CAST(100 AS DOUBLE) / count(*) AS AverageCoveredCharges,
            sum(CAST(round((l_extendedprice * (1 - l_discount)) * 100) AS BIGINT)) / CAST(100 AS DOUBLE) / count(*) AS AverageMedicarePayments
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE year(l_shipdate) = 2000
     GROUP BY 1, 2, 3""",
     "prices": """
-    SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS RegionName,
-           CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE CAST(a AS VARCHAR) END AS "2000-12"
-    FROM nation JOIN (SELECT c_nationkey,
-                             CAST(floor(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*)) AS BIGINT) AS a
-                      FROM orders JOIN customer ON o_custkey = c_custkey
-                      WHERE year(o_orderdate) = 2000 AND month(o_orderdate) = 12
-                      GROUP BY c_nationkey) x ON n_nationkey = c_nationkey
-    WHERE n_nationkey % 11 <> 5""",
+    SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS RegionName, CAST(a AS VARCHAR) AS "2000-12"
+    FROM nation LEFT JOIN (SELECT c_nationkey,
+                                  CAST(floor(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*)) AS BIGINT) AS a
+                           FROM orders JOIN customer ON o_custkey = c_custkey
+                           WHERE year(o_orderdate) = 2000 AND month(o_orderdate) = 12
+                           GROUP BY c_nationkey) x ON n_nationkey = c_nationkey""",
     "joined": """
     SELECT p.DRGDefinition, p.ProviderId, p.ProviderZipCode, p.TotalDischarges, r."2000-12", p.AverageTotalPayments
     FROM payments p JOIN prices r ON p.ProviderZipCode = r.RegionName
@@ -79,7 +76,7 @@ ORDER = list(BASE_CTES)
 
 BRAND_PAYMENTS = (BASE_CTES["payments"]
                   .replace("lpad(CAST(p_size AS VARCHAR), 3, '0') || ' - PROC' AS DRGDefinition", "p_brand AS DRGDefinition")
-                  .replace("WHERE year(l_shipdate) = 2000\n", ""))
+                  .replace(" || '-' || CAST(year(l_shipdate) AS VARCHAR)", ""))
 
 
 def with_ctes(body: str, upto: str, extra: list[tuple[str, str]] | None = None, brand: bool = False) -> str:
@@ -92,6 +89,16 @@ def with_ctes(body: str, upto: str, extra: list[tuple[str, str]] | None = None,
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+def PRICES_WIDE(months: tuple[str, ...]) -> str:
+    """A text column per month: the average order value of each nation's customers."""
+    cols = ", ".join(
+        f"CAST(CAST(floor(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (m = '{m}') / nullif(count(*) FILTER (m = '{m}'), 0)) "
+        f"AS BIGINT) AS VARCHAR) AS \"{m}\"" for m in months)
+    return ("SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS RegionName, x.* EXCLUDE (c_nationkey) FROM nation LEFT JOIN ("
+            f"SELECT c_nationkey, {cols} FROM (SELECT *, strftime(o_orderdate, '%Y-%m') AS m FROM orders) "
+            "JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) x ON n_nationkey = c_nationkey")
+
+
 def ols_ctes(features: list[str], group: str | None, train: str = "train", prefix: str = "o",
              ridge: float = 0.0) -> tuple[list[tuple[str, str]], str]:
     """CTEs fitting OLS per group (or pooled) with the same arithmetic as ``fit_ols``.

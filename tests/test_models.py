@@ -10,12 +10,12 @@ from paysift.plans import flows, models
 from paysift.session import cut_lineage
 from paysift.sources import fixtures as fx
 
-from .conftest import SF_SMALL
+from .conftest import SF_SMOKE
 
 
 @pytest.fixture(scope="module")
 def table(spark):
-    return cut_lineage(flows.analysis_table(spark, SF_SMALL))
+    return cut_lineage(flows.analysis_table(spark, SF_SMOKE))
 
 
 def _slices(table, n=4):
@@ -55,10 +55,10 @@ def test_grouped_ols_equals_spark_ml_per_slice(spark, table):
         assert d < 1e-4, (g, d)
 
 
-@pytest.mark.parametrize("local_max_rows", [trees.LOCAL_MAX_ROWS, 0], ids=["in-task", "distributed"])
-def test_grouped_tree_equals_spark_ml_per_slice(spark, table, local_max_rows):
+@pytest.mark.parametrize("in_task", [True, False], ids=["in-task", "level-wise"])
+def test_grouped_tree_equals_spark_ml_per_slice(spark, table, in_task):
     train, test, groups = _slices(table)
-    model = models.grouped_model(table, "tree", flows.TREE_GROUP_FEATURES, local_max_rows=local_max_rows)
+    model = models.grouped_model(table, "tree", flows.TREE_GROUP_FEATURES, in_task=in_task)
     mine = model.predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
     va = VectorAssembler(inputCols=flows.TREE_GROUP_FEATURES, outputCol="features")
     for g in groups:
@@ -70,8 +70,8 @@ def test_grouped_tree_equals_spark_ml_per_slice(spark, table, local_max_rows):
         assert d < 1e-6, (g, d)
 
 
-@pytest.mark.parametrize("local_max_rows", [trees.LOCAL_MAX_ROWS, 0], ids=["in-task", "distributed"])
-def test_grouped_gbt_equals_spark_ml_per_slice(spark, table, local_max_rows):
+@pytest.mark.parametrize("in_task", [True, False], ids=["in-task", "level-wise"])
+def test_grouped_gbt_equals_spark_ml_per_slice(spark, table, in_task):
     """Ten rounds, depth 3. Spark ML breaks exact gain ties (two features giving the same
     partition) by rounding noise, the grouped grower by feature order; both choices split the
     training rows identically, so training predictions must agree (test rows may fall between
@@ -80,7 +80,7 @@ def test_grouped_gbt_equals_spark_ml_per_slice(spark, table, local_max_rows):
     va = VectorAssembler(inputCols=flows.GROUP_FEATURES, outputCol="features")
     for rounds, rows in [(10, train)]:
         model = models.grouped_model(table, "boosted", flows.GROUP_FEATURES, max_iter=rounds, max_depth=3,
-                                     local_max_rows=local_max_rows)
+                                     in_task=in_task)
         mine = model.predict(rows).select(fx.GROUP, fx.PROVIDER, "prediction")
         for g in groups:
             tr = va.transform(train.where(F.col(fx.GROUP) == g))
@@ -124,25 +124,51 @@ def test_in_task_and_distributed_paths_agree(spark, table):
     """Forest with bootstrap and feature subsets: both growers give the same model."""
     train, test = flows.train_test(table)
     fit = lambda lm: trees.fit_forest(train, [fx.GROUP], [fx.GROUP, fx.PROVIDER], flows.GROUP_FEATURES,
-                                      "label", num_trees=4, max_depth=5, local_max_rows=lm)
-    a = fit(trees.LOCAL_MAX_ROWS).predict(test).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
-    b = fit(0).predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
+                                      "label", num_trees=4, max_depth=5, in_task=lm)
+    a = fit(True).predict(test).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
+    b = fit(False).predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(a, b) < 1e-6
 
 
-def test_mixed_paths_match_single_path(spark, table):
-    """With a row bound inside the range of group sizes, part of the groups grow in one task
-    and the rest with the distributed grower; the union must equal the all-in-task model."""
+def test_boosting_agrees_on_both_paths(spark, table):
     train, test = flows.train_test(table)
-    sizes = [r[0] for r in train.groupBy(fx.GROUP).count().select("count").collect()]
-    bound = sorted(sizes)[len(sizes) // 2]
     fit = lambda lm: trees.fit_boosted(train, [fx.GROUP], [fx.GROUP, fx.PROVIDER], flows.GROUP_FEATURES,
-                                       "label", max_iter=3, max_depth=4, local_max_rows=lm)
-    a = fit(trees.LOCAL_MAX_ROWS).predict(test).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
-    b = fit(bound).predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
+                                       "label", max_iter=3, max_depth=4, in_task=lm)
+    a = fit(True).predict(test).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
+    b = fit(False).predict(test).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(a, b) < 1e-6
 
 
+def _tiny(spark, label=None, null=False):
+    rows = [(f"g{i % 2}", str(i), float(i % 7), None if null and i == 5 else float(i % 5), label if label is not None else float(i)) for i in range(60)]
+    return spark.createDataFrame(rows, "g string, id string, a double, b double, label double")
+
+
+@pytest.mark.parametrize("in_task", [True, False])
+def test_constant_label_predicts_it(spark, in_task):
+    df = _tiny(spark, label=3.5)
+    model = trees.fit_tree(df, ["g"], ["id"], ["a", "b"], "label", in_task=in_task)
+    assert [r["prediction"] for r in model.predict(df).select("prediction").distinct().collect()] == [3.5]
+
+
+@pytest.mark.parametrize("in_task", [True, False])
+def test_null_feature_raises(spark, in_task):
+    with pytest.raises(Exception, match="null feature b"):
+        trees.fit_tree(_tiny(spark, null=True), ["g"], ["id"], ["a", "b"], "label", in_task=in_task).predict(_tiny(spark)).collect()
+
+
+def test_bins_do_not_depend_on_partitions(spark):
+    import random
+    draw = random.Random(2)
+    rows = [("g", str(i), draw.lognormvariate(0, 3), draw.random()) for i in range(400)]
+    sums = set()
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame(rows, "g string, id string, a double, label double").repartition(parts)
+        model = trees.fit_tree(df, ["g"], ["id"], ["a"], "label", max_bins=8)
+        sums.add(tuple(sorted((r["_node"], r["_thr"]) for r in model.internal.select("_node", "_thr").collect())))
+    assert len(sums) == 1 and len(sums.pop()) >= 3
+
+
 def test_ridge_closed_form_equals_spark_ml_glr(spark, table):
     from pyspark.ml.regression import GeneralizedLinearRegression
 
@@ -156,14 +182,14 @@ def test_ridge_closed_form_equals_spark_ml_glr(spark, table):
     assert _max_diff(ml, mine) < 1e-5
 
 
-@pytest.mark.parametrize("local_max_rows,depth", [(trees.LOCAL_MAX_ROWS, 3), (0, 3), (trees.LOCAL_MAX_ROWS, 12)],
-                         ids=["in-task", "distributed", "in-task-depth12"])
-def test_pooled_categorical_tree_equals_spark_ml(spark, local_max_rows, depth):
+@pytest.mark.parametrize("in_task,depth", [(True, 3), (False, 3), (True, 12)],
+                         ids=["in-task", "level-wise", "in-task-depth12"])
+def test_pooled_categorical_tree_equals_spark_ml(spark, in_task, depth):
     """The group index as a categorical feature: categories ordered by mean label per node,
     splits on category sets, exactly as Spark ML's DecisionTreeRegressor does."""
     from paysift.plans import models as M
 
-    df = cut_lineage(M.ml_table(flows.analysis_table(spark, SF_SMALL, indexed=False))).withColumn("_pool", F.lit("all"))
+    df = cut_lineage(M.ml_table(flows.analysis_table(spark, SF_SMOKE, indexed=False))).withColumn("_pool", F.lit("all"))
     train, test = flows.train_test(df)
     feats = flows.TREE_POOLED_FEATURES
     va = VectorAssembler(inputCols=feats, outputCol="features")
@@ -173,7 +199,7 @@ def test_pooled_categorical_tree_equals_spark_ml(spark, local_max_rows, depth):
     ml = DecisionTreeRegressor(labelCol="label", maxDepth=depth, maxBins=100, seed=5043).fit(va.transform(train))
     ref = ml.transform(va.transform(rows)).select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml"))
     model = trees.fit_tree(train, ["_pool"], [fx.GROUP, fx.PROVIDER], feats, "label", max_depth=depth, max_bins=100,
-                           local_max_rows=local_max_rows, categorical=(0,))
+                           in_task=in_task, categorical=(0,))
     assert model.internal.where(F.col("_cats").isNotNull()).count() > 0
     mine = model.predict(rows).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(ref, mine) < 1e-6
@@ -186,7 +212,7 @@ def test_pooled_categorical_gbt_equals_spark_ml_on_training_rows(spark, depth):
     deep boosted trees can differ (single trees match at depth 12, see below)."""
     from paysift.plans import models as M
 
-    df = cut_lineage(M.ml_table(flows.analysis_table(spark, SF_SMALL, indexed=False))).withColumn("_pool", F.lit("all"))
+    df = cut_lineage(M.ml_table(flows.analysis_table(spark, SF_SMOKE, indexed=False))).withColumn("_pool", F.lit("all"))
     train, _ = flows.train_test(df)
     feats = flows.POOLED_FEATURES
     va = VectorAssembler(inputCols=feats, outputCol="features")
