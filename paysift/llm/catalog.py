@@ -88,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": oracle.QUALITY_RULES,
+    "op7_minhash": oracle.MINHASH,
 }

@@ -56,3 +56,25 @@ k AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
                        CASE WHEN word_length < t.low_word_length THEN 'low_word_length' END) AS broken FROM j)
 SELECT *, NOT base_failed AND broken = '' AS kept FROM k
 """
+
+MINHASH = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) < 2 THEN words
+                               ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, k = x.n AND k = y.n AS same FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * k >= 80 * (x.n + y.n - k)),
+sides AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT sides.v, reach.c FROM reach JOIN sides ON sides.u = reach.doc_id),
+least_of AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1),
+class AS (SELECT b AS doc_id, min(a) AS first FROM links WHERE same GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept,
+       CASE WHEN n.n IS NOT NULL THEN coalesce(class.first, doc_id) END AS class_id
+FROM w JOIN least_of USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN class USING (doc_id)
+"""

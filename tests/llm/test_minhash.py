@@ -7,7 +7,7 @@ import pytest
 
 import paysift.llm.words as words_module
 from paysift.llm.components import components
-from paysift.llm.marks import marked
+from paysift.llm.marks import marked, without
 from paysift.llm.minhash import COORDS, mix, near_duplicates, shingles, sketch
 from paysift.llm.words import word_hashes
 
@@ -122,3 +122,24 @@ def test_marked_keeps_every_id(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "'x' AS text")
     got = {r["doc_id"] for r in marked(rows, "doc_id", spark.range(0, 5000, 50).toDF("id")).collect()}
     assert set(range(0, 5000, 50)) <= got and len(got) < 200
+
+
+def test_without_drops_exactly_the_ids(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "'x' AS _place").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, 'y' AS _place"))
+    out = without(rows, "doc_id", spark.range(0, 3000, 7).toDF("id"))
+    assert out.columns == rows.columns
+    assert sorted(r["doc_id"] or -1 for r in out.collect()) == sorted([-1, *(i or -1 for i in range(3000) if i % 7)])
+    assert without(rows, "doc_id", spark.range(0).toDF("id")).count() == 3001
+
+
+def test_sql(spark):
+    import duckdb
+
+    from paysift.llm.oracle import MINHASH
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = con.execute(MINHASH).df().sort_values("doc_id").reset_index(drop=True)
+    got = near_duplicates(spark.read.parquet(path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got[sorted(got)].astype(str).equals(want[sorted(want)].astype(str))
