@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    return moved.where("u <> v")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -39,6 +39,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        edges = cut_lineage(_star(_star(edges, True), False))
+        edges = cut_lineage(_star(_star(edges, True), False).distinct())
     linked = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return linked.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
