@@ -51,6 +51,7 @@ LEAST_COVER = 2  # toxic rows that a feature has to add to its lexicon
 LEAST_PRECISION = 0.9
 EM_ROUNDS = 30
 _HELD = 1 << 21
+_PLACES = 1 << 20
 # Words of the fixed lexicon.
 INSULTS = """idiot idiots stupid moron morons loser losers worthless pathetic scum trash clown disgusting dumb
 imbecile fool filth vermin garbage retard bastard bitch asshole shit fuck fucking cunt whore slut""".split()
@@ -340,7 +341,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     if chosen:
         bits = lambda v: (np.asarray(v, dtype=np.int64)[:, None] >> np.arange(N_VOTERS)) & 1
         learnt = read.where("NOT held_out AND doc_id IS NOT NULL")
-        sample = learnt.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("toxic", "fixed", "hits").collect()
+        # Rows beyond a quarter more than are wanted never leave their task.
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
+        near = place < int(min(1.0, 1.25 * train_rows / (n1 + n0)) * _PLACES)
+        sample = learnt.join(known, "doc_id").where(near).orderBy(place, "doc_id").limit(train_rows).select("toxic", "fixed", "hits").collect()
         hits = [np.array(r["hits"], dtype=np.int64) for r in sample]
         lexicon = choose_lexicons(hits, np.array([r["toxic"] for r in sample]), len(chosen))
         chart = spark.sparkContext.broadcast(lexicon)
