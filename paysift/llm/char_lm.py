@@ -28,9 +28,9 @@ from ..session import cut_lineage
 
 TABLE_ROWS = 1 << 18
 MAX_LABELS = 64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _PRIMES = {21: 2097143, 16: 65521, 12: 4093, 10: 1021}  # the largest below 2**bits - 1
-_HELD = 1 << 21  # distinct n-grams that a task holds before it hands them over
+_HELD = 1 << 20  # distinct n-grams that a task holds before it hands them over
 
 
 def bits_of(order: int) -> int:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .templates import NAME, templates
-from .words import mix
+from .words import mix, parts
 
 WINDOW = 8
 LITERALS = 5
@@ -87,7 +87,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _document_windows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, widths = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             words, slots, off = templates(batch.column("text"))
             literal = slots == 0
             row = np.repeat(np.arange(batch.num_rows), np.diff(off))

@@ -7,16 +7,30 @@ drop. Its size is ``2**BITS`` bits whatever the number of ids.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 26
 _BLOCK = 32768  # bits of one row of bitmap_construct_agg
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside, so that whole texts
+    take little memory beside the heap; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _place(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(1 << BITS)) + 1
 

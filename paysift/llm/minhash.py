@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .marks import marked
-from .words import mix, word_hashes
+from .marks import marked, small_batches
+from .words import mix, parts, word_hashes
 
 COORDS, ROWS, BANDS = 256, 4, 32
 BLOCK = 128
@@ -95,7 +95,7 @@ def _bands(coords: np.ndarray) -> np.ndarray:
 
 def _sketch_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             hashes, off = word_hashes(batch.column("text"))
             n = np.zeros(batch.num_rows, np.int64)
             sums = np.zeros((2, batch.num_rows), np.uint64)
@@ -119,7 +119,7 @@ def _sketch_batches(width: int):
 
 def _verify_batches(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text_a", "text_b")):
             ha, oa = word_hashes(batch.column("text_a"))
             hb, ob = word_hashes(batch.column("text_b"))
             good = np.zeros(batch.num_rows, dtype=bool)
@@ -154,7 +154,7 @@ def _confirmed(likely: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def _set_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             hashes, off = word_hashes(batch.column("text"))
             sets = [shingles(hashes[off[d]:off[d + 1]], width).view(np.int64) for d in range(batch.num_rows)]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -216,6 +216,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = THRESH
     and digests are laid out for ``percent`` of 80 or more."""
     if percent < THRESHOLD:
         raise ValueError(f"the sketch is laid out for a similarity of {THRESHOLD} % or more")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, width, percent)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = cut_lineage(texts.mapInArrow(
         _sketch_batches(width),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .char_lm import Model, count_ngrams, gather, quantiles
-from .marks import marked
+from .marks import marked, small_batches
 
 ORDER = 5
 WIDTH = 8.0
@@ -62,6 +62,11 @@ def _trusted(labels: DataFrame) -> DataFrame:
 
 def classify_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_chars, perplexity, threshold (a perplexity), kept of every row."""
+    with small_batches(docs.sparkSession):
+        return _classified(docs, labels, order)
+
+
+def _classified(docs: DataFrame, labels: DataFrame, order: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(_NO_LANGUAGE)).alias("label"), "text")
     # Only texts that may be trusted are shuffled, and the labels are the hashed side: no text is sorted.
     trusted = marked(rows, "doc_id", _trusted(labels)).join(_trusted(labels).hint("shuffle_hash"), "doc_id", "left_semi").select("label", "text")

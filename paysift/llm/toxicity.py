@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .language_id import held_out
 from .templates import fold
-from .words import _BASE, _INVERSE, _SPACE, _TABLE, CHUNK, _cut, _power, mix, utf8
+from .words import _BASE, _INVERSE, _SPACE, _TABLE, CHUNK, _cut, _power, mix, parts, utf8
 
 FEATURES = 4096
 TRAIN_ROWS = 20_000
@@ -127,7 +127,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(other)],
             names=["kind", "code", "toxic", "other"])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, "text")):
         toxic = batch.column("toxic").to_numpy().astype(np.int64)
         for row, hashes, _, _ in _features(batch.column("text")):
             for kind, h in enumerate(hashes):
@@ -181,7 +181,7 @@ class Candidates:
 
 def _read(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             fixed, hits = shared.value.read(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(fixed), hits], names=["doc_id", "held_out", "fixed", "hits"])

@@ -9,11 +9,14 @@ is bounded for very long texts too (one chunk holds at least one word).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 18
+PART = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
@@ -56,6 +59,17 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def parts(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``PART`` bytes of the named string columns, so that what a
+    task holds beside the batch is bounded (a slice holds at least one row)."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    group = np.cumsum(sizes) // PART
+    cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cut, cut[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all rows in order, and each row's offsets into them."""
     raw, off = utf8(texts)
