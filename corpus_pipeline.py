@@ -19,18 +19,20 @@ from pyspark.sql import functions as F
 from paysift.llm import pii
 from paysift.llm.catalog import vocabulary
 from paysift.llm.decontamination import find_leaks
+from paysift.llm.marks import without
 from paysift.llm.minhash import near_duplicates
 from paysift.llm.quality_classifier import classify_quality
 from paysift.llm.sentencepiece_codec import encode_documents
+from paysift.session import cut_lineage
 
 #: Words of a shingle of the near-duplicate stage.
 SHINGLE_WORDS = 5
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those whose doc_id is in ``ids``: the ids are the hashed side, no text is sorted."""
-    gone = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` but those whose doc_id is in ``ids``."""
+    gone = cut_lineage(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+    return without(docs, "doc_id", gone)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
