@@ -3,12 +3,14 @@
 Counting: every task turns its texts into 64-bit n-gram codes (``64 // order`` bits a
 character, taken modulo a prime where the alphabet is larger) and hands over (label, code, n)
 rows; Spark adds them up. All orders, discounts, context totals and interpolated probabilities
-come from joins of these sharded count tables. Only the finished model is gathered: at most
-``TABLE_ROWS`` n-grams, and as many contexts, of each order for all labels together; beyond
-that the rarest n-grams leave the table and are scored by their shorter suffix.
-
-Scoring: sorted arrays of codes, found by binary search, beside a matrix of log-probabilities
-with one column per label. An n-gram that is in no label's table backs off to its suffix.
+come from joins of these sharded count tables, and the whole tables stay in Spark.
+
+Scoring: texts are gathered in chunks of about ``CHUNK`` characters by a hash of the row. Each
+chunk names the distinct n-grams and contexts of its texts once, a join with the sharded tables
+gives their probabilities, and these meet the chunk's texts in one task: sorted arrays of
+codes, found by binary search, beside a matrix of log-probabilities with one column per label.
+An n-gram that is in no label's table backs off to its suffix. What a task holds is bounded by
+its chunk (rows equal in id and text share a chunk), not by the tables.
 """
 
 from __future__ import annotations
@@ -20,14 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
 
-TABLE_ROWS = 1 << 18
-MAX_LABELS = 64
+CHUNK = 1 << 24  # characters that are scored together
+MAX_LABELS = 64  # labels scored together; further ones in further parts
 SEGMENT = 1 << 18
 _PRIMES = {21: 2097143, 16: 65521, 12: 4093, 10: 1021}  # the largest below 2**bits - 1
 _HELD = 1 << 20  # distinct n-grams that a task holds before it hands them over
@@ -141,7 +142,7 @@ def probabilities(counts: DataFrame, order: int, modified: bool) -> tuple[DataFr
     cut = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.1), F.least(c, F.lit(2.9))))
     step = lambda c: F.coalesce(cut(F.when(F.col(f"n{c}") > 0, c - (c + 1) * y * F.col(f"n{c + 1}") / F.col(f"n{c}"))), cut(y))
     tally = tally.select("label", "k", "types", *((F.least(step(c), F.lit(float(c))) if modified else cut(y)).alias(f"d{c}") for c in (1, 2, 3)))
-    # One row per label and order: bounded by MAX_LABELS * order.
+    # One row per label and order.
     spent = counts.join(F.broadcast(tally), ["label", "k"]).withColumn(
         "d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
     spent = spent.withColumn("d", F.least("d", F.col("n") * 0.999)).withColumn("context", F.shiftrightunsigned("code", bits))
@@ -158,16 +159,6 @@ def probabilities(counts: DataFrame, order: int, modified: bool) -> tuple[DataFr
     return every, contexts.select("label", "k", F.col("context").alias("code"), F.col("total").alias("n"), "gamma")
 
 
-def _frequent(table: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` rows of each (label, k): those from a bucket of counts upwards."""
-    drop = "greatest(0, char_length(bin(n)) - 4)"
-    bucketed = table.withColumn("bucket", F.expr(f"shiftleft(shiftright(n, {drop}), {drop})"))
-    sizes = bucketed.groupBy("label", "k", "bucket").agg(F.count(F.lit(1)).alias("size"))
-    above = Window.partitionBy("label", "k").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cut = sizes.withColumn("size", F.sum("size").over(above)).where(F.col("size") <= rows).groupBy("label", "k").agg(F.min("bucket").alias("least"))
-    return bucketed.join(F.broadcast(cut), ["label", "k"]).where("bucket >= least").drop("bucket", "least")  # a row per label and order
-
-
 def quantiles(table: DataFrame, label: str, value: str, percents: list[int], step: float = 0.001) -> DataFrame:
     """(label, q25, q50, ...): quantiles of ``value`` in buckets of ``step``, so that any
     partitioning gives the same; a label's buckets are bounded by the range of the values."""
@@ -246,40 +237,107 @@ class Model:
         return n, total
 
 
-def gather(counts: DataFrame, order: int, fold: bool, modified: bool) -> Model | None:
-    """The model of ``counts``; its tables are bounded by TABLE_ROWS whatever the input."""
-    seen = counts.where("k = 1").groupBy("label").agg(F.count(F.lit(1)).alias("types")).limit(MAX_LABELS + 1).collect()
-    if len(seen) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    if not seen:
-        return None
-    labels = sorted(r["label"] for r in seen)
-    types = {r["label"]: r["types"] for r in seen}
-    uniform = np.array([-math.log(types[x] + 1) for x in labels], dtype=np.float32)
-    grams, contexts = probabilities(counts, order, modified)
-    room = TABLE_ROWS // len(labels)
-    grams = _frequent(grams, room).select("label", "k", "code", F.log("p").cast("float").alias("v")).toArrow()
-    contexts = _frequent(contexts, room).select("label", "k", "code", F.log("gamma").cast("float").alias("v")).toArrow()
+def _model(kind: np.ndarray, code: np.ndarray, who: np.ndarray, value: np.ndarray, labels: list, order: int, fold: bool) -> Model:
+    """The model of rows of ``tables``: with codes of a chunk only, it scores that chunk."""
+    uniform = np.zeros(len(labels), np.float32)
+    uniform[who[kind == 0]] = value[kind == 0]
     model = Model(labels, order, fold, uniform, [], [], [], [])
 
-    def column(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        own = table.filter(pc.equal(table["k"], k))
-        code = own["code"].to_numpy().view(np.uint64)
-        keys = np.unique(code)
-        who = np.searchsorted(labels, np.array(own["label"].to_pylist(), dtype=object)) if len(code) else np.zeros(0, np.int64)
-        return keys, np.searchsorted(keys, code), who, own["v"].to_numpy()
+    def column(wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = np.flatnonzero(kind == wanted)
+        keys, row = np.unique(code[own], return_inverse=True)
+        return keys, row, who[own], value[own]
 
     for k in range(1, order + 1):
-        keys, row, who, value = column(contexts, k)
+        keys, row, own, v = column(2 * k + 1)
         gamma = np.zeros((len(keys), len(labels)), np.float32)
-        gamma[row, who] = value
+        gamma[row, own] = v
         model.contexts.append(keys)
         model.loggamma.append(gamma)
-        keys, row, who, value = column(grams, k)
+        keys, row, own, v = column(2 * k)
         model.codes.append(keys)
         model.logp.append(np.zeros((0, len(labels)), np.float32))
         if len(keys):
             table = model.back_off(keys, k).astype(np.float32)
-            table[row, who] = value
+            table[row, own] = v
             model.logp[-1] = table
     return model
+
+
+def tables(counts: DataFrame, order: int, modified: bool) -> DataFrame:
+    """(label, kind, code, v), the whole model: log-probabilities of n-grams (kind 2k), log
+    gammas of contexts (2k + 1) and the uniform distribution (0)."""
+    grams, contexts = probabilities(counts, order, modified)
+    types = counts.where("k = 1").groupBy("label").agg((-F.log(F.count(F.lit(1)) + 1)).alias("v"))
+    row = lambda kind, code, v: ("label", kind.cast("int").alias("kind"), code.cast("long").alias("code"), v.cast("float").alias("v"))
+    return grams.select(*row(2 * F.col("k"), F.col("code"), F.log("p"))).unionAll(
+        contexts.select(*row(2 * F.col("k") + 1, F.col("code"), F.log("gamma")))).unionAll(types.select(*row(F.lit(0), F.lit(0), F.col("v"))))
+
+
+def labels_of(counts: DataFrame) -> list[str]:
+    return sorted(r["label"] for r in counts.where("k = 1").select("label").distinct().collect())
+
+
+def _needs(order: int, fold: bool):
+    """(part, chunk, kind, code): what scoring the texts looks up, once per part and chunk."""
+    bits = bits_of(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+
+        def rows(key: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+            codes = np.unique(np.concatenate(held.pop(key)))
+            found = [(0, np.zeros(1, np.uint64))]
+            for k in range(order, 0, -1):
+                codes = codes if k == order else np.unique(codes & np.uint64((1 << bits * k) - 1))
+                found += [(2 * k, codes), (2 * k + 1, np.unique(codes >> np.uint64(bits)))]
+            for kind, x in found:
+                full = lambda v, t, n=len(x): pa.array(np.full(n, v, t))
+                yield pa.RecordBatch.from_arrays(
+                    [full(key[0], np.int32), full(key[1], np.int64), full(kind, np.int32), pa.array(x.view(np.int64))], names=["part", "chunk", "kind", "code"])
+
+        for batch in batches:
+            groups: dict[tuple[int, int], list[str]] = {}
+            for part, chunk, text in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist(), batch.column("text"), strict=True):
+                groups.setdefault((part, chunk), []).append(text.as_py())
+            for key, texts in groups.items():
+                for _, _, codes in ngram_codes(texts, order, fold):
+                    own = held.setdefault(key, [])
+                    own.append(np.unique(codes))
+                    if sum(map(len, own[1:])) > max(_HELD, len(own[0])):
+                        held[key] = [np.unique(np.concatenate(own))]
+        for key in list(held):
+            yield from rows(key)
+
+    return run
+
+
+def chunk_of(size: Column) -> Column:
+    """The chunk of a row (doc_id, text) when ``size`` characters are to be split."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.ceil(size / F.lit(float(CHUNK))).cast("long"))
+
+
+def score_chunks(texts: DataFrame, table: DataFrame, size: int, order: int, fold: bool, score, schema: str) -> DataFrame:
+    """``score(model, texts of a part and chunk)`` for all of ``texts`` (part, chunk, text, ...; ``size``
+    characters), where the model holds the rows of ``table`` (part, place, kind, code, v) that
+    the texts need: part is a set of labels and place the label's column in it."""
+    n = max(2 * math.ceil(size / CHUNK), shuffle_partitions(texts.sparkSession))
+    together = texts.repartition(n, "part", "chunk")
+    needed = together.mapInArrow(_needs(order, fold), "part int, chunk long, kind int, code long").join(
+        table, ["part", "kind", "code"]).select("part", "chunk", "kind", "code", "place", "v")
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        kind, code, place, v = (own[c].to_numpy() for c in ("kind", "code", "place", "v"))
+        return score(_model(kind, code.view(np.uint64), place, v, list(range(int(place.max()) + 1)), order, fold), rows)
+
+    return together.groupBy("part", "chunk").cogroup(needed.groupBy("part", "chunk")).applyInArrow(run, schema)
+
+
+def gather(counts: DataFrame, order: int, fold: bool, modified: bool) -> Model | None:
+    """The whole model of ``counts`` in one process, for tables known to be small."""
+    labels = labels_of(counts)
+    if not labels:
+        return None
+    rows = tables(counts, order, modified).toArrow()
+    who = np.searchsorted(np.array(labels, dtype=object), np.array(rows["label"].to_pylist(), dtype=object))
+    return _model(rows["kind"].to_numpy(), rows["code"].to_numpy().view(np.uint64), who, rows["v"].to_numpy(), labels, order, fold)

@@ -18,15 +18,13 @@ lang are ignored. A doc_id is trusted when any of its labels says so.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .char_lm import Model, count_ngrams, gather, quantiles
+from .char_lm import CHUNK, Model, chunk_of, count_ngrams, labels_of, quantiles, score_chunks, tables
 from .marks import marked, small_batches
 
 ORDER = 5
@@ -34,26 +32,13 @@ WIDTH = 8.0
 LEAST = 0.02  # nats
 SHORT = 4.0
 _NO_LANGUAGE = "\x00"
+_SCHEMA = "doc_id long, label string, n_chars long, cross_entropy double"
 
 
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = shared.value
-        place = {label: k for k, label in enumerate(model.labels)} if model else {}
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            who = np.array([place.get(x, -1) for x in batch.column("label").to_pylist()], dtype=np.int64)
-            n = np.fromiter(map(len, texts), np.int64, len(texts))
-            entropy = np.full(len(texts), np.nan)
-            at = np.flatnonzero((who >= 0) & (n > 0))
-            if len(at):
-                chars, total = model.own_sums([texts[k] for k in at], who[at])
-                entropy[at] = -total / chars
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(n), pa.array(entropy, mask=np.isnan(entropy))],
-                names=["doc_id", "label", "n_chars", "cross_entropy"])
-
-    return run
+def _score(model: Model, rows: pa.Table) -> pa.Table:
+    texts = rows["text"].to_pylist()
+    n, total = model.own_sums(texts, np.zeros(len(texts), np.int64))
+    return pa.table({"doc_id": rows["doc_id"], "label": rows["label"], "n_chars": pa.array(n), "cross_entropy": pa.array(-total / n)})
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
@@ -70,14 +55,22 @@ def _classified(docs: DataFrame, labels: DataFrame, order: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(_NO_LANGUAGE)).alias("label"), "text")
     # Only texts that may be trusted are shuffled, and the labels are the hashed side: no text is sorted.
     trusted = marked(rows, "doc_id", _trusted(labels)).join(_trusted(labels).hint("shuffle_hash"), "doc_id", "left_semi").select("label", "text")
-    model = gather(count_ngrams(trusted, order, fold=False), order, fold=False, modified=True)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = cut_lineage(rows.select("doc_id", "label", "text").mapInArrow(
-        _score(shared), "doc_id long, label string, n_chars long, cross_entropy double"))
+    counts = count_ngrams(trusted, order, fold=False)
+    # One row per language: its number and the characters to be scored.
+    places = docs.sparkSession.createDataFrame(list(enumerate(labels_of(counts))), "part int, label string")
+    sizes = rows.groupBy("label").agg(F.sum(F.char_length("text")).alias("size")).join(F.broadcast(places), "label").where("size > 0").collect()
+    parts = F.broadcast(docs.sparkSession.createDataFrame([(r["part"], r["label"], r["size"]) for r in sizes], "part int, label string, size long"))
+    table = tables(counts, order, modified=True).join(F.broadcast(places), "label").select("part", F.lit(0).alias("place"), "kind", "code", "v")
+    placed = rows.join(parts, "label", "left").withColumn("judged", F.col("part").isNotNull() & (F.char_length("text") > 0))
+    judged = score_chunks(placed.where("judged").select("doc_id", "label", "text", "part", chunk_of(F.col("size")).alias("chunk")),
+                          table, sum(r["size"] for r in sizes) + CHUNK * len(sizes), order, False, _score, _SCHEMA)
+    rest = placed.where("judged IS NULL OR NOT judged").select(
+        "doc_id", "label", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("cross_entropy"))
+    scored = cut_lineage(judged.unionAll(rest))
     known = scored.where("cross_entropy IS NOT NULL").join(_trusted(labels), "doc_id", "left_semi")
     cuts = quantiles(known, "label", "cross_entropy", [50, 75]).select(
         "label", (F.col("q50") + WIDTH * F.greatest(F.col("q75") - F.col("q50"), F.lit(LEAST))).alias("limit"))
-    # One row per language: bounded by MAX_LABELS.
+    # One row per language.
     limit = F.col("limit") + SHORT / F.sqrt(F.greatest("n_chars", F.lit(1)))
     return scored.join(F.broadcast(cuts), "label", "left").select(
         "doc_id", "n_chars", F.exp("cross_entropy").alias("perplexity"), F.exp(limit).alias("threshold"),

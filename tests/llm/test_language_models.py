@@ -130,3 +130,16 @@ def test_quality_perplexity_equals_brute_force(spark):
     empty = spark.createDataFrame([], DOCS)
     assert classify_quality(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect() == []
     assert classify_quality(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")).where("kept").count() == len(docs) - 2
+
+
+def test_no_ngram_leaves_the_model(spark):
+    """Far more n-grams of an order than 2**18, the most that used to be kept."""
+    draw = np.random.default_rng(3)
+    texts = ["".join(x) for x in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), (60, 10_000))]
+    docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["perplexity"] for r in classify_quality(docs, labels).collect()}
+    p, _ = brute(texts, 5, True)
+    s = "\0" * 4 + texts[7]
+    want = math.exp(-sum(math.log(p(s[i:i + 4], s[i + 4])) for i in range(10_000)) / 10_000)
+    assert abs(got[7] / want - 1) < 1e-4
