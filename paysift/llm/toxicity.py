@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
-1. Candidates: the labelled training rows give, for every word and every word beginning of 4,
-   5 and 6 letters (as bytes), the toxic and other documents that hold it. The ``FEATURES``
-   most telling ones (log-likelihood ratio) are the candidates.
+1. Candidates: the distinct labelled training texts give, for every word and every word
+   beginning of 4, 5 and 6 letters (as bytes), the toxic and other texts that hold it (copies
+   count once). All that are telling (log-likelihood ratio) and precise for toxic texts are
+   candidates.
 2. Voters: ``COVERS`` lexicons, each a set of candidates that covers the toxic rows of the
    training sample: the candidate that covers most of those yet uncovered is taken first, and
    none that adds little or is imprecise. Words that are telling only because a toxic text was
@@ -41,7 +42,6 @@ from .language_id import held_out
 from .templates import fold
 from .words import _BASE, _INVERSE, _SPACE, _TABLE, CHUNK, _cut, _power, mix, parts, utf8
 
-FEATURES = 4096
 TRAIN_ROWS = 20_000
 LEAST_DOCUMENTS = 5
 LEAST_RATIO = 20.0  # log-likelihood ratio of a feature
@@ -127,7 +127,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(other)],
             names=["kind", "code", "toxic", "other"])
 
+    seen: set[int] = set()  # rows equal in id and text are in the same task
     for batch in (part for whole in batches for part in parts(whole, "text")):
+        new_text = []
+        for k, digest in enumerate(batch.column("digest").to_pylist()):
+            if digest not in seen:
+                seen.add(digest)
+                new_text.append(k)
+        batch = batch.take(pa.array(new_text, pa.int64()))
         toxic = batch.column("toxic").to_numpy().astype(np.int64)
         for row, hashes, _, _ in _features(batch.column("text")):
             for kind, h in enumerate(hashes):
@@ -314,27 +321,32 @@ def fit_logistic(hits: list[np.ndarray], target: np.ndarray, size: int, l2: floa
     return x[:size], float(x[size])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, features: int = FEATURES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, n_votes of each row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")).where(~held_out())
+    digest = F.xxhash64("text").alias("digest")
+    # One row stands for all copies of a text; it is toxic if one label says so.
+    texts = cut_lineage(rows.where("doc_id IS NOT NULL").select("doc_id", digest).join(known, "doc_id").groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")))
     # The labels are the small side of each partition, so no text is sorted.
-    taught = rows.join(known.hint("shuffle_hash"), "doc_id").select("text", "toxic")
+    taught = rows.select("doc_id", "text", digest).join(texts.hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "digest", "toxic")
     tally = taught.mapInArrow(_tally, "kind int, code long, toxic long, other long").groupBy("kind", "code").agg(
         F.sum("toxic").alias("a"), F.sum("other").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS)
     n1, n0 = known.join(rows.select("doc_id"), "doc_id").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     n1, n0 = float(n1 or 0), float(n0 or 0)
+    t1, t0 = (float(x or 0) for x in texts.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     rate = n1 / (n1 + n0) if n1 + n0 else 0.0
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    seen = (F.col("a") + F.col("b")) / F.lit(max(n1 + n0, 1.0))
-    ratio = 2 * (term(F.col("a"), n1 * seen) + term(F.col("b"), n0 * seen)
-                 + term(n1 - F.col("a"), n1 * (1 - seen)) + term(n0 - F.col("b"), n0 * (1 - seen)))
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    chosen = tally.select("kind", "code", ratio.alias("ratio"), odds.alias("odds")).where(
-        F.col("ratio") >= LEAST_RATIO).orderBy(F.col("ratio").desc(), "kind", "code").limit(features).collect() if n1 and n0 else []
-    # Candidates, lexicons and weights are bounded by ``features``.
+    seen = (F.col("a") + F.col("b")) / F.lit(max(t1 + t0, 1.0))
+    ratio = 2 * (term(F.col("a"), t1 * seen) + term(F.col("b"), t0 * seen)
+                 + term(t1 - F.col("a"), t1 * (1 - seen)) + term(t0 - F.col("b"), t0 * (1 - seen)))
+    odds = F.log((F.col("a") + 0.5) / (t1 + 1)) - F.log((F.col("b") + 0.5) / (t0 + 1))
+    chosen = tally.where((odds > 0) & (F.col("a") >= LEAST_PRECISION * (F.col("a") + F.col("b")))).select("kind", "code", ratio.alias("ratio")).where(
+        F.col("ratio") >= LEAST_RATIO).orderBy(F.col("ratio").desc(), "kind", "code").collect() if t1 and t0 else []
+    # Candidates, lexicons and weights grow with the telling and precise words only.
     shared = spark.sparkContext.broadcast(Candidates(chosen))
     read = cut_lineage(rows.mapInArrow(_read(shared), "doc_id long, held_out boolean, fixed long, hits array<int>"))
     lexicon, weights, intercept = np.full(len(chosen), -1), np.zeros(len(chosen)), -30.0

@@ -93,3 +93,18 @@ def test_logistic_fit():
     weights, intercept = fit_logistic(hits, np.r_[np.full(50, 0.95), np.full(50, 0.05), np.full(20, 0.5)], 2)
     p = 1 / (1 + np.exp(-(weights + intercept)))
     assert abs(p[0] - 0.95) < 0.02 and abs(p[1] - 0.05) < 0.02 and abs(intercept) < 0.3
+
+
+def test_copies_and_clean_words_take_no_place_of_an_insult(spark):
+    """A toxic text of many words that was copied often, and thousands of words of clean texts."""
+    rows, labels = corpus(1500)
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("klmnopqrst") for _ in range(9))
+    copied = " ".join(word() for _ in range(3000))
+    clean = [word() for _ in range(3000)]
+    rows += [(10_000 + i, copied, "x") for i in range(400)]
+    labels += [(10_000 + i, 1, 1) for i in range(400)]
+    rows = [(i, text if i % 5 == 0 or i >= 10_000 else text + " " + " ".join(draw.sample(clean, 600)), x) for i, text, x in rows]
+    got = {r["doc_id"]: r for r in score_toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    out = [i for i, _, _ in rows if i < 10_000 and got[i]["held_out"]]
+    assert np.mean([got[i]["predicted"] == (i % 5 == 0) for i in out]) > 0.97
