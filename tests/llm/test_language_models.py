@@ -143,3 +143,17 @@ def test_no_ngram_leaves_the_model(spark):
     s = "\0" * 4 + texts[7]
     want = math.exp(-sum(math.log(p(s[i:i + 4], s[i + 4])) for i in range(10_000)) / 10_000)
     assert abs(got[7] / want - 1) < 1e-4
+
+
+def test_more_labels_than_are_scored_together(spark):
+    """Each label has words of its own; 150 labels are three parts."""
+    draw = np.random.default_rng(5)
+    names = [f"l{k:03}" for k in range(150)]
+    words = {x: ["".join(w) for w in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), (6, 8))] for x in names}
+    rows = [(k * 8 + i, " ".join(draw.choice(words[x], 12)), x, "x") for k, x in enumerate(names) for i in range(8)]
+    docs = spark.createDataFrame([*rows, rows[0]], DOCS)
+    got = identify_language(docs).collect()
+    lang = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) + 1 and all(r["lang_pred"] == lang[r["doc_id"]] and 0 < r["score"] <= 1 and r["margin"] > 0 for r in got)
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    assert classify_quality(docs, labels).where("perplexity IS NOT NULL AND kept").count() == len(rows) + 1
