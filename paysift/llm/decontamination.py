@@ -3,7 +3,8 @@
 Documents and benchmark items are canonicalised (see ``templates``): numbers, names and units
 become typed placeholders. Windows of ``WINDOW`` template words are hashed; an item with fewer
 words is one window of its own length. Windows with fewer than ``LITERALS`` words outside of
-slots say nothing and are left out. A table of fixed size marks the hashes of the benchmark's
+slots say nothing and are left out; an item without any other window (arithmetic, a few words)
+is searched as it stands: its windows are hashed with the slots' values. A table of fixed size marks the hashes of the benchmark's
 windows; the document windows that pass it go into a hash join with the benchmark's windows,
 so only the few that may match are shuffled.
 
@@ -12,8 +13,8 @@ counts when it holds ``NEEDED`` windows of the item, or all where there are fewe
 a row), and its slots are consistent: one value of the item always stands for one value in the
 document. ``changed`` slots tell a re-parameterised question from a verbatim one.
 
-Defined cases: null and empty texts have no windows; items with fewer than LITERALS literal
-words are not searched; documents without a doc_id can't be named and are not reported; the
+Defined cases: null and empty texts have no windows; items whose windows all have fewer than
+LITERALS literal words are found verbatim only; documents without a doc_id can't be named and are not reported; the
 first word of an item also matches in the middle of a sentence; repeated rows give one row;
 repeated items (equal item_id) are taken together; equal alignments go to the earliest place;
 an empty table gives an empty result; further columns are ignored.
@@ -36,13 +37,19 @@ WINDOW = 8
 LITERALS = 5
 NEEDED = 6
 MARK_BITS = 23
-_SCHEMA = "{id} long, place long, code long, width int, n_words long, slots array<long>"
+_VERBATIM = 1 << 32  # sets the hashes of verbatim windows apart
+_SCHEMA = "{id} long, place long, code long, width int, n_words long, slots array<long>, verbatim boolean"
+
+
+def _exact(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The words themselves, whether or not they are slots."""
+    return np.where(slots != 0, slots, words | np.uint64(1))
 
 
 def _windows(words: np.ndarray, literal: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the window at every place, and whether it has ``least`` literal words."""
     n = len(words) - width + 1
-    h = np.full(n, width, dtype=np.uint64)
+    h = np.full(n, width if least else width + _VERBATIM, dtype=np.uint64)
     for k in range(width):
         h = mix(h + words[k:n + k])
     sums = np.r_[0, np.cumsum(literal)]
@@ -50,14 +57,15 @@ def _windows(words: np.ndarray, literal: np.ndarray, width: int, least: int) ->
 
 
 def _rows(ids: pa.Array, name: str, row: np.ndarray, place: np.ndarray, at: np.ndarray, code: np.ndarray,
-          width: int, sizes: np.ndarray, slots: np.ndarray) -> pa.RecordBatch:
+          width: int, sizes: np.ndarray, slots: np.ndarray, verbatim: bool = False) -> pa.RecordBatch:
     """``at``: where the windows begin among all words."""
     values = slots[at[:, None] + np.arange(width)].view(np.int64).ravel()
     return pa.RecordBatch.from_arrays([
         ids.take(pa.array(row)), pa.array(place), pa.array(code.view(np.int64)),
         pa.array(np.full(len(row), width, np.int32)), pa.array(sizes.astype(np.int64)),
         pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), pa.array(values)),
-    ], names=[name, "place", "code", "width", "n_words", "slots"])
+        pa.array(np.full(len(row), verbatim)),
+    ], names=[name, "place", "code", "width", "n_words", "slots", "verbatim"])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +76,12 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             width = min(WINDOW, b - a)
             if not width:
                 continue
+            if not _windows(words[a:b], slots[a:b] == 0, width, LITERALS)[1].any():
+                code, good = _windows(_exact(words[a:b], slots[a:b]), slots[a:b] == 0, width, 0)
+                place = np.flatnonzero(good)
+                yield _rows(batch.column("item_id"), "item_id", np.full(len(place), d), place, a + place, code,
+                            int(width), np.full(len(place), b - a), np.zeros_like(slots), True)
+                continue
             # As it stands, and with its first word as a name (in the middle of a sentence).
             for named in (False, True):
                 own, literal = words[a:b].copy(), slots[a:b] == 0
@@ -91,15 +105,16 @@ def _document_windows(shared):
             words, slots, off = templates(batch.column("text"))
             literal = slots == 0
             row = np.repeat(np.arange(batch.num_rows), np.diff(off))
-            for width in widths:
+            plain = _exact(words, slots) if any(v for _, v in widths) else words
+            for width, verbatim in widths:
                 if len(words) < width:
                     continue
-                code, good = _windows(words, literal, width, LITERALS)
+                code, good = _windows(plain, literal, width, 0) if verbatim else _windows(words, literal, width, LITERALS)
                 good &= row[:len(code)] == row[width - 1:]
                 at = np.flatnonzero(good & marks[code >> np.uint64(64 - MARK_BITS)])
                 if len(at):
                     own = row[at]
-                    yield _rows(batch.column("doc_id"), "doc_id", own, at - off[own], at, code[at], width, off[own + 1] - off[own], slots)
+                    yield _rows(batch.column("doc_id"), "doc_id", own, at - off[own], at, code[at], width, off[own + 1] - off[own], slots, verbatim)
 
     return run
 
@@ -110,10 +125,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = cut_lineage(benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
                         .distinct().mapInArrow(_item_windows, _SCHEMA.format(id="item_id")))
-    # At most 2**MARK_BITS marks and WINDOW widths, whatever the benchmark's size.
+    # At most 2**MARK_BITS marks and 2 * WINDOW widths, whatever the benchmark's size.
     marks = np.zeros(1 << MARK_BITS, dtype=bool)
     marks[items.select(F.shiftrightunsigned("code", 64 - MARK_BITS).cast("int").alias("m")).distinct().toArrow()["m"].to_numpy()] = True
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())
+    widths = sorted((r["width"], r["verbatim"]) for r in items.select("width", "verbatim").distinct().collect())
     shared = spark.sparkContext.broadcast((marks, widths))
     windows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _document_windows(shared), _SCHEMA.format(id="doc_id"))

@@ -60,3 +60,11 @@ def test_equals_brute_force_on_the_tables(spark):
 
 def test_empty(spark):
     assert leaks(spark, [], [(1, QUESTION)]) == {} and leaks(spark, [(1, QUESTION)], []) == {}
+
+
+def test_items_of_few_literal_words_are_found_verbatim(spark):
+    items = [(1, "What is 12 * 7 + 30 / 5?"), (2, "Name seven primes"), (3, "Add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg")]
+    docs = [(1, FILL + "what is 12 * 7 + 30 / 5? " + FILL), (2, FILL + "What is 12 * 7 + 31 / 5?"), (3, FILL + "He said: name Seven primes. " + FILL),
+            (4, "seven primes"), (5, FILL + "add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg"), (6, FILL + "add 3 kg 4 kg 5 kg 6 kg 7 kg 9 kg " * 2)]
+    got = leaks(spark, docs, [*items, (9, QUESTION)])
+    assert set(got) == {(1, 1), (3, 2), (5, 3)} and all(r["kind"] == "verbatim" for r in got.values())
