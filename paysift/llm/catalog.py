@@ -11,7 +11,7 @@ from . import oracle
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
 from .toxicity import score_toxicity
-from . import pii
+from . import byte_bpe, pii
 from .decontamination import find_leaks
 from .quality_classifier import classify_quality
 from .language_id import identify_language
@@ -73,6 +73,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, offsets=False)
+    return byte_bpe.digests(byte_bpe.decode_documents(encoded, ranks, text=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op2_pii": op2_pii,
     "op8_toxicity": op8_toxicity,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
