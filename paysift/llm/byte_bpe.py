@@ -12,8 +12,12 @@ Decoding reverses the byte table. A character whose bytes lie in several tokens
 last byte does; bytes that are no character (ids cut inside one) become U+FFFD in the text and
 stay as they are in the bytes.
 
-Texts longer than ``PART`` characters are cut for the library where PATTERN ends a match in any
-case: behind a letter, before white space, a digit or a mark. A single longer match stays whole.
+With PATTERN, the distinct matches of a batch that the worker hasn't met yet are encoded by the
+library, and a table of at most ``REMEMBER`` matches keeps their ids. The matches are found by the
+``regex`` module in texts whose characters it files as the library does; the others, and every
+text of another pattern, go through the library whole. Texts longer than ``PART`` characters are
+cut where PATTERN ends a match in any case: behind a letter, before white space, a digit or a
+mark. A single longer match stays whole.
 
 Defined cases: null and empty text have no ids and decode to empty; null ids decode to empty; an
 id that the file doesn't hold is an error; repeated rows and null doc_id are encoded as they
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PART = 1 << 18
 BATCH_CHARS = 1 << 20
+REMEMBER = 400_000
+LONG_MATCH = 64  # longer matches aren't remembered
 _CUT = re.compile(r"(?<=[A-Za-zぁ-ゖァ-ヺ一-龥가-힣])"
                   r"(?=[\s0-9!-/:-@、。！，？])")
 
@@ -68,8 +74,8 @@ def _merge(ranks: dict[bytes, int], token: bytes) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
-def build(ranks: dict[bytes, int], pattern: str = PATTERN):
-    """The ``tokenizers`` pipeline of a rank file."""
+def build(ranks: dict[bytes, int], pattern: str | None = PATTERN):
+    """The ``tokenizers`` pipeline of a rank file; without a pattern, a text is one match."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     table = byte_table()
@@ -82,12 +88,38 @@ def build(ranks: dict[bytes, int], pattern: str = PATTERN):
 
     merges = [tuple(map(chars, _merge(ranks, t))) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
     tok = Tokenizer(models.BPE({chars(t): rank for t, rank in ranks.items()}, merges, ignore_merges=True))
+    steps = [pre_tokenizers.Split(Regex(pattern), "isolated")] if pattern else []
     tok.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(pattern), "isolated"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        *steps, pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
     return tok
 
 
+def _covered(split, text: str) -> set[int]:
+    return {k for _, (a, b) in split.pre_tokenize_str(text) for k in range(a, b)}
+
+
+@lru_cache(maxsize=1)
+def _matcher():
+    """PATTERN for the ``regex`` module, and for every code point whether it files it unlike the
+    library."""
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text, odd = "".join(map(chr, points)), set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        other = r"\S" if kind == r"\s" else kind.replace("p", "P")
+        library = _covered(pre_tokenizers.Split(Regex(f"{other}+"), "removed"), text)
+        odd |= library ^ {k for m in regex.finditer(f"{kind}+", text) for k in range(*m.span())}
+    table = np.zeros(0x110000, dtype=bool)
+    table[[points[k] for k in odd]] = True
+    return regex.compile(PATTERN), table
+
+
+def has_odd(text: str) -> bool:
+    return not text.isascii() and bool(_matcher()[1][np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].any())
+
+
 def parts_of(text: str, size: int = PART) -> list[str]:
     """``text`` in parts of about ``size`` characters, cut between two matches of PATTERN."""
     parts, at = [], 0
@@ -106,22 +138,45 @@ class Codec:
     def __init__(self, path: str, pattern: str = PATTERN, threads: int = 2):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        self.tokenizer = build(read_ranks(path), pattern)
-        self.cuts = pattern == PATTERN
+        ranks = read_ranks(path)
+        self.tokenizer = build(ranks, pattern)
+        self.by_match = pattern == PATTERN
+        self.single = build(ranks, None) if self.by_match else None
+        self.ids: dict[str, bytes] = {}  # little-endian 32-bit integers
         back = {c: b for b, c in byte_table().items()}
         self.tokens = {k: bytes(map(back.__getitem__, token)) for token, k in self.tokenizer.get_vocab().items()}
         self.lengths = np.zeros(max(self.tokens) + 1, dtype=np.int64)
         self.lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
 
+    def _by_library(self, tokenizer, texts: list[str]) -> list[bytes]:
+        out = []
+        for part in _batches(texts):
+            out += [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)]
+        return out
+
+    def _by_matches(self, texts: list[str]) -> list[bytes]:
+        """The ids of parts without odd characters."""
+        if len(self.ids) > REMEMBER:
+            self.ids = {}
+        matches = _matcher()[0]
+        split = [matches.findall(t) for t in texts]
+        new = list(set().union(*split).difference(self.ids))
+        self.ids.update(zip(new, self._by_library(self.single, new), strict=True))
+        out = [b"".join(map(self.ids.__getitem__, found)) for found in split]
+        for match in new:
+            if len(match) > LONG_MATCH:
+                del self.ids[match]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts = [parts_of(t) if self.cuts else [t] for t in texts]
-        made, flat = [], [p for ps in parts for p in ps]
-        for part in _batches(flat):
-            made += [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(flat[part], add_special_tokens=False)]
-        ends = np.cumsum([0, *map(len, parts)]).tolist()
-        none = np.zeros(0, dtype=np.int32)
-        return [np.concatenate(made[a:b]) if b > a else none for a, b in zip(ends, ends[1:], strict=False)]
+        cut = [parts_of(t) if self.by_match else [t] for t in texts]
+        parts = [p for ps in cut for p in ps]
+        plain = [self.by_match and not has_odd(p) for p in parts]
+        table = iter(self._by_matches([p for p, x in zip(parts, plain, strict=True) if x]))
+        whole = iter(self._by_library(self.tokenizer, [p for p, x in zip(parts, plain, strict=True) if not x]))
+        made = iter([next(table if x else whole) for x in plain])
+        return [np.frombuffer(b"".join([next(made) for _ in ps]), dtype="<i4") for ps in cut]
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """First and last code point (exclusive) of each token, and how many tokens begin or end

@@ -116,3 +116,20 @@ def test_defined_cases(spark):
     assert empty.collect() == []
     nothing = spark.createDataFrame([(1, None)], "doc_id long, input_ids array<int>")
     assert byte_bpe.decode_documents(nothing, RANKS).first().decoded_text == ""
+
+
+def test_texts_with_odd_characters_go_through_the_library(codec, reference):
+    assert not any(map(byte_bpe.has_odd, "aé日1٣ \t\n'.-"))
+    texts = ["a՘b", "plain text", "₏x 1", "", "more  plain"]
+    assert [k.tolist() for k in codec.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_other_patterns(spark):
+    import tiktoken
+
+    pattern = r"\p{L}+|[^\p{L}]"
+    ranks = byte_bpe.read_ranks(RANKS)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame([(1, "two words, 3 signs"), (2, "don't")], "doc_id long, text string")
+    for r in byte_bpe.encode_documents(docs, RANKS, pattern=pattern).collect():
+        assert r.input_ids == other.encode_ordinary({1: "two words, 3 signs", 2: "don't"}[r.doc_id])
