@@ -31,11 +31,13 @@ import base64
 import codecs
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PART = 1 << 18
 BATCH_CHARS = 1 << 20
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 LONG_MATCH = 64  # longer matches aren't remembered
 _CUT = re.compile(r"(?<=[A-Za-zぁ-ゖァ-ヺ一-龥가-힣])"
                   r"(?=[\s0-9!-/:-@、。！，？])")
@@ -94,6 +96,13 @@ def build(ranks: dict[bytes, int], pattern: str | None = PATTERN):
     return tok
 
 
+def _is_text(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 def _covered(split, text: str) -> set[int]:
     return {k for _, (a, b) in split.pre_tokenize_str(text) for k in range(a, b)}
 
@@ -142,22 +151,24 @@ class Codec:
         self.tokenizer = build(ranks, pattern)
         self.by_match = pattern == PATTERN
         self.single = build(ranks, None) if self.by_match else None
-        self.ids: dict[str, bytes] = {}  # little-endian 32-bit integers
         back = {c: b for b, c in byte_table().items()}
         self.tokens = {k: bytes(map(back.__getitem__, token)) for token, k in self.tokenizer.get_vocab().items()}
+        # Matches that are tokens, the common words; the table of the others starts from them.
+        self.own = {t.decode(): array("i", [k]).tobytes() for k, t in self.tokens.items() if _is_text(t)}
+        self.ids = dict(self.own)
         self.lengths = np.zeros(max(self.tokens) + 1, dtype=np.int64)
         self.lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
 
     def _by_library(self, tokenizer, texts: list[str]) -> list[bytes]:
         out = []
         for part in _batches(texts):
-            out += [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)]
+            out += [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)]
         return out
 
     def _by_matches(self, texts: list[str]) -> list[bytes]:
         """The ids of parts without odd characters."""
         if len(self.ids) > REMEMBER:
-            self.ids = {}
+            self.ids = dict(self.own)
         matches = _matcher()[0]
         split = [matches.findall(t) for t in texts]
         new = list(set().union(*split).difference(self.ids))
@@ -176,7 +187,7 @@ class Codec:
         table = iter(self._by_matches([p for p, x in zip(parts, plain, strict=True) if x]))
         whole = iter(self._by_library(self.tokenizer, [p for p, x in zip(parts, plain, strict=True) if not x]))
         made = iter([next(table if x else whole) for x in plain])
-        return [np.frombuffer(b"".join([next(made) for _ in ps]), dtype="<i4") for ps in cut]
+        return [np.frombuffer(b"".join([next(made) for _ in ps]), dtype=np.int32) for ps in cut]
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """First and last code point (exclusive) of each token, and how many tokens begin or end
@@ -252,9 +263,11 @@ def _decode(path: str, pattern: str, threads: int, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, pattern, threads)
         for batch in batches:
-            ids = batch.column("input_ids")
-            for k in range(0, len(ids), 256):
-                made = [codec.decode(x.as_py() or []) for x in ids[k:k + 256]]
+            lists = pc.fill_null(batch.column("input_ids"), [])
+            for k in range(0, len(lists), 256):
+                part = lists[k:k + 256]
+                flat, ends = part.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(part).to_pylist()])
+                made = [codec.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
                 columns = [c[k:k + 256] for c in batch.columns] + [pa.array(made, pa.binary())]
                 names = [*batch.schema.names, "decoded"]
                 if text:
