@@ -11,7 +11,7 @@ from . import oracle
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
 from .toxicity import score_toxicity
-from . import byte_bpe, pii
+from . import byte_bpe, pii, prefix_trie
 from .decontamination import find_leaks
 from .quality_classifier import classify_quality
 from .language_id import identify_language
@@ -79,6 +79,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode_documents(encoded, ranks, text=False))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt, convs = prefix_trie.rebuild(prefix_trie.turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie.digests(prefix_trie.prefix_trie(rebuilt, convs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
@@ -91,9 +96,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op8_toxicity": op8_toxicity,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": oracle.QUALITY_RULES,
     "op7_minhash": oracle.MINHASH,
+    "op12_prefix_trie": oracle.PREFIX_TRIE,
 }

@@ -78,3 +78,57 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_
        CASE WHEN n.n IS NOT NULL THEN coalesce(class.first, doc_id) END AS class_id
 FROM w JOIN least_of USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN class USING (doc_id)
 """
+
+# Conversation prefix trie: prefixes as lists of (role, text), subtrees by listing every ancestor.
+# DuckDB has no crc32: its table is made by the polynomial's rule.
+PREFIX_TRIE = r"""
+WITH RECURSIVE
+crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+),
+numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS first,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM numbered), crc
+),
+taken AS (
+  SELECT c.conv_id, n.place, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.first AND n.place <= c.h
+),
+rebuilt AS (
+  SELECT * FROM taken
+  UNION ALL
+  SELECT n.conv_id, n.place - c.h + (SELECT count(*) FROM taken k WHERE k.conv_id = n.conv_id) AS place, n.role, n.text
+  FROM numbered n JOIN convs c ON c.conv_id = n.conv_id AND n.place > c.h
+),
+whole AS (
+  SELECT c.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.place) FILTER (WHERE r.place IS NOT NULL), []) AS s
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+),
+prefixes AS (
+  SELECT conv_id, d, s[1:d] AS p, d = len(s) AS is_end FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM whole)
+),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM prefixes GROUP BY d, p
+),
+children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+flagged AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.p = n.p),
+totals AS (
+  SELECT a AS d, p[1:a] AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM flagged) GROUP BY 1, 2
+)
+SELECT f.conv_id::BIGINT AS conv_id, f.d::BIGINT AS depth, o.conv_id::BIGINT AS parent_conv_id, f.n_convs::BIGINT AS n_convs,
+       f.n_children::BIGINT AS n_children, t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM flagged f JOIN totals t ON t.d = f.d AND t.p = f.p
+LEFT JOIN flagged o ON o.d = f.d - 1 AND o.p = f.p[1:f.d - 1]
+"""
