@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .collocations import collocations
 from .minhash import near_duplicates
 from .quality_rules import quality_rules
 from .toxicity import score_toxicity
@@ -84,6 +85,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digests(prefix_trie.prefix_trie(rebuilt, convs))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_minhash": op7_minhash,
@@ -97,10 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": oracle.QUALITY_RULES,
     "op7_minhash": oracle.MINHASH,
     "op12_prefix_trie": oracle.PREFIX_TRIE,
+    "op13_collocations": oracle.COLLOCATIONS,
 }

@@ -132,3 +132,41 @@ SELECT f.conv_id::BIGINT AS conv_id, f.d::BIGINT AS depth, o.conv_id::BIGINT AS
 FROM flagged f JOIN totals t ON t.d = f.d AND t.p = f.p
 LEFT JOIN flagged o ON o.d = f.d - 1 AND o.p = f.p[1:f.d - 1]
 """
+
+# Phrase collocations: every n-gram listed and counted by itself, products as 128-bit integers.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p, count(*)::HUGEINT AS f
+  FROM places, (VALUES (1), (2), (3)) AS s(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+),
+total AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+cand AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.p, c.k, c.a, x.f AS l, y.f AS r, s.c AS cut, (1000000 * c.a * c.a) // (x.f * y.f) AS score
+  FROM cand c JOIN (VALUES (1), (2)) AS s(c) ON s.c < c.k
+  JOIN grams x ON x.lang = c.lang AND x.k = s.c AND x.p = array_to_string(c.w[1:s.c], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.k = c.k - s.c AND y.p = array_to_string(c.w[s.c + 1:c.k], ' ')
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p, k ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, p, max(f) AS f FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS p, a AS f FROM cand WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE k = 3) GROUP BY ALL
+),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.p = b.p AND b.k = 2
+  WHERE g.f IS NULL OR 100 * g.f < 50 * b.a
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
+SELECT r.lang, r.rank::BIGINT AS rank, r.p AS phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r,
+       t.n::BIGINT AS n, r.score::BIGINT AS score
+FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
