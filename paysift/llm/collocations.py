@@ -39,9 +39,9 @@ def windows(docs: DataFrame, width: int = 3) -> DataFrame:
     pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                          F.explode(F.split(text, PIECES)).alias("piece"))
     words = pieces.select("lang", F.filter(F.split("piece", SPACES), lambda w: w != "").alias("words")).where(F.size("words") > 0)
-    lead = F.transform("words", lambda w, k: F.struct(
-        w.alias("w1"), *(F.coalesce(F.get("words", k + n), F.lit("")).alias(f"w{n + 1}") for n in range(1, width))))
-    return words.select("lang", F.inline(lead))
+    lead = F.arrays_zip(F.col("words").alias("w1"), *(
+        F.slice("words", n, F.greatest(F.size("words"), F.lit(1))).alias(f"w{n}") for n in range(2, width + 1)))
+    return words.select("lang", F.inline(lead)).toDF("lang", *_columns(width)).na.fill("", _columns(width))
 
 
 def phrase_counts(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:

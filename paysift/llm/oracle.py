@@ -141,11 +141,17 @@ WITH pieces AS (
                                       '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
 ),
-listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+listed AS (
+  SELECT lang, pid, unnest(w) AS w1, generate_subscripts(w, 1) AS i
+  FROM (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces)
+),
+places AS (
+  SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM listed WINDOW o AS (PARTITION BY pid ORDER BY i)
+),
 grams AS (
-  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p, count(*)::HUGEINT AS f
-  FROM places, (VALUES (1), (2), (3)) AS s(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+  SELECT lang, 1 AS k, w1 AS p, count(*)::HUGEINT AS f FROM places GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM places WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM places WHERE w3 IS NOT NULL GROUP BY ALL
 ),
 total AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
 cand AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),

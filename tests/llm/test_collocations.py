@@ -30,7 +30,7 @@ def brute(rows, least=10, share=50, top=2000):
             continue
         cuts = [(1000000 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
         score, k = min(cuts)
-        inside = any(g == lang and len(x) > len(w) and 100 * b >= share * a
+        inside = any(g == lang and len(x) > len(w) and b >= least and 100 * b >= share * a
                      and any(x[i:i + len(w)] == w for i in range(len(x))) for (g, x), b in f.items()) if len(w) == 2 else False
         if not inside:
             found.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
