@@ -7,6 +7,12 @@ of a phrase is that of the windows that begin with it, and the words are the win
 Counts below ``least`` are dropped only after they are complete; parts of a kept phrase are at
 least as frequent as the phrase.
 
+Nearly every window of free text is found once or twice, and its words would be shuffled for
+nothing. So the hashes of word pairs are counted first, and a window ends before the first of its
+pairs whose hash is found less than ``least`` times: no phrase with that pair can be kept, and
+shorter prefixes count it all the same. Tasks look pairs up in a bitmap of fixed size
+(``marks``), which may let rare pairs through but holds no frequent one back.
+
 Scores are exact: products are decimals of 38 digits, enough for 10**15 words a language.
 
 Defined cases: a null text has no words; a null lang is ``und`` and joins rows of that name;
@@ -17,12 +23,16 @@ result; columns beyond text and lang are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .marks import bitmap, place
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECES = r"[.,;:!?\x0A-\x0D]"
@@ -33,22 +43,61 @@ def _columns(width: int) -> list[str]:
     return [f"w{k}" for k in range(1, width + 1)]
 
 
-def windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """lang and the columns w1 .. of every word's window."""
+def pieces(docs: DataFrame) -> DataFrame:
+    """lang and words of every piece that has a word."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
-    pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-                         F.explode(F.split(text, PIECES)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", SPACES), lambda w: w != "").alias("words")).where(F.size("words") > 0)
-    lead = F.arrays_zip(F.col("words").alias("w1"), *(
-        F.slice("words", n, F.greatest(F.size("words"), F.lit(1))).alias(f"w{n}") for n in range(2, width + 1)))
-    return words.select("lang", F.inline(lead)).toDF("lang", *_columns(width)).na.fill("", _columns(width))
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                       F.explode(F.split(text, PIECES)).alias("piece"))
+    return rows.select("lang", F.filter(F.split("piece", SPACES), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+
+
+def _after(words: str, n: int) -> Column:
+    """``words`` from the n-th on (from 1)."""
+    return F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
+
+
+def _pairs(words: str) -> Column:
+    """A hash for every word: of its lang, itself and the next word (null for the last one)."""
+    both = F.arrays_zip(F.col(words).alias("w1"), _after(words, 2).alias("w2"))
+    return F.transform(both, lambda z: F.when(z["w2"].isNotNull(), F.xxhash64(F.col("lang"), z["w1"], z["w2"])))
+
+
+def _found(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            lists = batch.column("places")
+            at = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+            hit = (at > 0) & ((bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8)) & 1).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("words"), pa.ListArray.from_arrays(pa.array(ends), pa.array(hit))],
+                names=["lang", "words", "joined"])
+
+    return run
+
+
+def windows(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
+    """lang and the columns w1 .. of every word's window, cut before its first rare pair."""
+    rows = pieces(docs)
+    hashes = rows.select(F.explode(_pairs("words")).alias("pair")).where("pair IS NOT NULL")
+    frequent = hashes.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("pair")
+    places = F.transform(_pairs("words"), lambda h: F.when(h.isNotNull(), place(h)))
+    marked = rows.select("lang", "words", places.alias("places")).mapInArrow(
+        _found(bitmap(frequent)), "lang string, words array<string>, joined array<boolean>")
+    lead = F.arrays_zip(F.col("words").alias("w1"), *(_after("words", n).alias(f"w{n}") for n in range(2, width + 1)),
+                        *((_after("joined", n - 1) if n > 2 else F.col("joined")).alias(f"j{n}") for n in range(2, width + 1)))
+    names = [*_columns(width), *(f"j{n}" for n in range(2, width + 1))]
+    every = marked.select("lang", F.inline(lead)).toDF("lang", *names)
+    kept = lambda n: reduce(lambda a, b: a & b, [F.col(f"j{m}") for m in range(2, n + 1)])
+    return every.select("lang", "w1", *(F.when(kept(n), F.col(f"w{n}")).otherwise("").alias(f"w{n}") for n in range(2, width + 1)))
 
 
 def phrase_counts(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
     """lang, w1 .. (null beyond the phrase), words (0: the whole language), f: phrases of up to
     ``width`` words found ``least`` times or more, and the number of words of each lang."""
     names = _columns(width)
-    longest = windows(docs, width).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
+    longest = windows(docs, width, least).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
     summed = longest.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # the levels of the rollup: 2**m - 1 where the last m columns are summed up
     length = reduce(lambda at, m: F.when(F.col("level") == 2 ** m - 1, width - m).otherwise(at), range(width), F.lit(0))

@@ -31,27 +31,29 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _place(c: str) -> Column:
+def place(c: str | Column) -> Column:
+    """The bit of an id, from 1."""
     return F.pmod(F.xxhash64(c), F.lit(1 << BITS)) + 1
 
 
-def _bitmap(ids: DataFrame):
-    place = _place(ids.columns[0])
-    blocks = ids.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bitmap = np.zeros((1 << BITS) // 8, dtype=np.uint8)  # 8 MB
+def bitmap(ids: DataFrame):
+    """The broadcast bitmap of ``ids`` (first column, distinct)."""
+    at = place(ids.columns[0])
+    blocks = ids.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    table = np.zeros((1 << BITS) // 8, dtype=np.uint8)  # 8 MB
     for block, bits in blocks:
-        at = (block - 1) * _BLOCK // 8
-        bitmap[at:at + _BLOCK // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bitmap)
+        begin = (block - 1) * _BLOCK // 8
+        table[begin:begin + _BLOCK // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(table)
 
 
 def _pick(shared, column: str, hit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            place = batch.column(column).to_numpy() - 1
-            found = ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+            at = batch.column(column).to_numpy() - 1
+            found = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
             yield batch.drop_columns([column]).filter(pa.array(found == hit))
 
     return run
@@ -61,18 +63,18 @@ def _picked(rows: DataFrame, key: str, shared, hit: bool) -> DataFrame:
     column = "_place"
     while column in {c.lower() for c in rows.columns}:
         column += "_"
-    return rows.withColumn(column, _place(key)).mapInArrow(_pick(shared, column, hit), rows.schema)
+    return rows.withColumn(column, place(key)).mapInArrow(_pick(shared, column, hit), rows.schema)
 
 
 def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` (long) is not in ``ids`` (first column)."""
-    return _picked(rows, key, _bitmap(ids), True)
+    return _picked(rows, key, bitmap(ids), True)
 
 
 def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``rows`` but those whose ``key`` (long) is in ``ids`` (first column, distinct). Unmarked rows
     stay where they are; only marked ones are shuffled to the exact anti-join, where the ids
     are the hashed side."""
-    shared = _bitmap(ids)
+    shared = bitmap(ids)
     maybe = _picked(rows, key, shared, True).join(ids.select(F.col(ids.columns[0]).alias(key)).hint("shuffle_hash"), key, "left_anti")
     return _picked(rows, key, shared, False).unionByName(maybe.select(*rows.columns))
