@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import split_bucket
+from .ranks import positions
 
 SPLIT_SEED = 5043
 TRAIN_PERCENT = 70
@@ -30,15 +31,34 @@ def string_index(df: DataFrame, column: str, out: str, fit_on: DataFrame | None
 
 
 def index_table(df: DataFrame, column: str, out: str) -> DataFrame:
-    """The same index as a DataFrame (value, index): one aggregate, then a rank over the distinct
-    values only. Join it back (it has one row per distinct value)."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.col("_n").desc(), F.col(column))
-    return counts.select(column, (F.row_number().over(w) - 1).cast("double").alias(out))
+    """The same index as a DataFrame (value, index), for columns of any number of values: one
+    aggregate, then the place of each distinct value by (count descending, value), in ranges.
+    It has one row per distinct value; nulls have no index."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg((-F.count(F.lit(1))).alias("_negative_n"))
+    return positions(counts, [], ["_negative_n", column], "_place").select(column, (F.col("_place") - 1).cast("double").alias(out))
+
+
+def index_by_table(df: DataFrame, column: str, out: str, table: DataFrame, handle_invalid: str = "error") -> DataFrame:
+    """``df`` with the index of ``column`` from its ``index_table``. Values without an index (and
+    nulls) raise an error, are dropped (``skip``) or take the first free index (``keep``)."""
+    if handle_invalid not in ("error", "skip", "keep"):
+        raise ValueError(handle_invalid)
+    if handle_invalid == "skip":
+        return df.join(table, column)
+    unknown = F.lit(float(table.count())) if handle_invalid == "keep" else F.raise_error(
+        F.concat(F.lit(f"{column} has no index: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("double")
+    return df.join(table, column, "left").withColumn(out, F.coalesce(out, unknown))
+
+
+def text_by_table(df: DataFrame, column: str, out: str, table: DataFrame) -> DataFrame:
+    """``df`` with the value of the index ``column``, by the ``index_table`` that gave it (value,
+    index); an index without a value gives null."""
+    value, index = table.columns
+    return df.join(table.select(F.col(index).alias(column), F.col(value).alias(out)), column, "left")
 
 
 def index_to_string(df: DataFrame, column: str, out: str, labels: list[str]) -> DataFrame:
-    """Map an index column back to its label text."""
+    """Map an index column back to its label text, from a short list of labels."""
     return IndexToString(inputCol=column, outputCol=out, labels=labels).transform(df)
 
 

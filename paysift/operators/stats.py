@@ -1,18 +1,19 @@
 """Aggregate statistics: profiles, totals, correlations.
 
 All of them are single aggregates with partial (map-side) aggregation, so skewed groups are
-combined before the shuffle. Spearman ranks are computed over *distinct values* with a
-range-bucketed prefix sum and joined back, instead of a rank window over raw rows, which
-would put a whole group into one task.
+combined before the shuffle. Spearman ranks are running totals over *distinct values* in
+ranges, joined back, instead of a rank window over raw rows, which would put a whole group
+into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_double
 from ..session import cut_lineage
+from .ranks import running_totals
 
 
 def _c(name: str):
@@ -64,60 +65,31 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataF
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str], out: str, buckets: int = 256) -> DataFrame:
-    """Average rank (ties share the mean of their positions, 1-based) of ``column`` within ``by``.
-
-    An exact prefix sum over each group's distinct values that never puts a whole group in one
-    task:
-
-    1. counts per (group, value) (partial aggregation);
-    2. per group ``buckets - 1`` approximate quantiles of the distinct values cut the value
-       range into buckets;
-    3. per (group, bucket) row totals, whose running sum over buckets gives each bucket's
-       offset (a window of at most ``buckets`` rows per group);
-    4. inside each (group, bucket) a running count over its distinct values.
-
-    The rank of a value is offset + running count within the bucket - (ties - 1) / 2. Returns
-    one row per (by, value): ``by``, ``column``, ``out``.
-    """
-    v = F.col(column)
-    counts = cut_lineage(df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_cnt")))
-    probs = [i / buckets for i in range(1, buckets)]
-    # quantiles of the distinct values: buckets hold about the same number of window rows
-    bounds = counts.groupBy(*by).agg(F.percentile_approx(v, probs, 10 * buckets).alias("_q"))
-    bucketed = counts.join(bounds, by).withColumn("_bk", F.size(F.filter("_q", lambda q: q < v))).drop("_q")
-    totals = bucketed.groupBy(*by, "_bk").agg(F.sum("_cnt").alias("_bt"))
-    before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0))).drop("_bt")
-    within = Window.partitionBy(*by, "_bk").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = bucketed.join(offsets, [*by, "_bk"]).withColumn("_cum", F.col("_off") + F.sum("_cnt").over(within))
-    return ranks.select(*by, column, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-
-
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Spearman correlation per group: Pearson of average ranks.
-
-    For one correlation over a whole table (no group), use ``spearman_global``: a rank over all
-    distinct values needs a total order, which Spark ML computes with a distributed sort.
-    """
-    rows = df.where(_c(x).isNotNull() & _c(y).isNotNull()).select(*by, x, y)
-    ranked = rows.join(average_ranks(rows, x, by, "_rx"), [*by, x]).join(average_ranks(rows, y, by, "_ry"), [*by, y])
-    return pearson(ranked, "_rx", "_ry", by)
-
-
-def spearman_global(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Whole-table Spearman through ``pyspark.ml.stat.Correlation``, which ranks with a
-    distributed sort (a rank window without a partition would run in one task). Only the 2x2
-    matrix reaches the driver; it is returned as a one-row DataFrame."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    rows = df.where(_c(x).isNotNull() & _c(y).isNotNull()).select(x, y)
-    vec = VectorAssembler(inputCols=[x, y], outputCol="_v").transform(rows)
-    m = Correlation.corr(vec, "_v", "spearman").head()[0].toArray()
-    n = rows.count()
-    value = float(m[0, 1]) if n > 1 and m[0, 1] == m[0, 1] else None
-    return df.sparkSession.createDataFrame([(n, value)], "n long, corr double")
+def average_ranks(df: DataFrame, columns: list[str], by: list[str], out: str = "rank") -> DataFrame:
+    """Average rank (ties share the mean of their positions, 1-based) of each of ``columns``
+    within ``by``: ``by``, ``_column`` (its position in the list), ``_value``, ``out``, one row per
+    distinct value.
+
+    The values of all columns are counted by one aggregate; running totals of the counts, in
+    ranges of (group, column, value), never put a whole group or column into one task."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("_column"), _c(c).cast("double").alias("_value")) for k, c in enumerate(columns))))
+    stacked = df.select(*by, pairs.alias("_pair")).select(*by, "_pair.*").where(F.col("_value").isNotNull())
+    counts = stacked.groupBy(*by, "_column", "_value").agg(F.count(F.lit(1)).alias("_ties"))
+    run = running_totals(counts, [*by, "_column"], ["_value"], {"_upto": ("_ties", "sum")})
+    return run.select(*by, "_column", "_value", (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(out))
+
+
+def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """Spearman correlation per group, or of the whole table: Pearson of average ranks. The two
+    columns are read once; rows where either is null don't count."""
+    by = by or []
+    rows = cut_lineage(df.where(_c(x).isNotNull() & _c(y).isNotNull()).select(
+        *by, _c(x).cast("double").alias("_x"), _c(y).cast("double").alias("_y")))
+    ranks = average_ranks(rows, ["_x", "_y"], by)
+    for k, c in enumerate(["_x", "_y"]):
+        own = ranks.where(F.col("_column") == k).select(*by, F.col("_value").alias(c), F.col("rank").alias(f"_r{c}"))
+        rows = rows.join(own, [*by, c])
+    return pearson(rows, "_r_x", "_r_y", by)
 
 
 def correlation(df: DataFrame, x: str, y: str, method: str = "pearson", by: list[str] | None = None) -> DataFrame:
@@ -126,7 +98,7 @@ def correlation(df: DataFrame, x: str, y: str, method: str = "pearson", by: list
     if method == "pearson":
         return pearson(df, x, y, by)
     if method == "spearman":
-        return spearman(df, x, y, by) if by else spearman_global(df, x, y)
+        return spearman(df, x, y, by)
     raise ValueError(f"unknown correlation method {method!r}; supported: pearson, spearman")
 
 

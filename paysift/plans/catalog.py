@@ -234,10 +234,7 @@ def q_corr_pearson(spark, sf):
              + (count(*) OVER (PARTITION BY DRGDefinition, AverageTotalPayments) - 1) / 2.0 AS ry
     FROM eng WHERE MedianHousePrice IS NOT NULL AND AverageTotalPayments IS NOT NULL""")]))
 def q_corr_spearman(spark, sf):
-    from ..session import cut_lineage
-    # the rows are read three times (two rank tables and the join back): materialise the
-    # three needed columns once
-    e = cut_lineage(flows.analysis_table(spark, sf, indexed=False).select(fx.GROUP, flows.HOUSE_PRICE, fx.PAYMENT))
+    e = flows.analysis_table(spark, sf, indexed=False)
     return quantise(stats.correlation(e, flows.HOUSE_PRICE, fx.PAYMENT, "spearman", [fx.GROUP]), {"corr": 8})
 
 
@@ -286,8 +283,10 @@ def q_distinct_groups(spark, sf):
 @register("string_index", O.with_ctes(
     "SELECT DRGDefinition, ProviderId, drg_index FROM feat", "feat"))
 def q_string_index(spark, sf):
-    e = flows.analysis_table(spark, sf, indexed=False)
-    return features.string_index(e, fx.GROUP, flows.DRG_INDEX).select(fx.GROUP, fx.PROVIDER, flows.DRG_INDEX)
+    from ..session import cut_lineage
+    e = cut_lineage(flows.analysis_table(spark, sf, indexed=False).select(fx.GROUP, fx.PROVIDER))
+    table = features.index_table(e, fx.GROUP, flows.DRG_INDEX)
+    return features.index_by_table(e, fx.GROUP, flows.DRG_INDEX, table).select(fx.GROUP, fx.PROVIDER, flows.DRG_INDEX)
 
 
 @register("index_to_string", O.with_ctes(
@@ -301,10 +300,12 @@ def q_string_index(spark, sf):
     FROM labelled0 GROUP BY payment_label"""), ("labelled", """
     SELECT l.*, i.label_index FROM labelled0 l JOIN label_idx i USING (payment_label)""")]))
 def q_index_to_string(spark, sf):
-    j = clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label")
-    model = features.fit_string_index(j, "payment_label", "label_index")
-    indexed = model.transform(j)
-    back = features.index_to_string(indexed, "label_index", "original_value", list(model.labels))
+    from ..session import cut_lineage
+    j = cut_lineage(clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label").select(
+        fx.GROUP, fx.PROVIDER, "payment_label"))
+    table = features.index_table(j, "payment_label", "label_index")
+    indexed = features.index_by_table(j, "payment_label", "label_index", table)
+    back = features.text_by_table(indexed, "label_index", "original_value", table)
     return back.select(fx.GROUP, fx.PROVIDER, "payment_label", "label_index", "original_value")
 
 

@@ -1,5 +1,6 @@
 """Joins, counts, error report, index, k-means on literal rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from paysift.operators import errors, features, joins, kmeans
@@ -78,22 +79,40 @@ def test_kmeans_two_clusters(spark):
     assert abs(c["cost"] - 1.0) < 1e-12 and c["n"] == 4
 
 
-def test_average_ranks_match_pandas_with_ties_across_buckets(spark):
-    import random
-
+def test_average_ranks_match_pandas_with_ties(spark):
+    import numpy as np
     import pandas as pd
-
     from paysift.operators.stats import average_ranks
 
-    rnd = random.Random(3)
-    rows = [("hot", float(rnd.randint(0, 40))) for _ in range(600)] + [("cold", float(rnd.randint(0, 5))) for _ in range(30)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = average_ranks(df, "v", ["g"], "r", buckets=8).select("g", "v", "r").distinct().toPandas()
-    pdf = pd.DataFrame(rows, columns=["g", "v"])
-    pdf["r"] = pdf.groupby("g")["v"].rank(method="average")
-    exp = pdf.drop_duplicates().sort_values(["g", "v"]).reset_index(drop=True)
-    got = got.sort_values(["g", "v"]).reset_index(drop=True)
-    assert (got["r"] - exp["r"]).abs().max() < 1e-9
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": rng.integers(0, 200, 3000).astype(float), "u": rng.normal(size=3000)})
+    got = average_ranks(spark.createDataFrame(pdf), ["v", "u"], ["g"], "r").toPandas()
+    for k, c in enumerate(["v", "u"]):
+        pdf["e"] = pdf.groupby("g")[c].rank(method="average")
+        both = pdf.merge(got[got["_column"] == k], left_on=["g", c], right_on=["g", "_value"])
+        assert len(both) == len(pdf) and (both["r"] - both["e"]).abs().max() == 0
+
+
+def test_index_of_a_million_values(spark):
+    """No task sees all values: the plan has no window without a key, and the places are exact."""
+    from paysift.operators.features import index_by_table, index_table, text_by_table
+
+    rows = spark.range(1_000_000).select(F.concat(F.lit("v"), F.col("id")).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("v7",), ("v7",), ("v5",), (None,)], "v string"))
+    table = index_table(rows, "v", "i")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    first = table.where("i < 4").orderBy("i").collect()
+    assert [tuple(r) for r in first] == [("v7", 0.0), ("v5", 1.0), ("v0", 2.0), ("v1", 3.0)]
+    assert table.agg(F.count("*"), F.max("i"), F.count_distinct("i")).first()[:] == (1_000_000, 999_999.0, 1_000_000)
+    few = spark.createDataFrame([("v5",), ("other",), (None,)], "v string")
+    kept = {r.v: r.i for r in index_by_table(few, "v", "i", table, "keep").collect()}
+    assert kept == {"v5": 1.0, "other": 1_000_000.0, None: 1_000_000.0}
+    assert [r.i for r in index_by_table(few, "v", "i", table, "skip").collect()] == [1.0]
+    with pytest.raises(Exception, match="no index"):
+        index_by_table(few, "v", "i", table).collect()
+    back = text_by_table(spark.createDataFrame([(0.0,), (9e9,)], "i double"), "i", "text", table)
+    assert {r.text for r in back.collect()} == {"v7", None}
 
 
 def test_aggregate_error_six_numbers_and_empty(spark):
