@@ -1,11 +1,9 @@
-"""k-means: Lloyd's iterations as DataFrame aggregates, cost, cluster profile.
-
-Per iteration one pass: every row gets its nearest centre (native expressions against the k
-centre literals), then one aggregate computes the new centres. Only the k x d centre matrix
-goes through the driver (as Spark ML's own k-means does); rows never do. Initial centres
-are the k rows with the smallest md5 key, so a run is repeatable and reproducible in SQL.
-``fit_kmeans_ml`` wraps Spark ML's ``KMeans`` (k-means|| initialisation) with the original's
-settings.
+"""k-means: Spark MLlib's fit from given centres, cost, cluster profile.
+
+``fit_from`` runs ``pyspark.mllib``'s k-means from stated centres to its tolerance, so a run is
+repeatable and SQL can follow it to the same fixpoint; ``fit_kmeans_ml`` wraps Spark ML's
+``KMeans`` (k-means|| initialisation) with the original's settings. Rows are scored by native
+expressions against the k centres.
 """
 
 from __future__ import annotations
@@ -51,21 +49,17 @@ def assign(df: DataFrame, features: list[str], centres: list[list[float]], out:
     return df.withColumn(out, nearest(features, centres))
 
 
-def lloyd(train: DataFrame, keys: list[str], features: list[str], k: int = 2, iterations: int = 5,
-          seed: int = 1) -> list[list[float]]:
-    """Centres after ``iterations`` Lloyd steps (an empty cluster keeps its centre)."""
-    centres = seed_centres(train, keys, features, k, seed)
-    for _ in range(iterations):
-        means = (
-            assign(train, features, centres, "_c")
-            .groupBy("_c").agg(*[F.avg(_x(f)).alias(f"m{i}") for i, f in enumerate(features)])
-            .collect()
-        )
-        new = [list(c) for c in centres]
-        for r in means:
-            new[r["_c"]] = [float(r[f"m{i}"]) for i in range(len(features))]
-        centres = new
-    return centres
+def fit_from(train: DataFrame, features: list[str], centres: list[list[float]], max_iterations: int = 100,
+             tolerance: float = 1e-6) -> list[list[float]]:
+    """Centres that Spark's k-means reaches from ``centres``: until none moves more than
+    ``tolerance``. Rows with a null feature don't count."""
+    from pyspark.mllib.clustering import KMeans, KMeansModel
+    from pyspark.mllib.linalg import Vectors
+
+    rows = train.select(*[_x(f) for f in features]).dropna().rdd.map(Vectors.dense)
+    start = KMeansModel([Vectors.dense(c) for c in centres])
+    model = KMeans.train(rows, len(centres), maxIterations=max_iterations, epsilon=tolerance, initialModel=start)
+    return [[float(v) for v in c] for c in model.clusterCenters]
 
 
 def cost(df: DataFrame, features: list[str], centres: list[list[float]]) -> DataFrame:

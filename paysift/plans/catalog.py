@@ -485,16 +485,6 @@ def q_gbt_live_pooled(spark, sf):
 GLM_REG = 0.3  # the original's L2 parameter
 
 
-def _glm(spark, sf, family: str, link: str):
-    """Spark ML ``GeneralizedLinearRegression`` (IRLS) with the original's settings."""
-    from pyspark.ml.regression import GeneralizedLinearRegression
-    from .models import fit_pooled
-    est = GeneralizedLinearRegression(labelCol=flows.LABEL, family=family, link=link, maxIter=10, regParam=GLM_REG)
-    model, train, test = fit_pooled(_model_input(spark, sf), est, flows.GLM_FEATURES)
-    pred = model.transform(test).select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction")
-    return quantise(pred, {"prediction": 4})
-
-
 def _glm_gaussian_predictions(spark, sf) -> DataFrame:
     """Gaussian family, identity link, L2 0.3: solved in closed form from sufficient statistics
     (equal to Spark ML's GLR to about 1e-11, see tests), so SQL can check it value by value."""
@@ -515,10 +505,40 @@ def q_glm_gaussian(spark, sf):
     return quantise(p, {"prediction": 4})
 
 
-@register("glm_gamma")
+GLM_ROUNDS = 10  # the original's iteration bound
+
+
+_GAMMA_CTES, _GAMMA_PRED = O.gamma_ctes(flows.GLM_FEATURES, None, GLM_ROUNDS, GLM_REG)
+
+
+@register("glm_gamma", O.with_ctes(
+    f"SELECT DRGDefinition, ProviderId, label, {O.q('prediction', 4)} AS prediction FROM {_GAMMA_PRED}",
+    "test", _GAMMA_CTES, recursive=True))
 def q_glm_gamma(spark, sf):
     """The gamma family honoured (the original ignored it), with its canonical inverse link."""
-    return _glm(spark, sf, "gamma", "inverse")
+    from ..operators.glm import fit_gamma, predict_gamma
+    train, test = flows.train_test(_model_input(spark, sf))
+    coef = fit_gamma(train, flows.GLM_FEATURES, flows.LABEL, None, GLM_ROUNDS, GLM_REG)
+    rows = predict_gamma(test, coef, flows.GLM_FEATURES)
+    return quantise(rows.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
+
+
+_GAMMA_GROUP_CTES, _GAMMA_GROUP_PRED = O.gamma_ctes(flows.GROUP_FEATURES, fx.GROUP, GLM_ROUNDS, GLM_REG)
+
+
+@register("glm_gamma_grouped", O.with_ctes(
+    f"SELECT DRGDefinition, ProviderId, label, {O.q('10000.0 * eta', 6)} AS per_10000 FROM {_GAMMA_GROUP_PRED}",
+    "test", _GAMMA_GROUP_CTES, recursive=True))
+def q_glm_gamma_grouped(spark, sf):
+    """A gamma model per group: the linear predictor (1 / mean) per 10,000. It crosses zero in some
+    groups, where the mean itself has no stable digits."""
+    from ..operators.glm import fit_gamma
+    from ..operators.linear import predict_ols
+    train, test = flows.train_test(_model_input(spark, sf))
+    coef = fit_gamma(train, flows.GROUP_FEATURES, flows.LABEL, fx.GROUP, GLM_ROUNDS, GLM_REG)
+    rows = predict_ols(test, coef, flows.GROUP_FEATURES, fx.GROUP, "eta")
+    rows = rows.select(fx.GROUP, fx.PROVIDER, flows.LABEL, (10000.0 * F.col("eta")).alias("per_10000"))
+    return quantise(rows, {"per_10000": 6})
 
 
 @register("glm_r2", O.with_ctes(
@@ -641,23 +661,24 @@ def q_feature_importance(spark, sf):
 
 
 KM_FEATURES = flows.GLM_FEATURES
-KM_K, KM_ITER = 2, 5
+KM_K = 2
 
 
 def _km(spark, sf):
     from ..operators import kmeans
     data = _model_input(spark, sf)
     train = data.where(F.col(flows.SPLIT))
-    centres = kmeans.lloyd(train, [fx.GROUP, fx.PROVIDER], KM_FEATURES, KM_K, KM_ITER, seed=1)
+    start = kmeans.seed_centres(train, [fx.GROUP, fx.PROVIDER], KM_FEATURES, KM_K, seed=1)
+    centres = kmeans.fit_from(train, KM_FEATURES, start)
     return data, train, centres
 
 
-_KM_CTES, _KM_FINAL = O.kmeans_ctes(KM_FEATURES, KM_K, KM_ITER)
+_KM_CTES, _KM_FINAL = O.kmeans_ctes(KM_FEATURES, KM_K)
 
 
 @register("kmeans_assign", O.with_ctes(
     f"SELECT DRGDefinition, ProviderId, {O.assign_sql(_KM_FINAL, len(KM_FEATURES), KM_K, 'r')} AS cluster "
-    "FROM km_rows r WHERE NOT is_train", "feat", _KM_CTES))
+    "FROM km_rows r WHERE NOT is_train", "feat", _KM_CTES, recursive=True))
 def q_kmeans_assign(spark, sf):
     from ..operators import kmeans
     data, _, centres = _km(spark, sf)
@@ -667,7 +688,7 @@ def q_kmeans_assign(spark, sf):
 
 @register("kmeans_cost", O.with_ctes(
     f"SELECT {O.q('sqrt(sum(least(' + ', '.join('(' + O.dist_sql(_KM_FINAL, len(KM_FEATURES), j, 'r') + ')' for j in range(KM_K)) + ')) / count(*))', 2)} "
-    "AS rms_distance, count(*) AS n FROM km_rows r WHERE is_train", "feat", _KM_CTES))
+    "AS rms_distance, count(*) AS n FROM km_rows r WHERE is_train", "feat", _KM_CTES, recursive=True))
 def q_kmeans_cost(spark, sf):
     from ..operators import kmeans
     _, train, centres = _km(spark, sf)
@@ -682,7 +703,7 @@ def q_kmeans_cost(spark, sf):
     "min(ProviderZipCodeDouble) AS min_ProviderZipCodeDouble, "
     f"{O.q('avg(ProviderZipCodeDouble)', 6)} AS avg_ProviderZipCodeDouble, max(ProviderZipCodeDouble) AS max_ProviderZipCodeDouble "
     f"FROM (SELECT r.*, {O.assign_sql(_KM_FINAL, len(KM_FEATURES), KM_K, 'r')} AS cluster FROM km_rows r WHERE NOT is_train) "
-    "GROUP BY ROLLUP (cluster)", "feat", _KM_CTES))
+    "GROUP BY ROLLUP (cluster)", "feat", _KM_CTES, recursive=True))
 def q_cluster_profile(spark, sf):
     from ..operators import kmeans
     data, _, centres = _km(spark, sf)
@@ -693,7 +714,7 @@ def q_cluster_profile(spark, sf):
 
 @register("kmeans_centres", O.with_ctes(
     "SELECT cluster, " + ", ".join(f"{O.q(f'x{i}', 4)} AS {f}" for i, f in enumerate(KM_FEATURES)) + f" FROM {_KM_FINAL}",
-    "feat", _KM_CTES))
+    "feat", _KM_CTES, recursive=True))
 def q_kmeans_centres(spark, sf):
     from ..operators import kmeans
     _, _, centres = _km(spark, sf)

@@ -79,14 +79,15 @@ BRAND_PAYMENTS = (BASE_CTES["payments"]
                   .replace(" || '-' || CAST(year(l_shipdate) AS VARCHAR)", ""))
 
 
-def with_ctes(body: str, upto: str, extra: list[tuple[str, str]] | None = None, brand: bool = False) -> str:
+def with_ctes(body: str, upto: str, extra: list[tuple[str, str]] | None = None, brand: bool = False,
+              recursive: bool = False) -> str:
     """Prefix ``body`` with the base CTEs up to and including ``upto`` plus ``extra`` ones
     (``brand``: the prefix-collision payments instead of the part-size ones)."""
     names = ORDER[: ORDER.index(upto) + 1]
     base = dict(BASE_CTES, payments=BRAND_PAYMENTS) if brand else BASE_CTES
     parts = [f"{n} AS ({base[n]}\n)" for n in names]
     parts += [f"{n} AS (\n{sql}\n)" for n, sql in (extra or [])]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
 
 
 def PRICES_WIDE(months: tuple[str, ...]) -> str:
@@ -210,23 +211,71 @@ def index_cte(source: str, column: str, out: str) -> str:
             f"FROM {source} GROUP BY {column}")
 
 
-def kmeans_ctes(features: list[str], k: int, iterations: int) -> tuple[list[tuple[str, str]], str]:
-    """Lloyd's iterations from the k training rows with the smallest md5 key; the same
-    arithmetic as ``operators.kmeans``. Returns the CTEs and the final centre CTE name."""
+def kmeans_ctes(features: list[str], k: int, iterations: int = 100) -> tuple[list[tuple[str, str]], str]:
+    """k-means from the k training rows with the smallest md5 key, iterated past its fixpoint (an
+    empty cluster keeps its centre). Returns the CTEs, one of them recursive, and the name of the
+    centres' CTE."""
+    d = len(features)
     xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
-    ctes = [("km_rows", f"SELECT DRGDefinition, ProviderId, AverageTotalPayments, ProviderZipCodeDouble, is_train, {xs} FROM feat"),
-            ("km_c0", f"""
-    SELECT CAST(row_number() OVER (ORDER BY md5(concat_ws('|', DRGDefinition, ProviderId, '1')), DRGDefinition, ProviderId) - 1 AS INTEGER) AS cluster,
-           {', '.join(f'x{i}' for i in range(len(features)))}
-    FROM km_rows WHERE is_train
-    ORDER BY md5(concat_ws('|', DRGDefinition, ProviderId, '1')), DRGDefinition, ProviderId LIMIT {k}""")]
-    for it in range(iterations):
-        ctes.append((f"km_a{it}", f"SELECT r.*, {assign_sql(f'km_c{it}', len(features), k)} AS cluster FROM km_rows r WHERE is_train"))
-        means = ", ".join(f"coalesce(n.x{i}, c.x{i}) AS x{i}" for i in range(len(features)))
-        avgs = ", ".join(f"avg(x{i}) AS x{i}" for i in range(len(features)))
-        ctes.append((f"km_c{it + 1}", f"SELECT c.cluster, {means} FROM km_c{it} c LEFT JOIN "
-                     f"(SELECT cluster, {avgs} FROM km_a{it} GROUP BY cluster) n USING (cluster)"))
-    return ctes, f"km_c{iterations}"
+    by = "md5(concat_ws('|', DRGDefinition, ProviderId, '1')), DRGDefinition, ProviderId"
+    first = ", ".join(f"max(x{i}) FILTER (j = {j}) AS c{j}_{i}" for j in range(k) for i in range(d))
+    moved = ", ".join(f"coalesce(avg(x{i}) FILTER (cluster = {j}), max(c{j}_{i}))" for j in range(k) for i in range(d))
+    dist = [" + ".join(f"(x{i} - c{j}_{i}) * (x{i} - c{j}_{i})" for i in range(d)) for j in range(k)]
+    near = " ".join(f"WHEN {' AND '.join(f'{dist[j]} <= {dist[m]}' for m in range(j + 1, k))} THEN {j}" for j in range(k - 1))
+    return [
+        ("km_rows", f"SELECT DRGDefinition, ProviderId, AverageTotalPayments, ProviderZipCodeDouble, is_train, {xs} FROM feat"),
+        ("km_walk", f"""
+    SELECT 0 AS it, {first} FROM (SELECT *, row_number() OVER (ORDER BY {by}) - 1 AS j FROM km_rows WHERE is_train)
+    UNION ALL
+    SELECT it + 1, {moved}
+    FROM (SELECT *, CASE {near} ELSE {k - 1} END AS cluster FROM km_walk, km_rows WHERE is_train AND it < {iterations}) GROUP BY it"""),
+        ("km_centres", " UNION ALL ".join(
+            f"SELECT {j} AS cluster, {', '.join(f'c{j}_{i} AS x{i}' for i in range(d))} FROM km_walk WHERE it = {iterations}" for j in range(k))),
+    ], "km_centres"
+
+
+def gamma_ctes(features: list[str], group: str | None, rounds: int, ridge: float) -> tuple[list[tuple[str, str]], str]:
+    """Gamma regression (inverse link, L2) of three features by reweighted least squares, a row
+    per group and round; the 3 x 3 systems by Cramer's rule. Returns the CTEs, one of them
+    recursive, and the name of the CTE of the test rows' predictions."""
+    if len(features) != 3:
+        raise ValueError("three features")
+    g = group or "0"
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    eta = "b + b0 * d0 + b1 * d1 + b2 * d2"
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    prod = ", ".join([f"sum(w * d{i} * d{j}) - sum(w * d{i}) * sum(w * d{j}) / sum(w) AS c{i}{j}" for i, j in pairs]
+                     + [f"sum(w * d{i} * z) - sum(w * d{i}) * sum(w * z) / sum(w) AS r{i}" for i in range(3)]
+                     + [f"sum(w * d{i}) / sum(w) AS e{i}" for i in range(3)])
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}" + (" * s + t" if i == j else "")
+
+    def det(column: int | None) -> str:
+        m = [[f"r{i}" if j == column else f"({c(i, j)})" for j in range(3)] for i in range(3)]
+        minor = lambda p, q: f"({m[1][p]} * {m[2][q]} - {m[1][q]} * {m[2][p]})"
+        return f"({m[0][0]} * {minor(1, 2)} - {m[0][1]} * {minor(0, 2)} + {m[0][2]} * {minor(0, 1)})"
+
+    solved = ", ".join(f"{det(i)} / {det(None)} AS n{i}" for i in range(3))
+    return [
+        ("gx", f"SELECT {g} AS g, {xs}, CAST(label AS DOUBLE) AS y FROM train"),
+        ("gm", "SELECT g, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2 FROM gx GROUP BY g"),
+        ("gd", "SELECT g, x0 - m0 AS d0, x1 - m1 AS d1, x2 - m2 AS d2, y FROM gx JOIN gm USING (g)"),
+        ("gw", f"""
+    SELECT -1 AS it, g, 0.0::DOUBLE AS b, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM gm
+    UNION ALL
+    SELECT it + 1, g, zm - n0 * e0 - n1 * e1 - n2 * e2, n0, n1, n2 FROM (
+      SELECT *, {solved} FROM (
+        SELECT *, CASE WHEN it < 0 THEN 1.0 + {ridge!r} / sqrt(vz) ELSE 1.0 END AS s,
+               CASE WHEN it < 0 THEN 0.0 ELSE {ridge!r} * sw END AS t FROM (
+          SELECT it, g, sum(w) AS sw, sum(w * z) / sum(w) AS zm, (sum(w * z * z) - sum(w * z) * sum(w * z) / sum(w)) / sum(w) AS vz, {prod}
+          FROM (SELECT *, CASE WHEN it < 0 THEN 1.0 ELSE mu * mu END AS w,
+                       CASE WHEN it < 0 THEN 1.0 / y ELSE eta - (y - mu) / (mu * mu) END AS z
+                FROM (SELECT *, greatest(1.0 / nullif(eta, 0), 1e-16) AS mu
+                      FROM (SELECT gd.*, it, {eta} AS eta FROM gw JOIN gd USING (g) WHERE it < {rounds})))
+          GROUP BY it, g)))"""),
+        ("g_eta", "SELECT t.*, b + " + " + ".join(f"b{i} * (CAST(t.{f} AS DOUBLE) - m{i})" for i, f in enumerate(features))
+                  + f" AS eta FROM test t JOIN gm ON gm.g = {('t.' + group) if group else '0'} JOIN gw ON gw.g = gm.g AND gw.it = {rounds}"),
+        ("g_pred", "SELECT *, greatest(1.0 / eta, 1e-16) AS prediction FROM g_eta"),
+    ], "g_pred"
 
 
 def dist_sql(centres: str, d: int, j: int, alias: str = "") -> str:

@@ -5,6 +5,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from paysift.plans.catalog import ORACLE, QUERIES
@@ -66,26 +67,39 @@ def test_query_matches_oracle(spark, duck, name):
     assert a == b
 
 
-def test_glm_gamma_solves_its_estimating_equations(spark):
-    """Gamma family, inverse link, L2: the score of every coefficient vanishes, with the penalty
-    on standardised features as Spark ML applies it."""
-    import numpy as np
+@pytest.mark.parametrize("ridge", [0.3, 0.0])
+def test_gamma_rounds_equal_spark_ml(spark, ridge):
+    """The query's rounds, with its penalty and without, against Spark ML's solver run for as many
+    rounds: all rows, and the rows of one group."""
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     from paysift.operators import features
+    from paysift.operators.glm import fit_gamma, predict_gamma
     from paysift.plans import catalog, flows
-
-    data = features.assemble(catalog._model_input(spark, SF_SMOKE), flows.GLM_FEATURES, "features")
-    train = data.where("is_train")
-    rows = train.select("label", *flows.GLM_FEATURES).toPandas()
-    est = GeneralizedLinearRegression(labelCol=flows.LABEL, family="gamma", link="inverse", maxIter=50, regParam=0.0, tol=1e-12)
-    model = est.fit(train)
-    x = np.c_[np.ones(len(rows)), rows[flows.GLM_FEATURES].to_numpy()]
-    mu = 1 / (x @ np.r_[model.intercept, model.coefficients.toArray()])
-    score = ((rows["label"].to_numpy() - mu)[:, None] * x).sum(axis=0)
-    assert np.all(np.abs(score) < 1e-6 * np.abs(rows["label"].to_numpy()[:, None] * x).sum(axis=0))
-    got = E.queries()["glm_gamma"](spark, SF_SMOKE).toPandas()
-    assert len(got) == data.where("NOT is_train").count() and (got["prediction"] > 0).all()
+    from paysift.sources import fixtures as fx
+
+    data = catalog._model_input(spark, SF_SMOKE)
+    train, test = data.where("is_train"), data.where("NOT is_train")
+    one = train.groupBy(fx.GROUP).count().orderBy("count", ascending=False).first()[0]
+    for names, group in ((flows.GLM_FEATURES, None), (flows.GROUP_FEATURES, fx.GROUP)):
+        coef = fit_gamma(train, names, flows.LABEL, group, catalog.GLM_ROUNDS, ridge)
+        mine = predict_gamma(test, coef, names, group)
+        assert mine.count() == test.count()
+        some = (train, test) if group is None else (train.where(F.col(fx.GROUP) == one), test.where(F.col(fx.GROUP) == one))
+        est = GeneralizedLinearRegression(labelCol=flows.LABEL, family="gamma", link="inverse", maxIter=catalog.GLM_ROUNDS,
+                                          regParam=ridge, tol=0.0)
+        fitted = est.fit(features.assemble(some[0], names, "features")).transform(features.assemble(some[1], names, "features"))
+        both = fitted.select(fx.GROUP, fx.PROVIDER, F.col("prediction").alias("ml")).join(mine, [fx.GROUP, fx.PROVIDER])
+        worst = both.agg(F.max(F.abs(F.col("ml") / F.col("prediction") - 1)), F.count("*")).first()
+        assert worst[1] == some[1].count() and worst[0] < 1e-8, (ridge, group, worst)
+
+
+def test_gamma_refuses_labels_that_are_not_positive(spark):
+    from paysift.operators.glm import fit_gamma
+
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 0.0)], "x double, label double")
+    with pytest.raises(Exception, match="positive"):
+        fit_gamma(rows, ["x"]).collect()
 
 
 def test_kmeans_queries_are_of_the_fitted_model(spark):

@@ -72,7 +72,9 @@ def test_hash_split_is_repeatable(spark):
 def test_kmeans_two_clusters(spark):
     df = spark.createDataFrame([("r0", 0.0, 1.0), ("r1", 1.0, 1.0), ("r2", 9.0, 1.0), ("r3", 10.0, 1.0)],
                                "id string, x double, y double")
-    centres = kmeans.lloyd(df, ["id"], ["x", "y"], k=2, iterations=5, seed=1)
+    start = kmeans.seed_centres(df, ["id"], ["x", "y"], k=2, seed=1)
+    centres = kmeans.fit_from(df, ["x", "y"], start)
+    assert sorted(centres) == [[0.5, 1.0], [9.5, 1.0]]
     sizes = sorted(r["count"] for r in kmeans.assign(df, ["x", "y"], centres).groupBy("cluster").count().collect())
     assert sizes == [2, 2]
     c = kmeans.cost(df, ["x", "y"], centres).collect()[0]
