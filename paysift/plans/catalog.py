@@ -91,14 +91,34 @@ def q_normalize_headers(spark, sf):
     "SELECT DRGDefinition, ProviderId, ProviderZipCode, TotalDischarges, AverageCoveredCharges, "
     "AverageTotalPayments, AverageMedicarePayments FROM payments", "payments"))
 def q_csv_round_trip(spark, sf):
-    """The payments written as a header CSV with ``$`` money, and read back from it. The files go
-    to the folder that all executors share."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    from ..sources.csv import read_header_csv
-    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
-    fx.payments_raw(spark, sf).write.option("header", True).csv(path)
-    return clean.strip_currency_columns(clean.normalize_headers(read_header_csv(spark, path)), fx.MONEY_COLUMNS)
+    """The payments written as a header CSV with ``$`` money, and read back from it."""
+    from ..sources.csv import read_header_csv, write_report
+
+    def read(path):
+        write_report(fx.payments_raw(spark, sf), path, single_file=False)
+        return clean.strip_currency_columns(clean.normalize_headers(read_header_csv(spark, path)), fx.MONEY_COLUMNS)
+
+    return _through_files(spark, read)
+
+
+def _through_files(spark, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` makes of the files that it writes to a folder, which all executors share and
+    which is gone afterwards."""
+    from ..session import Scratch, cut_lineage
+    with Scratch(spark) as scratch:
+        return cut_lineage(read(f"{scratch.folder}/files"))
+
+
+def _through_sink(spark, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written by the report sink and read back, in its own types."""
+    from ..sources.csv import read_header_csv, write_reports
+
+    def read(path):
+        written = write_reports(spark, {name: lambda: df}, path, "run", single_file=False)
+        back = read_header_csv(spark, written[name])
+        return back.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema))
+
+    return _through_files(spark, read)
 
 
 PRICE_MONTHS = ("1998-06", "1999-11", M)
@@ -110,6 +130,21 @@ def q_prices_wide(spark, sf):
     return fx.prices(spark, sf, PRICE_MONTHS)
 
 
+WIDE_MONTHS = tuple(f"{year}-{month:02d}" for year in range(1998, 2001) for month in range(1, 13))
+
+
+@register("prices_wide_csv", O.PRICES_WIDE(PRICE_MONTHS))
+def q_prices_wide_csv(spark, sf):
+    """Three months, chosen by name, of a price CSV with a column per month of three years."""
+    from ..sources.csv import read_wide_csv, write_report
+
+    def read(path):
+        write_report(fx.prices(spark, sf, WIDE_MONTHS), path)
+        return read_wide_csv(spark, path, [fx.REGION, *PRICE_MONTHS])
+
+    return _through_files(spark, read)
+
+
 @register("strip_currency",
           "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def q_strip_currency(spark, sf):
@@ -262,6 +297,24 @@ def q_count_series(spark, sf):
     return c.orderBy("drg_count", fx.PROVIDER).select(fx.GROUP, "drg_count", fx.PAYMENT)
 
 
+# the original's three ad-hoc queries through the CSV sink
+
+
+@register("group_profile_csv", ORACLE["group_profile"])
+def q_group_profile_csv(spark, sf):
+    return _through_sink(spark, q_group_profile(spark, sf), "profile")
+
+
+@register("price_series_csv", ORACLE["price_series"])
+def q_price_series_csv(spark, sf):
+    return _through_sink(spark, q_price_series(spark, sf), "price_series")
+
+
+@register("count_series_csv", ORACLE["count_series"])
+def q_count_series_csv(spark, sf):
+    return _through_sink(spark, q_count_series(spark, sf), "count_series")
+
+
 @register("min_avg_max", O.with_ctes(
     f"SELECT min(AverageTotalPayments) AS min, {O.q('avg(AverageTotalPayments)', 4)} AS avg, "
     "max(AverageTotalPayments) AS max FROM joined", "joined"))
@@ -862,3 +915,20 @@ def _pooled_tree_report_sql() -> str:
 
 # Spark ML's DecisionTreeRegressor draws nothing at random, so SQL can grow the same tree.
 register("tree_pooled", _pooled_tree_report_sql())(q_tree_pooled)
+
+
+@register("predict_prices", " UNION ALL ".join(
+    f"SELECT '{report}' AS report, * FROM ({ORACLE[name]})" for report, name in (("pooled", "tree_pooled"), ("grouped", "tree_grouped"))))
+def q_predict_prices(spark, sf):
+    """The original's entry flow, trees of depth 3: both reports written, and read back."""
+    from ..sources.csv import read_header_csv
+    from .models import predict_prices
+
+    def read(path):
+        kinds = {**{c: "double" for c in REPORT_Q}, "TrainRows": "long", "TestRows": "long"}
+        rows = [read_header_csv(spark, written).select(
+            F.lit(report).alias("report"), "DRG", *(F.col(c).cast(kind).alias(c) for c, kind in kinds.items()))
+            for report, written in predict_prices(spark, sf, path, kind="tree").items()]
+        return rows[0].unionByName(rows[1])
+
+    return quantise(_through_files(spark, read), REPORT_Q)

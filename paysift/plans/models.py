@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,20 +124,23 @@ def feature_importance(df: DataFrame, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(features, [float(v) for v in imp])), "feature string, importance double")
 
 
-def predict_prices(spark, sf_dir: str, out_dir: str, kind: str = "tree", mode: str = "errorifexists") -> dict:
+def predict_prices(spark, sf_dir: str, out_dir: str, kind: str = "tree", mode: str = "errorifexists",
+                   run_id: str | None = None) -> dict:
     """The original's entry flow: analysis table, then a pooled model report (``Overall`` +
-    groups) and a per-group model report, each written as one header CSV file.
+    groups) and a per-group model report, each written as one header CSV file, both or none
+    (``write_reports``). A lost run is repeated under its ``run_id`` (the kind, unless given).
 
     ``kind`` is ``tree`` (depth 3), ``boosted`` (10 rounds of depth 12: what the original's tree
     entries actually ran, on the tree's features with the house price) or ``forest``. Returns
     the written paths."""
     from ..session import cut_lineage
-    from ..sources.csv import write_report
+    from ..sources.csv import write_reports
 
-    engineered = cut_lineage(ml_table(flows.analysis_table(spark, sf_dir, indexed=False)))
+    table = lru_cache(maxsize=1)(lambda: cut_lineage(ml_table(flows.analysis_table(spark, sf_dir, indexed=False))))
     pooled_features = flows.TREE_POOLED_FEATURES if kind != "forest" else flows.POOLED_FEATURES
     group_features = flows.TREE_GROUP_FEATURES if kind != "forest" else flows.GROUP_FEATURES
-    paths = {"pooled": f"{out_dir.rstrip('/')}/pooled_{kind}", "grouped": f"{out_dir.rstrip('/')}/grouped_{kind}"}
-    write_report(pooled_report(engineered, tree_estimator(kind), pooled_features), paths["pooled"], mode)
-    write_report(grouped_report(engineered, kind, group_features, in_task=kind != "tree"), paths["grouped"], mode)
-    return paths
+    paths = write_reports(spark, {
+        f"pooled_{kind}": lambda: pooled_report(table(), tree_estimator(kind), pooled_features),
+        f"grouped_{kind}": lambda: grouped_report(table(), kind, group_features, in_task=kind != "tree"),
+    }, out_dir, run_id or kind, mode)
+    return {"pooled": paths[f"pooled_{kind}"], "grouped": paths[f"grouped_{kind}"]}
