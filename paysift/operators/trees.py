@@ -465,6 +465,32 @@ def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: lis
     return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
 
 
+def importances(model: TreeEnsemble) -> DataFrame:
+    """``key.., feature, importance``: for every model key the share of each feature in the
+    impurity that its splits take away, as Spark ML reckons it: weighted by rows, normalised
+    per tree, added up over the trees and normalised again. Features without a split, and all
+    features of a key without one, have 0.
+
+    Everything comes from the model tables: a leaf's weight and mean count for all its
+    ancestors, and a split takes away ``wl wr / (wl + wr) (mean_l - mean_r)^2``."""
+    key, mkey = model.key, [*model.key, TREE]
+    up = F.expr("transform(sequence(0, length(bin(_node)) - 1), i -> shiftright(_node, i))")
+    stats = model.leaves.select(*mkey, F.explode(up).alias("_node"), "_n", (F.col("_n") * F.col("_pred")).alias("_s")).groupBy(
+        *mkey, "_node").agg(F.sum("_n").alias("_w"), F.sum("_s").alias("_s"))
+    side = lambda c, bit: F.sum(F.when(F.col("_node") % 2 == bit, F.col(c)))
+    children = stats.where("_node > 1").groupBy(*mkey, F.shiftright("_node", 1).alias("_up")).agg(
+        side("_w", 0).alias("_wl"), side("_w", 1).alias("_wr"), side("_s", 0).alias("_sl"), side("_s", 1).alias("_sr"))
+    wl, wr = F.col("_wl"), F.col("_wr")
+    apart = F.col("_sl") / wl - F.col("_sr") / wr
+    taken = model.internal.select(*mkey, F.col("_node").alias("_up"), "_f").join(children, [*mkey, "_up"]).groupBy(*mkey, "_f").agg(
+        F.sum(wl * wr / (wl + wr) * apart * apart).alias("_g"))
+    share = F.try_divide(F.col("_g"), F.sum("_g").over(Window.partitionBy(*mkey)))
+    summed = taken.withColumn("_share", share).groupBy(*key, "_f").agg(F.sum("_share").alias("_share"))
+    whole = summed.withColumn("importance", F.try_divide(F.col("_share"), F.sum("_share").over(Window.partitionBy(*key)))).drop("_share")
+    every = model.leaves.select(*key).distinct().select(*key, F.posexplode(F.array(*map(F.lit, model.features))).alias("_f", "feature"))
+    return every.join(whole, [*key, "_f"], "left").select(*key, "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
 def model_table(model: TreeEnsemble) -> DataFrame:
     """One row per model key with all its trees: ``_trees`` = array of (tree, weight, nodes),
     where ``nodes`` is the tree in a compact array (nodes renumbered 0.. in node order, each

@@ -227,7 +227,7 @@ def q_provider_group_count(spark, sf):
     "ORDER BY ProviderZipCode",
     "joined"))
 def q_multi_provider_regions(spark, sf):
-    return joins.multi_provider_regions(fx.joined(spark, sf), fx.ZIP, fx.PROVIDER)
+    return joins.multi_provider_regions(_joined_once(spark, sf), fx.ZIP, fx.PROVIDER)
 
 
 @register("group_profile", O.with_ctes(
@@ -609,7 +609,7 @@ CLASS_WIDTH = 10_000
 
 def _class_table(spark, sf) -> DataFrame:
     from ..session import cut_lineage
-    j = clean.with_bucket_label(fx.joined(spark, sf), fx.PAYMENT, "payment_label", CLASS_WIDTH)
+    j = clean.with_bucket_label(_joined_once(spark, sf), fx.PAYMENT, "payment_label", CLASS_WIDTH)
     j = features.with_split(j, [fx.GROUP, fx.PROVIDER], out=flows.SPLIT)
     # the four indexes are fitted in one pass over the rows
     from pyspark.ml.feature import StringIndexer
@@ -905,6 +905,15 @@ def q_rf_grouped_small(spark, sf):
     return quantise(p.select(fx.GROUP, fx.PROVIDER, flows.LABEL, "prediction"), {"prediction": 4})
 
 
+@register("grouped_feature_importance", O.forest_importance_sql(flows.GROUP_FEATURES, 5, 3, 1))
+def q_grouped_feature_importance(spark, sf):
+    """Feature importances of each group's forest (5 trees of depth 3)."""
+    from ..operators.trees import importances
+    from .models import grouped_model
+    model = grouped_model(_model_input(spark, sf), "forest", flows.GROUP_FEATURES, num_trees=5, max_depth=3)
+    return quantise(importances(model), {"importance": 6})
+
+
 _POOLED_TREE_CTES, _POOLED_TREE_PRED = O.pooled_tree_ctes(flows.TREE_POOLED_FEATURES, (0,), 3)
 
 

@@ -615,3 +615,21 @@ def pooled_tree_ctes(features: list[str], categorical: tuple[int, ...], depth: i
     ctes.append(("pooled_pred", f"SELECT t.d AS DRGDefinition, t.pid AS ProviderId, t.y AS label, l.pred AS prediction "
                                 f"FROM pe{depth} t JOIN pleaves l ON t.g = l.g AND t.node = l.node"))
     return ctes, "pooled_pred"
+
+
+def forest_importance_sql(features: list[str], trees: int, depth: int, m_features: int) -> str:
+    """Per group and feature: the gains of the forest's splits times their rows, normalised per
+    tree, then over the trees."""
+    ctes, _ = grouped_forest_ctes(features, trees, depth, m_features)
+    chosen = " UNION ALL ".join(
+        f"SELECT b.g, b.tree, b.f, x.wt * x.gain AS taken FROM fbest{lv} b JOIN fgain{lv} x "
+        "ON x.g = b.g AND x.tree = b.tree AND x.node = b.node AND x.f = b.f AND x.v = b.v" for lv in range(depth))
+    names = ", ".join(f"({i}, '{f}')" for i, f in enumerate(features))
+    ctes = [*ctes, ("fi_tree", f"SELECT g, tree, f, sum(taken) AS taken FROM ({chosen}) GROUP BY g, tree, f"),
+            ("fi_share", "SELECT g, f, sum(share) AS share FROM (SELECT g, f, taken / sum(taken) OVER (PARTITION BY g, tree) AS share "
+                         "FROM fi_tree) GROUP BY g, f"),
+            ("fi_all", "SELECT g, f, share / sum(share) OVER (PARTITION BY g) AS importance FROM fi_share")]
+    return with_ctes(
+        f"SELECT k.g AS DRGDefinition, n.name AS feature, {q('coalesce(i.importance, 0.0)', 6)} AS importance "
+        f"FROM (SELECT DISTINCT g FROM f_rows) k CROSS JOIN (VALUES {names}) n(f, name) "
+        "LEFT JOIN fi_all i ON i.g = k.g AND i.f = n.f", "test", ctes)

@@ -222,3 +222,19 @@ def test_pooled_categorical_gbt_equals_spark_ml_on_training_rows(spark, depth):
                               max_depth=depth, max_bins=100, categorical=(0,), in_task=True)
     mine = model.predict(train).select(fx.GROUP, fx.PROVIDER, "prediction")
     assert _max_diff(ref, mine) < 1e-4
+
+
+def test_importances_equal_spark_ml(spark, table):
+    """One tree per group (nothing is drawn): Spark ML's importances of the same slice; and of the
+    in-task grower's forests, which keep the same model tables."""
+    train, _, groups = _slices(table)
+    model = models.grouped_model(table, "tree", flows.TREE_GROUP_FEATURES)
+    mine = {(r[fx.GROUP], r["feature"]): r["importance"] for r in trees.importances(model).collect()}
+    va = VectorAssembler(inputCols=flows.TREE_GROUP_FEATURES, outputCol="features")
+    for g in groups:
+        ml = DecisionTreeRegressor(labelCol="label", maxDepth=3, maxBins=100, seed=5043).fit(va.transform(train.where(F.col(fx.GROUP) == g)))
+        for f, v in zip(flows.TREE_GROUP_FEATURES, ml.featureImportances.toArray(), strict=True):
+            assert abs(mine[g, f] - v) < 1e-9, (g, f)
+    both = [models.grouped_model(table, "forest", flows.GROUP_FEATURES, num_trees=2, max_depth=2, in_task=x) for x in (True, False)]
+    a, b = ({(r[fx.GROUP], r["feature"]): r["importance"] for r in trees.importances(m).collect()} for m in both)
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
