@@ -8,16 +8,16 @@ Counts below ``least`` are dropped only after they are complete; parts of a kept
 least as frequent as the phrase.
 
 Nearly every window of free text is found once or twice, and its words would be shuffled for
-nothing. So the hashes of word pairs are counted first, and a window ends before the first of its
-pairs whose hash is found less than ``least`` times: no phrase with that pair can be kept, and
-shorter prefixes count it all the same. Tasks look pairs up in a bitmap of fixed size
-(``marks``), which may let rare pairs through but holds no frequent one back.
+nothing. So the hashes of all prefixes of the windows are counted first, and a window ends before
+the first prefix whose hash is found less than ``least`` times: that phrase can't be kept, and its
+own prefixes count the window all the same. Tasks look prefixes up in a bitmap of fixed size
+(``marks``), which may let rare ones through but holds no frequent one back. Both scans cut texts
+into words as arrays and add up what a batch holds before they hand it to Spark.
 
 Scores are exact: products are decimals of 38 digits, enough for 10**15 words a language.
 
 Defined cases: a null text has no words; a null lang is ``und`` and joins rows of that name;
-repeated rows count again; ties in score and count go by the phrase's bytes; a text of any length
-is one row with its pieces as an array; an empty table or one without candidates gives an empty
+repeated rows count again; ties in score and count go by the phrase's bytes; an empty table or one without candidates gives an empty
 result; columns beyond text and lang are ignored.
 """
 
@@ -28,76 +28,144 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .marks import bitmap, place
+from .marks import hashed_bitmap, places_in
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PIECES = r"[.,;:!?\x0A-\x0D]"
-SPACES = r"[\x20\x09]+"
+BREAKS = b".,;:!?\n\x0b\x0c\r"  # between pieces
+SPACES = b" \t"  # between words
+BATCH_BYTES = 1 << 22
+_HELD = 1 << 22  # hashes that a task holds before it hands them over
 
 
 def _columns(width: int) -> list[str]:
     return [f"w{k}" for k in range(1, width + 1)]
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """lang and words of every piece that has a word."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-                       F.explode(F.split(text, PIECES)).alias("piece"))
-    return rows.select("lang", F.filter(F.split("piece", SPACES), lambda w: w != "").alias("words")).where(F.size("words") > 0)
-
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[list(SPACES)], kinds[list(BREAKS)] = 1, 2
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+class Words:
+    """The words of some texts of one language: the code of each among the distinct ones, and for
+    m = 2 .. ``width`` the hashes of the prefixes of m words and where there are such."""
+
+    def __init__(self, lang: str, texts: list[bytes], width: int):
+        raw = np.frombuffer(b"\n".join(texts).lower(), dtype=np.uint8)  # lowers A-Z only
+        kinds = _KINDS[raw]
+        word = kinds == 0
+        edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+        every = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word].tobytes())])
+        coded = every.dictionary_encode()
+        self.lang, self.width, self.distinct = lang, width, coded.dictionary
+        self.codes = coded.indices.to_numpy().astype(np.int64)
+        piece = np.cumsum(kinds == 2)[begin]
+        salt = lang.encode() + b"\n"
+        own = np.array([xxhash.xxh3_64_intdigest(salt + w) for w in self.distinct.to_pylist()], dtype=np.uint64)[self.codes]
+        self.hashes, self.there, n = {}, {}, len(self.codes)
+        last = own
+        for m in range(2, width + 1):
+            whole = np.zeros(n, dtype=bool)
+            whole[:max(0, n - m + 1)] = piece[m - 1:] == piece[:max(0, n - m + 1)]
+            following = np.zeros(n, dtype=np.uint64)
+            following[:max(0, n - m + 1)] = own[m - 1:]
+            last = last * np.uint64(0x9E3779B97F4A7C15) + following + np.uint64(m)
+            last = last ^ (last >> np.uint64(29))
+            self.hashes[m], self.there[m] = last.view(np.int64), whole
+
+    def prefixes(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(self.hashes[m][self.there[m]] for m in self.hashes)])
+
+    def windows(self, bits: np.ndarray) -> pa.RecordBatch:
+        """lang, w1 .. and n of the distinct windows, cut before their first unmarked prefix."""
+        n, size = len(self.codes), len(self.distinct) + 1
+        kept, key, alive, nothing = [self.codes + 1], self.codes + 1, np.ones(n, dtype=bool), np.zeros(n, dtype=np.int64)
+        for m in range(2, self.width + 1):
+            alive = alive & self.there[m]
+            alive[alive] = places_in(bits, self.hashes[m][alive])
+            following = nothing.copy()
+            following[:max(0, n - m + 1)] = self.codes[m - 1:] + 1
+            kept.append(np.where(alive, following, 0))
+            if m > 2:
+                key = np.unique(key, return_inverse=True)[1]
+            key = key * size + kept[-1]
+        _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        words = pa.concat_arrays([pa.array([""]), self.distinct.cast(pa.string())])
+        columns = [pa.array([self.lang] * len(first), pa.string()), *(words.take(pa.array(k[first])) for k in kept), pa.array(counts.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", *_columns(self.width), "n"])
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Words]:
+    for batch in batches:
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        texts = batch.column("text").cast(pa.binary())
+        for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
+            held.setdefault(lang, []).append(text.as_py())
+            sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1])
+            if sizes[lang] >= BATCH_BYTES:
+                yield Words(lang, held.pop(lang), width)
+                del sizes[lang]
+        for lang, some in held.items():
+            yield Words(lang, some, width)
+
+
+def _prefix_counts(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _after(words: str, n: int) -> Column:
-    """``words`` from the n-th on (from 1)."""
-    return F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
+        def rows() -> pa.RecordBatch:
+            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["prefix", "n"])
 
+        for words in _by_lang(batches, width):
+            held.append(np.unique(words.prefixes(), return_counts=True))
+            if sum(len(k) for k, _ in held) > _HELD:
+                yield rows()
+        if held:
+            yield rows()
 
-def _pairs(words: str) -> Column:
-    """A hash for every word: of its lang, itself and the next word (null for the last one)."""
-    both = F.arrays_zip(F.col(words).alias("w1"), _after(words, 2).alias("w2"))
-    return F.transform(both, lambda z: F.when(z["w2"].isNotNull(), F.xxhash64(F.col("lang"), z["w1"], z["w2"])))
+    return run
 
 
-def _found(shared):
+def _windows(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            lists = batch.column("places")
-            at = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False)
-            hit = (at > 0) & ((bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8)) & 1).astype(bool)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("words"), pa.ListArray.from_arrays(pa.array(ends), pa.array(hit))],
-                names=["lang", "words", "joined"])
+        for words in _by_lang(batches, width):
+            if len(words.codes):
+                yield words.windows(shared.value)
 
     return run
 
 
 def windows(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
-    """lang and the columns w1 .. of every word's window, cut before its first rare pair."""
-    rows = pieces(docs)
-    hashes = rows.select(F.explode(_pairs("words")).alias("pair")).where("pair IS NOT NULL")
-    frequent = hashes.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("pair")
-    places = F.transform(_pairs("words"), lambda h: F.when(h.isNotNull(), place(h)))
-    marked = rows.select("lang", "words", places.alias("places")).mapInArrow(
-        _found(bitmap(frequent)), "lang string, words array<string>, joined array<boolean>")
-    lead = F.arrays_zip(F.col("words").alias("w1"), *(_after("words", n).alias(f"w{n}") for n in range(2, width + 1)),
-                        *((_after("joined", n - 1) if n > 2 else F.col("joined")).alias(f"j{n}") for n in range(2, width + 1)))
-    names = [*_columns(width), *(f"j{n}" for n in range(2, width + 1))]
-    every = marked.select("lang", F.inline(lead)).toDF("lang", *names)
-    kept = lambda n: reduce(lambda a, b: a & b, [F.col(f"j{m}") for m in range(2, n + 1)])
-    return every.select("lang", "w1", *(F.when(kept(n), F.col(f"w{n}")).otherwise("").alias(f"w{n}") for n in range(2, width + 1)))
+    """lang, the columns w1 .. ('' beyond the window) and n: windows of words, each counted by some
+    task, cut before their first prefix that is found less than ``least`` times."""
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hashes = rows.mapInArrow(_prefix_counts(width), "prefix long, n long")
+    frequent = hashes.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("prefix")
+    schema = ", ".join(["lang string", *(f"{c} string" for c in _columns(width)), "n long"])
+    return rows.mapInArrow(_windows(width, hashed_bitmap(frequent)), schema)
 
 
 def phrase_counts(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
     """lang, w1 .. (null beyond the phrase), words (0: the whole language), f: phrases of up to
     ``width`` words found ``least`` times or more, and the number of words of each lang."""
     names = _columns(width)
-    longest = windows(docs, width, least).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
+    longest = windows(docs, width, least).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     summed = longest.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # the levels of the rollup: 2**m - 1 where the last m columns are summed up
     length = reduce(lambda at, m: F.when(F.col("level") == 2 ** m - 1, width - m).otherwise(at), range(width), F.lit(0))

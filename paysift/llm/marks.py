@@ -36,9 +36,9 @@ def place(c: str | Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(1 << BITS)) + 1
 
 
-def bitmap(ids: DataFrame):
-    """The broadcast bitmap of ``ids`` (first column, distinct)."""
-    at = place(ids.columns[0])
+def bitmap(ids: DataFrame, at: Column | None = None):
+    """The broadcast bitmap of ``ids`` (first column, distinct), by their places."""
+    at = place(ids.columns[0]) if at is None else at
     blocks = ids.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     table = np.zeros((1 << BITS) // 8, dtype=np.uint8)  # 8 MB
@@ -48,6 +48,18 @@ def bitmap(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
+def hashed_bitmap(hashes: DataFrame):
+    """The broadcast bitmap of 64-bit hashes (first column, distinct) by their own upper bits, as
+    tasks find them with ``places_in``."""
+    return bitmap(hashes, F.shiftrightunsigned(hashes.columns[0], 64 - BITS) + 1)
+
+
+def places_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` are marked in a ``hashed_bitmap``."""
+    at = (hashes.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _pick(shared, column: str, hit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
