@@ -8,11 +8,12 @@ Counts below ``least`` are dropped only after they are complete; parts of a kept
 least as frequent as the phrase.
 
 Nearly every window of free text is found once or twice, and its words would be shuffled for
-nothing. So the hashes of all prefixes of the windows are counted first, and a window ends before
-the first prefix whose hash is found less than ``least`` times: that phrase can't be kept, and its
-own prefixes count the window all the same. Tasks look prefixes up in a bitmap of fixed size
-(``marks``), which may let rare ones through but holds no frequent one back. Both scans cut texts
-into words as arrays and add up what a batch holds before they hand it to Spark.
+nothing. So the hashes of the windows' prefixes are counted first, the pairs, then the triples of
+two frequent pairs, and so on; a window ends before its first prefix that is found less than
+``least`` times: that phrase can't be kept, and its own prefixes count the window all the same.
+Tasks look prefixes up in bitmaps of fixed size (``marks``), which may let rare ones through but
+hold no frequent one back. Every scan cuts texts into words as arrays and adds up what a batch
+holds before it is handed to Spark.
 
 Scores are exact: products are decimals of 38 digits, enough for 10**15 words a language.
 
@@ -38,8 +39,8 @@ from .marks import hashed_bitmap, places_in
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # between pieces
 SPACES = b" \t"  # between words
-BATCH_BYTES = 1 << 22
-_HELD = 1 << 22  # hashes that a task holds before it hands them over
+BATCH_BYTES = 1 << 21
+_HELD = 1 << 20  # hashes that a task holds before it hands them over
 
 
 def _columns(width: int) -> list[str]:
@@ -84,17 +85,30 @@ class Words:
             last = last ^ (last >> np.uint64(29))
             self.hashes[m], self.there[m] = last.view(np.int64), whole
 
-    def prefixes(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(self.hashes[m][self.there[m]] for m in self.hashes)])
-
-    def windows(self, bits: np.ndarray) -> pa.RecordBatch:
+    def possible(self, m: int, before: np.ndarray | None) -> np.ndarray:
+        """Where a prefix of m words begins whose two parts of m - 1 words are kept."""
+        return self.there[m] if before is None else self.there[m] & before & np.append(before[1:], False)
+
+    def kept(self, tables: list[np.ndarray]) -> list[np.ndarray]:
+        """Where the prefixes of 2, 3 .. words are marked in their tables."""
+        out = []
+        for m, bits in enumerate(tables, 2):
+            here = self.possible(m, out[-1] if out else None).copy()
+            here[here] = places_in(bits, self.hashes[m][here])
+            out.append(here)
+        return out
+
+    def prefixes(self, tables: list[np.ndarray]) -> np.ndarray:
+        """The hashes to be counted next, of prefixes one word longer than those of the last table."""
+        m = len(tables) + 2
+        return self.hashes[m][self.possible(m, (self.kept(tables) or [None])[-1])]
+
+    def windows(self, tables: list[np.ndarray]) -> pa.RecordBatch:
         """lang, w1 .. and n of the distinct windows, cut before their first unmarked prefix."""
         n, size = len(self.codes), len(self.distinct) + 1
-        kept, key, alive, nothing = [self.codes + 1], self.codes + 1, np.ones(n, dtype=bool), np.zeros(n, dtype=np.int64)
-        for m in range(2, self.width + 1):
-            alive = alive & self.there[m]
-            alive[alive] = places_in(bits, self.hashes[m][alive])
-            following = nothing.copy()
+        kept, key = [self.codes + 1], self.codes + 1
+        for m, alive in enumerate(self.kept(tables), 2):
+            following = np.zeros(n, dtype=np.int64)
             following[:max(0, n - m + 1)] = self.codes[m - 1:] + 1
             kept.append(np.where(alive, following, 0))
             if m > 2:
@@ -121,7 +135,7 @@ def _by_lang(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Words]:
             yield Words(lang, some, width)
 
 
-def _prefix_counts(width: int):
+def _prefix_counts(width: int, shared: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -132,7 +146,7 @@ def _prefix_counts(width: int):
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["prefix", "n"])
 
         for words in _by_lang(batches, width):
-            held.append(np.unique(words.prefixes(), return_counts=True))
+            held.append(np.unique(words.prefixes([x.value for x in shared]), return_counts=True))
             if sum(len(k) for k, _ in held) > _HELD:
                 yield rows()
         if held:
@@ -141,11 +155,11 @@ def _prefix_counts(width: int):
     return run
 
 
-def _windows(width: int, shared):
+def _windows(width: int, shared: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _by_lang(batches, width):
             if len(words.codes):
-                yield words.windows(shared.value)
+                yield words.windows([x.value for x in shared])
 
     return run
 
@@ -155,10 +169,13 @@ def windows(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
     task, cut before their first prefix that is found less than ``least`` times."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hashes = rows.mapInArrow(_prefix_counts(width), "prefix long, n long")
-    frequent = hashes.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("prefix")
+    shared = []
+    for m in range(2, width + 1):
+        hashes = rows.mapInArrow(_prefix_counts(m, list(shared)), "prefix long, n long")
+        frequent = hashes.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("prefix")
+        shared.append(hashed_bitmap(frequent))
     schema = ", ".join(["lang string", *(f"{c} string" for c in _columns(width)), "n long"])
-    return rows.mapInArrow(_windows(width, hashed_bitmap(frequent)), schema)
+    return rows.mapInArrow(_windows(width, shared), schema)
 
 
 def phrase_counts(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
