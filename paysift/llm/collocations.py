@@ -8,8 +8,8 @@ Counts below ``least`` are dropped only after they are complete; parts of a kept
 least as frequent as the phrase.
 
 Nearly every window of free text is found once or twice, and its words would be shuffled for
-nothing. So the hashes of the windows' prefixes are counted first, the pairs, then the triples of
-two frequent pairs, and so on; a window ends before its first prefix that is found less than
+nothing. So the hashes of the windows' prefixes are counted first, words and pairs, then the triples
+of two frequent pairs, and so on; a window ends before its first prefix that is found less than
 ``least`` times: that phrase can't be kept, and its own prefixes count the window all the same.
 Tasks look prefixes up in bitmaps of fixed size (``marks``), which may let rare ones through but
 hold no frequent one back. Every scan cuts texts into words as arrays and adds up what a batch
@@ -58,7 +58,7 @@ _KINDS = _kinds()
 
 class Words:
     """The words of some texts of one language: the code of each among the distinct ones, and for
-    m = 2 .. ``width`` the hashes of the prefixes of m words and where there are such."""
+    m = 1 .. ``width`` the hashes of the prefixes of m words and where there are such."""
 
     def __init__(self, lang: str, texts: list[bytes], width: int):
         raw = np.frombuffer(b"\n".join(texts).lower(), dtype=np.uint8)  # lowers A-Z only
@@ -74,7 +74,8 @@ class Words:
         piece = np.cumsum(kinds == 2)[begin]
         salt = lang.encode() + b"\n"
         own = np.array([xxhash.xxh3_64_intdigest(salt + w) for w in self.distinct.to_pylist()], dtype=np.uint64)[self.codes]
-        self.hashes, self.there, n = {}, {}, len(self.codes)
+        n = len(self.codes)
+        self.hashes, self.there = {1: own.view(np.int64)}, {1: np.ones(n, dtype=bool)}
         last = own
         for m in range(2, width + 1):
             whole = np.zeros(n, dtype=bool)
@@ -90,24 +91,27 @@ class Words:
         return self.there[m] if before is None else self.there[m] & before & np.append(before[1:], False)
 
     def kept(self, tables: list[np.ndarray]) -> list[np.ndarray]:
-        """Where the prefixes of 2, 3 .. words are marked in their tables."""
+        """Where the prefixes of 1, 2 .. words are marked; a table for words and pairs, one for
+        triples and so on."""
         out = []
-        for m, bits in enumerate(tables, 2):
+        for m, bits in enumerate([*tables[:1], *tables], 1):
             here = self.possible(m, out[-1] if out else None).copy()
             here[here] = places_in(bits, self.hashes[m][here])
             out.append(here)
         return out
 
     def prefixes(self, tables: list[np.ndarray]) -> np.ndarray:
-        """The hashes to be counted next, of prefixes one word longer than those of the last table."""
+        """The hashes to be counted for the next table."""
+        if not tables:
+            return np.concatenate([self.hashes[1], self.hashes[2][self.there[2]]])
         m = len(tables) + 2
-        return self.hashes[m][self.possible(m, (self.kept(tables) or [None])[-1])]
+        return self.hashes[m][self.possible(m, self.kept(tables)[-1])]
 
     def windows(self, tables: list[np.ndarray]) -> pa.RecordBatch:
         """lang, w1 .. and n of the distinct windows, cut before their first unmarked prefix."""
         n, size = len(self.codes), len(self.distinct) + 1
-        kept, key = [self.codes + 1], self.codes + 1
-        for m, alive in enumerate(self.kept(tables), 2):
+        kept, key = [], np.zeros(n, dtype=np.int64)
+        for m, alive in enumerate(self.kept(tables), 1):
             following = np.zeros(n, dtype=np.int64)
             following[:max(0, n - m + 1)] = self.codes[m - 1:] + 1
             kept.append(np.where(alive, following, 0))
