@@ -312,16 +312,17 @@ def _needs(order: int, fold: bool):
     return run
 
 
-def chunk_of(size: Column) -> Column:
+def chunk_of(size: Column, chunk: int = CHUNK) -> Column:
     """The chunk of a row (doc_id, text) when ``size`` characters are to be split."""
-    return F.pmod(F.xxhash64("doc_id", "text"), F.ceil(size / F.lit(float(CHUNK))).cast("long"))
+    return F.pmod(F.xxhash64("doc_id", "text"), F.ceil(size / F.lit(float(chunk))).cast("long"))
 
 
-def score_chunks(texts: DataFrame, table: DataFrame, size: int, order: int, fold: bool, score, schema: str) -> DataFrame:
+def score_chunks(texts: DataFrame, table: DataFrame, size: int, order: int, fold: bool, score, schema: str,
+                 chunk: int = CHUNK) -> DataFrame:
     """``score(model, texts of a part and chunk)`` for all of ``texts`` (part, chunk, text, ...; ``size``
     characters), where the model holds the rows of ``table`` (part, place, kind, code, v) that
     the texts need: part is a set of labels and place the label's column in it."""
-    n = max(2 * math.ceil(size / CHUNK), shuffle_partitions(texts.sparkSession))
+    n = max(2 * math.ceil(size / chunk), shuffle_partitions(texts.sparkSession))
     together = texts.repartition(n, "part", "chunk")
     needed = together.mapInArrow(_needs(order, fold), "part int, chunk long, kind int, code long").join(
         table, ["part", "kind", "code"]).select("part", "chunk", "kind", "code", "place", "v")

@@ -18,8 +18,8 @@ holds before it is handed to Spark.
 Scores are exact: products are decimals of 38 digits, enough for 10**15 words a language.
 
 Defined cases: a null text has no words; a null lang is ``und`` and joins rows of that name;
-repeated rows count again; ties in score and count go by the phrase's bytes; an empty table or one without candidates gives an empty
-result; columns beyond text and lang are ignored.
+repeated rows count again; ties in score and count go by the phrase's bytes; an empty table or
+one without candidates gives an empty result; columns beyond text and lang are ignored.
 """
 
 from __future__ import annotations

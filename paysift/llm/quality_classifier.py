@@ -45,13 +45,14 @@ def _trusted(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_chars, perplexity, threshold (a perplexity), kept of every row."""
+def classify_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_chars, perplexity, threshold (a perplexity), kept of every row. ``chunk``:
+    characters that are scored together; fewer take less memory and shuffle more n-grams."""
     with small_batches(docs.sparkSession):
-        return _classified(docs, labels, order)
+        return _classified(docs, labels, order, chunk)
 
 
-def _classified(docs: DataFrame, labels: DataFrame, order: int) -> DataFrame:
+def _classified(docs: DataFrame, labels: DataFrame, order: int, chunk: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(_NO_LANGUAGE)).alias("label"), "text")
     # Only texts that may be trusted are shuffled, and the labels are the hashed side: no text is sorted.
     trusted = marked(rows, "doc_id", _trusted(labels)).join(_trusted(labels).hint("shuffle_hash"), "doc_id", "left_semi").select("label", "text")
@@ -62,8 +63,8 @@ def _classified(docs: DataFrame, labels: DataFrame, order: int) -> DataFrame:
     parts = F.broadcast(docs.sparkSession.createDataFrame([(r["part"], r["label"], r["size"]) for r in sizes], "part int, label string, size long"))
     table = tables(counts, order, modified=True).join(F.broadcast(places), "label").select("part", F.lit(0).alias("place"), "kind", "code", "v")
     placed = rows.join(parts, "label", "left").withColumn("judged", F.col("part").isNotNull() & (F.char_length("text") > 0))
-    judged = score_chunks(placed.where("judged").select("doc_id", "label", "text", "part", chunk_of(F.col("size")).alias("chunk")),
-                          table, sum(r["size"] for r in sizes) + CHUNK * len(sizes), order, False, _score, _SCHEMA)
+    judged = score_chunks(placed.where("judged").select("doc_id", "label", "text", "part", chunk_of(F.col("size"), chunk).alias("chunk")),
+                          table, sum(r["size"] for r in sizes) + chunk * len(sizes), order, False, _score, _SCHEMA, chunk)
     rest = placed.where("judged IS NULL OR NOT judged").select(
         "doc_id", "label", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("cross_entropy"))
     scored = cut_lineage(judged.unionAll(rest))
