@@ -27,6 +27,8 @@ from paysift.session import cut_lineage
 
 #: Words of a shingle of the near-duplicate stage.
 SHINGLE_WORDS = 5
+#: Characters that the quality classifier scores together.
+SCORED_TOGETHER = 1 << 23
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, classify_quality(docs, labels).where("NOT kept"))
+    return _without(docs, classify_quality(docs, labels, chunk=SCORED_TOGETHER).where("NOT kept"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
