@@ -5,8 +5,7 @@ folder, the same operators apply unchanged to a file stream:
 
 - ``payment_stream``: header CSV files, every column a string (schema given, no inference);
 - ``clean_and_join``: blanks removed from headers, ``$`` money parsed, rows joined to the
-  static regional price dimension (stream-static join; the dimension is broadcast after a
-  size check);
+  static regional price dimension (stream-static join; Spark chooses its strategy);
 - ``group_profile_stream``: running count / min / max / sum per group, kept in Spark's
   state store (update mode), so a restart continues from the streaming checkpoint.
 
