@@ -8,6 +8,10 @@ the products need no second pass. The first round regresses the link of the labe
 L2 penalty is Spark ML's: in the first round on standardised coefficients, by ``ridge`` over the
 standard deviation of the response, in the others on the plain ones, by ``ridge`` per unit of
 weight.
+
+The inverse link has no mean where the linear predictor isn't positive. A group that comes there
+on a training row in some round has no model: its coefficients and predictions are null (Spark
+ML clips the mean to 1e-16, and what follows is rounding noise).
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ SMALLEST = 1e-16  # fitted means stay above it
 
 
 def _mean(eta: Column) -> Column:
-    return F.greatest(F.try_divide(F.lit(1.0), eta), F.lit(SMALLEST))
+    return F.when(eta.isNotNull(), F.greatest(F.try_divide(F.lit(1.0), eta), F.lit(SMALLEST)))
 
 
 def fit_gamma(train: DataFrame, features: list[str], label: str = "label", group: str | None = None,
@@ -40,13 +44,14 @@ def fit_gamma(train: DataFrame, features: list[str], label: str = "label", group
     coefficients = None
     for _ in range(rounds + 1):
         if coefficients is None:
-            work = rows.select(g, *(f"d_{i}" for i in range(k)), F.lit(1.0).alias("w"), (1.0 / F.col("y")).alias("z"))
+            work = rows.select(g, *(f"d_{i}" for i in range(k)), F.lit(1.0).alias("w"), (1.0 / F.col("y")).alias("z"),
+                               (1.0 / F.col("y")).alias("eta"))
         else:
             # a row per group: AQE broadcasts it while it is small
             eta = sum((F.col(f"b_{i}") * F.col(f"d_{i}") for i in range(k)), F.col("b"))
             work = rows.join(coefficients, g).withColumn("eta", eta).withColumn("mu", _mean(F.col("eta"))).select(
                 g, *(f"d_{i}" for i in range(k)), (F.col("mu") * F.col("mu")).alias("w"),
-                (F.col("eta") - (F.col("y") - F.col("mu")) / (F.col("mu") * F.col("mu"))).alias("z"))
+                (F.col("eta") - (F.col("y") - F.col("mu")) / (F.col("mu") * F.col("mu"))).alias("z"), "eta")
         penalty = ridge_steps(k, ridge) if coefficients is None else [(f"c_{i}_{i}", f"c_{i}_{i} + {ridge!r} * n") for i in range(k)]
         coefficients = cut_lineage(_solve(work, g, k, penalty if ridge else []).select(g, *names))
     intercept = sum((-F.col(f"b_{i}") * F.col(f"m_{i}") for i in range(k)), F.col("b"))
@@ -54,18 +59,20 @@ def fit_gamma(train: DataFrame, features: list[str], label: str = "label", group
 
 
 def _solve(work: DataFrame, g: str, k: int, penalty: list[tuple[str, str]]) -> DataFrame:
-    """Weighted least squares of z on d_0 .. with an intercept ``b``, per group."""
+    """Weighted least squares of z on d_0 .. with an intercept ``b``, per group; null where a
+    linear predictor wasn't positive."""
     v = [f"d_{i}" for i in range(k)] + ["z"]
     end = [str(i) for i in range(k)] + ["y"]
     sums = [F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(a)).alias(f"s_{x}") for a, x in zip(v, end, strict=True))]
     sums += [F.sum(F.col("w") * F.col(v[i]) * F.col(v[j])).alias(f"p_{end[i]}_{end[j]}") for i in range(k + 1) for j in range(i, k + 1)]
-    stats = work.groupBy(g).agg(*sums).withColumns({
+    stats = work.groupBy(g).agg(F.min("eta").alias("low"), *sums).withColumns({
         f"c_{end[i]}_{end[j]}": F.col(f"p_{end[i]}_{end[j]}") - F.col(f"s_{end[i]}") * F.col(f"s_{end[j]}") / F.col("n")
         for i in range(k + 1) for j in range(i, k + 1)})
     for name, sql in penalty + solver_steps(k):
         stats = stats.withColumn(name, F.expr(sql))
     intercept = sum((-F.col(f"b_{i}") * F.col(f"s_{i}") for i in range(k)), F.col("s_y")) / F.col("n")
-    return stats.withColumn("b", intercept)
+    stats = stats.withColumn("b", intercept)
+    return stats.withColumns({c: F.when(F.col("low") > 0, F.col(c)) for c in ["b", *(f"b_{i}" for i in range(k))]})
 
 
 def predict_gamma(df: DataFrame, coefficients: DataFrame, features: list[str], group: str | None = None,

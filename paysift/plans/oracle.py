@@ -254,7 +254,7 @@ def gamma_ctes(features: list[str], group: str | None, rounds: int, ridge: float
         minor = lambda p, q: f"({m[1][p]} * {m[2][q]} - {m[1][q]} * {m[2][p]})"
         return f"({m[0][0]} * {minor(1, 2)} - {m[0][1]} * {minor(0, 2)} + {m[0][2]} * {minor(0, 1)})"
 
-    solved = ", ".join(f"{det(i)} / {det(None)} AS n{i}" for i in range(3))
+    solved = ", ".join(f"{det(i)} / nullif({det(None)}, 0) AS n{i}" for i in range(3))
     return [
         ("gx", f"SELECT {g} AS g, {xs}, CAST(label AS DOUBLE) AS y FROM train"),
         ("gm", "SELECT g, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2 FROM gx GROUP BY g"),
@@ -262,11 +262,12 @@ def gamma_ctes(features: list[str], group: str | None, rounds: int, ridge: float
         ("gw", f"""
     SELECT -1 AS it, g, 0.0::DOUBLE AS b, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM gm
     UNION ALL
-    SELECT it + 1, g, zm - n0 * e0 - n1 * e1 - n2 * e2, n0, n1, n2 FROM (
+    SELECT it + 1, g, CASE WHEN low > 0 THEN zm - n0 * e0 - n1 * e1 - n2 * e2 END, CASE WHEN low > 0 THEN n0 END,
+           CASE WHEN low > 0 THEN n1 END, CASE WHEN low > 0 THEN n2 END FROM (
       SELECT *, {solved} FROM (
-        SELECT *, CASE WHEN it < 0 THEN 1.0 + {ridge!r} / sqrt(vz) ELSE 1.0 END AS s,
+        SELECT *, CASE WHEN it < 0 THEN 1.0 + {ridge!r} / sqrt(nullif(vz, 0)) ELSE 1.0 END AS s,
                CASE WHEN it < 0 THEN 0.0 ELSE {ridge!r} * sw END AS t FROM (
-          SELECT it, g, sum(w) AS sw, sum(w * z) / sum(w) AS zm, (sum(w * z * z) - sum(w * z) * sum(w * z) / sum(w)) / sum(w) AS vz, {prod}
+          SELECT it, g, sum(w) AS sw, CASE WHEN it < 0 THEN 1 ELSE min(eta) END AS low, sum(w * z) / sum(w) AS zm, (sum(w * z * z) - sum(w * z) * sum(w * z) / sum(w)) / sum(w) AS vz, {prod}
           FROM (SELECT *, CASE WHEN it < 0 THEN 1.0 ELSE mu * mu END AS w,
                        CASE WHEN it < 0 THEN 1.0 / y ELSE eta - (y - mu) / (mu * mu) END AS z
                 FROM (SELECT *, greatest(1.0 / nullif(eta, 0), 1e-16) AS mu
@@ -274,7 +275,7 @@ def gamma_ctes(features: list[str], group: str | None, rounds: int, ridge: float
           GROUP BY it, g)))"""),
         ("g_eta", "SELECT t.*, b + " + " + ".join(f"b{i} * (CAST(t.{f} AS DOUBLE) - m{i})" for i, f in enumerate(features))
                   + f" AS eta FROM test t JOIN gm ON gm.g = {('t.' + group) if group else '0'} JOIN gw ON gw.g = gm.g AND gw.it = {rounds}"),
-        ("g_pred", "SELECT *, greatest(1.0 / eta, 1e-16) AS prediction FROM g_eta"),
+        ("g_pred", "SELECT *, CASE WHEN eta IS NOT NULL THEN greatest(1.0 / eta, 1e-16) END AS prediction FROM g_eta"),
     ], "g_pred"
 
 

@@ -102,6 +102,12 @@ def test_gamma_refuses_labels_that_are_not_positive(spark):
         fit_gamma(rows, ["x"]).collect()
 
 
+def test_gamma_groups_without_a_mean_have_no_model(spark):
+    rows = E.queries()["glm_gamma_grouped"](spark, SF_SMOKE).toPandas()
+    missing = rows.groupby("DRGDefinition")["per_10000"].apply(lambda v: v.isna().mean())
+    assert set(missing) == {0.0, 1.0}
+
+
 def test_kmeans_queries_are_of_the_fitted_model(spark):
     import numpy as np
 
