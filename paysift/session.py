@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return spark.sparkContext.defaultParallelism
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to any
+    more. It does so when the driver collects garbage, which may be long after a large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder and deleted when the block ends. Unlike a
     checkpoint, a table that is read back has its true size for the planner: the estimates of
