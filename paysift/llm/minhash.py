@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .components import components
 from .marks import marked, small_batches
 from .words import mix, parts, word_hashes
@@ -236,7 +236,9 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     first = shared.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = _likely(first, reps, percent)
+    release(docs.sparkSession)
     links = _confirmed(likely, texts, width, percent)
+    release(docs.sparkSession)
 
     apart = cut_lineage(shared.where("leader < doc_id").join(
         links.select(F.col("a").alias("leader"), F.col("b").alias("doc_id")), ["leader", "doc_id"], "left_anti").select("bucket", "doc_id"))
@@ -246,10 +248,12 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         F.least("doc_id", "drawn").alias("a"), F.greatest("doc_id", "drawn").alias("b")).distinct()
     again = _likely(second, reps, percent)
     links = links.unionAll(_confirmed(again, texts, width, percent))
+    release(docs.sparkSession)
     label = cut_lineage(components(links, "a", "b").withColumnRenamed("node", "doc_id"))
 
     cluster = cut_lineage(components(likely.unionAll(again), "a", "b").toDF("doc_id", "cluster"))
     inside = _within_clusters(cluster, label, texts, width, percent)
+    release(docs.sparkSession)
     member = shared.join(label, "doc_id", "left").join(cluster, "doc_id", "left").select(
         "bucket", "leader", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("cluster", "doc_id").alias("cluster"))
     mixed = member.groupBy("bucket").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("bucket")
