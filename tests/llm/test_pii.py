@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import time
 
 from paysift.llm import pii
 
@@ -89,3 +91,57 @@ def test_sanitise_overlaps_and_edges(spark):
     assert got == [(0, "[EMAIL]"), (2, ""), (3, "ip [IP] mail [EMAIL] end"), (3, "ip [IP] mail [EMAIL] end")]
     empty = spark.createDataFrame([], SCHEMA)
     assert pii.sanitise(empty, pii.find_private(empty)).collect() == []
+
+
+def heading_and_footer(copies=1):
+    body = "alder birch cedar dogwood elder fir ginkgo hazel ivy juniper".split()
+    rows = [(k, f"Rumpelstilz, chapter {k}\n" + f"{body[k % 10]} and {body[k // 5]} grow here. " * 40 + f"\nThe {body[k // 5]} by {body[k % 10]} in text {k}, mail me@straw.example")
+            for k in range(50)]
+    rows += [(100 + k, f"Plain {body[k % 10]} and {body[k % 7]} and mail text the number {k} of nothing") for k in range(300)]
+    return [(i, t, "k", 1) for i, t in rows for _ in range(copies if i < 50 else 1)]
+
+
+def test_terms_far_from_the_entity(spark):
+    docs = spark.createDataFrame(heading_and_footer(), SCHEMA)
+    private = pii.find_private(docs)
+    rows = {r["doc_id"]: r["spans"] for r in pii.digests(private).collect()}
+    assert all(rows[k].startswith("email:") and "remove:0:11" in rows[k] for k in range(50))
+    assert not any(rows[100 + k] for k in range(300))
+    assert not any("umpel" in r["text"] for r in pii.sanitise(docs, private).collect())
+
+
+def brute_disclosures(rows, least):
+    """Of entities and terms by plain sets, all contexts taken to differ."""
+    entity = {k: {"0:" + m[0].lower() for m in re.finditer(PLAIN["email"], t)} for k, (_, t) in enumerate(rows)}
+    words = {k: {w for x in t.lower().split() if not re.search("[0-9@]", x) for w in re.findall(r"[^\W\d_]{3,}", x)} for k, (_, t) in enumerate(rows)}
+    n, out = len(rows), {}
+    for e in set().union(*entity.values()):
+        with_e = [k for k in entity if e in entity[k]]
+        for w in set().union(*(words[k] for k in with_e)):
+            both, n_w = sum(w in words[k] for k in with_e), sum(w in words[k] for k in words)
+            value = math.log(both * n / (len(with_e) * n_w)) / math.log(n / len(with_e))
+            if value >= least:
+                out[e, w] = value
+    return out
+
+
+def test_disclosures_equal_brute_force_whatever_the_copies(spark):
+    for copies in (1, 2, 5):
+        rows = heading_and_footer(copies)
+        docs = spark.createDataFrame(rows, SCHEMA)
+        got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosures(docs, pii.find_base(docs), support=1, least=0.5).collect()}
+        want = brute_disclosures([(r[0], r[1]) for r in rows], 0.5)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert abs(got["0:me@straw.example", "rumpelstilz"] - 1) < 1e-9
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "".join(f"é{k % 7}@h.de, " for k in range(100_000))
+    docs = spark.createDataFrame([(1, text, "k", 1), (2, "x" * 300_000 + " a@b.c", "k", 1)], SCHEMA)
+    begin = time.time()
+    private = pii.find_private(docs)
+    got = {r["doc_id"]: r for r in pii.digests(private).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, private).collect()}
+    assert time.time() - begin < 60
+    assert got[1]["n_email"] == 100_000 and got[1]["spans"] == ",".join(brute(text))
+    assert clean[1] == re.sub(PLAIN["email"], "[EMAIL]", text) and clean[2] == "x" * 300_000 + " [EMAIL]"
