@@ -10,7 +10,9 @@ replace
   a line, or what follows a word ending in ``. ! ? :``),
 - units: words of ``UNITS`` behind a number.
 
-The replaced word's hash is the slot's value. All words of a chunk are hashed at once (see
+The replaced word's hash is the slot's value. ``readings`` also tells which words are names when
+a capital at the beginning of a sentence counts, and ``named`` takes all of these as names, a
+run of them as one. All words of a chunk are hashed at once (see
 ``words``). Chunks end between texts or behind a line feed, so the cut changes nothing.
 """
 
@@ -59,8 +61,12 @@ def _hash(low: np.ndarray, take: np.ndarray, begin: np.ndarray, end: np.ndarray)
     return (total[b] - total[a]) * _power(_INVERSE, len(at) + 1)[a], b - a
 
 
-def _chunk(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, slot value or 0, place) of the words of ``raw``; ``edges``: where texts begin."""
+NONE, INSIDE, FIRST = range(3)  # no capital, a name within a sentence, a capital that begins one
+
+
+def _chunk(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, slot value or 0, capital, place) of the words of ``raw``; ``edges``: where
+    texts begin."""
     n = len(raw)
     low, capital = fold(raw)
     space, kept = _SPACE[raw], _KEPT[raw]
@@ -72,7 +78,7 @@ def _chunk(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after[:-1] |= space[1:]
     begin, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), begin
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), begin
     whole, size = _hash(low, kept, begin, end)
     bare, letters = _hash(low, kept & ~_DIGIT[raw], begin, end)
     rank = np.cumsum(kept) - kept
@@ -81,13 +87,15 @@ def _chunk(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lines = np.r_[0, np.cumsum((raw == 10) | edge[:-1])]
     fresh = np.r_[True, _STOP[raw[end[:-1] - 1]] | (lines[begin[1:] + 1] > lines[end[:-1]])]
     number = size > letters
-    name = capital[first] & ~fresh & ~number & (capitals[end] - capitals[begin] < _characters(raw, begin, end))
+    large = capital[first] & ~number & (capitals[end] - capitals[begin] < _characters(raw, begin, end))
+    name = large & ~fresh
     unit = ~number & np.r_[False, number[:-1]]
     unit[unit] = np.isin(bare[unit], unit_hashes())
     template = np.where(number, mix(bare + NUMBER), np.where(unit, UNIT, np.where(name, NAME, mix(whole))))
     slot = np.where(number | name | unit, mix(whole) | np.uint64(1), np.uint64(0))
+    mark = np.where(large & ~unit, np.where(fresh, FIRST, INSIDE), NONE).astype(np.int8)
     some = size > 0
-    return template[some], slot[some], begin[some]
+    return template[some], slot[some], mark[some], begin[some]
 
 
 def _characters(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -110,6 +118,28 @@ def unit_hashes() -> np.ndarray:
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template hashes and slot values of all words of all rows, and each row's offsets."""
+    words, slots, _, off = readings(texts)
+    return words, slots, off
+
+
+def named(words: np.ndarray, slots: np.ndarray, marks: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of ``readings`` with every capital as a name and a run of names as one slot (one
+    that begins a sentence begins a run): words, slots, offsets, and the word that each comes from."""
+    name = marks != NONE
+    follows = np.zeros(len(words), dtype=bool)
+    follows[1:] = name[:-1] & (marks[1:] == INSIDE)
+    follows[off[:-1][off[:-1] < len(words)]] = False
+    begin = np.flatnonzero(~follows)
+    if not len(begin):
+        return words, slots, off, begin
+    value = np.where(name & (slots == 0), words | np.uint64(1), slots)
+    nth = np.arange(len(words)) - np.repeat(begin, np.diff(np.r_[begin, len(words)]))
+    value = np.add.reduceat(value * (2 * nth + 1).astype(np.uint64), begin)
+    return np.where(name[begin], NAME, words[begin]), np.where(name[begin], value | np.uint64(1), value), np.searchsorted(begin, off), begin
+
+
+def readings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, slot values and capitals of all words of all rows, and each row's offsets."""
     raw, off = utf8(texts)
     found, at, n = [], 0, len(raw)
     while at < n:
@@ -121,10 +151,10 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 line = np.flatnonzero(raw[to:row] == 10)
                 row = to + int(line[0]) + 1 if len(line) else row
             to = row
-        t, s, b = _chunk(raw[at:to], off[(off >= at) & (off <= to)] - at)
-        found.append((t, s, b + at))
+        t, s, m, b = _chunk(raw[at:to], off[(off >= at) & (off <= to)] - at)
+        found.append((t, s, m, b + at))
         at = to
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    t, s, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return t, s, np.searchsorted(b, off)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(off), np.int64)
+    t, s, m, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return t, s, m, np.searchsorted(b, off)
