@@ -6,9 +6,10 @@ map, extra white space, dummy prefix, space marker), a cut before every run of s
 merges in the order in which the scores allow them, byte fallback, and the inverse as decoder.
 A text is taken as runs (spaces and the word behind them; line feeds, which no longer piece
 holds, stand alone), which is exact for the same reason. The distinct runs of a batch that the
-worker has not met yet are encoded on several threads, joined by line feeds, decoded, and held
-against the sentencepiece library (``parity``); a table of at most ``REMEMBER`` runs keeps the
-results. Models whose normaliser looks across words (a character map, extra white space) or
+worker has not met yet are encoded on several threads, joined by line feeds, and held against
+the sentencepiece library (``parity``); a table of at most ``REMEMBER`` runs keeps the results.
+Every document's joined ids are decoded, and ``round_trip`` holds this text against the
+document's. Models whose normaliser looks across words (a character map, extra white space) or
 that have no byte fallback take the whole text as one run.
 
 Ties between merges of one score go to the leftmost pair; since merging proceeds from the left
@@ -97,15 +98,13 @@ class Codec:
         self.lead = " " if self.by_run and model.add_dummy_prefix else ""
         self.line = line[0] if line else -1
         self.ids: dict[str, bytes] = {}  # little-endian 32-bit integers
-        self.odd: dict[str, str] = {}  # what a run decodes to, where it isn't the run
         self.wrong: set[str] = set()  # runs whose ids the library doesn't give
 
     def _learn_texts(self, texts: list[str]) -> None:
         """Whole texts as runs."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for text, own, other, decoded in zip(texts, ids, self.reference.encode(texts, num_threads=self.threads), back, strict=True):
-            self._keep(text, np.array(own, dtype="<i4").tobytes(), own == other, decoded)
+        for text, own, other in zip(texts, ids, self.reference.encode(texts, num_threads=self.threads), strict=True):
+            self._keep(text, np.array(own, dtype="<i4").tobytes(), own == other)
 
     def _learn(self, runs: list[str]) -> None:
         """Each string holds ``JOINED`` runs behind a line feed each, so that a run's ids lie
@@ -113,46 +112,42 @@ class Codec:
         parts = [runs[k:k + JOINED] for k in range(0, len(runs), JOINED)]
         joined = ["\n" + "\n".join(part) for part in parts]
         ids = [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-        for part, own, other, text in zip(parts, ids, self.reference.encode(joined, num_threads=self.threads), back, strict=True):
+        for part, own, other in zip(parts, ids, self.reference.encode(joined, num_threads=self.threads), strict=True):
             other = np.array(other, dtype="<i4")[len(self.lead):]  # the dummy prefix stands alone before the line feed
             good = np.array_equal(own, other)
             mine, theirs = self._between(own), self._between(other)
-            for k, (run, decoded) in enumerate(zip(part, text.split("\n")[1:], strict=True)):
-                self._keep(run, mine[k], good or (k < len(theirs) and mine[k] == theirs[k]), decoded)
+            for k, run in enumerate(part):
+                self._keep(run, mine[k], good or (k < len(theirs) and mine[k] == theirs[k]))
 
     def _between(self, ids: np.ndarray) -> list[bytes]:
         cut, raw = [*np.flatnonzero(ids == self.line).tolist(), len(ids)], ids.tobytes()
         return [raw[4 * a + 4:4 * b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def _keep(self, run: str, ids: bytes, good: bool, decoded: str) -> None:
+    def _keep(self, run: str, ids: bytes, good: bool) -> None:
         self.ids[run] = ids
         if not good:
             self.wrong.add(run)
-        if decoded != run:
-            self.odd[run] = decoded
+
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The texts of whole documents' ids."""
+        return self.tokenizer.decode_batch([np.frombuffer(x, dtype="<i4").tolist() for x in ids], skip_special_tokens=False)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
         """(ids, decoded text, parity) of each text."""
         if len(self.ids) > REMEMBER:
-            self.ids, self.odd, self.wrong = {}, {}, set()
+            self.ids, self.wrong = {}, set()
         if self.by_run and not self.ids:
             self.ids = {"\n": np.array([self.line], dtype="<i4").tobytes()}
-            self.odd, self.wrong = {}, set()
+            self.wrong = set()
         split = [self.runs.findall(self.lead + t) if t else [] for t in texts]
         new = list(set().union(*split).difference(self.ids))
         if new:
             (self._learn if self.by_run else self._learn_texts)(new)
-        out = []
-        for text, runs in zip(texts, split, strict=True):
-            decoded = text
-            if self.odd and not self.odd.keys().isdisjoint(runs):
-                decoded = "".join([self.odd.get(r, r) for r in runs])[len(self.lead):]
-            out.append((b"".join(map(self.ids.__getitem__, runs)), decoded, not self.wrong or self.wrong.isdisjoint(runs)))
+        ids = [b"".join(map(self.ids.__getitem__, runs)) for runs in split]
+        out = [(own, back, not self.wrong or self.wrong.isdisjoint(runs)) for own, back, runs in zip(ids, self.decode(ids), split, strict=True)]
         for run in new:
             if len(run) > LONG_RUN:
                 del self.ids[run]
-                self.odd.pop(run, None)
                 self.wrong.discard(run)
         return out
 

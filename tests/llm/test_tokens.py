@@ -69,6 +69,15 @@ def test_codec_rows(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
 
 
+def test_a_fault_in_the_joined_ids_shows():
+    codec = Codec(MODEL)
+    assert [x[1] for x in codec.encode(["one two three", "  one\n two "])] == ["one two three", "  one\n two "]
+    codec.ids[" two"] = codec.ids[" three"]
+    assert [x[1] for x in codec.encode(["one two three"])] == ["one three three"]
+    codec.ids[" two"] = b""
+    assert [x[1] for x in codec.encode(["one two three"])] == ["one three"]
+
+
 def viterbi(text, model):
     """Plain dynamic programming over all pieces, on the whole text."""
     score = {p: s for p, s, kind in model.pieces if kind == 1}
