@@ -4,8 +4,8 @@
 It follows exactly the rules of the distributed grower in ``trees.py``: the bins and
 thresholds come from the same cut table (computed once in Spark for all groups), and the
 variance gain, quantised ranking and tie order, hash-drawn bootstrap weights and feature
-subsets are the same, so a group gets the same model on either path.
-Groups above the row bound are never sent here; they grow with the distributed grower.
+subsets are the same, so a group gets the same model on either path. It grows cells: rows in the
+same bins, added up.
 """
 
 from __future__ import annotations
@@ -40,9 +40,18 @@ def _imp(w, s, ss):
 def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max_depth: int, m_features: int,
          key_parts: list[str], seed: int, min_instances: int = 1, categorical: tuple[int, ...] = (),
          vals: list[np.ndarray] | None = None):
-    """Grow one tree. ``B``: rows x features bin indices (rows with weight > 0 only).
+    """``grow_cells`` of single rows with labels ``y`` and weights ``w`` > 0."""
+    return grow_cells(B, thr, np.ones(len(y)), w, w * y, w * y * y, max_depth, m_features, key_parts, seed, min_instances,
+                      categorical, vals)
+
+
+def grow_cells(B: np.ndarray, thr: list[np.ndarray], c: np.ndarray, w: np.ndarray, wy: np.ndarray, wyy: np.ndarray,
+               max_depth: int, m_features: int, key_parts: list[str], seed: int, min_instances: int = 1,
+               categorical: tuple[int, ...] = (), vals: list[np.ndarray] | None = None):
+    """Grow one tree of cells. ``B``: cells x features bin indices; ``c`` rows, ``w`` weight (> 0),
+    ``wy`` and ``wyy`` weighted sums of the label and its square, per cell.
     Returns (internal [(node, f, thr, left categories or None)], leaves [(node, pred, n)],
-    node of every row). For a categorical feature (bins = categories, values in ``vals``) the
+    node of every cell). For a categorical feature (bins = categories, values in ``vals``) the
     categories of a node are ordered by mean label, ties by value, and splits are prefixes.
 
     Vectorised per level: for each feature one ``bincount`` over (node, bin) cells gives the
@@ -53,7 +62,6 @@ def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max
     node = np.ones(n, dtype=np.int64)
     active = np.ones(n, dtype=bool)
     internal = []
-    wy, wyy = w * y, w * y * y
     for _ in range(max_depth):
         rows = np.nonzero(active)[0]
         if len(rows) == 0:
@@ -81,7 +89,7 @@ def grow(B: np.ndarray, thr: list[np.ndarray], y: np.ndarray, w: np.ndarray, max
                 mc = hi - lo
                 cell = i_sel * nb + B[r_sel, f]
                 hist = [np.bincount(cell, weights=v, minlength=mc * nb).reshape(mc, nb)
-                        for v in (None, w[r_sel], wy[r_sel], wyy[r_sel])]
+                        for v in (c[r_sel], w[r_sel], wy[r_sel], wyy[r_sel])]
                 order = None
                 if f in categorical:
                     with np.errstate(divide="ignore", invalid="ignore"):

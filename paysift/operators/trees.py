@@ -8,31 +8,35 @@ level-wise scheme of PLANET (Panda et al., VLDB 2009):
    when there are at most ``max_bins`` of them (Spark ML's rule), else equal-frequency bounds
    from a histogram whose buckets keep the leading bits of the value (exact counts, so every
    partitioning gives the same bounds). Categorical features keep every category.
-2. Per level, one aggregate over the active rows by (key, node, feature, bin) with weighted
+2. Once, the rows of a model key whose features fall into the same bins are added up to a cell
+   (count, weight, label sums): no split can part them, so the trees are the rows' own. Per
+   level, one aggregate over the active cells by (key, node, feature, bin) with weighted
    count, sum and sum of squares (partial aggregation first, so a hot group is combined on the
    map side), a cumulative window over the bins of each (key, node, feature) (at most
    ``max_bins`` rows; categories ordered by mean label, as Spark ML does for regression),
    variance gain, and the best split per node by ``row_number`` (gain desc, then feature,
    then lower threshold: Spark ML's tie order).
-3. Rows move to child ``2n`` (``x <= threshold`` or category in the left set) or ``2n + 1``
-   by a join with the per-level split table (one row per node). Rows in nodes that did not
+3. Cells move to child ``2n`` (``x <= threshold`` or category in the left set) or ``2n + 1``
+   by a join with the per-level split table (one row per node). Cells in nodes that did not
    split are finished.
 
 The number of passes is the tree depth, independent of the number of groups and of their
 sizes: a group of a few rows and one that holds a third of the table grow in the same jobs. Each level's split table (a row per node) is checkpointed to the shared
-folder; the rows follow every ``checkpoint_interval`` levels, so a lost executor recomputes a
+folder; the cells follow every ``checkpoint_interval`` levels, so a lost executor recomputes a
 few joins at most and plans stay short. Leaves predict the weighted mean label.
 
 A caller who knows that every group fits one task (say, a row per provider) may pass
 ``in_task=True``: each group then grows in one task by the same rules, with the numpy grower
-of ``tree_local`` and the same cut table. The choice is the caller's; no size decides it.
+of ``tree_local``, the same cells and the same cut table. The choice is the caller's; no size
+decides it.
 
 A null feature raises, as Spark ML's assembler does.
 
 Forests use the same grower with (group, tree) as the model key, Poisson(1) bootstrap
 weights drawn from a hash of (row id, tree, seed), and per-node feature subsets chosen by a
 hash of (key, node, feature, seed). Boosting runs the grower once per round on the
-residual target ``2 * (y - F)``.
+residual target ``2 * (y - F)``: all rows of a cell share ``F``, so count, mean and squared
+deviations of a cell give its sums in every round.
 """
 
 from __future__ import annotations
@@ -75,10 +79,8 @@ def _feature_count(strategy: str | int | None, k: int, num_trees: int) -> int:
 
 
 def _poisson_weight(u: Column) -> Column:
-    expr = F.lit(len(_POISSON_CDF))
-    for j in reversed(range(len(_POISSON_CDF))):
-        expr = F.when(u < F.lit(_POISSON_CDF[j]), F.lit(j)).otherwise(expr)
-    return expr.cast("double")
+    # all terms use ``u`` unconditionally, so its hash is computed once
+    return sum((u >= F.lit(p)).cast("int") for p in _POISSON_CDF).cast("double")
 
 
 # Leading bits (after the first) of a value that its histogram bucket keeps.
@@ -155,6 +157,25 @@ def _binned_rows(rows: DataFrame, cuts: DataFrame, key: list[str], k: int) -> Da
     return j.withColumn("_b", binned).drop("_fb")
 
 
+def _weighted_cells(rows: DataFrame, mkey: list[str]) -> DataFrame:
+    """Cells of rows with a weight: ``mkey.., _b``, ``_c`` rows, ``_n`` of them with a label, ``_w``
+    their weight, ``_s`` and ``_ss`` the weighted sums of the label and its square. Rows of weight
+    0 don't count."""
+    on = F.col("_w") > 0
+    wy = F.col("_w") * F.col("_y")
+    return rows.groupBy(*mkey, "_b").agg(
+        F.count_if(on).alias("_c"), F.count_if(on & F.col("_y").isNotNull()).alias("_n"), F.sum("_w").alias("_w"), F.sum(F.when(on, wy)).alias("_s"),
+        F.sum(F.when(on, wy * F.col("_y"))).alias("_ss")).where("_c > 0")
+
+
+def _plain_cells(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Cells of rows without a weight: ``key.., _b``, ``_c`` rows, ``_n`` of them with a label,
+    ``_mean`` of the labels and ``_m2``, the sum of their squared deviations from it."""
+    return rows.groupBy(*key, "_b").agg(
+        F.count(F.lit(1)).alias("_c"), F.count("_y").alias("_n"), F.avg("_y").alias("_mean"),
+        (F.var_pop("_y") * F.count("_y")).alias("_m2"))
+
+
 def _impurity(w: Column, s: Column, ss: Column) -> Column:
     """Variance impurity as Spark ML computes it: (ss - s^2 / w) / w."""
     return (ss - s * s / w) / w
@@ -163,9 +184,9 @@ def _impurity(w: Column, s: Column, ss: Column) -> Column:
 def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: int, seed: int,
           min_instances: int, checkpoint_interval: int,
           categorical: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Grow one tree per model key. ``rows``: key.., ``_rid``, ``_y``, ``_w``, ``_b`` (binned
-    features) and any columns to carry along. Returns (internal splits on bins, the rows with
-    their leaf ``_node``, leaf stats, depth used).
+    """Grow one tree per model key. ``rows``: the cells, key.., ``_c``, ``_w``, ``_s``, ``_ss``,
+    ``_b`` (binned features) and any columns to carry along. Returns (internal splits on bins,
+    the cells with their leaf ``_node``, leaf stats, depth used).
 
     Features listed in ``categorical`` split on category sets as Spark ML does for regression:
     within each node the categories are ordered by their mean label (ties by value) and the
@@ -177,17 +198,15 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
     depth_used = 0
     for depth in range(max_depth):
         active = rows.where(~F.col("_done"))
-        ex = active.select(*kn, "_y", "_w", F.posexplode("_b").alias("_f", "_bv"))
+        ex = active.select(*kn, "_c", "_w", "_s", "_ss", F.posexplode("_b").alias("_f", "_bv"))
+        agg = ex.groupBy(*kn, "_f", "_bv").agg(
+            F.sum("_c").alias("c"), F.sum("_w").alias("w"), F.sum("_s").alias("s"), F.sum("_ss").alias("ss"))
         if m_features < k:
             # keep feature f when fewer than m features of this node hash below it
             u = [unit_hash([*key, "_node"], F.concat_ws(":", F.lit(str(seed)), F.lit(str(j)))) for j in range(k)]
-            uf = F.element_at(F.array(*u), F.col("_f") + 1)
-            below = sum((uj < uf).cast("int") for uj in u)
-            ex = ex.where(below < F.lit(m_features))
-        agg = ex.groupBy(*kn, "_f", "_bv").agg(
-            F.count(F.lit(1)).alias("c"), F.sum("_w").alias("w"),
-            F.sum(F.col("_w") * F.col("_y")).alias("s"), F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("ss"),
-        )
+            agg = agg.withColumn("_u", F.array(*u))
+            below = F.size(F.filter("_u", lambda uj: uj < F.element_at("_u", F.col("_f") + 1)))
+            agg = agg.where(below < F.lit(m_features)).drop("_u")
         # the windows below need the bins of a node together: one exchange serves all of them
         agg = agg.repartition(*kn)
         # candidate order inside (key, node, feature): values ascending, or for a categorical
@@ -243,7 +262,7 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
         if (depth + 1) % checkpoint_interval == 0:
             rows = cut_lineage(rows)
     leaves = rows.groupBy(*kn).agg(
-        (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_pred"), F.sum("_w").alias("_n"))
+        (F.sum("_s") / F.sum("_w")).alias("_pred"), F.sum("_w").alias("_n"))
     internal = splits[0] if splits else None
     for s in splits[1:]:
         internal = internal.unionByName(s)
@@ -275,35 +294,39 @@ def _local_schema(df: DataFrame, key: list[str]) -> str:
     return f"_kind int, {keys}, {TREE} int, _node long, _f int, _thr double, _cats array<double>, _pred double, _n double"
 
 
-def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode: str, num_trees: int = 1,
-               max_depth: int, m_features: int, bootstrap: bool, seed: int, min_instances: int,
+def _fit_local(cells: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode: str,
+               max_depth: int, m_features: int, seed: int, min_instances: int,
                max_iter: int = 1, step_size: float = 0.1, categorical: tuple[int, ...] = ()) -> DataFrame:
-    """Grow the trees of every group, each in one task (the caller says that groups are bounded): rows and the group's cut table are
-    cogrouped by key, each group grows in one task with numpy. Returns model rows (``_kind``
-    0 = split, 1 = leaf) in the layout of the distributed grower."""
+    """Grow the trees of every group, each in one task (the caller says that groups are bounded).
+    A task gets a group's cells as plain numbers, a forest's one tree at a time, and the group's
+    cut table, cogrouped by key, and grows with numpy. Returns model rows (``_kind`` 0 = split,
+    1 = leaf) in the layout of the distributed grower."""
     import pandas as pd
     from pyspark import cloudpickle
 
-    from .tree_local import grow, poisson_weights
+    from .tree_local import grow_cells
 
     # ship the numpy grower by value: executors need numpy/pandas only, not this package
     cloudpickle.register_pickle_by_value(tree_local)
     out_cols = ["_kind", *key, TREE, "_node", "_f", "_thr", "_cats", "_pred", "_n"]
+    sums = ["_w", "_s", "_ss"] if mode == "forest" else ["_mean", "_m2"]
 
     def fit_group(pdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame([], columns=out_cols)
         keyvals = [pdf[c].iloc[0] for c in key]
-        X = np.stack(pdf["_x"].to_numpy()).astype(np.float64).reshape(len(pdf), k)
-        y = pdf["_y"].to_numpy(dtype=np.float64)
-        B = np.zeros((len(y), k), dtype=np.int64)
+        B = np.zeros((len(pdf), k), dtype=np.int32)
         thr, vals = [], []
         for f in range(k):
             c = cdf[cdf["_f"] == f].sort_values("_bv")
             bv = c["_bv"].to_numpy(dtype=np.float64)
-            B[:, f] = np.searchsorted(bv, X[:, f], side="left")
+            B[:, f] = np.searchsorted(bv, pdf[f"_b{f}"].to_numpy(dtype=np.float64), side="left")
             thr.append(c["_thr"].to_numpy(dtype=np.float64))
             vals.append(bv)
+        count, labels = (pdf[c].to_numpy(dtype=np.float64) for c in ("_c", "_n"))
+        # a group with a null label has no model
+        stats = [np.where(labels < count, np.nan, pdf[c].to_numpy(dtype=np.float64)) if c != "_w" else pdf[c].to_numpy(dtype=np.float64)
+                 for c in sums]
         out = []
 
         def emit(tree, internal, leaves):
@@ -311,36 +334,37 @@ def _fit_local(base: DataFrame, cuts: DataFrame, key: list[str], k: int, *, mode
             out.extend([1, *keyvals, tree, nd, None, None, None, p, n] for nd, p, n in leaves)
 
         if mode == "forest":
-            rids = pdf["_rid"].tolist()
-            for t in range(num_trees):
-                w = poisson_weights(rids, t, seed) if bootstrap else np.ones(len(y))
-                keep = w > 0
-                parts = [str(v) for v in keyvals] + [str(t)]
-                internal, leaves, _ = grow(B[keep], thr, y[keep], w[keep], max_depth, m_features,
-                                           parts, seed, min_instances, categorical, vals)
-                emit(t, internal, leaves)
+            t = int(pdf[TREE].iloc[0])
+            internal, leaves, _ = grow_cells(B, thr, count, *stats, max_depth, m_features, [*map(str, keyvals), str(t)], seed,
+                                             min_instances, categorical, vals)
+            emit(t, internal, leaves)
         else:
-            F_ = np.zeros(len(y))
-            ones = np.ones(len(y))
+            mean, m2 = stats
+            score = np.zeros(len(pdf))
             for m in range(max_iter):
-                target = y if m == 0 else 2.0 * (y - F_)
-                parts = [str(v) for v in keyvals] + [str(m)]
-                internal, leaves, node = grow(B, thr, target, ones, max_depth, k, parts, 0, min_instances,
-                                              categorical, vals)
+                scale, target = (1.0, mean) if m == 0 else (2.0, 2.0 * (mean - score))
+                internal, leaves, node = grow_cells(
+                    B, thr, count, count, count * target, scale * scale * m2 + count * target * target, max_depth, k,
+                    [*map(str, keyvals), str(m)], 0, min_instances, categorical, vals)
                 emit(m, internal, leaves)
-                value = {nd: p for nd, p, _ in leaves}
-                weight = 1.0 if m == 0 else step_size
-                F_ = F_ + np.array([weight * value[nd] for nd in node])
+                ids, value = (np.array(v) for v in zip(*[(nd, p) for nd, p, _ in leaves]))
+                score = score + (1.0 if m == 0 else step_size) * value[np.searchsorted(ids, node)]
         return pd.DataFrame(out, columns=out_cols)
 
     # The work here is compute, not bytes: AQE would coalesce the small shuffle into a few
     # partitions and train the groups serially, so both sides are hash-partitioned on the key
     # into the session's shuffle partition count (an explicit repartition is not coalesced).
-    n = shuffle_partitions(base.sparkSession)
-    rows = base.select(*key, "_rid", "_x", "_y").repartition(n, *key)
-    # fresh attribute ids on the cut side: both sides descend from the same checkpointed rows
-    group_cuts = cuts.select(*[F.col(c).alias(c) for c in key], "_f", "_bv", "_thr").repartition(n, *key)
-    return rows.groupBy(*key).cogroup(group_cuts.groupBy(*key)).applyInPandas(fit_group, _local_schema(base, key))
+    by = [*key, TREE] if mode == "forest" else key
+    n = shuffle_partitions(cells.sparkSession)
+    flat = [F.element_at("_b", f + 1).alias(f"_b{f}") for f in range(k)]
+    # fresh attribute ids on both sides: they descend from the same checkpointed rows
+    rows = cells.select(*by, *flat, "_c", "_n", *sums).repartition(n, *by)
+    group_cuts = cuts.select(*[F.col(c).alias(c) for c in key], "_f", "_bv", "_thr")
+    if mode == "forest":
+        group_cuts = group_cuts.join(cells.select(*key, TREE).distinct().withColumnsRenamed({c: f"_own_{c}" for c in key}), [
+            F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in key]).drop(*(f"_own_{c}" for c in key))
+    group_cuts = group_cuts.select(*[F.col(c).alias(c) for c in by], "_f", "_bv", "_thr").repartition(n, *by)
+    return rows.groupBy(*by).cogroup(group_cuts.groupBy(*by)).applyInPandas(fit_group, _local_schema(cells, key))
 
 
 def _model_parts(local: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, int]:
@@ -351,34 +375,42 @@ def _model_parts(local: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame
     return internal, leaves, int(deepest).bit_length() - 1
 
 
-def _grow_forest(base, cuts, needs, key, k, num_trees, max_depth, m_features, use_boot, seed,
-                        min_instances, checkpoint_interval, categorical=()):
+def _forest_cells(base, cuts, needs, key, k, num_trees, use_boot, seed):
+    """The cells of every key's trees, with the rows' bootstrap weights."""
     rows = _binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x"))
     if num_trees > 1:
         rows = rows.withColumn(TREE, F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))))
     else:
         rows = rows.withColumn(TREE, F.lit(0))
     w = _poisson_weight(unit_hash(["_rid", TREE], f"boot{seed}")) if use_boot else F.lit(1.0)
-    rows = rows.withColumn("_w", w).where(F.col("_w") > 0)
+    return cut_lineage(_weighted_cells(rows.withColumn("_w", w), [*key, TREE]))
+
+
+def _grow_forest(cells, cuts, key, k, max_depth, m_features, seed, min_instances, checkpoint_interval, categorical=()):
     mkey = [*key, TREE]
-    internal, _, leaves, depth = _grow(
-        rows.select(*mkey, "_rid", "_y", "_w", "_b"), mkey, k, max_depth, m_features, seed, min_instances,
-        checkpoint_interval, categorical)
+    internal, _, leaves, depth = _grow(cells, mkey, k, max_depth, m_features, seed, min_instances, checkpoint_interval,
+                                       categorical)
     leaves = cut_lineage(leaves)
     return _attach_thresholds(internal, cuts, leaves, mkey), leaves, depth
 
 
-def _grow_boosted(base, cuts, needs, key, k, max_iter, step_size, max_depth, min_instances,
-                         checkpoint_interval, categorical=()):
-    rows = (_binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x")))
-    state = cut_lineage(rows.select(*key, "_rid", F.col("_y").alias("_y0"), "_b", F.lit(0.0).alias("_F")))
+def _boosted_cells(base, cuts, needs, key, k):
+    rows = _binned_rows(base, cuts, key, k) if needs else base.withColumn("_b", F.col("_x"))
+    return cut_lineage(_plain_cells(rows, key))
+
+
+def _grow_boosted(cells, cuts, key, k, max_iter, step_size, max_depth, min_instances, checkpoint_interval, categorical=()):
+    own = ["_b", "_n", "_mean", "_m2"]
+    state = cells.select(*key, "_c", *own, F.lit(0.0).alias("_F"))
     internals, leaves_all = [], []
     depth_max = 0
     mkey = [*key, TREE]
     for m in range(max_iter):
-        target = F.col("_y0") if m == 0 else F.lit(2.0) * (F.col("_y0") - F.col("_F"))
-        rows_m = state.select(*key, F.lit(m).alias(TREE), "_rid", target.alias("_y"), F.lit(1.0).alias("_w"),
-                              "_b", "_y0", "_F")
+        scale = 1.0 if m == 0 else 2.0
+        target = F.lit(scale) * (F.col("_mean") - F.col("_F"))
+        rows_m = state.select(
+            *key, F.lit(m).alias(TREE), "_c", F.col("_c").cast("double").alias("_w"), (F.col("_n") * target).alias("_s"),
+            (F.lit(scale * scale) * F.col("_m2") + F.col("_n") * target * target).alias("_ss"), *own, "_F")
         internal, grown, leaves, depth = _grow(rows_m, mkey, k, max_depth, k, 0, min_instances, checkpoint_interval,
                                                categorical)
         depth_max = max(depth_max, depth)
@@ -386,10 +418,10 @@ def _grow_boosted(base, cuts, needs, key, k, max_iter, step_size, max_depth, min
         leaves = cut_lineage(leaves)
         internals.append(_attach_thresholds(internal, cuts, leaves, mkey))
         leaves_all.append(leaves)
-        # the rows carry their score: one join with the (small) leaf table, no row-to-row join
+        # the cells carry their score: one join with the (small) leaf table
         state = cut_lineage(
             grown.join(leaves.select(*mkey, "_node", "_pred"), [*mkey, "_node"])
-            .select(*key, "_rid", "_y0", "_b", (F.col("_F") + F.lit(weight) * F.col("_pred")).alias("_F")))
+            .select(*key, "_c", *own, (F.col("_F") + F.lit(weight) * F.col("_pred")).alias("_F")))
     internal = internals[0]
     for i in internals[1:]:
         internal = internal.unionByName(i)
@@ -424,13 +456,14 @@ def fit_forest(df: DataFrame, key: list[str], id_cols: list[str], features: list
     use_boot = (num_trees > 1) if bootstrap is None else bootstrap
     m = _feature_count(subset, k, num_trees)
     base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins, categorical)
+    cells = _forest_cells(base, cuts, needs, key, k, num_trees, use_boot, seed)
     if in_task:
         internal, leaves, depth = _model_parts(_fit_local(
-            base, cuts, key, k, mode="forest", num_trees=num_trees, max_depth=max_depth, m_features=m, bootstrap=use_boot,
-            seed=seed, min_instances=min_instances, categorical=categorical), key)
-        return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
-    internal, leaves, depth = _grow_forest(base, cuts, needs, key, k, num_trees, max_depth, m, use_boot, seed,
-                                           min_instances, checkpoint_interval, categorical)
+            cells, cuts, key, k, mode="forest", max_depth=max_depth, m_features=m, seed=seed, min_instances=min_instances,
+            categorical=categorical), key)
+    else:
+        internal, leaves, depth = _grow_forest(cells, cuts, key, k, max_depth, m, seed, min_instances, checkpoint_interval,
+                                               categorical)
     return TreeEnsemble(key, features, internal, leaves, depth, num_trees, [1.0] * num_trees, average=True)
 
 
@@ -450,18 +483,19 @@ def fit_boosted(df: DataFrame, key: list[str], id_cols: list[str], features: lis
                 categorical: tuple[int, ...] = (), in_task: bool = False) -> TreeEnsemble:
     """Gradient-boosted regression trees with squared error, per key (Spark ML ``GBTRegressor``
     semantics: the first tree fits ``y`` with weight 1, each later tree fits ``2 * (y - F)``
-    with weight ``step_size``). One run of the grower per round, rows keeping their running
+    with weight ``step_size``). One run of the grower per round, cells keeping their running
     score ``F``."""
     k = len(features)
     base, cuts, needs = _prepared(df, key, id_cols, features, label, max_bins, categorical)
     weights = [1.0] + [step_size] * (max_iter - 1)
+    cells = _boosted_cells(base, cuts, needs, key, k)
     if in_task:
         internal, leaves, depth = _model_parts(_fit_local(
-            base, cuts, key, k, mode="boost", max_depth=max_depth, m_features=k, bootstrap=False, seed=0,
-            min_instances=min_instances, max_iter=max_iter, step_size=step_size, categorical=categorical), key)
-        return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
-    internal, leaves, depth = _grow_boosted(base, cuts, needs, key, k, max_iter, step_size, max_depth, min_instances,
-                                            checkpoint_interval, categorical)
+            cells, cuts, key, k, mode="boost", max_depth=max_depth, m_features=k, seed=0, min_instances=min_instances,
+            max_iter=max_iter, step_size=step_size, categorical=categorical), key)
+    else:
+        internal, leaves, depth = _grow_boosted(cells, cuts, key, k, max_iter, step_size, max_depth, min_instances,
+                                                checkpoint_interval, categorical)
     return TreeEnsemble(key, features, internal, leaves, depth, max_iter, weights, average=False)
 
 

@@ -238,3 +238,22 @@ def test_importances_equal_spark_ml(spark, table):
     both = [models.grouped_model(table, "forest", flows.GROUP_FEATURES, num_trees=2, max_depth=2, in_task=x) for x in (True, False)]
     a, b = ({(r[fx.GROUP], r["feature"]): r["importance"] for r in trees.importances(m).collect()} for m in both)
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
+@pytest.mark.parametrize("in_task", [True, False])
+def test_growers_get_a_row_per_cell(spark, monkeypatch, in_task):
+    """1,000 rows of 2 groups in 6 cells each: the growers see the cells, not the rows, and the
+    model is that of the rows."""
+    rows = [(f"g{i % 2}", str(i), float(i % 3), float(i // 2 % 2), float((i * 7) % 13 + 10 * (i % 3))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, id string, a double, b double, label double")
+    seen = []
+    name = "_fit_local" if in_task else "_grow"
+    real = getattr(trees, name)
+    monkeypatch.setattr(trees, name, lambda cells, *args, **kw: (seen.append(cells.count()), real(cells, *args, **kw))[1])
+    forest = trees.fit_forest(df, ["g"], ["id"], ["a", "b"], "label", num_trees=3, max_depth=4, in_task=in_task)
+    boosted = trees.fit_boosted(df, ["g"], ["id"], ["a", "b"], "label", max_iter=3, max_depth=4, in_task=in_task)
+    assert max(seen) <= 2 * 3 * 6 and min(seen) == 2 * 6
+    means = {tuple(r)[:3]: r["m"] for r in df.groupBy("g", "a", "b").agg(F.avg("label").alias("m")).collect()}
+    for r in boosted.predict(df).collect():
+        assert abs(r["prediction"] - means[(r["g"], r["a"], r["b"])]) < 1e-9
+    assert forest.predict(df).where("prediction IS NULL").count() == 0
