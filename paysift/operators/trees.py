@@ -201,12 +201,6 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
         ex = active.select(*kn, "_c", "_w", "_s", "_ss", F.posexplode("_b").alias("_f", "_bv"))
         agg = ex.groupBy(*kn, "_f", "_bv").agg(
             F.sum("_c").alias("c"), F.sum("_w").alias("w"), F.sum("_s").alias("s"), F.sum("_ss").alias("ss"))
-        if m_features < k:
-            # keep feature f when fewer than m features of this node hash below it
-            u = [unit_hash([*key, "_node"], F.concat_ws(":", F.lit(str(seed)), F.lit(str(j)))) for j in range(k)]
-            agg = agg.withColumn("_u", F.array(*u))
-            below = F.size(F.filter("_u", lambda uj: uj < F.element_at("_u", F.col("_f") + 1)))
-            agg = agg.where(below < F.lit(m_features)).drop("_u")
         # the windows below need the bins of a node together: one exchange serves all of them
         agg = agg.repartition(*kn)
         # candidate order inside (key, node, feature): values ascending, or for a categorical
@@ -224,6 +218,12 @@ def _grow(rows: DataFrame, key: list[str], k: int, max_depth: int, m_features: i
         cr, wr = F.col("ct") - F.col("cl"), F.col("wt") - F.col("wl")
         sr, ssr = F.col("st") - F.col("sl"), F.col("sst") - F.col("ssl")
         valid = (F.col("cl") >= min_instances) & (cr >= min_instances) & (F.col("wl") > 0) & (wr > 0)
+        if m_features < k:
+            # keep feature f when fewer than m features of this node hash below it; asked of the
+            # bins, as a filter would move down to the cells
+            u = F.array(*[unit_hash([*key, "_node"], F.concat_ws(":", F.lit(str(seed)), F.lit(str(j)))) for j in range(k)])
+            c = c.withColumn("_u", u)
+            valid = valid & (F.size(F.filter("_u", lambda uj: uj < F.element_at("_u", F.col("_f") + 1))) < F.lit(m_features))
         gain = (_impurity(F.col("wt"), F.col("st"), F.col("sst"))
                 - F.col("wl") / F.col("wt") * _impurity(F.col("wl"), F.col("sl"), F.col("ssl"))
                 - wr / F.col("wt") * _impurity(wr, sr, ssr))
@@ -554,11 +554,12 @@ def model_table(model: TreeEnsemble) -> DataFrame:
 
 
 def predict_ensemble(model: TreeEnsemble, df: DataFrame, out: str = "prediction") -> DataFrame:
-    """Score rows with one join on the model key; each row walks its key's trees inside the
-    JVM (``aggregate`` over the depth, one array access per level), then leaf values are
-    combined: mean for forests, weighted sum for boosting. Rows are never replicated or
-    regrouped."""
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in model.features])
+    """Score rows: the distinct feature vectors of a key are joined with its model, and each walks
+    the key's trees inside the JVM (``aggregate`` over the depth, one array access per level),
+    then leaf values are combined: mean for forests, weighted sum for boosting. The rows get
+    the score of their vector by a join."""
+    x = F.col("_x")
+    rows = df.withColumn("_x", F.array(*[F.col(f"`{f}`").cast("double") for f in model.features]))
 
     def walk(t):
         arr = t["_nodes"]
@@ -575,4 +576,5 @@ def predict_ensemble(model: TreeEnsemble, df: DataFrame, out: str = "prediction"
     total = F.aggregate(F.transform("_trees", walk), F.lit(0.0), lambda acc, v: acc + v)
     if model.average:
         total = total / F.size("_trees")
-    return df.join(model_table(model), model.key).withColumn(out, total).drop("_trees")
+    scored = rows.select(*model.key, "_x").distinct().join(model_table(model), model.key).select(*model.key, "_x", total.alias(out))
+    return rows.join(scored, [*model.key, "_x"]).drop("_x")

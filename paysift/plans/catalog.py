@@ -60,8 +60,17 @@ def _model_input(spark, sf, ml: bool = False) -> DataFrame:
 FIT_PARTITIONS = 16
 
 
-def _dealt(e: DataFrame) -> DataFrame:
-    return e.repartition(FIT_PARTITIONS, fx.GROUP, fx.PROVIDER).sortWithinPartitions(fx.GROUP, fx.PROVIDER)
+# Rows of a partition, where there are more than FIT_PARTITIONS of them.
+FIT_ROWS = 250_000
+
+
+def _fit_partitions(e: DataFrame) -> int:
+    """Partitions for the materialised rows ``e``: their number follows the rows alone."""
+    return max(FIT_PARTITIONS, -(-e.count() // FIT_ROWS))
+
+
+def _dealt(e: DataFrame, n: int = FIT_PARTITIONS) -> DataFrame:
+    return e.repartition(n, fx.GROUP, fx.PROVIDER).sortWithinPartitions(fx.GROUP, fx.PROVIDER)
 
 
 def _joined_once(spark, sf) -> DataFrame:
@@ -782,7 +791,8 @@ def _km_model(spark, sf):
     """Spark ML k-means (k=2, seed 1, k-means|| start, to tolerance) fitted on the training
     rows: (model, assembled rows)."""
     from ..operators import kmeans
-    data = features.assemble(_dealt(_model_input(spark, sf)), KM_FEATURES, "features")
+    rows = _model_input(spark, sf)
+    data = features.assemble(_dealt(rows, _fit_partitions(rows)), KM_FEATURES, "features")
     train = data.where(F.col(flows.SPLIT)).persist()
     try:
         return kmeans.fit_kmeans_ml(train, "features", KM_K, 1), data
