@@ -10,7 +10,7 @@ from ..operators.errors import error_report, order_report
 from ..operators.features import SPLIT_SEED, TRAIN_PERCENT, index_table, with_split
 from ..operators.joins import provider_group_count
 from ..operators.linear import fit_ols, predict_ols
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from ..sources import fixtures as fx
 
 # Engineered column names
@@ -53,7 +53,8 @@ def analysis_table(spark: SparkSession, sf_dir: str, month: str = fx.PRICE_MONTH
                    groups: str = "size") -> DataFrame:
     # the provider counts are joined back to the rows they come from: materialised once, so the
     # base tables are read once
-    e = engineer(cut_lineage(fx.joined(spark, sf_dir, month, groups)), month)
+    rows = cut_lineage(fx.joined(spark, sf_dir, month, groups))
+    e = engineer(spread(rows, rows.count(), fx.PROVIDER), month)
     return with_group_index(e) if indexed else e
 
 

@@ -66,6 +66,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return spark.sparkContext.defaultParallelism
 
 
+# Rows of a shuffled table that a task takes at most, where the keys allow.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, by ``keys`` in as many partitions as leave ``TASK_ROWS`` to a
+    task. Unchanged where the session's shuffle partitions do already."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > shuffle_partitions(df.sparkSession) else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to any
     more. It does so when the driver collects garbage, which may be long after a large shuffle."""

@@ -16,6 +16,7 @@ Plan notes for scale: lineitem is pre-aggregated to (part, supplier, year) befor
 rows that reach the join shuffle. A wide price table reads only the months that are used: each
 month is an aggregate of its own, pruned when unused. Join strategies are left to Catalyst/AQE:
 ``part`` and ``supplier`` grow with the scale factor and must not be forced into a broadcast.
+The partitions of the two aggregates follow the number of lineitems (``session.spread``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .tables import table
 
 # Fixed values of the stand-in tables (must match the oracle SQL in plans/oracle.py).
@@ -44,8 +46,10 @@ def _cents(c) -> F.Column:
     return F.round(c * 100).cast("bigint")
 
 
-def _line_sums(spark: SparkSession, sf_dir: str, by_year: bool) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+def _line_sums(spark: SparkSession, sf_dir: str, by_year: bool, lines: int) -> DataFrame:
+    # by part, which the next join needs as well
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_tax", "l_discount"), lines, "l_partkey")
     price = F.col("l_extendedprice")
     year = [F.year("l_shipdate").alias("l_year")] if by_year else []
     return li.groupBy("l_partkey", "l_suppkey", *year).agg(
@@ -63,11 +67,14 @@ def _payments_by(spark: SparkSession, sf_dir: str, group_expr: F.Column, part_co
     provider = F.col("l_suppkey").cast("string")
     if by_year:
         provider = F.concat_ws("-", provider, F.col("l_year").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").count()  # from the files' footers
     rows = (
-        _line_sums(spark, sf_dir, by_year)
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(group_expr.alias(GROUP), provider.alias(PROVIDER), F.col("s_nationkey"))
+        spread(
+            _line_sums(spark, sf_dir, by_year, lines)
+            .join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .withColumns({GROUP: group_expr, PROVIDER: provider}), lines, GROUP, PROVIDER, "s_nationkey")
+        .groupBy(GROUP, PROVIDER, "s_nationkey")
         .agg(
             F.sum("n").alias("n"),
             F.sum("paid_c").alias("paid_c"),
