@@ -39,7 +39,10 @@ def fit_gamma(train: DataFrame, features: list[str], label: str = "label", group
     rows = (train if group else train.withColumn(ALL, F.lit(0))).select(g, *xs, F.col(_q(label)).cast("double").alias("y")).dropna()
     rows = rows.withColumn("y", F.when(F.col("y") > 0, F.col("y")).otherwise(F.raise_error(F.lit("gamma labels must be positive")).cast("double")))
     moments = cut_lineage(group_moments(rows, g, [f"x_{i}" for i in range(k)], "y").drop("m_y"))
-    rows = cut_lineage(rows.join(moments.drop("n"), g).select(g, "y", *((F.col(f"x_{i}") - F.col(f"m_{i}")).alias(f"d_{i}") for i in range(k))))
+    # a pooled fit's single row is broadcast: a shuffle on its constant key would put all rows
+    # into one task
+    beside = (lambda few: few) if group else F.broadcast
+    rows = cut_lineage(rows.join(beside(moments.drop("n")), g).select(g, "y", *((F.col(f"x_{i}") - F.col(f"m_{i}")).alias(f"d_{i}") for i in range(k))))
     names = ["b", *[f"b_{i}" for i in range(k)]]
     coefficients = None
     for _ in range(rounds + 1):
@@ -47,9 +50,9 @@ def fit_gamma(train: DataFrame, features: list[str], label: str = "label", group
             work = rows.select(g, *(f"d_{i}" for i in range(k)), F.lit(1.0).alias("w"), (1.0 / F.col("y")).alias("z"),
                                (1.0 / F.col("y")).alias("eta"))
         else:
-            # a row per group: AQE broadcasts it while it is small
+            # a row per group: AQE broadcasts those of groups while they are small
             eta = sum((F.col(f"b_{i}") * F.col(f"d_{i}") for i in range(k)), F.col("b"))
-            work = rows.join(coefficients, g).withColumn("eta", eta).withColumn("mu", _mean(F.col("eta"))).select(
+            work = rows.join(beside(coefficients), g).withColumn("eta", eta).withColumn("mu", _mean(F.col("eta"))).select(
                 g, *(f"d_{i}" for i in range(k)), (F.col("mu") * F.col("mu")).alias("w"),
                 (F.col("eta") - (F.col("y") - F.col("mu")) / (F.col("mu") * F.col("mu"))).alias("z"), "eta")
         penalty = ridge_steps(k, ridge) if coefficients is None else [(f"c_{i}_{i}", f"c_{i}_{i} + {ridge!r} * n") for i in range(k)]

@@ -257,3 +257,17 @@ def test_growers_get_a_row_per_cell(spark, monkeypatch, in_task):
     for r in boosted.predict(df).collect():
         assert abs(r["prediction"] - means[(r["g"], r["a"], r["b"])]) < 1e-9
     assert forest.predict(df).where("prediction IS NULL").count() == 0
+
+
+def test_pooled_gamma_rounds_shuffle_no_rows(spark, table, monkeypatch):
+    """Whatever the planner takes a checkpoint's size to be, no round sends all rows to one task."""
+    from paysift.operators import glm
+    plans, real = [], glm._solve
+    monkeypatch.setattr(glm, "_solve", lambda work, *args: (plans.append(work._jdf.queryExecution().executedPlan().toString()), real(work, *args))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coef = glm.fit_gamma(table.where(F.col(flows.SPLIT)), flows.GROUP_FEATURES, flows.LABEL, None, 2, 0.3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert coef.count() == 1 and len(plans) == 3
+    assert not any("hashpartitioning" in plan for plan in plans)
