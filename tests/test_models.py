@@ -271,3 +271,23 @@ def test_pooled_gamma_rounds_shuffle_no_rows(spark, table, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert coef.count() == 1 and len(plans) == 3
     assert not any("hashpartitioning" in plan for plan in plans)
+
+
+def test_kmeans_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from paysift.plans import catalog
+    monkeypatch.setattr(catalog, "FIT_ROWS", 40)
+    _, data = catalog._km_model(spark, SF_SMOKE)
+    assert data.rdd.getNumPartitions() == -(-data.count() // 40) > catalog.FIT_PARTITIONS
+
+
+def test_scores_walk_each_vector_once(spark):
+    """Rows of one feature vector share one walk of the trees; null features match as well."""
+    rows = [("g", str(i), float(i % 4), float(i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, id string, a double, label double")
+    model = trees.fit_tree(df, ["g"], ["id"], ["a"], "label")
+    scored = model.predict(df.unionByName(spark.createDataFrame([("g", "n", None, 0.0)], df.schema)))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [g" in plan and "_x" in plan.split("Aggregate [g", 1)[1][:60]
+    out = {r["id"]: r["prediction"] for r in scored.collect()}
+    assert len(out) == 201 and out["n"] is not None
+    assert all(out[str(i)] == float(i % 4) for i in range(200))
