@@ -5,10 +5,10 @@ character, taken modulo a prime where the alphabet is larger) and hands over (la
 rows; Spark adds them up. All orders, discounts, context totals and interpolated probabilities
 come from joins of these sharded count tables, and the whole tables stay in Spark.
 
-Scoring: texts are gathered in chunks of about ``CHUNK`` characters by a hash of the row. Each
-chunk names the distinct n-grams and contexts of its texts once, a join with the sharded tables
-gives their probabilities, and these meet the chunk's texts in one task: sorted arrays of
-codes, found by binary search, beside a matrix of log-probabilities with one column per label.
+Scoring: texts are gathered in chunks of about ``CHUNK`` characters by a hash of the row. Every
+task packs its rows of a chunk, compressed together, before they are shuffled. Each chunk names
+the distinct n-grams and contexts of its texts once, a join with the sharded tables gives their
+probabilities, and these meet the chunk's texts in one task: sorted arrays of codes, found by binary search, beside a matrix of log-probabilities with one column per label.
 An n-gram that is in no label's table backs off to its suffix. What a task holds is bounded by
 its chunk (rows equal in id and text share a chunk), not by the tables.
 """
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage, release, shuffle_partitions
 
 CHUNK = 1 << 24  # characters that are scored together
 MAX_LABELS = 64  # labels scored together; further ones in further parts
 SEGMENT = 1 << 18
 _PRIMES = {21: 2097143, 16: 65521, 12: 4093, 10: 1021}  # the largest below 2**bits - 1
+PACKED = 1 << 25  # bytes of rows that a task holds before it hands them over packed
 _HELD = 1 << 20  # distinct n-grams that a task holds before it hands them over
 
 
@@ -278,6 +279,41 @@ def labels_of(counts: DataFrame) -> list[str]:
     return sorted(r["label"] for r in counts.where("k = 1").select("label").distinct().collect())
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, chunk, packed): a task's rows of a part and chunk as compressed Arrow streams."""
+    held: dict[tuple[int, int], list[pa.RecordBatch]] = {}
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (part, chunk), some in held.items():
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, some[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
+                stream.write_table(pa.Table.from_batches(some).combine_chunks())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())],
+                names=["part", "chunk", "packed"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, chunk = (batch.column(c).to_numpy() for c in ("part", "chunk"))
+        order = np.lexsort((chunk, part))
+        part, chunk, batch = part[order], chunk[order], batch.take(pa.array(order))
+        first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (chunk[1:] != chunk[:-1])])
+        for begin, end in zip(first, np.append(first[1:], len(part)), strict=True):
+            held.setdefault((int(part[begin]), int(chunk[begin])), []).append(batch.slice(begin, end - begin))
+        size += batch.nbytes
+        if size > PACKED:
+            yield from rows()
+            held.clear()
+            size = 0
+    yield from rows()
+
+
+def _unpacked(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
 def _needs(order: int, fold: bool):
     """(part, chunk, kind, code): what scoring the texts looks up, once per part and chunk."""
     bits = bits_of(order)
@@ -297,11 +333,9 @@ def _needs(order: int, fold: bool):
                     [full(key[0], np.int32), full(key[1], np.int64), full(kind, np.int32), pa.array(x.view(np.int64))], names=["part", "chunk", "kind", "code"])
 
         for batch in batches:
-            groups: dict[tuple[int, int], list[str]] = {}
-            for part, chunk, text in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist(), batch.column("text"), strict=True):
-                groups.setdefault((part, chunk), []).append(text.as_py())
-            for key, texts in groups.items():
-                for _, _, codes in ngram_codes(texts, order, fold):
+            for part, chunk, packed in zip(*(batch.column(c) for c in ("part", "chunk", "packed")), strict=True):
+                key = part.as_py(), chunk.as_py()
+                for _, _, codes in ngram_codes(_unpacked(packed)["text"].to_pylist(), order, fold):
                     own = held.setdefault(key, [])
                     own.append(np.unique(codes))
                     if sum(map(len, own[1:])) > max(_HELD, len(own[0])):
@@ -323,11 +357,13 @@ def score_chunks(texts: DataFrame, table: DataFrame, size: int, order: int, fold
     characters), where the model holds the rows of ``table`` (part, place, kind, code, v) that
     the texts need: part is a set of labels and place the label's column in it."""
     n = max(2 * math.ceil(size / chunk), shuffle_partitions(texts.sparkSession))
-    together = texts.repartition(n, "part", "chunk")
+    release(texts.sparkSession)  # the counting's shuffles, before the texts'
+    together = texts.mapInArrow(_packed, "part int, chunk long, packed binary").repartition(n, "part", "chunk")
     needed = together.mapInArrow(_needs(order, fold), "part int, chunk long, kind int, code long").join(
         table, ["part", "kind", "code"]).select("part", "chunk", "kind", "code", "place", "v")
 
-    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, own: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([_unpacked(x) for x in packed["packed"]])
         kind, code, place, v = (own[c].to_numpy() for c in ("kind", "code", "place", "v"))
         return score(_model(kind, code.view(np.uint64), place, v, list(range(int(place.max()) + 1)), order, fold), rows)
 

@@ -2,8 +2,10 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from paysift.llm import char_lm
 from paysift.llm.char_lm import count_ngrams, gather, ngram_codes, quantiles
 from paysift.llm.language_id import FOLDS, identify_language
 from paysift.llm.quality_classifier import classify_quality
@@ -157,3 +159,33 @@ def test_more_labels_than_are_scored_together(spark):
     assert len(got) == len(rows) + 1 and all(r["lang_pred"] == lang[r["doc_id"]] and 0 < r["score"] <= 1 and r["margin"] > 0 for r in got)
     labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
     assert classify_quality(docs, labels).where("perplexity IS NOT NULL AND kept").count() == len(rows) + 1
+
+
+def test_rows_are_packed_by_part_and_chunk(monkeypatch):
+    draw = np.random.default_rng(9)
+    words = ["".join(w) for w in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), (500, 7))]
+    rows = [{"part": k % 2, "chunk": k % 3, "doc_id": k if k % 5 else None, "text": " ".join(draw.choice(words, 300)) + "é\0"} for k in range(240)]
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("chunk", pa.int64()), ("text", pa.string())])
+    table = pa.Table.from_pylist([*rows, rows[0]], schema)
+    for held in (1 << 25, 1 << 16):
+        monkeypatch.setattr(char_lm, "PACKED", held)
+        batches = table.to_batches(max_chunksize=30)
+        out = pa.Table.from_batches(char_lm._packed(iter([*batches, batches[0].slice(0, 0)])))
+        keys = list(zip(out["part"].to_pylist(), out["chunk"].to_pylist(), strict=True))
+        assert set(keys) == {(p, c) for p in range(2) for c in range(3)} and (len(keys) == 6) == (held > 1 << 20)
+        back = pa.concat_tables([char_lm._unpacked(x) for x in out["packed"]])
+        assert [(r["part"], r["chunk"]) for x in out["packed"] for r in char_lm._unpacked(x).to_pylist()[:1]] == keys
+        same = [("doc_id", "ascending"), ("text", "ascending")]
+        assert back.select(schema.names).sort_by(same).equals(table.sort_by(same))
+        assert out["packed"].nbytes < 0.6 * table.nbytes
+    assert list(char_lm._packed(iter([]))) == []
+
+
+def test_texts_are_shuffled_packed(spark):
+    texts = spark.createDataFrame([(1, "the cat", 0, 0), (2, "a dog", 0, 1)], "doc_id long, text string, part int, chunk long")
+    table = spark.createDataFrame([(0, 0, 0, 0, -1.0)], "part int, place int, kind int, code long, v float")
+    out = char_lm.score_chunks(texts, table, 12, 4, False, lambda model, rows: rows.select(["doc_id", "text"]), "doc_id long, text string")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" in line]
+    assert "MapInArrow _packed" in plan
+    assert sorted(map(tuple, out.collect())) == [(1, "the cat"), (2, "a dog")]
