@@ -13,7 +13,7 @@ of two frequent pairs, and so on; a window ends before its first prefix that is
 ``least`` times: that phrase can't be kept, and its own prefixes count the window all the same.
 Tasks look prefixes up in bitmaps of fixed size (``marks``), which may let rare ones through but
 hold no frequent one back. Every scan cuts texts into words as arrays and adds up what a batch
-holds before it is handed to Spark.
+holds before it is handed to Spark. The shuffle of a scan is released when its bitmap stands.
 
 Scores are exact: products are decimals of 38 digits, enough for 10**15 words a language.
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .marks import hashed_bitmap, places_in
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # between pieces
@@ -178,6 +178,8 @@ def windows(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
         hashes = rows.mapInArrow(_prefix_counts(m, list(shared)), "prefix long, n long")
         frequent = hashes.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("prefix")
         shared.append(hashed_bitmap(frequent))
+        del hashes, frequent
+        release(docs.sparkSession)
     schema = ", ".join(["lang string", *(f"{c} string" for c in _columns(width)), "n long"])
     return rows.mapInArrow(_windows(width, shared), schema)
 
@@ -244,6 +246,7 @@ def collocations(docs: DataFrame, width: int = 3, least: int = 10, share: int =
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases."""
     names = _columns(width)
     counts = cut_lineage(phrase_counts(docs, width, least))
+    release(docs.sparkSession)
     scored = score_candidates(counts, width)
     if width > 2:
         gone = inside_longer(counts, width, share)

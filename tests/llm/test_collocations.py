@@ -87,3 +87,14 @@ def test_query_matches_duckdb(spark):
     expect = con.sql(ORACLE["op13_collocations"]).select(*COLUMNS).fetchall()
     got = sorted(tuple(r[c] for c in COLUMNS) for r in QUERIES["op13_collocations"](spark, SF_SMALL).collect())
     assert len(got) > 1000 and got == sorted(expect)
+
+
+def test_finished_scans_are_released(spark, monkeypatch):
+    """Each scan's shuffle is released once its bitmap stands, before the windows are counted."""
+    calls = []
+    monkeypatch.setattr(co, "hashed_bitmap", lambda x, real=co.hashed_bitmap: (calls.append("bitmap"), real(x))[1])
+    monkeypatch.setattr(co, "release", lambda s: calls.append("release"))
+    docs = spark.createDataFrame([("a b c. " * 12, "en")], "text string, lang string")
+    got = co.collocations(docs).collect()
+    assert calls == ["bitmap", "release", "bitmap", "release", "release"]
+    assert [tuple(r) for r in got] == [tuple(r) for r in brute([("a b c. " * 12, "en")])]
