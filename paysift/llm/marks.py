@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BITS = 26
 _BLOCK = 32768  # bits of one row of bitmap_construct_agg
 
@@ -60,33 +62,43 @@ def places_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _pick(shared, column: str, hit: bool):
+def _pick(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             at = batch.column(column).to_numpy() - 1
             found = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            yield batch.drop_columns([column]).filter(pa.array(found == hit))
+            yield batch.drop_columns([column]).filter(pa.array(found))
 
     return run
 
 
-def _picked(rows: DataFrame, key: str, shared, hit: bool) -> DataFrame:
-    column = "_place"
-    while column in {c.lower() for c in rows.columns}:
-        column += "_"
-    return rows.withColumn(column, place(key)).mapInArrow(_pick(shared, column, hit), rows.schema)
+def _free(name: str, rows: DataFrame) -> str:
+    """``name``, or a longer one that is no column of ``rows``."""
+    while name in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
 
 
 def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` (long) is not in ``ids`` (first column)."""
-    return _picked(rows, key, bitmap(ids), True)
+    column = _free("_place", rows)
+    return rows.withColumn(column, place(key)).mapInArrow(_pick(bitmap(ids), column), rows.schema)
 
 
 def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``rows`` but those whose ``key`` (long) is in ``ids`` (first column, distinct). Unmarked rows
     stay where they are; only marked ones are shuffled to the exact anti-join, where the ids
-    are the hashed side."""
-    shared = bitmap(ids)
-    maybe = _picked(rows, key, shared, True).join(ids.select(F.col(ids.columns[0]).alias(key)).hint("shuffle_hash"), key, "left_anti")
-    return _picked(rows, key, shared, False).unionByName(maybe.select(*rows.columns))
+    are the hashed side. The bitmap's blocks are a broadcast table here, since whole rows, with
+    all their texts, would take much memory as Arrow batches in the executors' Python workers."""
+    block, bits = _free("_block", rows), _free("_bits", rows)
+    own = place(ids.columns[0])
+    # At most 2**BITS / _BLOCK rows of _BLOCK bits, 8 MB.
+    blocks = cut_lineage(ids.groupBy(F.bitmap_bucket_number(own).alias(block)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias(bits)))
+    at = place(key)
+    bit = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(blocks), F.bitmap_bucket_number(at) == F.col(block), "left")
+    hit = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+    maybe = found.where(hit).drop(block, bits).join(ids.select(F.col(ids.columns[0]).alias(key)).hint("shuffle_hash"), key, "left_anti")
+    return found.where(~hit).drop(block, bits).unionByName(maybe.select(*rows.columns))

@@ -132,6 +132,14 @@ def test_without_drops_exactly_the_ids(spark):
     assert without(rows, "doc_id", spark.range(0).toDF("id")).count() == 3001
 
 
+def test_without_keeps_rows_out_of_python(spark):
+    """Whole rows, texts included, stay in the JVM: no Arrow batches of them."""
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "'x' AS _block", "'y' AS _BITS")
+    out = without(rows, "doc_id", spark.range(0, 40_000, 3).toDF("id"))
+    assert out.columns == rows.columns and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"] for r in out.collect()} == {i for i in range(40_000) if i % 3}
+
+
 def test_sql(spark):
     import duckdb
 
