@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, release, shuffle_partitions
+from .marks import trim, trimmed
 
 CHUNK = 1 << 24  # characters that are scored together
 MAX_LABELS = 64  # labels scored together; further ones in further parts
@@ -124,7 +125,7 @@ def count_ngrams(texts: DataFrame, order: int, fold: bool) -> DataFrame:
     """(label, k, code, n): the n-grams of ``texts`` (label, text) and the continuation counts
     of all shorter ones (k characters), that is the number of distinct characters before them."""
     bits = bits_of(order)
-    level = cut_lineage(texts.mapInArrow(_count(order, fold), "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n")))
+    level = cut_lineage(texts.mapInArrow(trimmed(_count(order, fold)), "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n")))
     out = level.select("label", F.lit(order).alias("k"), "code", "n")
     for k in range(order - 1, 0, -1):
         level = cut_lineage(level.groupBy("label", F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n")))
@@ -358,14 +359,17 @@ def score_chunks(texts: DataFrame, table: DataFrame, size: int, order: int, fold
     the texts need: part is a set of labels and place the label's column in it."""
     n = max(2 * math.ceil(size / chunk), shuffle_partitions(texts.sparkSession))
     release(texts.sparkSession)  # the counting's shuffles, before the texts'
-    together = texts.mapInArrow(_packed, "part int, chunk long, packed binary").repartition(n, "part", "chunk")
-    needed = together.mapInArrow(_needs(order, fold), "part int, chunk long, kind int, code long").join(
+    together = texts.mapInArrow(trimmed(_packed), "part int, chunk long, packed binary").repartition(n, "part", "chunk")
+    needed = together.mapInArrow(trimmed(_needs(order, fold)), "part int, chunk long, kind int, code long").join(
         table, ["part", "kind", "code"]).select("part", "chunk", "kind", "code", "place", "v")
 
     def run(packed: pa.Table, own: pa.Table) -> pa.Table:
         rows = pa.concat_tables([_unpacked(x) for x in packed["packed"]])
         kind, code, place, v = (own[c].to_numpy() for c in ("kind", "code", "place", "v"))
-        return score(_model(kind, code.view(np.uint64), place, v, list(range(int(place.max()) + 1)), order, fold), rows)
+        try:
+            return score(_model(kind, code.view(np.uint64), place, v, list(range(int(place.max()) + 1)), order, fold), rows)
+        finally:
+            trim()
 
     return together.groupBy("part", "chunk").cogroup(needed.groupBy("part", "chunk")).applyInArrow(run, schema)
 

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .marks import trimmed
 from .templates import NAME, named, readings
 from .words import mix, parts
 
@@ -160,7 +161,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted((r["width"], r["reading"]) for r in items.select("width", "reading").distinct().collect())
     shared = spark.sparkContext.broadcast((marks, widths))
     windows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _document_windows(shared), _SCHEMA.format(id="doc_id"))
+        trimmed(_document_windows(shared)), _SCHEMA.format(id="doc_id"))
     own = ["item_id", "n_words", "reading"]
     sizes = items.groupBy(*own, "width").agg(F.count_distinct("place").alias("item_windows"))
     pairs = cut_lineage(windows.select("doc_id", "place", "word", "code", "width", "reading", "slots").join(

@@ -6,8 +6,10 @@ drop. Its size is ``2**BITS`` bits whatever the number of ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,28 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, a step of ``mapInArrow``, which leaves its Python worker trimmed. Spark keeps the workers
+    of ended tasks for the next ones: what each had at its most would stay beside the heap."""
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def place(c: str | Column) -> Column:
     """The bit of an id, from 1."""
     return F.pmod(F.xxhash64(c), F.lit(1 << BITS)) + 1
@@ -83,7 +107,7 @@ def _free(name: str, rows: DataFrame) -> str:
 def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` (long) is not in ``ids`` (first column)."""
     column = _free("_place", rows)
-    return rows.withColumn(column, place(key)).mapInArrow(_pick(bitmap(ids), column), rows.schema)
+    return rows.withColumn(column, place(key)).mapInArrow(trimmed(_pick(bitmap(ids), column)), rows.schema)
 
 
 def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, release
 from .components import components
-from .marks import marked, small_batches
+from .marks import marked, small_batches, trimmed
 from .words import mix, parts, word_hashes
 
 COORDS, ROWS, BANDS = 256, 4, 32
@@ -149,7 +149,7 @@ def _confirmed(likely: DataFrame, texts: DataFrame, width: int, percent: int) ->
     texts = marked(texts, "doc_id", likely.select(F.explode(F.array("a", "b")).alias("id")))
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     return cut_lineage(likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(
-        _verify_batches(width, percent), "a long, b long"))
+        trimmed(_verify_batches(width, percent)), "a long, b long"))
 
 
 def _set_batches(width: int):
@@ -203,12 +203,12 @@ def _within_clusters(cluster: DataFrame, label: DataFrame, texts: DataFrame, wid
     member = member.join(mixed, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     member = cut_lineage(member)
     full = marked(texts, "doc_id", member.select("doc_id")).join(member.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = cut_lineage(member.join(full.mapInArrow(_set_batches(width), "doc_id long, hashes array<long>"), "doc_id"))
+    held = cut_lineage(member.join(full.mapInArrow(trimmed(_set_batches(width)), "doc_id long, hashes array<long>"), "doc_id"))
     packed = F.collect_list(F.struct("doc_id", "component", "hashes"))
     every = held.groupBy("cluster", "block").agg(packed.alias("other"))
     outside = held.where("component <> largest").groupBy("cluster", "block", "blocks").agg(packed.alias("mine"))
     facing = outside.select("cluster", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return cut_lineage(facing.join(every, ["cluster", "block"]).select("mine", "other").mapInArrow(_block_batches(percent), "a long, b long").distinct())
+    return cut_lineage(facing.join(every, ["cluster", "block"]).select("mine", "other").mapInArrow(trimmed(_block_batches(percent)), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = THRESH
 def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = cut_lineage(texts.mapInArrow(
-        _sketch_batches(width),
+        trimmed(_sketch_batches(width)),
         "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, bands array<long>"))
     key = ["n_shingles", "set_a", "set_b"]
     filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")

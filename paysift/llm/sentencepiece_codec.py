@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .marks import trimmed
 from .sentencepiece_model import BPE, BYTE, NORMAL, SPACE, UNIGRAM, Model, read_model
 
 REMEMBER = 500_000
@@ -213,5 +214,5 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, full: b
         schema += ", input_ids array<int>, decoded string"
     kinds = dict(rows.dtypes)
     schema += "".join(f", `carried_{c}` {kinds[f'carried_{c}']}" for c in carry)
-    out = rows.mapInArrow(_run(model_path, threads, full, carry), schema)
+    out = rows.mapInArrow(trimmed(_run(model_path, threads, full, carry)), schema)
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})

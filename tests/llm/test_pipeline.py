@@ -105,3 +105,28 @@ def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "pii", "sentencepiece"]
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    """Also when a step is left before its end."""
+    from paysift.llm import marks
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    held = [bytes(50_000) for _ in range(4000)]
+    last = bytes(50_000)  # keeps the heap's end in use
+    full = resident()
+    held.clear()
+    marks.trim()
+    assert last and resident() < full - 150_000_000
+
+    seen = []
+    monkeypatch.setattr(marks, "trim", lambda: seen.append(1))
+    step = marks.trimmed(lambda batches: (b for b in batches))
+    assert list(step(iter([1, 2]))) == [1, 2] and seen == [1]
+    some = step(iter([1, 2]))
+    assert next(some) == 1
+    some.close()
+    assert seen == [1, 1]
