@@ -52,7 +52,7 @@ def _model_input(spark, sf, ml: bool = False) -> DataFrame:
     if ml:
         from .models import ml_table
         e = ml_table(e)
-    return _dealt(cut_lineage(e)) if ml else cut_lineage(e)
+    return cut_lineage(e)
 
 
 # Partitions of the rows that a pooled Spark ML model is fitted on. Its bootstrap draws follow
@@ -478,14 +478,14 @@ def q_tree_grouped_predictions(spark, sf):
 def q_tree_pooled(spark, sf):
     from .models import pooled_report, tree_estimator
     return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("tree"),
-                                  flows.TREE_POOLED_FEATURES), REPORT_Q)
+                                  flows.TREE_POOLED_FEATURES, _dealt), REPORT_Q)
 
 
 @register("rf_pooled")
 def q_rf_pooled(spark, sf):
     from .models import pooled_report, tree_estimator
     return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("forest"),
-                                  flows.POOLED_FEATURES), REPORT_Q)
+                                  flows.POOLED_FEATURES, _dealt), REPORT_Q)
 
 
 def _rf_grouped_sql() -> str:
@@ -506,7 +506,7 @@ def q_rf_grouped(spark, sf):
 def q_gbt_pooled(spark, sf):
     from .models import pooled_report, tree_estimator
     return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("boosted"),
-                                  flows.POOLED_FEATURES), REPORT_Q)
+                                  flows.POOLED_FEATURES, _dealt), REPORT_Q)
 
 
 def _gbt_grouped_sql() -> str:
@@ -541,7 +541,7 @@ def q_gbt_live_pooled(spark, sf):
     """The pooled half of the live entry, through Spark ML."""
     from .models import pooled_report, tree_estimator
     return quantise(pooled_report(_model_input(spark, sf, ml=True), tree_estimator("boosted"),
-                                  flows.TREE_POOLED_FEATURES), REPORT_Q)
+                                  flows.TREE_POOLED_FEATURES, _dealt), REPORT_Q)
 
 
 GLM_REG = 0.3  # the original's L2 parameter
@@ -719,7 +719,7 @@ def q_rf_classifier(spark, sf):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     from .models import feature_importance
-    return quantise(feature_importance(_model_input(spark, sf, ml=True), flows.POOLED_FEATURES), {"importance": 8})
+    return quantise(feature_importance(_model_input(spark, sf, ml=True), flows.POOLED_FEATURES, _dealt), {"importance": 8})
 
 
 KM_FEATURES = flows.GLM_FEATURES

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import trees
 from ..operators.errors import error_report, order_report
 from ..operators.features import assemble, fit_string_index
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from . import flows
 
@@ -23,23 +25,22 @@ def ml_table(engineered: DataFrame) -> DataFrame:
     return fit_string_index(engineered, fx.GROUP, flows.DRG_INDEX).transform(engineered)
 
 
-def fit_pooled(df: DataFrame, estimator, features: list[str]):
-    """Assemble, split, fit on the training rows, which are cached during the fit. Returns
-    (model, train, test)."""
-    data = assemble(df, features, "features")
-    train, test = flows.train_test(data)
-    train = train.persist()
+def fit_pooled(df: DataFrame, estimator, features: list[str], deal: Callable[[DataFrame], DataFrame] | None = None):
+    """Split, assemble, fit on the training rows, laid out by ``deal`` and cached during the fit.
+    Returns (model, train, test); ``train`` and ``test`` are as in ``df``, without a shuffle."""
+    train, test = flows.train_test(df)
+    rows = assemble(train if deal is None else deal(train), features, "features").persist()
     try:
-        return estimator.fit(train), train, test
+        return estimator.fit(rows), train, test
     finally:
-        train.unpersist()
+        rows.unpersist()
 
 
-def pooled_report(df: DataFrame, estimator, features: list[str]) -> DataFrame:
-    """Pooled model: ``Overall`` plus per-group errors on the test rows."""
-    model, train, test = fit_pooled(df, estimator, features)
-    pred = model.transform(test)
-    return order_report(error_report(pred, train, fx.GROUP, flows.LABEL, "prediction", overall=True))
+def pooled_report(df: DataFrame, estimator, features: list[str], deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pooled model: ``Overall`` plus per-group errors on the test rows, which are scored once."""
+    model, train, test = fit_pooled(df, estimator, features, deal)
+    scored = cut_lineage(model.transform(assemble(test, features, "features")).select(fx.GROUP, flows.LABEL, "prediction"))
+    return order_report(error_report(scored, train, fx.GROUP, flows.LABEL, "prediction", overall=True))
 
 
 # Histogram memory per task for the deep boosted trees (100 bins): more nodes are split per
@@ -117,9 +118,9 @@ def best_first_split(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def feature_importance(df: DataFrame, features: list[str]) -> DataFrame:
+def feature_importance(df: DataFrame, features: list[str], deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pooled random forest importances as rows (feature, importance)."""
-    model, train, _ = fit_pooled(df, tree_estimator("forest"), features)
+    model, _, _ = fit_pooled(df, tree_estimator("forest"), features, deal)
     imp = model.featureImportances.toArray().tolist()
     return df.sparkSession.createDataFrame(list(zip(features, [float(v) for v in imp])), "feature string, importance double")
 
@@ -133,7 +134,6 @@ def predict_prices(spark, sf_dir: str, out_dir: str, kind: str = "tree", mode: s
     ``kind`` is ``tree`` (depth 3), ``boosted`` (10 rounds of depth 12: what the original's tree
     entries actually ran, on the tree's features with the house price) or ``forest``. Returns
     the written paths."""
-    from ..session import cut_lineage
     from ..sources.csv import write_reports
 
     table = lru_cache(maxsize=1)(lambda: cut_lineage(ml_table(flows.analysis_table(spark, sf_dir, indexed=False))))

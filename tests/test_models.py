@@ -291,3 +291,16 @@ def test_scores_walk_each_vector_once(spark):
     out = {r["id"]: r["prediction"] for r in scored.collect()}
     assert len(out) == 201 and out["n"] is not None
     assert all(out[str(i)] == float(i % 4) for i in range(200))
+
+
+def test_pooled_report_scores_rows_once(spark):
+    """The report reads scored rows and undealt training rows: groups and ``Overall`` don't each
+    score the test rows and deal the training rows again."""
+    from paysift.plans.catalog import _dealt
+    df = cut_lineage(models.ml_table(flows.analysis_table(spark, SF_SMOKE, indexed=False)))
+    report = models.pooled_report(df, models.tree_estimator("tree"), flows.TREE_POOLED_FEATURES, _dealt)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "UDF(" not in plan and f"hashpartitioning({fx.GROUP}" not in plan
+    rows = report.collect()
+    assert rows[0]["DRG"] == "Overall" and rows[0]["TestRows"] == df.where(~F.col(flows.SPLIT)).count()
+    assert sum(r["TrainRows"] for r in rows[1:]) == df.where(F.col(flows.SPLIT)).count()
