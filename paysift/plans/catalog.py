@@ -616,7 +616,7 @@ CLASS_FEATURES = ["drg_index", "zip_index", "price_index"]
 CLASS_WIDTH = 10_000
 
 
-def _class_table(spark, sf) -> DataFrame:
+def _class_rows(spark, sf) -> DataFrame:
     from ..session import cut_lineage
     j = clean.with_bucket_label(_joined_once(spark, sf), fx.PAYMENT, "payment_label", CLASS_WIDTH)
     j = features.with_split(j, [fx.GROUP, fx.PROVIDER], out=flows.SPLIT)
@@ -624,7 +624,11 @@ def _class_table(spark, sf) -> DataFrame:
     from pyspark.ml.feature import StringIndexer
     ins, outs = [fx.GROUP, fx.ZIP, M, "payment_label"], ["drg_index", "zip_index", "price_index", "label"]
     model = StringIndexer(inputCols=ins, outputCols=outs, stringOrderType="frequencyDesc").fit(j)
-    return _dealt(cut_lineage(model.transform(j)))
+    return cut_lineage(model.transform(j))
+
+
+def _class_table(spark, sf) -> DataFrame:
+    return _dealt(_class_rows(spark, sf))
 
 
 CLASS_SQL_CTES = [
@@ -675,7 +679,8 @@ def _named(pred: DataFrame, data: DataFrame, seen: DataFrame | None = None) -> D
     else:
         text = text.withColumn("position", F.col("value"))
     rows = pred.select(fx.GROUP, fx.PROVIDER, "label", F.col("prediction").alias("position"))
-    return rows.join(text, "position").select(fx.GROUP, fx.PROVIDER, "label", F.col("value").alias("prediction"), "original_value")
+    # a row per class: the scored rows stay where they are, instead of going by their class, which is skewed
+    return rows.join(F.broadcast(text), "position").select(fx.GROUP, fx.PROVIDER, "label", F.col("value").alias("prediction"), "original_value")
 
 
 @register("naive_bayes", O.with_ctes(
@@ -693,17 +698,22 @@ def q_accuracy(spark, sf):
 
 
 def _rf_predictions(spark, sf) -> DataFrame:
+    """Only the training rows, which the forest's draws follow, are dealt, and only what the fit
+    reads of them is kept, on disk: the forest holds all of them in memory in its own form."""
+    from pyspark import StorageLevel
     from pyspark.ml.classification import RandomForestClassifier
     from .models import FOREST_MEMORY_MB
-    data = features.assemble(_class_table(spark, sf), CLASS_FEATURES, "features")
-    train, test = data.where(F.col(flows.SPLIT)).persist(), data.where(~F.col(flows.SPLIT))
+    rows = _class_rows(spark, sf)
+    test = features.assemble(rows.where(~F.col(flows.SPLIT)), CLASS_FEATURES, "features")
+    train = features.assemble(_dealt(rows.where(F.col(flows.SPLIT))), CLASS_FEATURES, "features").select("features", "label")
+    train.persist(StorageLevel.DISK_ONLY)
     try:
         model = RandomForestClassifier(labelCol="label", impurity="gini", maxDepth=5, numTrees=20,
                                        featureSubsetStrategy="auto", maxBins=999, seed=SEED_ML,
                                        maxMemoryInMB=FOREST_MEMORY_MB).fit(train)
     finally:
         train.unpersist()
-    return _named(model.transform(test), data)
+    return _named(model.transform(test), rows)
 
 
 @register("rf_classifier_predictions")
@@ -789,11 +799,11 @@ def q_kmeans_centres(spark, sf):
 
 def _km_model(spark, sf):
     """Spark ML k-means (k=2, seed 1, k-means|| start, to tolerance) fitted on the training
-    rows: (model, assembled rows)."""
+    rows, of which only the features are cached: (model, assembled rows)."""
     from ..operators import kmeans
     rows = _model_input(spark, sf)
     data = features.assemble(_dealt(rows, _fit_partitions(rows)), KM_FEATURES, "features")
-    train = data.where(F.col(flows.SPLIT)).persist()
+    train = data.where(F.col(flows.SPLIT)).select("features").persist()
     try:
         return kmeans.fit_kmeans_ml(train, "features", KM_K, 1), data
     finally:

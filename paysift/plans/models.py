@@ -26,10 +26,11 @@ def ml_table(engineered: DataFrame) -> DataFrame:
 
 
 def fit_pooled(df: DataFrame, estimator, features: list[str], deal: Callable[[DataFrame], DataFrame] | None = None):
-    """Split, assemble, fit on the training rows, laid out by ``deal`` and cached during the fit.
-    Returns (model, train, test); ``train`` and ``test`` are as in ``df``, without a shuffle."""
+    """Split, assemble, fit on the training rows, laid out by ``deal`` and cached during the fit
+    (features and label only). Returns (model, train, test); ``train`` and ``test`` are as in ``df``,
+    without a shuffle."""
     train, test = flows.train_test(df)
-    rows = assemble(train if deal is None else deal(train), features, "features").persist()
+    rows = assemble(train if deal is None else deal(train), features, "features").select("features", flows.LABEL).persist()
     try:
         return estimator.fit(rows), train, test
     finally:

@@ -304,3 +304,24 @@ def test_pooled_report_scores_rows_once(spark):
     rows = report.collect()
     assert rows[0]["DRG"] == "Overall" and rows[0]["TestRows"] == df.where(~F.col(flows.SPLIT)).count()
     assert sum(r["TrainRows"] for r in rows[1:]) == df.where(F.col(flows.SPLIT)).count()
+
+
+def test_fits_cache_only_what_they_read(spark, monkeypatch):
+    """The rows that the forest classifier, k-means and pooled models keep for their fits are the features and the
+    label; the classifier's test rows are scored and named without a shuffle."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from paysift.plans import catalog
+
+    seen = {}
+    for kind in (RandomForestClassifier, KMeans, DecisionTreeRegressor):
+        monkeypatch.setattr(kind, "fit", lambda self, rows, own=kind.fit, name=kind.__name__: seen.setdefault(name, rows.columns) and own(self, rows))
+    scored = catalog._rf_predictions(spark, SF_SMOKE)
+    catalog._km_model(spark, SF_SMOKE)
+    df = catalog._model_input(spark, SF_SMOKE, ml=True)
+    models.fit_pooled(df, models.tree_estimator("tree"), flows.TREE_POOLED_FEATURES)
+    assert seen == {"RandomForestClassifier": ["features", "label"], "KMeans": ["features"], "DecisionTreeRegressor": ["features", "label"]}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.count("Exchange hashpartitioning(DRGDefinition") + plan.count("Exchange hashpartitioning(position")
+    assert scored.count() > 0 and dealt == 0
