@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .marks import trimmed
+from .marks import small_batches, trimmed
 from .templates import NAME, named, readings
 from .words import mix, parts
 
@@ -152,6 +152,11 @@ def _document_windows(shared):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per leaked (doc_id, item_id): place (first word), n_windows, item_windows,
     n_slots, n_changed, kind (``verbatim`` or ``template``)."""
+    with small_batches(docs.sparkSession):
+        return _leaks(docs, benchmark)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = cut_lineage(benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
                         .distinct().mapInArrow(_item_windows, _SCHEMA.format(id="item_id")))

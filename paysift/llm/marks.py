@@ -7,6 +7,7 @@ drop. Its size is ``2**BITS`` bits whatever the number of ids.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -44,11 +45,27 @@ def trim() -> None:
         pass
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+#: By name, the caches in which a step keeps large models in its Python worker for its further tasks.
+KEPT: dict = {}
+
+
+def forget(but: str | None = None) -> None:
+    """Empties the caches that other steps than ``but`` have left in this process."""
+    full = [cache for name, cache in KEPT.items() if name != but and cache.cache_info().currsize]
+    for cache in full:
+        cache.cache_clear()
+    if full:
+        gc.collect()
+        trim()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None):
     """``run``, a step of ``mapInArrow``, which leaves its Python worker trimmed. Spark keeps the workers
-    of ended tasks for the next ones: what each had at its most would stay beside the heap."""
+    of ended tasks for the next ones: what each had at its most would stay beside the heap. Of the
+    caches in ``KEPT`` only ``keep`` is kept for it."""
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
         try:
             yield from run(batches)
         finally:

@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .marks import trimmed
+from .marks import KEPT, trimmed
 from .sentencepiece_model import BPE, BYTE, NORMAL, SPACE, UNIGRAM, Model, read_model
+from .words import parts
 
 REMEMBER = 500_000
 LONG_RUN = 256  # longer runs aren't remembered
@@ -163,6 +164,9 @@ def codec_of(path: str, threads: int) -> Codec:
     return Codec(path, threads)
 
 
+KEPT["sentencepiece"] = codec_of
+
+
 def _batches(texts: list[str], size: int = BATCH_CHARS) -> Iterator[slice]:
     begin = total = 0
     for k, text in enumerate(texts):
@@ -177,7 +181,7 @@ def _batches(texts: list[str], size: int = BATCH_CHARS) -> Iterator[slice]:
 def _run(path: str, threads: int, full: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, threads)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             names, texts = batch.column("doc_id"), batch.column("text")
             for part in _batches([x.as_py() or "" for x in texts]):
                 own = [x.as_py() or "" for x in texts[part.start:part.stop]]
@@ -214,5 +218,5 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, full: b
         schema += ", input_ids array<int>, decoded string"
     kinds = dict(rows.dtypes)
     schema += "".join(f", `carried_{c}` {kinds[f'carried_{c}']}" for c in carry)
-    out = rows.mapInArrow(trimmed(_run(model_path, threads, full, carry)), schema)
+    out = rows.mapInArrow(trimmed(_run(model_path, threads, full, carry), keep="sentencepiece"), schema)
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})

@@ -130,3 +130,26 @@ def test_workers_give_freed_memory_back(monkeypatch):
     assert next(some) == 1
     some.close()
     assert seen == [1, 1]
+
+
+def test_steps_forget_what_others_kept(spark, monkeypatch):
+    """A codec stays in its Python worker for the next tasks of its own step, and for no other's."""
+    from paysift.llm import marks, sentencepiece_codec
+
+    model = vocabulary("piece_bpe_32k.model")
+    monkeypatch.setattr(marks, "trim", lambda: None)
+    codec = sentencepiece_codec.codec_of(model, 1)
+    own = marks.trimmed(lambda batches: batches, keep="sentencepiece")
+    assert list(own(iter([1]))) == [1] and sentencepiece_codec.codec_of(model, 1) is codec
+    assert list(marks.trimmed(lambda batches: batches)(iter([1]))) == [1]
+    assert sentencepiece_codec.codec_of.cache_info().currsize == 0
+
+
+def test_leaks_are_sought_in_small_batches(spark, tables, monkeypatch):
+    from paysift.llm import decontamination
+
+    seen, name, cut = [], "spark.sql.execution.arrow.maxRecordsPerBatch", decontamination.cut_lineage
+    before = spark.conf.get(name)
+    monkeypatch.setattr(decontamination, "cut_lineage", lambda df: seen.append(int(spark.conf.get(name))) or cut(df))
+    decontamination.find_leaks(spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet"))
+    assert seen and max(seen) <= 2000 and spark.conf.get(name) == before
