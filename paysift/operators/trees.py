@@ -83,6 +83,8 @@ def _poisson_weight(u: Column) -> Column:
     return sum((u >= F.lit(p)).cast("int") for p in _POISSON_CDF).cast("double")
 
 
+# Feature vectors of a key that are scored by one row.
+PACK_VECTORS = 1000
 # Leading bits (after the first) of a value that its histogram bucket keeps.
 HISTOGRAM_BITS = 9
 
@@ -553,15 +555,28 @@ def model_table(model: TreeEnsemble) -> DataFrame:
     return trees.groupBy(*model.key).agg(F.array_sort(F.collect_list("_t"), by_tree).alias("_trees"))
 
 
+def _packed_vectors(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The distinct feature vectors of every key in arrays of about ``PACK_VECTORS``: ``key.., _xs``."""
+    vectors = rows.select(*key, "_x").distinct()
+    parts = vectors.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(PACK_VECTORS)).alias("_parts"))
+    return (
+        vectors.join(parts, key).withColumn("_xpart", F.expr("pmod(xxhash64(_x), _parts)"))
+        .groupBy(*key, "_xpart").agg(F.collect_list("_x").alias("_xs")).drop("_xpart")
+    )
+
+
 def predict_ensemble(model: TreeEnsemble, df: DataFrame, out: str = "prediction") -> DataFrame:
-    """Score rows: the distinct feature vectors of a key are joined with its model, and each walks
-    the key's trees inside the JVM (``aggregate`` over the depth, one array access per level),
-    then leaf values are combined: mean for forests, weighted sum for boosting. The rows get
-    the score of their vector by a join."""
-    x = F.col("_x")
+    """Score rows: the distinct feature vectors of a key are joined with its model, a pack of them
+    at a time, and each walks the key's trees inside the JVM (``aggregate`` over the depth, one
+    array access per level), then leaf values are combined: mean for forests, weighted sum for
+    boosting. The rows get the score of their vector by a join.
+
+    A joined row holds a copy of the whole model (megabytes for deep boosting), so there is one
+    per pack, not per vector."""
     rows = df.withColumn("_x", F.array(*[F.col(f"`{f}`").cast("double") for f in model.features]))
+    depth = F.sequence(F.lit(1), F.lit(max(model.depth, 1)))
 
-    def walk(t):
+    def walk(t, x):
         arr = t["_nodes"]
 
         def step(i, _):
@@ -569,12 +584,15 @@ def predict_ensemble(model: TreeEnsemble, df: DataFrame, out: str = "prediction"
             xf = F.element_at(x, nd["_f"] + 1)
             left = F.when(nd["_cats"].isNotNull(), F.array_contains(nd["_cats"], xf)).otherwise(xf <= nd["_thr"])
             return F.when(nd["_pred"].isNotNull(), i).otherwise(F.when(left, nd["_l"]).otherwise(nd["_r"]))
-        depth = F.sequence(F.lit(1), F.lit(max(model.depth, 1)))
         leaf = F.aggregate(depth, F.lit(0), step)
         return t["_wt"] * F.element_at(arr, leaf + 1)["_pred"]
 
-    total = F.aggregate(F.transform("_trees", walk), F.lit(0.0), lambda acc, v: acc + v)
-    if model.average:
-        total = total / F.size("_trees")
-    scored = rows.select(*model.key, "_x").distinct().join(model_table(model), model.key).select(*model.key, "_x", total.alias(out))
+    def score(x):
+        total = F.aggregate(F.transform("_trees", lambda t: walk(t, x)), F.lit(0.0), lambda acc, v: acc + v)
+        if model.average:
+            total = total / F.size("_trees")
+        return F.struct(x.alias("_x"), total.alias(out))
+
+    packs = _packed_vectors(rows, model.key).join(model_table(model), model.key)
+    scored = packs.select(*model.key, F.transform("_xs", score).alias("_scores")).select(*model.key, F.inline("_scores"))
     return rows.join(scored, [*model.key, "_x"]).drop("_x")

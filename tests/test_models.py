@@ -293,6 +293,44 @@ def test_scores_walk_each_vector_once(spark):
     assert all(out[str(i)] == float(i % 4) for i in range(200))
 
 
+def _join_rows(plan, column):
+    """Rows out of every join of the run ``plan`` that carries ``column``."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _join_rows(plan.executedPlan(), column)
+    if kind.endswith("QueryStageExec"):
+        return _join_rows(plan.plan(), column)
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in kind and f"{column}#" in plan.output().mkString(",") else []
+    return own + [n for i in range(plan.children().size()) for n in _join_rows(plan.children().apply(i), column)]
+
+
+def test_models_are_copied_to_packs_of_vectors(spark, monkeypatch):
+    """A row with a group's whole model is made per pack of feature vectors, not per vector, and
+    every vector of every pack gets the score of its own leaves."""
+    monkeypatch.setattr(trees, "PACK_VECTORS", 50, raising=False)
+    rows = [(f"g{i % 2}", str(i), float(i // 2), float(i % 3), float((i * 7) % 31)) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, id string, a double, b double, label double")
+    model = trees.fit_boosted(df, ["g"], ["id"], ["a", "b"], "label", max_iter=3, max_depth=4, in_task=True)
+    other = [(None, "n", 1.0, 1.0, 0.0), ("h", "h", 1.0, 1.0, 0.0), ("g0", "z", None, 1.0, 0.0)]
+    scored = model.predict(df.unionByName(spark.createDataFrame(other, df.schema)))
+    out = {r["id"]: r["prediction"] for r in scored.collect()}
+    assert sum(_join_rows(scored._jdf.queryExecution().executedPlan(), "_trees")) <= 2 * 9  # 8 packs of each group, one more with the null
+    split = {(r["g"], r["_tree"], r["_node"]): (r["_f"], r["_thr"]) for r in model.internal.collect()}
+    leaf = {(r["g"], r["_tree"], r["_node"]): r["_pred"] for r in model.leaves.collect()}
+
+    def walk(g, x):
+        total = 0.0
+        for t, weight in enumerate(model.tree_weights):
+            node = 1
+            while (g, t, node) in split:
+                f, thr = split[g, t, node]
+                node = 2 * node + (0 if x[f] is not None and x[f] <= thr else 1)
+            total += weight * leaf[g, t, node]
+        return total
+
+    assert out == {i: walk(g, (a, b)) for g, i, a, b, _ in rows + other[2:]}
+
+
 def test_pooled_report_scores_rows_once(spark):
     """The report reads scored rows and undealt training rows: groups and ``Overall`` don't each
     score the test rows and deal the training rows again."""
